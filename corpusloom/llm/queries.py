@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, secrets, sharding, topk, toxicity, warc
+from . import bpe_codec, ngram_join, packing, secrets, sharding, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 16)
 
@@ -47,6 +51,7 @@ def queries():
         "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
         "op3_grammar_secrets": op3_grammar_secrets,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_parity_sketch_join": op6_parity_sketch_join,
         "op7_bounded_ring": op7_bounded_ring,
         "op8_multi_index_top_k": op8_multi_index_top_k,
         "op9_pattern_packing": op9_pattern_packing,
