@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, ngram_join, packing, secrets, sharding, topk, toxicity, warc
+from . import bpe_codec, embedding_dedup, ngram_join, packing, secrets, sharding, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_projection_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
+        "op2_projection_near_dedup": op2_projection_near_dedup,
         "op3_grammar_secrets": op3_grammar_secrets,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_parity_sketch_join": op6_parity_sketch_join,
