@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, ngram_join, packing, secrets, sharding, topk, toxicity, warc
+from . import bpe_codec, embedding_dedup, ngram_join, packing, secrets, sharding, suffix_dedup, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -55,6 +59,7 @@ def queries():
         "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
         "op2_projection_near_dedup": op2_projection_near_dedup,
         "op3_grammar_secrets": op3_grammar_secrets,
+        "op4_suffix_merge_dedup": op4_suffix_merge_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_parity_sketch_join": op6_parity_sketch_join,
         "op7_bounded_ring": op7_bounded_ring,
