@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spm
 
-from .common import text_bytes
+from .common import slices, text_bytes
 
 #: Byte b is written as the letter of this code point plus b: never white space, never normalised.
 BYTE_BASE = 0x4E00
 #: Entries of the cache of one Python worker.
-CACHE = 200_000
+CACHE = 500_000
 _TO_LETTERS = {b: BYTE_BASE + b for b in range(256)}
 
 
@@ -68,10 +68,10 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Fills the cache. A pre-token that is itself a token is that token, whatever the merges say."""
-        new = [w for w in words if w not in self.cache]
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = list(words)
+            new = words
         merged = []
         for w in new:
             data = w.encode()
@@ -113,12 +113,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for batch in batches:
-            texts = batch.column("body")
-            for start in range(0, batch.num_rows, 256):
-                rows = [coder.pre_tokens(x.decode("utf-8", "replace")) for x in texts.slice(start, 256).to_pylist()]
-                out = {"doc_id": batch.column("doc_id").slice(start, 256), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+            for part in slices(batch, "body", 2 << 20):
+                rows = [coder.pre_tokens(x.decode("utf-8", "replace")) for x in part.column("body").to_pylist()]
+                out = {"doc_id": part.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+                coder.learn({w for words in rows for w in words})
                 for words in rows:
-                    coder.learn(set(words))
                     entries = list(map(coder.cache.__getitem__, words))
                     out["n_tokens"].append(sum(len(e[0]) for e in entries))
                     out["ids_sha256"].append(hashlib.sha256(",".join(e[1] for e in entries).encode()).hexdigest())
