@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, globally_ranked, text_bytes
+from .common import Scratch, globally_ranked, slices, text_bytes
 
 END_ID = 1
 #: Pattern lengths are counted in units of capacity / UNITS tokens, rounded up.
@@ -25,7 +25,7 @@ PARTS = 4
 #: Share of each fitted repeat count that patterns use; the rest leaves best fit lengths to choose from.
 KEPT = 0.95
 #: Entries of the cache of one Python worker.
-CACHE = 600_000
+CACHE = 1_000_000
 #: A control character that is a token of its own; it parts words that are encoded in one call.
 MARK = "\x01"
 _ASCII_SPACE = re.compile("[^ \t\n\r\f\v]+")
@@ -44,56 +44,87 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = None
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
         self.tails = {"": b"", ".": self._ids("."), ",": self._ids(",")}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes the words that the cache lacks, thousands in one call with a mark between them."""
-        new = list({w for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
+    def learn(self, words: set[str]) -> None:
+        """Encodes words that the cache lacks, thousands in one call.
+
+        A word of composed letters below U+0130, with or without a final stop or comma, which the
+        pre-tokenizer cuts off, is one pre-token once its case is lowered: it needs no normaliser,
+        and its last token tells where it ends. Other words stand apart by a mark.
+        """
+        if len(self.cache) + len(words) > CACHE:
             self.cache.clear()
-            self.bases.clear()
-            new = list(set(words))
-        bases = {w: self._base(w) for w in new}
-        need = list({base for base, _ in bases.values() if base not in self.bases})
-        plain = [w for w in need if MARK not in w]
+        plain, bare, stopped, cut = [], [], [], []
+        others = []
+        for w in words:
+            if max(w) >= "\u0130":
+                others.append(w)
+            elif w.isalpha():
+                plain.append(w)
+                bare.append(w.lower())
+            elif w[-1] in ".," and w[:-1].isalpha():
+                stopped.append(w)
+                cut.append(w[:-1].lower())
+            else:
+                others.append(w)
         for start in range(0, len(plain), 4096):
-            some = plain[start : start + 4096]
+            self._store_letters(plain[start : start + 4096], bare[start : start + 4096])
+        for start in range(0, len(stopped), 4096):
+            some = stopped[start : start + 4096]
+            self._store_letters(some, cut[start : start + 4096])
+            for w in some:
+                self.cache[w] += self.tails[w[-1]]
+        marked = [w for w in others if MARK not in w]
+        for start in range(0, len(marked), 4096):
+            some = marked[start : start + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(some, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                self.bases[w] = raw[4 * a + 4 : 4 * b]
-        for w in need:
-            if MARK in w:
-                self.bases[w] = self._ids(w)
-        for w, (base, tail) in bases.items():
-            self.cache[w] = self.bases[base] + self.tails[tail]
+            self._store(some, ids, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1)
+        for w in others:
+            if w not in self.cache:
+                self.cache[w] = self._ids(w)
+
+    def _store_letters(self, words: list[str], bare: list[str]) -> None:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(bare)], add_special_tokens=False)[0].ids, "<u4")
+        self._store(words, ids, (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0)
+        for w, x in zip(words, bare, strict=True):
+            if w not in self.cache:
+                self.cache[w] = self._ids(x)
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _base(word: str) -> tuple[str, str]:
-        """A word with the same ids once they are joined: lower case, and without a final stop or
-        comma after a letter, which the pre-tokenizer cuts off. Only for letters below U+0130,
-        whose lower case is one composed letter."""
-        if max(word) < "\u0130":
-            word = word.lower()
-            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-                return word[:-1], word[-1]
-        return word, ""
-
-    def encode(self, text: str) -> np.ndarray:
-        words = _ASCII_SPACE.findall(text)
-        try:
-            parts = list(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            parts = list(map(self.cache.__getitem__, words))
-        return np.frombuffer(b"".join(parts), "<u4")
+    def _store(self, words: list[str], ids: np.ndarray, ends: list[int], skip: int) -> None:
+        """Ids from one end to the next, without the ``skip`` ids of a mark; nothing is stored if the
+        number of ends is not that of the words."""
+        if len(ends) == len(words):
+            raw = ids.tobytes()
+            ends = [4 * x for x in ends]
+            self.cache.update({w: raw[a:b] for w, a, b in zip(words, [0, *[x + 4 * skip for x in ends[:-1]]], ends, strict=True)})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; new words of all texts are learned at once."""
+        get = self.cache.get
+        split = [_ASCII_SPACE.findall(text) for text in texts]
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, parts in zip(split, found, strict=True) if None in parts for w, x in zip(words, parts, strict=True) if x is None}
+        if new:
+            self.learn(new)
+            # the cache may have been emptied for them: then all of these texts' words are new
+            found = [parts if None not in parts else list(map(get, words)) for words, parts in zip(split, found, strict=True)]
+            lost = {w for words, parts in zip(split, found, strict=True) if None in parts for w, x in zip(words, parts, strict=True) if x is None}
+            if lost:
+                self.learn(lost)
+                found = [parts if None not in parts else list(map(get, words)) for words, parts in zip(split, found, strict=True)]
+        return [b"".join(parts) for parts in found]
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,22 +145,22 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, with_ids: bool = Fa
         coder = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            bodies = batch.column("body")
-            for first in range(0, batch.num_rows, 512):
+            for part in slices(batch, "body", 2 << 20):
                 rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
                 if with_ids:
                     rows["ids"] = []
-                for doc_id, body in zip(batch.column("doc_id").slice(first, 512).to_pylist(), bodies.slice(first, 512).to_pylist(), strict=True):
-                    ids = coder.encode(body.decode("utf-8", "replace")).tobytes() + end
+                texts = [body.decode("utf-8", "replace") for body in part.column("body").to_pylist()]
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                    ids = raw + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
+                        cut = ids[at : at + 4 * capacity]
                         rows["doc_id"].append(doc_id)
                         rows["piece"].append(piece)
                         rows["start"].append(at // 4)
-                        rows["length"].append(len(part) // 4)
-                        rows["ids_crc32"].append(zlib.crc32(part))
+                        rows["length"].append(len(cut) // 4)
+                        rows["ids_crc32"].append(zlib.crc32(cut))
                         if with_ids:
-                            rows["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
+                            rows["ids"].append(np.frombuffer(cut, "<u4").astype(np.int32))
                 yield pa.RecordBatch.from_pydict(rows | {"piece": pa.array(rows["piece"], pa.int32())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
@@ -309,7 +340,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, id_col: str
     empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    pieces = cut_documents(docs, path, capacity, id_col=id_col, text_col=text_col)
+    # written first: dealing by range samples its input, which would encode every text twice
+    pieces = scratch.table(cut_documents(docs, path, capacity, id_col=id_col, text_col=text_col), "cut")
     ranked, _ = globally_ranked(scratch, pieces, ["length", "doc_id", "piece"], "pieces")
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     lengths = np.array(sorted(counts), np.int64)

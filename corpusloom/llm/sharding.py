@@ -83,6 +83,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, vnodes: int = VNODES, i
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("pos"),
     )
+    rows = scratch.table(rows, "rows")  # dealing by range samples its input: texts are read once
     # copies of a text are one place of the ring; the id splits them over the range partitions
     ranked, _ = globally_ranked(scratch, rows, ["pos", "doc_id"], "ring")
     points = ring(n_shards, vnodes)
