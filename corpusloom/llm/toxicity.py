@@ -28,6 +28,8 @@ CALIBRATION_ROWS = 20_000
 #: A word counts as evidence from this log-likelihood ratio on.
 EVIDENCE = 2.0
 THRESHOLD = 0.3
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 FEATURES = ("mean", "evidence", "share", "strongest")
 
 _DROP = 255
@@ -104,7 +106,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             counts[:] = [np.stack([np.bincount(at, all_counts[:, k], len(key)) for k in (0, 1)], 1).astype(np.int64)]
 
         for batch in batches:
-            for part in slices(batch, "body"):
+            for part in slices(batch, "body", SLICE):
                 raw, offsets = flat_bytes(part.column("body"))
                 symbols, rows = symbol_stream(raw, offsets)
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -245,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "body"):
+            for part in slices(batch, "body", SLICE):
                 x = shared.value.features(part.column("body"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["doc_id", "toxic", *FEATURES])
 
@@ -265,7 +267,7 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
     @F.pandas_udf(T.DoubleType())
     def score(bodies: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["body"])
-        found = [shared.value.scores(shared.value.features(part.column("body"))) for part in slices(batch, "body")]
+        found = [shared.value.scores(shared.value.features(part.column("body"))) for part in slices(batch, "body", SLICE)]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return score(text_bytes(text_col))
