@@ -379,3 +379,12 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = digest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
     least = scratch.table(named.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "root").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is their component's smallest, all columns kept; repeated rows of one
+    id and text are one. Rows without an id stay."""
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.table(join_documents(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    some = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
+    return some.unionByName(docs.filter(F.col(id_col).isNull()))

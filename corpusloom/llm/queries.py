@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
         "op2_projection_near_dedup": op2_projection_near_dedup,
         "op3_grammar_secrets": op3_grammar_secrets,

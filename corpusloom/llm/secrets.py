@@ -8,6 +8,7 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,8 +253,6 @@ def redacted(text: str, formats: Formats, mark: str) -> str:
 
 
 def _arrow_text(f):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mapped(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else f(t))

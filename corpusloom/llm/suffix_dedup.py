@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -468,3 +469,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(gone, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+def trim(body: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    """The text without the characters that lie in the stretches as a whole."""
+    out, at = [], 0
+    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+        while a < b and body[a] & 0xC0 == 0x80:  # inside a character: it stays
+            a += 1
+        while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(body[at:a])
+        at = max(at, b)
+    return b"".join([*out, body[at:]])
+
+
+def trim_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents without the characters that repeated strings cover, all columns kept.
+
+    Only whole characters go, so texts stay valid; null texts stay null.
+    """
+    scratch = Scratch(docs.sparkSession)
+    _, copies, marks = repeated_spans(docs, scratch, text_col)
+    facts = scratch.table(copies.join(marks, "cls", "left").filter("n > 1 or runs is not null").select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("runs").alias("_runs")), "facts")
+
+    @F.pandas_udf("string")
+    def cut(bodies: pd.Series, runs: pd.Series) -> pd.Series:
+        out = []
+        for body, some in zip(bodies, runs, strict=True):
+            if body is not None and some is not None and len(some):
+                first, last = (np.array([r[k] for r in some], np.int64) for k in ("first", "last"))
+                body = trim(body, *covered(first, last))
+            out.append(None if body is None else body.decode("utf-8", "replace"))
+        return pd.Series(out, dtype=object)
+
+    body = F.col(text_col).cast("binary")
+    named = docs.withColumn("_name", F.xxhash64(text_bytes(text_col)))
+    joined = named.join(facts, named["_name"] == facts["_cls"], "left")
+    text = F.when(F.col(text_col).isNull() | F.col("_n").isNull(), F.col(text_col)).when((F.col("_n") > 1) & (F.octet_length(body) >= LENGTH), F.lit("")).when(F.col("_runs").isNull(), F.col(text_col)).otherwise(cut(body, F.col("_runs")))
+    return joined.withColumn(text_col, text).drop("_name", "_cls", "_n", "_runs")
