@@ -158,3 +158,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def slots(n: int) -> np.ndarray:
+    """n different integers that Spark's hash partitioning deals to n different partitions.
+
+    Groups named by them are one to a partition; names 0 to n - 1 would leave a third of the
+    partitions empty and put several groups into others.
+    """
+    found = np.full(n, -1, np.int32)
+    missing, start = n, 0
+    while missing:
+        names = np.arange(start, start + 4 * n, dtype=np.int32)
+        place = _spark_hash(names).astype(np.int64) % n
+        for name, k in zip(names.tolist(), place.tolist(), strict=True):
+            if found[k] < 0:
+                found[k] = name
+                missing -= 1
+        start += 4 * n
+    return found
+
+
+def _spark_hash(values: np.ndarray) -> np.ndarray:
+    """Murmur3 (32 bits, seed 42) of 32-bit integers, as Spark partitions by it."""
+    u = np.uint32
+
+    def turn(x, r):
+        return (x << u(r)) | (x >> u(32 - r))
+
+    with np.errstate(over="ignore"):
+        k = turn(values.astype(np.int32).view(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
+        h = turn(u(42) ^ k, 13) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h ^= h >> u(16)
+        h *= u(0x85EBCA6B)
+        h ^= h >> u(13)
+        h *= u(0xC2B2AE35)
+        h ^= h >> u(16)
+    return h.view(np.int32)
+
+
+def deal(rows: np.ndarray, number: np.ndarray, names: np.ndarray) -> pa.Table:
+    """Packed rows as (part, blob), dealt by a number to the named parts."""
+    part = (number % np.uint64(len(names))).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows, ends = rows[order], np.cumsum(np.bincount(part, minlength=len(names)))
+    starts = np.concatenate([[0], ends[:-1]])
+    keep = np.flatnonzero(ends > starts)
+    return pa.table({"part": pa.array(names[keep], pa.int32()), "blob": pa.array([rows[starts[k] : ends[k]].tobytes() for k in keep.tolist()], pa.binary())})
+
+
+def unpack(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column("blob").to_pylist()])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, flat_bytes, mix64, partitions, slices, text_bytes
+from .common import Scratch, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
 from .components import components
 
 WIDTH = 5
@@ -41,6 +41,8 @@ _BASE = 0xD1342543DE82EF95
 _POWERS: dict[str, np.ndarray] = {}
 _MIXERS = mix64(np.arange(1000, 1000 + WIDTH, dtype=np.uint64)) | _U(1)
 SIGNATURE = np.dtype([("key", "<u4"), ("cls", "<u8")])
+COUNT = np.dtype([("cls", "<u8"), ("n", "<u4")])
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,48 +147,44 @@ def sketch(tokens: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray,
 
 
 def _digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, in_use) of every document."""
+    """(doc_id, n_shingles, cls, own, lower) of every document: also the words in use in its sketches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "body", 2 << 20):
                 tokens, at = shingle_sets(*flat_bytes(part.column("body")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_classes(tokens, at).view(np.int64))], names=["doc_id", "n_shingles", "cls"])
+                used = [np.bincount(sketch(tokens, at, lower)[1], minlength=part.num_rows) for lower in (False, True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_classes(tokens, at).view(np.int64)), *map(pa.array, used)], names=["doc_id", "n_shingles", "cls", "own", "lower"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, own long, lower long")
 
 
 def _signatures(docs: DataFrame, parts: int) -> DataFrame:
     """(part, blob): the word keys of all sets, packed, dealt by key."""
 
+    names = slots(parts)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         dealt: list[np.ndarray] = []
 
         def flush():
-            if not held:
-                return
-            both, part = np.concatenate(held), np.concatenate(dealt)
-            held.clear()
-            dealt.clear()
-            order = np.argsort(part, kind="stable")
-            both = both[order]
-            ends = np.cumsum(np.bincount(part, minlength=parts))
-            blobs = [both[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            keep = [k for k in range(parts) if blobs[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[k] for k in keep], pa.binary())], names=["part", "blob"])
+            if held:
+                yield from deal(np.concatenate(held), np.concatenate(dealt), names).to_batches()
+                held.clear()
+                dealt.clear()
 
         for batch in batches:
             for part in slices(batch, "body", 2 << 20):
                 tokens, at = shingle_sets(*flat_bytes(part.column("body")))
-                names = set_classes(tokens, at)
+                classes = set_classes(tokens, at)
                 for lower in (False, True):
                     keys, row = sketch(tokens, at, lower)
                     rows = np.empty(len(keys), SIGNATURE)
                     # the last bit tells the sketch of the own band from that of the lower one
-                    rows["key"], rows["cls"] = keys >> _U(32), names[row] | _U(lower)
+                    rows["key"], rows["cls"] = keys >> _U(32), classes[row] | _U(lower)
                     held.append(rows)
-                    dealt.append(((keys & _U(0xFFFFFFFF)) % _U(parts)).astype(np.int32))
+                    dealt.append(keys & _U(0xFFFFFFFF))
                 if sum(map(len, held)) > 2_000_000:
                     yield from flush()
         yield from flush()
@@ -196,7 +194,7 @@ def _signatures(docs: DataFrame, parts: int) -> DataFrame:
 
 def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, cls) rows sorted by key, the start of each key and its number of sets."""
-    rows = np.concatenate([np.frombuffer(x, SIGNATURE) for x in table.column("blob").to_pylist()])
+    rows = unpack(table, SIGNATURE)
     order = np.lexsort((rows["cls"], rows["key"]))
     key, cls = rows["key"][order], rows["cls"][order]
     first = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
@@ -205,40 +203,54 @@ def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cls, starts, np.diff(np.concatenate([starts, [len(key)]]))
 
 
-def _word_counts(signatures: DataFrame, least: int) -> DataFrame:
-    """(cls, n, in_use): of the words of each sketch, how many ``least`` sets and more share. The last
-    bit of cls tells a set's two sketches apart."""
+def _word_counts(signatures: DataFrame, parts: int, least: int) -> DataFrame:
+    """(cls, n): how many words of each sketch ``least`` sets and more share, where any. The last bit
+    of cls tells a set's two sketches apart. Partial counts travel packed, by set."""
+    names = slots(parts)
 
-    def run(table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
         cls, _, sizes = _grouped(table)
-        name, at = np.unique(cls, return_inverse=True)
-        n = np.bincount(at, np.repeat(sizes >= least, sizes), len(name)).astype(np.int64)
-        return pa.table({"cls": name.view(np.int64), "n": n, "in_use": np.bincount(at, minlength=len(name))})
+        cls, n = np.unique(cls[np.repeat(sizes >= least, sizes)], return_counts=True)
+        rows = np.empty(len(cls), COUNT)
+        rows["cls"], rows["n"] = cls, n
+        return deal(rows, mix64(cls), names)
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = unpack(table, COUNT)
+        cls, at = np.unique(rows["cls"], return_inverse=True)
+        return pa.table({"cls": cls.view(np.int64), "n": np.bincount(at, rows["n"], len(cls)).astype(np.int64)})
 
-    local = signatures.groupBy("part").applyInArrow(run, "cls long, n long, in_use long")
-    return local.groupBy("cls").agg(F.sum("n").alias("n"), F.sum("in_use").alias("in_use"))
+    return signatures.groupBy("part").applyInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "cls long, n long")
 
 
 def _bound_by(sets: DataFrame, counts: DataFrame) -> DataFrame:
     """The sets of which, in one of their bands, at most the largest symmetric difference that a
     partner can have (size * (100 - PERCENT) / PERCENT) are words outside the counted ones."""
     bound = (F.col("n_shingles") * (100 - PERCENT) / PERCENT).cast("long")
-    found = counts.filter("n > 0").select(F.col("cls").bitwiseAND(F.lit(-2)).alias("cls"), (F.col("in_use") - F.col("n")).alias("rest"))
-    return sets.join(found.groupBy("cls").agg(F.min("rest").alias("rest")), "cls").filter(F.col("rest") <= bound).drop("rest")
+    found = counts.select(F.col("cls").bitwiseAND(F.lit(-2)).alias("cls"), (F.col("cls").bitwiseAND(F.lit(1)) == 1).alias("is_lower"), "n")
+    rest = F.when(F.col("is_lower"), F.col("lower")).otherwise(F.col("own")) - F.col("n")
+    return sets.join(found, "cls").filter(rest <= bound).select(*sets.columns).distinct()
 
 
-def _stars(signatures: DataFrame, most: int | None) -> DataFrame:
-    """Links from the smallest set of each shared word to its other sets, of words of ``most`` sets at most."""
+def _stars(signatures: DataFrame, parts: int, most: int | None) -> DataFrame:
+    """Links from the smallest set of each shared word to its other sets, of words of ``most`` sets at
+    most. Links travel packed, so that the same link of many words becomes one row."""
+    names = slots(parts)
 
-    def run(table: pa.Table) -> pa.Table:
+    def link(table: pa.Table) -> pa.Table:
         cls, starts, sizes = _grouped(table)
-        take = sizes > 1 if most is None else (sizes > 1) & (sizes <= most)
         cls = cls & ~_U(1)
-        a, b = np.repeat(cls[starts], sizes)[np.repeat(take, sizes)], cls[np.repeat(take, sizes)]
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]).view(np.int64), "b": np.ascontiguousarray(pairs[:, 1]).view(np.int64)})
+        take = np.repeat(sizes > 1 if most is None else (sizes > 1) & (sizes <= most), sizes)
+        rows = np.empty(int(take.sum()), PAIR)
+        rows["a"], rows["b"] = np.repeat(cls[starts], sizes)[take], cls[take]
+        rows = np.unique(rows[rows["a"] != rows["b"]])
+        return deal(rows, mix64(rows["a"] ^ mix64(rows["b"])), names)
+
+    def once(table: pa.Table) -> pa.Table:
+        rows = np.unique(unpack(table, PAIR))
+        return pa.table({k: np.ascontiguousarray(rows[k]).view(np.int64) for k in ("a", "b")})
 
-    return signatures.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return signatures.groupBy("part").applyInArrow(link, "part int, blob binary").groupBy("part").applyInArrow(once, "a long, b long")
 
 
 def link_sets(sets: list[np.ndarray]) -> np.ndarray:
@@ -348,19 +360,19 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
     digest = scratch.table(_digest(texts), "sets")
-    one = digest.filter("n_shingles > 2 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    one = digest.filter("n_shingles > 2 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in ("n_shingles", "own", "lower")))
 
-    counts = scratch.table(_word_counts(_signatures(texts.select("body"), parts), 2), "shared")
+    counts = scratch.table(_word_counts(_signatures(texts.select("body"), parts), parts, 2), "shared")
     collect_garbage(spark)
     alive = scratch.table(_bound_by(one, counts), "alive")
     scratch.drop(counts)
     some = scratch.table(texts.join(alive.select("doc_id"), "doc_id"), "texts")
     collect_garbage(spark)
     first = _signatures(some.select("body"), parts)
-    stars = _stars(first, HOT)
+    stars = _stars(first, parts, HOT)
     # a set with more words outside the hot ones than that is found through those
-    held = scratch.table(_bound_by(alive, _word_counts(first, HOT + 1)).select("doc_id"), "held")
-    more = _stars(_signatures(some.join(held, "doc_id").select("body"), parts), None)
+    held = scratch.table(_bound_by(alive, _word_counts(first, parts, HOT + 1)).select("doc_id"), "held")
+    more = _stars(_signatures(some.join(held, "doc_id").select("body"), parts), parts, None)
     near = components(scratch, stars.unionAll(more), "near")
     near = scratch.table(near.join(alive, near["node"] == alive["cls"]).select("cls", "doc_id", "root", "n_shingles"), "candidates")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, flat_bytes, mix64, partitions, slices, text_bytes
+from .common import Scratch, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
 
 LENGTH = 200
 GRAM = 64
@@ -94,43 +94,31 @@ def window_runs(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row[first], "at": at - offsets[row[first]], "low": low, "high": high, "key": gram[at], "whole": whole}
 
 
-def _pack(rows: np.ndarray, parts: int, held: list, dealt: list, key: str) -> None:
-    held.append(rows)
-    dealt.append((rows[key] % _U(parts)).astype(np.int32))
-
-
-def _flush(held: list, dealt: list, parts: int) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    rows, part = np.concatenate(held), np.concatenate(dealt)
-    held.clear()
-    dealt.clear()
-    # copies of a text in one task are told once
-    rows = rows[np.argsort(part, kind="stable")]
-    ends = np.cumsum(np.bincount(part, minlength=parts))
-    starts = np.concatenate([[0], ends[:-1]])
-    blobs = [np.unique(rows[a:b]).tobytes() if b > a else b"" for a, b in zip(starts, ends, strict=True)]
-    keep = [k for k in range(parts) if blobs[k]]
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[k] for k in keep], pa.binary())], names=["part", "blob"])
+def _flush(held: list, names: np.ndarray, key: str) -> Iterator[pa.RecordBatch]:
+    if held:
+        rows = np.unique(np.concatenate(held))  # copies of a text in one task are told once
+        held.clear()
+        yield from deal(rows, mix64(rows[key]), names).to_batches()
 
 
 def _anchors(texts: DataFrame, parts: int) -> DataFrame:
     """(part, blob) of ANCHOR rows of all texts (cls, body)."""
+    names = slots(parts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, dealt = [], []
+        held: list[np.ndarray] = []
         for batch in batches:
             for some in slices(batch, "body", 1 << 20):
                 raw, offsets = flat_bytes(some.column("body"))
-                for found, names in _in_reach(raw, offsets, some.column("cls").to_numpy()):
+                for found, classes in _in_reach(raw, offsets, some.column("cls").to_numpy()):
                     rows = np.empty(len(found["row"]), ANCHOR)
                     for k in ("key", "whole", "at", "low", "high"):
                         rows[k] = found[k]
-                    rows["cls"] = names[found["row"]]
-                    _pack(rows, parts, held, dealt, "key")
+                    rows["cls"] = classes[found["row"]]
+                    held.append(rows)
                 if sum(map(len, held)) > 500_000:
-                    yield from _flush(held, dealt, parts)
-        yield from _flush(held, dealt, parts)
+                    yield from _flush(held, names, "key")
+        yield from _flush(held, names, "key")
 
     return texts.mapInArrow(run, "part int, blob binary")
 
@@ -174,7 +162,7 @@ def _match_runs(anchors: DataFrame) -> DataFrame:
     """Windows first..last of a text that are repeated (kind 0), and runs to look into (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.unique(np.concatenate([np.frombuffer(x, ANCHOR) for x in table.column("blob").to_pylist()]))
+        rows = np.unique(unpack(table, ANCHOR))
         same, ask = _judge(rows, "key", "whole")
         both = np.concatenate([rows[same], rows[ask]])
         kind = np.repeat([0, 1], [int(same.sum()), len(ask)])
@@ -189,9 +177,10 @@ CORE = np.dtype([("core", "<u8"), ("whole", "<u8"), ("cls", "<i8"), ("first", "<
 
 def _cores(asked: DataFrame, parts: int) -> DataFrame:
     """(part, blob) of CORE rows: the asked runs (cls, body, runs of (first, last, at)) in steps of STEP windows."""
+    names = slots(parts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, dealt = [], []
+        held: list[np.ndarray] = []
         for batch in batches:
             for some in slices(batch, "body", 1 << 20):
                 raw, offsets = flat_bytes(some.column("body"))
@@ -215,17 +204,17 @@ def _cores(asked: DataFrame, parts: int) -> DataFrame:
                 rows["core"] = hasher.of(core, core + LENGTH - STEP + 1, s)
                 rows["whole"] = hasher.of(base + begin, base + end + LENGTH, (at[which] - begin) * 256 + (end - begin))
                 rows["cls"], rows["first"], rows["n"] = some.column("cls").to_numpy()[row[which]], begin, end - begin + 1
-                _pack(rows, parts, held, dealt, "core")
+                held.append(rows)
                 if sum(map(len, held)) > 500_000:
-                    yield from _flush(held, dealt, parts)
-        yield from _flush(held, dealt, parts)
+                    yield from _flush(held, names, "core")
+        yield from _flush(held, names, "core")
 
     return asked.mapInArrow(run, "part int, blob binary")
 
 
 def _match_cores(cores: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        rows = np.unique(np.concatenate([np.frombuffer(x, CORE) for x in table.column("blob").to_pylist()]))
+        rows = np.unique(unpack(table, CORE))
         same, ask = _judge(rows, "core", "whole")
         both = np.concatenate([rows[same], rows[ask]])
         kind = np.repeat([0, 1], [int(same.sum()), len(ask)])
