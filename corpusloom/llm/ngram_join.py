@@ -366,7 +366,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     collect_garbage(spark)
     alive = scratch.table(_bound_by(one, counts), "alive")
     scratch.drop(counts)
-    some = scratch.table(texts.join(alive.select("doc_id"), "doc_id"), "texts")
+    # the list of ids grows with the corpus: it is never broadcast, small tables are joined alike
+    some = scratch.table(texts.join(alive.select("doc_id").hint("merge"), "doc_id"), "texts")
     collect_garbage(spark)
     first = _signatures(some.select("body"), parts)
     stars = _stars(first, parts, HOT)

@@ -412,7 +412,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text") ->
     found = scratch.table(_match_runs(_anchors(named.select("cls", "body"), parts)), "runs")
     collect_garbage(docs.sparkSession)
     wanted = scratch.table(found.select("cls").distinct(), "wanted")
-    texts = scratch.table(named.join(wanted, "cls").dropDuplicates(["cls"]), "texts")
+    # the list of names grows with the corpus: it is never broadcast, small tables are joined alike
+    texts = scratch.table(named.join(wanted.hint("merge"), "cls").dropDuplicates(["cls"]), "texts")
     collect_garbage(docs.sparkSession)
     asked = lambda frame, *fields: texts.join(frame.filter("kind = 1").groupBy("cls").agg(F.collect_set(F.struct(*fields)).alias("runs")), "cls")
     deeper = scratch.table(_match_cores(_cores(asked(found, "first", "last", "at"), parts)), "steps")

@@ -235,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The count table has at most 32**5 rows whatever the corpus; it is what comes to the driver.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("toxic"))
+    known = known.hint("merge")  # labels grow with the corpus: they are never broadcast, small tables are joined alike
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"), remainder(id_col).alias("fold"))
     learned = rows.filter("fold in (0, 1)").join(known, "doc_id").select("body", "toxic")
     table = count_grams(learned).toArrow()
