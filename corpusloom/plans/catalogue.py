@@ -1,11 +1,303 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the engine's operators and their SQL.
+
+Every query runs over its whole tables. ``_SQL`` holds DuckDB SQL with the same rows; queries
+without an entry have no SQL form and are tested against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..functions import text as tx
+from ..operators import behavior, fuse, locate, mail, names, policy, queue, rerank, retrieve
+from ..operators import index as ix
+from ..sources import adapters as ad
+from ..streaming import state
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+AS_OF = "2024-02-10"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def stamp(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+def iso(column: str) -> Column:
+    """A timestamp as text, alike in both engines."""
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# Catalog and crawl policy
+
+
+@query(f"WITH {sql.CATALOG} SELECT name, full_path, parent_path, extension, kind, size, attributes, strftime(modified_at, '%Y-%m-%d %H:%M:%S') AS modified FROM catalog")
+def catalog_query(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("name", "full_path", "parent_path", "extension", "kind", "size", "attributes", iso("modified_at").alias("modified"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'folder' ELSE 'file' END AS kind, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS size, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id, '%Y-%m-%d %H:%M:%S') END AS modified FROM documents")
+def catalog_decode(spark, sf_dir):
+    ticks = F.lit(116444736000000000) + (F.lit(1704067200) + F.col("doc_id") * 3600) * 10_000_000
+    rows = ad.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), (F.col("doc_id") % 5 == 0).alias("is_folder"), F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("n_chars")).alias("size"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(ticks).alias("filetime"))
+    return names.decode(rows).select(F.col("name").cast("long").alias("doc_id"), "kind", "size", iso("modified_at").alias("modified"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, COALESCE(size, 0) AS size, strftime(COALESCE(modified_at, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS modified FROM catalog")
+def catalog_scan_paged(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir).withColumns({"size": F.coalesce("size", F.lit(0)), "modified_at": F.coalesce("modified_at", F.timestamp_seconds(F.lit(0)))})
+    return rows.select("full_path", "size", iso("modified_at").alias("modified"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE lower(name) IN {sql.listed(policy.REPOSITORY_MARKERS + policy.EXCLUDED_DIRECTORIES)}")
+def scan_markers(spark, sf_dir):
+    return policy.scan_markers(ad.catalog(spark, sf_dir)).select("full_path")
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, CAST(row_number() OVER (ORDER BY modified_at DESC, path_key) AS INTEGER) AS position FROM (SELECT * FROM catalog WHERE kind = 'file' AND extension IN ('txt', 'md', 'markdown', 'docx') ORDER BY modified_at DESC, path_key LIMIT 500)")
+def scan_candidates(spark, sf_dir):
+    newest = ad.catalog(spark, sf_dir).filter((F.col("kind") == "file") & F.col("extension").isin("txt", "md", "markdown", "docx")).orderBy(F.col("modified_at").desc(), "path_key").limit(500)
+    return newest.select("full_path", F.row_number().over(Window.orderBy(F.col("modified_at").desc(), "path_key")).alias("position"))
+
+
+@query("SELECT * FROM (VALUES ('C:\\'), ('D:\\')) t(root_path)")
+def eligible_drives(spark, sf_dir):
+    rows = [("D:\\", True, "Fixed", "NTFS"), ("C:\\", True, "Fixed", "ReFS"), ("c:\\", True, "fixed", "ntfs"), ("E:\\", True, "Removable", "NTFS"), ("F:\\", False, "Fixed", "NTFS"), ("G:\\", True, "Fixed", "FAT32")]
+    return policy.eligible_drives(literals(spark, rows, "root_path string, is_ready boolean, drive_type string, drive_format string")).select(F.upper("root_path").alias("root_path"))
+
+
+@query(f"WITH {sql.CATALOG}, {sql.EXCLUSIONS} SELECT prefix FROM exclusions")
+def dynamic_exclusions(spark, sf_dir):
+    return policy.dynamic_exclusions(policy.scan_markers(ad.catalog(spark, sf_dir)))
+
+
+@query(sql.POLICY)
+def policy_evaluate(spark, sf_dir):
+    exclusions = policy.dynamic_exclusions(policy.scan_markers(ad.catalog(spark, sf_dir)))
+    return policy.evaluate(ad.files(spark, sf_dir), exclusions, stamp(AS_OF))
+
+
+@query(f"WITH {sql.CATALOG}, {sql.EXCLUSIONS} SELECT DISTINCT f.doc_id FROM files f JOIN exclusions e ON f.path_key = e.prefix OR starts_with(f.path_key, e.prefix || '\\')")
+def prefix_subtree_match(spark, sf_dir):
+    exclusions = policy.dynamic_exclusions(policy.scan_markers(ad.catalog(spark, sf_dir)))
+    above = ad.files(spark, sf_dir).select("doc_id", F.explode(paths.ancestors(F.col("path_key"))).alias("prefix"))
+    return above.join(exclusions, "prefix", "left_semi").select("doc_id").distinct()
+
+
+@query(f"WITH {sql.CATALOG} SELECT doc_id, list_has_any(string_split(lower(parent_path), '\\')[2:], {sql.array(policy.EXCLUDED_DIRECTORIES)}) AS excluded FROM files")
+def excluded_segment(spark, sf_dir):
+    return ad.files(spark, sf_dir).select("doc_id", policy._any_of(paths.directories(F.col("path_key")), policy.EXCLUDED_DIRECTORIES).alias("excluded"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT doc_id, {sql.PRIORITY} AS priority FROM files")
+def crawl_priority(spark, sf_dir):
+    return ad.files(spark, sf_dir).select("doc_id", policy.crawl_priority(F.col("path_key"), F.col("modified_at"), stamp(AS_OF)).alias("priority"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT doc_id, upper(sha256(upper(full_path) || '|' || size || '|' || epoch_us(modified_at) || '|1')) AS fingerprint FROM files")
+def fingerprint(spark, sf_dir):
+    return ad.files(spark, sf_dir).select("doc_id", policy.fingerprint(F.col("full_path"), F.col("size"), F.col("modified_at")).alias("fingerprint"))
+
+
+# Names
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, {sql.noise('doc1')} AS noise FROM catalog")
+def noise_classify(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("full_path", policy.noise(F.lit("doc1"), F.col("name"), F.col("path_key"), F.col("extension"), F.col("attributes")).alias("noise"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, CASE WHEN path_key = 'd:\\src6' OR starts_with(path_key, 'd:\\src6\\') THEN TRUE ELSE FALSE END AS is_system FROM catalog")
+def system_path(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("full_path", paths.within_any(F.col("path_key"), policy.SYSTEM_ROOTS).alias("is_system"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, CASE WHEN lower(name) = 'doc1' THEN 0 WHEN starts_with(lower(name), 'doc1') THEN 1 WHEN contains(lower(name), 'doc1') THEN 2 ELSE 3 END AS match_rank FROM catalog")
+def name_match_rank(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("full_path", policy.name_match_rank(F.lit(" doc1 "), F.col("name")).alias("match_rank"))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE lower(name) = 'doc8.txt'")
+def exact_query(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).filter(policy.exact_query(F.lit('"DOC8.txt"'), F.col("name"), F.col("path_key"))).select("full_path")
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, list_filter(string_split(path_key[3:], '\\'), lambda p: p <> '') AS components, CASE WHEN extension = '' THEN lower(regexp_extract(name, '(\\.[^.]*)$', 1)) ELSE '.' || extension END AS dotted FROM catalog")
+def path_components(spark, sf_dir):
+    return names.name_components(ad.catalog(spark, sf_dir))
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE contains(lower(name), 'doc') AND starts_with(path_key, 'd:\\src3\\') AND extension IN ('txt', 'docx') AND kind = 'file' AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-03-01'")
+def name_query_filters(spark, sf_dir):
+    found = names.NameQuery("doc", path="D:\\src3", extensions=[".TXT", "docx"], kind="file", modified_after="2024-01-02", modified_before="2024-03-01")
+    return ad.catalog(spark, sf_dir).filter(names.predicate(found)).select("full_path")
+
+
+def _name_sort(sort_by: str, descending: bool) -> None:
+    key = {"name": "lower(name)", "path": "path_key", "size": "size", "modified": "modified_at"}[sort_by]
+    order = f"{key} {'DESC NULLS LAST' if descending else 'ASC NULLS FIRST'}, path_key"
+    oracle = f"WITH {sql.CATALOG} SELECT full_path, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS position FROM (SELECT * FROM catalog WHERE contains(lower(name), 'doc') ORDER BY {order} LIMIT 50)"
+
+    def run(spark, sf_dir):
+        page = names.search(ad.catalog(spark, sf_dir), names.NameQuery("doc", sort_by=sort_by, descending=descending))
+        return page.select("full_path", F.row_number().over(Window.orderBy(*names.order(sort_by, descending))).alias("position"))
+
+    run.__name__ = f"name_sort_{sort_by}"
+    query(oracle)(run)
+
+
+for _by, _down in (("name", False), ("path", True), ("size", True), ("modified", False)):
+    _name_sort(_by, _down)
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE (extension IN ('md') OR extension IN ('txt')) AND kind = 'file' AND contains(lower(name), '1') AND size > 1000 AND modified_at >= TIMESTAMP '2024-01-01'")
+def raw_query(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).filter(names.parse_raw('<ext:md|ext:txt> file: "1" size:>1000 dm:>=2024-01-01')).select("full_path")
+
+
+@query(sql.NOISE_AWARE)
+def noise_aware_search(spark, sf_dir):
+    return names.noise_aware(ad.catalog(spark, sf_dir), "doc1", 50)
+
+
+@query(f"WITH {sql.CATALOG} SELECT full_path, CAST(row_number() OVER (ORDER BY path_key) - 1 AS INTEGER) AS baseline_index FROM (SELECT * FROM catalog WHERE contains(lower(name), 'doc1') ORDER BY path_key LIMIT 20 OFFSET 10)")
+def offset_limit(spark, sf_dir):
+    page = names.search(ad.catalog(spark, sf_dir), names.NameQuery("doc1", sort_by="path", limit=20, offset=10))
+    return page.select("full_path", (F.row_number().over(Window.orderBy("path_key")) - 1).alias("baseline_index"))
+
+
+@query("""SELECT '{"doc_id":' || doc_id || ',"lang":"' || lang || '","nChars":' || n_chars || '}' AS json FROM documents""")
+def json_result_sink(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("nChars"))).alias("json"))
+
+
+# Text
+
+
+@query("SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}_.+#-]+'), lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g')), lambda t: regexp_matches(t, '[\\p{L}\\p{Nd}]')) AS tokens FROM documents")
+def tokenize_app_ascii(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.tokenize_app(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, regexp_extract_all({sql.fold('lower(text)')}, '[\\p{{L}}\\p{{N}}]+') AS tokens FROM documents")
+def tokenize_fts(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.tokenize_fts(F.col("text")).alias("tokens"))
+
+
+@query("SELECT * FROM (VALUES (1, ['hello', 'café', '2026', 'report_01']), (2, ['人工', '工智', '智能']), (3, ['qwen3-vl', 'ggml_sycl', 'v2.1']), (4, ['alpha', '人工', '工智', '智能']), (5, ['人', 'x'])) t(id, tokens)")
+def cjk_bigrams(spark, sf_dir):
+    rows = [(1, "Hello CAFÉ 2026 report_01"), (2, "人工智能"), (3, "Qwen3-VL GGML_SYCL v2.1"), (4, "alpha 人工智能"), (5, "人 x --")]
+    return literals(spark, rows, "id int, text string").select("id", tx.tokenize_mixed(F.col("text")).alias("tokens"))
+
+
+@query("SELECT * FROM (VALUES (1, ['report', '报告'], '\"report\" AND \"报告\"'), (2, NULL, NULL), (3, NULL, NULL), (4, ['a', 'b'], '\"a\" AND \"b\"')) t(id, terms, expression)")
+def query_terms(spark, sf_dir):
+    terms = tx.query_terms(F.col("q"))
+    return literals(spark, [(1, "Report 报告 report 报告"), (2, "  "), (3, "人"), (4, "a b A")], "id int, q string").select("id", terms.alias("terms"), tx.match_expression(terms).alias("expression"))
+
+
+@query("SELECT doc_id, CAST(len(string_split_regex(text, '\\r\\n|\\r|\\n')) AS INTEGER) AS n_lines FROM documents")
+def split_lines(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", F.size(tx.lines(F.col("text"))).alias("n_lines"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the')")
+def contains_ci(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lower(F.lit("THE")))).select("doc_id")
+
+
+@query("WITH p AS (SELECT doc_id, text, least(CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') END, CASE WHEN strpos(lower(text), 'der') > 0 THEN strpos(lower(text), 'der') END) AS spot FROM documents) SELECT doc_id, trim(substr(text, greatest(COALESCE(spot, 1) - 81, 0) + 1, 240), ' ') AS snippet FROM p")
+def snippet_fallback(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.snippet_fallback(F.col("text"), F.array(F.lit("the"), F.lit("der"))).alias("snippet"))
+
+
+@query(sql.SNIPPET_MAIL)
+def snippet_mail(spark, sf_dir):
+    return ad.read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.snippet_mail(F.col("text"), F.lit("the")).alias("snippet"))
+
+
+@query("SELECT doc_id, left(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), 200) AS snippet FROM documents")
+def snippet_200(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.snippet_200(F.col("text")).alias("snippet"))
+
+
+@query("SELECT doc_id, left(text, 1000) AS text, length(text) > 1000 AS truncated FROM documents")
+def truncate_chars(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(1000)).alias("text"), (F.length("text") > 1000).alias("truncated"))
+
+
+@query("SELECT * FROM (VALUES ('kernel32.dll', TRUE, FALSE), ('annual report.docx', TRUE, FALSE), ('\"alpha beta\"', TRUE, FALSE), ('C:\\x', TRUE, FALSE), ('.gitignore', TRUE, FALSE), ('alpha', FALSE, FALSE), ('where is it', FALSE, TRUE), ('a b c d', FALSE, TRUE), ('why?', FALSE, TRUE), ('查找 报告', FALSE, TRUE)) t(q, explicit, natural_language)")
+def query_shape(spark, sf_dir):
+    rows = [(q,) for q in ("kernel32.dll", "annual report.docx", '"alpha beta"', "C:\\x", ".gitignore", "alpha", "where is it", "a b c d", "why?", "查找 报告")]
+    return literals(spark, rows, "q string").select("q", tx.explicit_file_query(F.col("q")).alias("explicit"), tx.natural_language_query(F.col("q")).alias("natural_language"))
+
+
+@query("SELECT conv_id, turn, 'outlook://mail/' || left(sha256(conv_id || chr(10) || turn), 24) AS path FROM conversations")
+def mail_identity_path(spark, sf_dir):
+    return ad.read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.mail_identity_path(F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = 0 THEN 3 ELSE doc_id + 1 END AS mapped FROM documents")
+def sp_id_map(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.sentence_piece_id(F.col("doc_id")).alias("mapped"))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events")
+def json_values(spark, sf_dir):
+    return ad.read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query()
+def normalize_nfkc(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.normalize_nfkc(F.col("text")).alias("text"))
+
+
+@query()
+def hmac_key(spark, sf_dir):
+    return ad.files(spark, sf_dir).select("doc_id", F.hex(tx.hmac_key(b"salt", "file", F.col("full_path"))).alias("file_key"))
+
+
+@query("SELECT doc_id, CASE WHEN ext IN ('txt', 'md', 'log', 'json') THEN 'text' WHEN ext IN ('docx', 'pdf') THEN ext ELSE 'UNSUPPORTED_FILE_TYPE' END AS route FROM (SELECT doc_id, ['txt', 'md', 'docx', 'pdf', 'tmp', 'log', 'dll', 'json'][doc_id % 8 + 1] AS ext FROM documents)")
+def extract_route(spark, sf_dir):
+    from ..sources import extract
+
+    rows = ad.files(spark, sf_dir).select(F.col("doc_id"), F.col("full_path").alias("path"), F.col("size").alias("length"))
+    return rows.join(extract.routed(rows, 10 * 1024 * 1024), "path").select("doc_id", "route")
 
-def queries():
-    return {}
 
+@query("SELECT doc_id, text, CAST(length(text) AS BIGINT) AS characters, CAST(NULL AS VARCHAR) AS error_code FROM documents")
+def extract_text(spark, sf_dir):
+    """Every text encoded, then read back as a file would be."""
+    from ..sources import extract
 
-def oracle_sql():
-    return {}
+    rows = ad.read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return extract.extract(rows).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text", "characters", "error_code")
