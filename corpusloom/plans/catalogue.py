@@ -301,3 +301,514 @@ def extract_text(spark, sf_dir):
 
     rows = ad.read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     return extract.extract(rows).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text", "characters", "error_code")
+
+
+# Index and retrieval
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str, joint: str = " ") -> DataFrame:
+    """A batch of two-word queries: the first words of each benchmark text."""
+    terms = F.slice(tx.tokenize_fts(F.col("text")), 1, 2)
+    return ad.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(terms, joint).alias("query"))
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    return ix.build(ad.documents(spark, sf_dir))
+
+
+@query(f"WITH {sql.TOKENS} SELECT doc_id, field, term, count(*) AS tf, list_sort(list(CAST(pos AS INTEGER))) AS positions FROM toks GROUP BY ALL")
+def index_postings(spark, sf_dir):
+    return ix.document_postings(ad.documents(spark, sf_dir)).select("doc_id", "field", "term", "tf", "positions")
+
+
+@query(f"WITH {sql.TOKENS} SELECT doc_id, CAST(title_len AS BIGINT) AS title_len, CAST(body_len AS BIGINT) AS body_len FROM stats")
+def doc_stats(spark, sf_dir):
+    return ix.doc_stats(ad.documents(spark, sf_dir))
+
+
+@query(f"WITH {sql.TOKENS} SELECT n_docs, round(avgdl, 6) AS avgdl FROM corpus")
+def corpus_stats(spark, sf_dir):
+    return ix.corpus_stats(ix.doc_stats(ad.documents(spark, sf_dir))).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS size, lang FROM documents")
+def index_upsert(spark, sf_dir):
+    """Every document twice, the older version with another text: the newer one wins."""
+    docs = ad.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("doc_id").cast("string").alias("path_key"))
+    both = docs.withColumn("indexed_at", F.lit(2)).unionByName(docs.withColumn("text", F.lit("old")).withColumn("indexed_at", F.lit(1)))
+    return ix.latest(both).select("doc_id", F.length("text").cast("long").alias("size"), "lang")
+
+
+@query(f"WITH {sql.TOKENS}, m AS (SELECT query_id, doc_id, n_terms, count(DISTINCT qt.term) AS n FROM qt JOIN toks ON qt.term = toks.term GROUP BY ALL) SELECT query_id, doc_id FROM m WHERE n = n_terms")
+def fts_match_and(spark, sf_dir):
+    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir)))
+
+
+@query(f"WITH {sql.TOKENS} SELECT q.doc_id AS query_id, f.doc_id FROM files q JOIN files f ON q.extension = f.extension AND q.doc_id = f.doc_id WHERE q.doc_id % 50 = 0")
+def fts_match_title(spark, sf_dir):
+    documents = ad.documents(spark, sf_dir)
+    wanted = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.replace("name", F.lit("."), F.lit(" ")).alias("query"))
+    return retrieve.matches(retrieve.phrase_hits(ix.build(documents), wanted, ix.TITLE))
+
+
+@query(f"WITH {sql.TOKENS}, p AS (SELECT item_id AS query_id, regexp_extract_all({sql.fold('lower(text)')}, {sql.WORD})[1:2] AS w FROM benchmark) SELECT DISTINCT query_id, a.doc_id FROM p JOIN toks a ON a.term = w[1] JOIN toks b ON b.term = w[2] AND b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1")
+def fts_phrase(spark, sf_dir):
+    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir, "-")))
+
+
+@query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39) + ', ' + chr(39) + 'title' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10")
+def bm25_two_field(spark, sf_dir):
+    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank > 5 AND rank <= 15")
+def fts_order_page(spark, sf_dir):
+    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, 5, field=ix.BODY).select("query_id", "rank", "doc_id")
+
+
+@query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))} SELECT query_id, count(*) AS n FROM scored GROUP BY query_id")
+def fts_count(spark, sf_dir):
+    hits = retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), ix.BODY)
+    return retrieve.matches(hits).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {sql.FILES} SELECT doc_id FROM files WHERE starts_with(path_key, 'd:\\src3\\') AND extension IN ('md', 'txt') AND modified_at >= TIMESTAMP '2024-01-05' AND modified_at <= TIMESTAMP '2024-02-05'")
+def filters_path_ext_date(spark, sf_dir):
+    return retrieve.filtered(ad.files(spark, sf_dir), "D:\\src3", [".md", "txt"], stamp("2024-01-05"), stamp("2024-02-05")).select("doc_id")
+
+
+@query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank <= 10 AND doc_id % 3 <> 0")
+def liveness_anti_join(spark, sf_dir):
+    alive = ad.documents(spark, sf_dir).filter("doc_id % 3 <> 0")
+    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY, alive=alive).select("query_id", "rank", "doc_id")
+
+
+@query(f"WITH {sql.FILES} SELECT doc_id, contains(lower(name), 'doc1') OR contains(lower(name), '.md') AS title_matched FROM files")
+def title_matched(spark, sf_dir):
+    return ad.documents(spark, sf_dir).select("doc_id", retrieve.title_matched(F.array(F.lit("doc1"), F.lit(".MD")), F.col("name")).alias("title_matched"))
+
+
+# Locations
+
+
+@query(sql.LOCATE)
+def locate_lines(spark, sf_dir):
+    return locate.locate_lines(ad.documents(spark, sf_dir), F.array(F.lit("the"), F.lit("der ")))
+
+
+@query(sql.WINDOW)
+def locate_compact_window(spark, sf_dir):
+    return locate.compact_window(ad.documents(spark, sf_dir), ["and", "with"])
+
+
+@query(sql.HEADINGS)
+def heading_paths(spark, sf_dir):
+    return locate.heading_paths(ad.markdown(spark, sf_dir))
+
+
+@query("SELECT event_id AS doc_id, 1 AS line, '$.k' AS json_path FROM events WHERE props IS NOT NULL")
+def locate_json(spark, sf_dir):
+    docs = ad.read(spark, sf_dir, "events").filter("props is not null").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+    return locate.locate_json(docs, ["k"]).select("doc_id", "line", "json_path")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ad.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("i", "text"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("ordinal"), "text", F.concat(F.lit("第 "), (F.col("i") + 1).cast("string"), F.lit(" 段")).alias("label"), F.lit(None).cast("string").alias("heading_path"))
+
+
+@query(sql.WINDOW.replace("SELECT doc_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM s WHERE k = 1", """, w AS (SELECT doc_id, end_line AS ordinal FROM s WHERE k = 1),
+o AS (SELECT doc_id, line AS ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM c WHERE (a IS NOT NULL OR b IS NOT NULL) AND doc_id NOT IN (SELECT doc_id FROM w))
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, '第 ' || ordinal || ' 段' AS label FROM (SELECT * FROM w UNION ALL SELECT doc_id, ordinal FROM o WHERE k <= 3)""").replace("WHERE a IS NOT NULL AND b IS NOT NULL)\n,", "WHERE a IS NOT NULL AND b IS NOT NULL),"))
+def locate_blocks(spark, sf_dir):
+    return locate.locate_blocks(_blocks(spark, sf_dir), ["and", "with"]).select("doc_id", "ordinal", "label")
+
+
+@query("WITH b AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents), o AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM b) SELECT doc_id, CAST(i AS INTEGER) AS ordinal, CAST(COALESCE(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS start, CAST(length(ls[i]) AS INTEGER) AS length FROM o")
+def location_map(spark, sf_dir):
+    """Offsets by a running sum: linear in the blocks of a text."""
+    above = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return _blocks(spark, sf_dir).select("doc_id", "ordinal", F.coalesce(F.sum(F.length("text") + 1).over(above), F.lit(0)).cast("int").alias("start"), F.length("text").alias("length"))
+
+
+# Fusion
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = literals(spark, [(1, "doc1"), (2, "doc2.md"), (3, "doc3")], "query_id int, query string")
+    files = ad.files(spark, sf_dir)
+    by_name = Window.partitionBy("query_id").orderBy(F.length("name"), F.lower("name"), "path_key")
+    found = files.join(F.broadcast(asked), F.contains(F.lower(files["name"]), asked["query"]))
+    found = found.select("query_id", "query", "path_key", "name", (F.col("attributes").bitwiseAND(256) != 0).cast("int").alias("noise"), (F.row_number().over(by_name) - 1).alias("rank")).filter("rank < 50")
+    by_size = Window.partitionBy("query_id").orderBy(F.col("size").desc(), "path_key")
+    best = files.join(F.broadcast(asked), files["doc_id"] % 4 == asked["query_id"]).select("query_id", "query", "doc_id", "path_key", "name", F.row_number().over(by_size).alias("d")).filter("d <= 50")
+    hits = locate.locate_lines(ad.documents(spark, sf_dir).join(best.select("doc_id").distinct(), "doc_id", "left_semi"), F.array(F.lit("an")))
+    by_hit = Window.partitionBy("query_id").orderBy("d", "line")
+    content = best.join(hits, "doc_id").select("query_id", "query", "path_key", "name", F.col("line").alias("start_line"), F.contains(F.lower("name"), F.lower("query")).alias("title_matched"), (F.row_number().over(by_hit) - 1).alias("rank"))
+    return fuse.fuse(found, content)
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = fuse.boosted(fused(spark, sf_dir))
+    return fuse.ordered(scored, 10_000).withColumn("tier", fuse.tier(F.col("query"), F.col("name"), F.col("match_source"), F.col("noise")))
+
+
+@query(f"{sql.FUSED} SELECT query_id, path_key, CAST(hit_no AS INTEGER) AS hit_no, round(rrf, 9) AS rrf FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return fused(spark, sf_dir).select("query_id", "path_key", "hit_no", F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"{sql.FUSED} SELECT query_id, path_key, CAST(hit_no AS INTEGER) AS hit_no, score FROM boosted")
+def boosts(spark, sf_dir):
+    return fuse.boosted(fused(spark, sf_dir)).select("query_id", "path_key", "hit_no", "score")
+
+
+@query(f"{sql.FUSED} SELECT query_id, path_key, CAST(position AS INTEGER) AS position FROM ordered")
+def fusion_order(spark, sf_dir):
+    return ordered(spark, sf_dir).select("query_id", "path_key", "position")
+
+
+@query(f"{sql.FUSED} SELECT query_id, match_source, count(*) AS n FROM fused GROUP BY ALL")
+def match_source(spark, sf_dir):
+    return fused(spark, sf_dir).groupBy("query_id", "match_source").agg(F.count("*").alias("n"))
+
+
+@query(f"{sql.FUSED} SELECT query_id, path_key, CAST(position AS INTEGER) AS position, tier FROM ordered")
+def tier_assign(spark, sf_dir):
+    return ordered(spark, sf_dir).select("query_id", "path_key", "position", "tier")
+
+
+@query(f"{sql.FUSED}, g AS (SELECT query_id, path_key, min(position) AS first, count(*) AS hits, bool_or(match_source <> 'content') AS n, bool_or(match_source <> 'name') AS c, min(tier) AS tier, max(score) AS score, arg_min(start_line, position) AS line FROM ordered GROUP BY ALL) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) - 1 AS INTEGER) AS baseline_index, path_key, hits, CASE WHEN n AND c THEN 'both' WHEN n THEN 'name' ELSE 'content' END AS match_source, tier, score, CASE WHEN hits > 1 THEN hits || ' 处命中 · ' ELSE '' END || 'lines ' || line || '-' || line AS label FROM g")
+def collapse_by_file(spark, sf_dir):
+    return fuse.collapse(ordered(spark, sf_dir)).drop("name")
+
+
+@query("WITH f AS (SELECT doc_id % 5 AS query_id, CAST(doc_id AS VARCHAR) AS item, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) - 1 AS rank, 0 AS kind FROM documents), m AS (SELECT conv_id % 5 AS query_id, conv_id || '/' || turn AS item, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) - 1 AS rank, 1 AS kind FROM conversations), u AS (SELECT * FROM f UNION ALL SELECT * FROM m), p AS (SELECT *, round(1.0::DOUBLE / (61 + rank), 9) AS score FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, rank) - 1 AS position FROM p) SELECT query_id, CAST(position AS INTEGER) AS position, item, kind, score FROM r WHERE position < 20")
+def rrf_merge_mail(spark, sf_dir):
+    rank = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1
+    files = ad.read(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("query_id"), "doc_id").select("query_id", F.col("doc_id").cast("string").alias("item"), rank("doc_id").alias("rank"))
+    mails = ad.read(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("query_id"), "conv_id", "turn").select("query_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item"), rank("conv_id", "turn").alias("rank"))
+    return fuse.merge_mail(files, mails, 20)
+
+
+# Mail
+
+
+@query(f"WITH {sql.MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY ts DESC, store_id, entry_id) AS k FROM messages) SELECT store_id, entry_id, folder FROM (SELECT * FROM n WHERE k <= 100 ORDER BY ts DESC, store_id, entry_id LIMIT 100)")
+def mail_source(spark, sf_dir):
+    return mail.recent(ad.messages(spark, sf_dir)).select("store_id", "entry_id", "folder")
+
+
+@query(f"WITH {sql.MESSAGES} SELECT store_id, entry_id, subject FROM messages")
+def mail_dedupe(spark, sf_dir):
+    rows = ad.messages(spark, sf_dir)
+    older = rows.withColumns({"subject": F.lit("old"), "ts": F.col("ts") - F.expr("INTERVAL 1 DAY")})
+    return mail.deduped(rows.unionByName(older).unionByName(rows.withColumn("entry_id", F.lit(" ")))).select("store_id", "entry_id", "subject")
+
+
+@query(f"WITH {sql.MESSAGES} SELECT store_id, entry_id, subject FROM messages WHERE CAST(store_id AS BIGINT) % 3 <> 0")
+def mail_snapshot_sync(spark, sf_dir):
+    rows = ad.messages(spark, sf_dir)
+    stored = rows.withColumn("first_seen", F.col("ts"))
+    return mail.merge_snapshot(stored, rows.filter("cast(store_id as bigint) % 3 <> 0")).select("store_id", "entry_id", "subject")
+
+
+@query(f"WITH {sql.MESSAGES} SELECT 2 * count(*) AS total, count(*) AS stored, count(*) AS skipped, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_message FROM messages")
+def mail_status(spark, sf_dir):
+    rows = ad.messages(spark, sf_dir)
+    return mail.status(rows.unionByName(rows), mail.deduped(rows)).withColumn("last_message", iso("last_message"))
+
+
+@query(f"""WITH {sql.MESSAGES},
+toks AS (SELECT store_id, entry_id, unnest(regexp_extract_all({sql.fold("lower(subject || chr(10) || sender || chr(10) || folder || chr(10) || body)")}, {sql.WORD})) AS term FROM messages),
+d AS (SELECT store_id, entry_id, count(*) AS d FROM toks GROUP BY ALL), c AS (SELECT (SELECT count(*) FROM messages) AS n, (SELECT count(*) FROM toks) / (SELECT count(*) FROM messages)::DOUBLE AS avgdl),
+h AS (SELECT store_id, entry_id, term, count(*) AS f FROM toks WHERE term IN ('the', 'user') GROUP BY ALL), nt AS (SELECT term, count(*) AS n_t FROM h GROUP BY term),
+s AS (SELECT store_id, entry_id, round(sum(CASE WHEN ln((n - n_t + 0.5) / (n_t + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n_t + 0.5) / (n_t + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgdl))), 6) AS score FROM h JOIN nt USING (term) JOIN d USING (store_id, entry_id), c GROUP BY ALL HAVING count(*) = 2)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, path) AS INTEGER) AS rank, path, score FROM (SELECT 'outlook://mail/' || left(sha256(store_id || chr(10) || entry_id), 24) AS path, score FROM s ORDER BY score DESC, path LIMIT 20)""")
+def mail_search(spark, sf_dir):
+    found = retrieve.search(mail.searchable(ad.messages(spark, sf_dir)), literals(spark, [(1, "the user")], "query_id int, query string"), 20, field=ix.BODY)
+    return found.select("rank", F.col("path_key").alias("path"), "score")
+
+
+# Behavior and ranking
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = ad.files(spark, sf_dir).select("doc_id", "path_key", F.lower("parent_path").alias("directory_key"), "extension")
+    n = ad.read(spark, sf_dir, "documents").count()
+    return ad.feedback(ad.read(spark, sf_dir, "events"), n).join(files, "doc_id")
+
+
+@query(f"WITH {sql.FEEDBACK} SELECT strftime(day, '%Y-%m-%d') AS day, path_key, extension, CAST(weight_sum AS DOUBLE) AS weight_sum, event_count FROM daily")
+def behavior_daily(spark, sf_dir):
+    return behavior.daily(_feedback(spark, sf_dir)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "path_key", "extension", "weight_sum", "event_count")
+
+
+@query(f"WITH {sql.FEEDBACK} SELECT event_id, CAST(weight AS DOUBLE) AS weight FROM fb")
+def action_weight(spark, sf_dir):
+    return _feedback(spark, sf_dir).filter("mode <> 'Content'").select("event_id", behavior.action_weight(F.coalesce("action", F.lit("")), F.col("previewed")).alias("weight"))
+
+
+@query(f"""WITH {sql.FEEDBACK}, k AS (SELECT *, weight_sum * pow(2.0, -date_diff('day', day, DATE '2024-02-10') / 30.0::DOUBLE) AS w FROM daily WHERE day >= DATE '2024-02-10' - 29),
+p AS (SELECT path_key, sum(w) AS s FROM k GROUP BY ALL), d AS (SELECT directory_key, sum(w) AS s FROM k GROUP BY ALL), x AS (SELECT extension, sum(w) AS s FROM k GROUP BY ALL),
+r AS (SELECT f.path_key, round(COALESCE(p.s, 0) + 0.3 * COALESCE(d.s, 0) + 0.1 * COALESCE(x.s, 0), 6) AS affinity FROM files f LEFT JOIN p USING (path_key) LEFT JOIN d ON d.directory_key = lower(f.parent_path) LEFT JOIN x ON x.extension = f.extension)
+SELECT path_key, CAST(affinity AS DOUBLE) AS affinity, CAST(greatest(1, least(10, ceil(affinity))) AS INTEGER) AS promotion FROM r WHERE affinity > 0""")
+def decayed_affinity(spark, sf_dir):
+    candidates = ad.files(spark, sf_dir).select("path_key", F.lower("parent_path").alias("directory_key"), "extension")
+    found = behavior.affinity(candidates, behavior.daily(_feedback(spark, sf_dir)), F.to_date(F.lit(AS_OF)))
+    return found.select("path_key", "affinity", behavior.promotion(F.col("affinity")).alias("promotion"))
+
+
+@query(f"WITH {sql.FEEDBACK} SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM daily WHERE day >= DATE '2024-02-10' - 29 GROUP BY day")
+def retention_prune(spark, sf_dir):
+    kept = behavior.retained(behavior.daily(_feedback(spark, sf_dir)), F.to_date(F.lit(AS_OF)))
+    return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN value <= 0 THEN 0 ELSE CAST(greatest(1, least(10, ceil(value))) AS INTEGER) END AS promotion FROM events")
+def promotion(spark, sf_dir):
+    return ad.read(spark, sf_dir, "events").select("event_id", behavior.promotion(F.col("value")).alias("promotion"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ad.read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("query_id"))
+    docs = docs.withColumn("idx", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1).filter("idx < 12")
+    vectors = ad.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = vectors.count()
+    zero = vectors.filter("vec_id = 0").select(F.col("e").alias("e0"))
+    dot = F.aggregate(F.zip_with("e", "e0", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = docs.join(vectors, docs["doc_id"] % n == vectors["vec_id"]).crossJoin(F.broadcast(zero))
+    return rows.select(
+        "query_id", F.col("doc_id").cast("string").alias("cand_id"), "idx", ((F.col("idx") / 5).cast("int") % 3).alias("tier"), (F.col("doc_id") % 4).alias("promotion"), F.concat(F.lit("name"), (F.col("doc_id") % 1200).cast("string")).alias("name"),
+        ad.pick(["name", "content", "both"], F.col("doc_id")).alias("match_source"), F.round(dot, 6).alias("semantic_score"), F.lit(False).alias("is_mail"),
+    )
+
+
+@query(f"{sql.BEHAVED} SELECT query_id, cand_id, CAST(behavior_index AS INTEGER) AS behavior_index FROM b")
+def behavior_rerank(spark, sf_dir):
+    return rerank.behavior(candidates(spark, sf_dir)).select("query_id", "cand_id", "behavior_index")
+
+
+@query(f"{sql.CANDIDATES} SELECT query_id, NOT bool_or(tier = 0) AS semantic FROM c GROUP BY query_id HAVING count(*) >= 2")
+def rerank_gate(spark, sf_dir):
+    return rerank.gate(candidates(spark, sf_dir))
+
+
+def _head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank.behavior(candidates(spark, sf_dir)).filter("idx < 10")
+
+
+@query(f"{sql.BEHAVED} SELECT query_id, cand_id, CAST(semantic_rank AS INTEGER) AS semantic_rank FROM s")
+def semantic_rank(spark, sf_dir):
+    return rerank.semantic_rank(_head(spark, sf_dir)).select("query_id", "cand_id", "semantic_rank")
+
+
+@query(f"{sql.BEHAVED} SELECT query_id, cand_id, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE (n - semantic_rank)::DOUBLE / (n - 1) END, 9) AS rank_value FROM s")
+def rank_value(spark, sf_dir):
+    rows = rerank.semantic_rank(_head(spark, sf_dir)).withColumn("n", F.count("*").over(Window.partitionBy("query_id", "tier")))
+    return rows.select("query_id", "cand_id", F.round(rerank.rank_value(F.col("n"), F.col("semantic_rank")), 9).alias("rank_value"))
+
+
+@query(f"{sql.BEHAVED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 0 THEN -behavior_index::DOUBLE ELSE blended END DESC, behavior_index) AS position FROM bl) SELECT query_id, CAST(position AS INTEGER) AS position, cand_id, blended FROM o WHERE position <= 5")
+def blend_local(spark, sf_dir):
+    return rerank.blend(_head(spark, sf_dir)).select("query_id", "position", "cand_id", "blended")
+
+
+@query(f"{sql.CANDIDATES}, w AS (SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id ORDER BY cand_id DESC) AS wanted FROM c WHERE idx % 3 = 0) SELECT query_id, cand_id, CAST(CASE WHEN idx < 10 THEN row_number() OVER (PARTITION BY query_id, idx < 10 ORDER BY tier, COALESCE(wanted, 2147483647), idx) - 1 ELSE idx END AS INTEGER) AS new_index FROM c LEFT JOIN w USING (query_id, cand_id)")
+def protected_reorder(spark, sf_dir):
+    rows = candidates(spark, sf_dir)
+    wanted = rows.filter("idx % 3 = 0").select("query_id", "cand_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cand_id").desc())).alias("wanted"))
+    return rerank.protected(rows, wanted).select("query_id", "cand_id", "new_index")
+
+
+@query(f"{sql.CANDIDATES}, {sql.LOW} SELECT * FROM low")
+def low_confidence(spark, sf_dir):
+    return rerank.low_confidence(candidates(spark, sf_dir))
+
+
+@query(f"{sql.CANDIDATES} SELECT query_id, max(k) > 1 AS duplicate_names FROM (SELECT query_id, lower(trim(name, ' ')) AS n, count(*) AS k FROM c GROUP BY ALL) GROUP BY query_id")
+def duplicate_names(spark, sf_dir):
+    return rerank.duplicate_names(candidates(spark, sf_dir))
+
+
+@query(f"{sql.CANDIDATES} SELECT query_id, bool_or(match_source IN ('name', 'both')) AND bool_or(match_source IN ('content', 'both')) AS mixed_evidence FROM c GROUP BY query_id")
+def mixed_evidence(spark, sf_dir):
+    return rerank.mixed_evidence(candidates(spark, sf_dir))
+
+
+@query(f"{sql.CANDIDATES}, {sql.LOW}, g AS (SELECT query_id, bool_or(tier = 0 AND idx > 0) AS ex, sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS el, bool_or(match_source IN ('name', 'both')) AND bool_or(match_source IN ('content', 'both')) AS mixed FROM (SELECT query_id, idx, match_source, CASE WHEN query_id % 2 = 0 AND tier = 0 THEN 1 ELSE tier END AS tier FROM c WHERE TRUE) GROUP BY query_id) SELECT query_id, NOT ex AND el >= 3 AND NOT (query_id % 4 = 0) AND (low_confidence OR mixed OR query_id % 3 = 0) AS ambiguous FROM g JOIN low USING (query_id)")
+def ambiguity_gate(spark, sf_dir):
+    rows = candidates(spark, sf_dir).withColumn("tier", F.when((F.col("query_id") % 2 == 0) & (F.col("tier") == 0), 1).otherwise(F.col("tier")))
+    questions = rows.select("query_id").distinct().select("query_id", (F.col("query_id") % 4 == 0).alias("explicit"), (F.col("query_id") % 3 == 0).alias("natural"))
+    return rerank.ambiguity(rows, questions)
+
+
+@query("SELECT doc_id, len(ids) BETWEEN 1 AND 5 AND len(list_distinct(ids)) = len(ids) AND len(list_filter(ids, lambda x: NOT list_contains([0, 1, 2, 3, 4, 5, 6], x))) = 0 AS valid FROM (SELECT doc_id, [doc_id % 9, doc_id % 7, doc_id % 5] AS ids FROM documents)")
+def validate_external_order(spark, sf_dir):
+    ids = F.array(F.col("doc_id") % 9, F.col("doc_id") % 7, F.col("doc_id") % 5)
+    return ad.read(spark, sf_dir, "documents").select("doc_id", rerank.valid_order(ids, F.array(*(F.lit(k).cast("long") for k in range(7)))).alias("valid"))
+
+
+@query(f"{sql.BEHAVED} SELECT query_id, bool_and(idx = behavior_index) AS equal FROM b GROUP BY query_id")
+def orders_equal(spark, sf_dir):
+    return rerank.orders_equal(rerank.behavior(candidates(spark, sf_dir)), "idx", "behavior_index")
+
+
+@query()
+def semantic_score(spark, sf_dir):
+    """Any scorer of (query, text): here the share of query words in the text."""
+
+    def overlap(a: str, b: str) -> float:
+        words = set(a.lower().split())
+        return len(words & set(b.lower().split())) / max(1, len(words))
+
+    rows = benchmark_queries(spark, sf_dir).join(retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY), "query_id").join(ad.documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return rerank.scored(rows, overlap).select("query_id", "doc_id", F.round("semantic_score", 6).alias("semantic_score"))
+
+
+# Snapshots and queue
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = ad.files(spark, sf_dir)
+    mark = lambda size: policy.fingerprint(F.col("full_path"), size, F.col("modified_at")).alias("fingerprint")
+    later = F.col("size") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    return files.filter("doc_id % 10 <> 1").select("path_key", mark(F.col("size")), "doc_id"), files.filter("doc_id % 10 <> 2").select("path_key", mark(later), "doc_id")
+
+
+@query(f"WITH {sql.SNAPSHOTS} SELECT COALESCE(a.path_key, b.path_key) AS path_key, CASE WHEN a.path_key IS NULL THEN 'new' WHEN b.path_key IS NULL THEN 'removed' WHEN a.fingerprint = b.fingerprint THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.path_key = b.path_key")
+def snapshot_diff(spark, sf_dir):
+    return queue.snapshot_diff(*_scans(spark, sf_dir))
+
+
+@query(f"WITH {sql.SNAPSHOTS} SELECT path_key FROM a WHERE path_key NOT IN (SELECT path_key FROM b)")
+def except_snapshot(spark, sf_dir):
+    a, b = _scans(spark, sf_dir)
+    return queue.removed(a, b).select("path_key")
+
+
+@query(f"WITH {sql.SNAPSHOTS} SELECT path_key FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.path_key = b.path_key AND a.fingerprint = b.fingerprint) AND NOT EXISTS (SELECT 1 FROM b f WHERE f.path_key = b.path_key AND f.doc_id % 13 = 0)")
+def enqueue_anti_join(spark, sf_dir):
+    a, b = _scans(spark, sf_dir)
+    return queue.to_enqueue(b, a, b.filter("doc_id % 13 = 0")).select("path_key")
+
+
+@query(f"WITH {sql.SNAPSHOTS} SELECT count(*) AS n FROM a JOIN b USING (path_key)")
+def queue_scan_join(spark, sf_dir):
+    a, b = _scans(spark, sf_dir)
+    return a.join(b, "path_key").agg(F.count("*").alias("n"))
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = ["ACCESS_DENIED", "CORRUPT_DOCUMENT", "FILE_TOO_LARGE", "UNSUPPORTED_ENCODING", "EXTRACTION_TIMEOUT", "OCR_REQUIRED"]
+    return ad.files(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), "path_key", F.col("doc_id").cast("string").alias("fingerprint"), (F.col("doc_id") % 3).alias("priority"), (F.col("doc_id") % 4).cast("int").alias("attempts"),
+        F.when(F.col("doc_id") % 7 == 0, "processing").otherwise("pending").alias("state"), F.col("modified_at").alias("next_attempt_at"), ad.pick(codes, F.col("doc_id")).alias("error_code"),
+    )
+
+
+@query(f"WITH {sql.QUEUE} SELECT id, state FROM (SELECT id, priority, 'processing' AS state FROM queue WHERE state = 'pending' AND next_attempt_at <= TIMESTAMP '2024-01-20' ORDER BY priority, id LIMIT 50)")
+def queue_lease(spark, sf_dir):
+    return queue.lease(_queue(spark, sf_dir), stamp("2024-01-20"), 50).select("id", "state")
+
+
+@query(f"WITH {sql.QUEUE}, n AS (SELECT path_key, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'v2' END AS fingerprint, id FROM queue WHERE id % 5 <> 0) SELECT q.path_key, COALESCE(n.fingerprint, CAST(q.id AS VARCHAR)) AS fingerprint, CAST(CASE WHEN n.path_key IS NOT NULL AND n.fingerprint <> CAST(q.id AS VARCHAR) THEN 0 ELSE q.attempts END AS INTEGER) AS attempts, CASE WHEN n.path_key IS NOT NULL THEN 'pending' ELSE q.state END AS state, strftime(CASE WHEN n.path_key IS NOT NULL AND n.fingerprint <> CAST(q.id AS VARCHAR) THEN TIMESTAMP '2024-02-10' ELSE q.next_attempt_at END, '%Y-%m-%d %H:%M:%S') AS due FROM queue q LEFT JOIN n USING (path_key)")
+def queue_upsert(spark, sf_dir):
+    rows = _queue(spark, sf_dir)
+    incoming = rows.filter("id % 5 <> 0").select("path_key", F.when(F.col("id") % 2 == 0, F.col("fingerprint")).otherwise("v2").alias("fingerprint"), "priority")
+    return queue.upsert(rows, incoming, stamp(AS_OF)).select("path_key", "fingerprint", "attempts", "state", iso("next_attempt_at").alias("due"))
+
+
+@query(f"WITH {sql.QUEUE}, t AS (SELECT *, attempts + 1 >= 3 OR error_code IN ('UNSUPPORTED_FILE_TYPE', 'UNSUPPORTED_ENCODING', 'FILE_TOO_LARGE', 'CORRUPT_DOCUMENT') AS terminal FROM queue WHERE state = 'processing') SELECT path_key, CAST(attempts + 1 AS INTEGER) AS attempts, terminal, CASE WHEN NOT terminal THEN strftime(TIMESTAMP '2024-02-10' + INTERVAL 1 MINUTE * [1, 10, 60][least(attempts + 1, 3)], '%Y-%m-%d %H:%M:%S') END AS due FROM t")
+def queue_fail_retry(spark, sf_dir):
+    failed = queue.after_failure(_queue(spark, sf_dir).filter("state = 'processing'"), stamp(AS_OF))
+    return failed.select("path_key", "attempts", "terminal", iso("next_attempt_at").alias("due"))
+
+
+@query(f"WITH {sql.QUEUE} SELECT id, 'pending' AS state FROM queue")
+def queue_recover(spark, sf_dir):
+    return queue.recover(_queue(spark, sf_dir)).select("id", "state")
+
+
+@query(f"WITH {sql.QUEUE} SELECT 'failed:' || CASE WHEN error_code IN ('UNSUPPORTED_FILE_TYPE', 'UNSUPPORTED_ENCODING', 'OCR_REQUIRED') THEN 'unsupported' WHEN error_code = 'FILE_TOO_LARGE' THEN 'too_large' WHEN error_code = 'ACCESS_DENIED' THEN 'access_denied' WHEN error_code = 'CORRUPT_DOCUMENT' THEN 'corrupt' ELSE 'other' END AS measure, count(*) AS n FROM queue WHERE attempts = 3 GROUP BY ALL UNION ALL SELECT 'queue:' || state, count(*) FROM queue GROUP BY ALL UNION ALL SELECT 'documents', count(*) FROM documents")
+def status_counts(spark, sf_dir):
+    rows = _queue(spark, sf_dir)
+    return queue.status_counts(ad.read(spark, sf_dir, "documents"), rows, rows.filter("attempts = 3"))
+
+
+@query(f"WITH {sql.QUEUE} SELECT path_key FROM (SELECT path_key, next_attempt_at FROM queue ORDER BY next_attempt_at DESC, path_key LIMIT 200)")
+def failures_list(spark, sf_dir):
+    return queue.failures_list(_queue(spark, sf_dir).withColumn("failed_at", F.col("next_attempt_at"))).select("path_key")
+
+
+@query("SELECT min(value) AS min_ms, median(value) AS median_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms FROM events")
+def latency_stats(spark, sf_dir):
+    return queue.latency(ad.read(spark, sf_dir, "events").select(F.col("value").alias("duration_ms")))
+
+
+# Rates, bursts, state machines
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def rate_window(spark, sf_dir):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = ad.read(spark, sf_dir, "events").withColumn("s", seconds)
+    return rows.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-60, 0)).alias("in_window"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id AS session, count(*) AS keys, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, k")
+def session_debounce(spark, sf_dir):
+    """The batch form, with a gap that fits the events' spacing."""
+    events = ad.read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    return state.debounced(events, gap="1 hour").select("session", "keys", iso("ts").alias("last_at"))
+
+
+@query("SELECT user_id AS session, max(event_id) AS version FROM events GROUP BY user_id")
+def latest_pending(spark, sf_dir):
+    rows = ad.read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("version"), F.col("event_type").alias("query"))
+    return state.latest_pending(rows).select("session", "version")
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = ad.pick([200, 500, 429, 0, 200, 404, 503], F.col("event_id"))
+    return ad.read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 16).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("payload"))
+
+
+@query()
+def rate_limiter(spark, sf_dir):
+    return state.admitted(_status(spark, sf_dir))
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    return state.circuit(_status(spark, sf_dir))
+
+
+@query()
+def ttl_cache(spark, sf_dir):
+    return state.cache_hits(_status(spark, sf_dir))
+
+
+# The flagship: a batch of hybrid searches, end to end
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top ten of every benchmark query, with line locations late-materialised for those only."""
+    asked = benchmark_queries(spark, sf_dir)
+    found = retrieve.search(corpus_index(spark, sf_dir), asked, 10)
+    terms = asked.select("query_id", tx.query_terms(F.col("query")).alias("terms"))
+    texts = ad.documents(spark, sf_dir).select("doc_id", "text")
+    rows = found.join(terms, "query_id").join(texts, "doc_id").select("query_id", "rank", "doc_id", "score", "terms", tx.lines(F.col("text")).alias("ls"))
+    first = F.element_at(F.filter(F.transform("ls", lambda c, i: F.when(F.exists("terms", lambda t: F.contains(tx.fold_marks(F.lower(c)), t)), i + 1)), lambda n: n.isNotNull()), 1)
+    return rows.select("query_id", "rank", "doc_id", "score", F.coalesce(first, F.lit(1)).alias("line"))
+
+
+@query(f"""WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39) + ', ' + chr(39) + 'title' + chr(39))}, {sql.TOP}, t AS (SELECT r.query_id, r.rank, r.doc_id, r.score, string_split_regex(f.text, '\\r\\n|\\r|\\n') AS ls, q.terms FROM ranked r JOIN files f USING (doc_id) JOIN q USING (query_id) WHERE r.rank <= 10)
+SELECT query_id, rank, doc_id, score, CAST(COALESCE(list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(terms, lambda t: contains({sql.fold('lower(ls[i])')}, t))) > 0)[1], 1) AS INTEGER) AS line FROM t""")
+def hybrid_batch(spark, sf_dir):
+    return flagship(spark, sf_dir)
