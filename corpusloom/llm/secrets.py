@@ -138,22 +138,20 @@ class Automaton:
                 todo.extend((state, x) for x in sorted(self.next[state]))
         self.states = kept
 
-    def likelihood(self, word: str) -> float:
-        """The logarithm of the word's probability; what no labelled word did has a floor."""
+    def likelihood(self, word: str, floor: float = -math.inf) -> float:
+        """The logarithm of the word's probability; ``floor`` stands for a symbol that no labelled word
+        had there, and the state stays."""
         state, total = 0, 0.0
         for c in symbols(word):
-            n = self.taken[state].get(c) if state is not None else None
-            if not n:
-                total += FLOOR
-                state = None if state is None else state
-                continue
-            total += math.log(n / self.seen[state])
-            state = self.next[state][c]
+            n = self.taken[state].get(c)
+            total += math.log(n / self.seen[state]) if n else floor
+            state = self.next[state][c] if n else state
         return total
 
 
 class Formats:
-    """The automata of all credential kinds against that of ordinary words."""
+    """The automata of all credential kinds against that of ordinary words. A word that no automaton of
+    a kind can spell is no credential."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.formats = [Automaton(sorted(words)) for _, words in sorted(labelled.items()) if words]
@@ -162,7 +160,7 @@ class Formats:
     def credential(self, word: str) -> bool:
         if not self.formats or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
             return False
-        against = self.ordinary.likelihood(word) if self.ordinary else FLOOR * len(word)
+        against = self.ordinary.likelihood(word, FLOOR) if self.ordinary else FLOOR * len(word)
         gain = max(f.likelihood(word) for f in self.formats) - against
         return gain >= LEAST_TOTAL and gain >= LEAST_EACH * len(word)
 
