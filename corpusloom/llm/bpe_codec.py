@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spm
 
-from .common import slices, text_bytes
+from .common import claim, slices, text_bytes
 
 #: Byte b is written as the letter of this code point plus b: never white space, never normalised.
 BYTE_BASE = 0x4E00
@@ -97,11 +97,16 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+@functools.lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def codec(path: str, pattern: str) -> Codec:
+    claim("bpe_codec", _codec.cache_clear)
+    return _codec(path, pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array, on request), ids_sha256, decoded_sha256 of every whole text.
 

@@ -39,6 +39,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_HOLDER: list = [None, None]
+
+
+def claim(name: str, release=None) -> None:
+    """Tells a Python worker, which Spark uses again for other operators, which one works in it now:
+    what the last one had cached is released."""
+    held, free = _HOLDER
+    if held != name:
+        if free is not None:
+            free()
+        _HOLDER[:] = [name, release]
+
+
 class Scratch:
     """Tables of one operator call in the shared folder; each cuts the lineage before it.
 

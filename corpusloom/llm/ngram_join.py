@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
+from .common import Scratch, claim, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
 from .components import components
 
 WIDTH = 5
@@ -46,8 +46,9 @@ PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    claim("ngram_join", _POWERS.clear)
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 21)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS["up"], _POWERS["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)

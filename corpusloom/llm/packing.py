@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, globally_ranked, slices, text_bytes
+from .common import Scratch, claim, globally_ranked, slices, text_bytes
 
 END_ID = 1
 #: Pattern lengths are counted in units of capacity / UNITS tokens, rounded up.
@@ -127,11 +127,16 @@ class WordTokenizer:
         return [b"".join(parts) for parts in found]
 
 
-@functools.lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
+@functools.lru_cache(maxsize=1)
+def _word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def word_tokenizer(path: str) -> WordTokenizer:
+    claim("packing", _word_tokenizer.cache_clear)
+    return _word_tokenizer(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

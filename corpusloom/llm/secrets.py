@@ -8,12 +8,11 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_bytes
+from .common import Scratch, claim, text_bytes
 
 #: Fixed values of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -173,6 +172,7 @@ def scan_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     candidate = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("word", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 counts, digests, spans, candidates = [], [], [], []
@@ -251,8 +251,8 @@ def redacted(text: str, formats: Formats, mark: str) -> str:
 
 
 def _arrow_text(f):
-    @F.pandas_udf("string")
-    def mapped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else f(t))
+    @F.arrow_udf("string")
+    def mapped(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
 
     return mapped

@@ -19,12 +19,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
+from .common import Scratch, claim, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
 
 LENGTH = 200
 GRAM = 64
@@ -42,6 +41,7 @@ ANCHOR = np.dtype([("key", "<u8"), ("whole", "<u8"), ("cls", "<i8"), ("at", "<u4
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    claim("suffix_dedup", _POWERS.clear)
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 21)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -483,15 +483,15 @@ def trim_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     _, copies, marks = repeated_spans(docs, scratch, text_col)
     facts = scratch.table(copies.join(marks, "cls", "left").filter("n > 1 or runs is not null").select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("runs").alias("_runs")), "facts")
 
-    @F.pandas_udf("string")
-    def cut(bodies: pd.Series, runs: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cut(bodies: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for body, some in zip(bodies, runs, strict=True):
-            if body is not None and some is not None and len(some):
-                first, last = (np.array([r[k] for r in some], np.int64) for k in ("first", "last"))
-                body = trim(body, *covered(first, last))
-            out.append(None if body is None else body.decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+            text = body.as_py()
+            if text is not None and some.is_valid and len(some):
+                text = trim(text, *covered(*(some.values.field(k).to_numpy() for k in ("first", "last"))))
+            out.append(None if text is None else text.decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
 
     body = F.col(text_col).cast("binary")
     named = docs.withColumn("_name", F.xxhash64(text_bytes(text_col)))

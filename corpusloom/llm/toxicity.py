@@ -8,17 +8,16 @@ length-normalised difference of its two log-likelihoods, for the whole text and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import flat_bytes, slices, text_bytes
+from .common import claim, flat_bytes, slices, text_bytes
 
 ORDER, BITS = 5, 5
 SYMBOLS = 1 << BITS
@@ -160,24 +159,27 @@ def ratio_tables(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) ->
     return (logs[0] - logs[1]).astype(np.float16), (blank[0] - blank[1]).astype(np.float16)
 
 
+#: The table of the model that the worker used last.
+_TABLE: dict[str, np.ndarray] = {}
+
+
 @dataclass
 class Model:
     codes: np.ndarray
     seen: np.ndarray
     unseen: np.ndarray
     weights: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> np.ndarray:
         """The ratio of every code; 2 bytes for each of the 32**5 codes, whatever the corpus."""
-        found = getattr(self, "_table", None)
-        if found is None:
+        claim("toxicity", _TABLE.clear)
+        if self.name not in _TABLE:
+            _TABLE.clear()
             found = np.repeat(self.unseen, SYMBOLS)
             found[self.codes] = self.seen
-            self._table = found
-        return found
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+            _TABLE[self.name] = found
+        return _TABLE[self.name]
 
     def features(self, bodies: pa.Array) -> np.ndarray:
         raw, offsets = flat_bytes(bodies)
@@ -265,11 +267,11 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
     """A column of scores that reads the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(bodies: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["body"])
+    @F.arrow_udf("double")
+    def score(bodies: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([bodies], names=["body"])
         found = [shared.value.scores(shared.value.features(part.column("body"))) for part in slices(batch, "body", SLICE)]
-        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return score(text_bytes(text_col))
 
