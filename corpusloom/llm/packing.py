@@ -47,6 +47,9 @@ class WordTokenizer:
         self.bare = Tokenizer.from_file(path)
         self.bare.encode_special_tokens = True
         self.bare.normalizer = None
+        for one in (self.tokenizer, self.bare):  # words come once each: the library's own cache only costs
+            if hasattr(one.model, "_resize_cache"):
+                one.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
@@ -58,46 +61,46 @@ class WordTokenizer:
         """Encodes words that the cache lacks, thousands in one call.
 
         A word of composed letters below U+0130, with or without a final stop or comma, which the
-        pre-tokenizer cuts off, is one pre-token once its case is lowered: it needs no normaliser,
-        and its last token tells where it ends. Other words stand apart by a mark.
+        pre-tokenizer cuts off, has the ids of its small letters (and of the mark): those are one
+        pre-token, need no normaliser, and their last token tells where they end. They are often
+        known already. Other words stand apart by a mark.
         """
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        plain, bare, stopped, cut = [], [], [], []
-        others = []
+        cache = self.cache
+        letters, derived, others = set(), [], []
         for w in words:
             if max(w) >= "\u0130":
                 others.append(w)
-            elif w.isalpha():
-                plain.append(w)
-                bare.append(w.lower())
-            elif w[-1] in ".," and w[:-1].isalpha():
-                stopped.append(w)
-                cut.append(w[:-1].lower())
-            else:
+                continue
+            base, tail = (w, "") if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".," else ("", "")
+            if base != w and not base.isalpha():
                 others.append(w)
+                continue
+            base = base.lower()
+            if base not in cache:
+                letters.add(base)
+            if base != w:
+                derived.append((w, base, tail))
+        plain = list(letters)
         for start in range(0, len(plain), 4096):
-            self._store_letters(plain[start : start + 4096], bare[start : start + 4096])
-        for start in range(0, len(stopped), 4096):
-            some = stopped[start : start + 4096]
-            self._store_letters(some, cut[start : start + 4096])
-            for w in some:
-                self.cache[w] += self.tails[w[-1]]
+            self._store_letters(plain[start : start + 4096])
         marked = [w for w in others if MARK not in w]
         for start in range(0, len(marked), 4096):
             some = marked[start : start + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             self._store(some, ids, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], 1)
         for w in others:
-            if w not in self.cache:
-                self.cache[w] = self._ids(w)
-
-    def _store_letters(self, words: list[str], bare: list[str]) -> None:
-        ids = np.array(self.bare.encode_batch_fast([" ".join(bare)], add_special_tokens=False)[0].ids, "<u4")
+            if w not in cache:
+                cache[w] = self._ids(w)
+        tails = self.tails
+        for w, base, tail in derived:
+            cache[w] = cache[base] + tails[tail] if tail else cache[base]
+
+    def _store_letters(self, words: list[str]) -> None:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         self._store(words, ids, (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0)
-        for w, x in zip(words, bare, strict=True):
+        for w in words:
             if w not in self.cache:
-                self.cache[w] = self._ids(x)
+                self.cache[w] = self._ids(w)
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -112,18 +115,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; new words of all texts are learned at once."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
         get = self.cache.get
         split = [_ASCII_SPACE.findall(text) for text in texts]
         found = [list(map(get, words)) for words in split]
-        new = {w for words, parts in zip(split, found, strict=True) if None in parts for w, x in zip(words, parts, strict=True) if x is None}
-        if new:
-            self.learn(new)
-            # the cache may have been emptied for them: then all of these texts' words are new
-            found = [parts if None not in parts else list(map(get, words)) for words, parts in zip(split, found, strict=True)]
-            lost = {w for words, parts in zip(split, found, strict=True) if None in parts for w, x in zip(words, parts, strict=True) if x is None}
-            if lost:
-                self.learn(lost)
-                found = [parts if None not in parts else list(map(get, words)) for words, parts in zip(split, found, strict=True)]
+        lost = [[k for k, ids in enumerate(parts) if ids is None] for parts in found]
+        self.learn({words[k] for words, some in zip(split, lost, strict=True) for k in some})
+        for words, parts, some in zip(split, found, lost, strict=True):
+            for k in some:
+                parts[k] = get(words[k])
         return [b"".join(parts) for parts in found]
 
 
