@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, flat_bytes, slices, text_bytes
+from .common import claim, flat_bytes, mix64, slices, text_bytes
 
 ORDER, BITS = 5, 5
 SYMBOLS = 1 << BITS
@@ -25,11 +25,13 @@ DISCOUNT = 0.75
 #: Rows of the calibration fold on which the logistic weights are fitted, at most.
 CALIBRATION_ROWS = 20_000
 #: A word counts as evidence from this log-likelihood ratio on.
-EVIDENCE = 2.0
+EVIDENCE = 1.5
 THRESHOLD = 0.3
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
-FEATURES = ("mean", "evidence", "share", "strongest")
+#: Ratios from which a word counts as strong.
+STRONG = (1.5, 3.0, 5.0)
+FEATURES = ("mean", *(f"{kind}{k}" for k in range(len(STRONG)) for kind in ("strong", "rate")), "evidence", "share", "density", "strongest", "against")
 
 _DROP = 255
 #: Letters that a two-byte UTF-8 sequence with lead 0xC3 folds to, from continuation 0x80 on.
@@ -142,21 +144,21 @@ def shared_backoff(codes: np.ndarray) -> np.ndarray:
     return below
 
 
-def ratio_tables(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log P_toxic - log P_ordinary of the seen codes, and of unseen symbols after each context."""
+def ratio_table(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """log P_toxic - log P_ordinary of the seen codes. Any other code has the same shared probability
+    in both models."""
     shared = shared_backoff(codes)
     contexts = 1 << (BITS * (ORDER - 1))
     context, suffix = codes >> BITS, codes & (contexts - 1)
-    logs, blank = [], []
+    logs = []
     for count in (toxic, ordinary):
-        total = np.bincount(context, count, contexts)
-        kinds = np.bincount(context, count > 0, contexts)
+        total = np.bincount(context, count, contexts)[context]
+        kinds = np.bincount(context, count > 0, contexts)[context]
         seen = total > 0
         rest = np.where(seen, DISCOUNT * kinds / np.where(seen, total, 1), 1.0)
-        own = np.where(seen[context], np.maximum(count - DISCOUNT, 0) / np.where(seen, total, 1)[context], 0.0)
-        logs.append(np.log(own + rest[context] * shared[suffix]))
-        blank.append(np.log(rest))
-    return (logs[0] - logs[1]).astype(np.float16), (blank[0] - blank[1]).astype(np.float16)
+        own = np.where(seen, np.maximum(count - DISCOUNT, 0) / np.where(seen, total, 1), 0.0)
+        logs.append(np.log(own + rest * shared[suffix]))
+    return (logs[0] - logs[1]).astype(np.float16)
 
 
 #: The table of the model that the worker used last.
@@ -166,8 +168,7 @@ _TABLE: dict[str, np.ndarray] = {}
 @dataclass
 class Model:
     codes: np.ndarray
-    seen: np.ndarray
-    unseen: np.ndarray
+    ratios: np.ndarray
     weights: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -176,8 +177,8 @@ class Model:
         claim("toxicity", _TABLE.clear)
         if self.name not in _TABLE:
             _TABLE.clear()
-            found = np.repeat(self.unseen, SYMBOLS)
-            found[self.codes] = self.seen
+            found = np.zeros(1 << (BITS * ORDER), np.float16)
+            found[self.codes] = self.ratios
             _TABLE[self.name] = found
         return _TABLE[self.name]
 
@@ -188,24 +189,33 @@ class Model:
         ratio = self.table()[grams(symbols, rows)].astype(np.float64)
         size = np.bincount(rows, minlength=n)
         whole = np.bincount(rows, ratio, n)
-        word = np.cumsum(symbols == 0) - (symbols == 0)
-        n_words = int(word[-1]) + 1 if len(word) else 0
-        each = np.bincount(word, ratio, n_words)
-        row_of = np.zeros(n_words, np.int64)
-        row_of[word] = rows
-        excess = np.maximum(each - EVIDENCE, 0)
-        evidence = np.bincount(row_of, excess, n)
+        if not len(symbols):
+            return np.zeros((n, len(FEATURES)))
+        # words with their boundary, each counted once in a text
+        starts = np.flatnonzero(np.concatenate([[True], symbols[:-1] == 0]))
+        sizes = np.diff(np.concatenate([starts, [len(symbols)]]))
+        place = np.arange(len(symbols)) - np.repeat(starts, sizes)
+        names = np.bitwise_xor.reduceat(mix64((place * SYMBOLS + symbols).astype(np.uint64) + np.uint64(1)), starts)
+        row_of = rows[starts].astype(np.int64)
+        _, once = np.unique(mix64(names ^ mix64(row_of.astype(np.uint64))), return_index=True)
+        each, row_of = np.add.reduceat(ratio, starts)[once], row_of[once]
         words = np.maximum(1, np.bincount(row_of, minlength=n))
+        out = [whole / np.maximum(1, size)]
+        for least in STRONG:
+            strong = np.bincount(row_of, each > least, n)
+            out += [np.log1p(strong), strong / np.sqrt(words)]
+        evidence = np.bincount(row_of, np.maximum(each - EVIDENCE, 0), n)
         strongest = np.zeros(n)
-        np.maximum.at(strongest, row_of, excess)
-        return np.stack([whole / np.maximum(1, size), np.log1p(evidence), evidence / words, np.log1p(strongest)], 1)
+        np.maximum.at(strongest, row_of, each)
+        out += [np.log1p(evidence), evidence / words, evidence / np.sqrt(words), strongest, np.bincount(row_of, np.minimum(each, 0), n) / words]
+        return np.stack(out, 1)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = self.weights[0] + features @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> np.ndarray:
     """Intercept and weights by damped Newton steps; without both classes, the intercept alone."""
     if not len(y) or y.min() == y.max():
         return np.concatenate([[-30.0 if not len(y) or y.max() == 0 else 30.0], np.zeros(x.shape[1] if x.ndim == 2 else len(FEATURES))])
@@ -237,15 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The count table has at most 32**5 rows whatever the corpus; it is what comes to the driver.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("toxic"))
-    known = known.hint("merge")  # labels grow with the corpus: they are never broadcast, small tables are joined alike
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"), remainder(id_col).alias("fold"))
-    learned = rows.filter("fold in (0, 1)").join(known, "doc_id").select("body", "toxic")
+    # labels grow with the corpus: they are never broadcast, small tables are joined alike
+    learned = rows.filter("fold in (0, 1)").join(known.hint("merge"), "doc_id").select("body", "toxic")
     table = count_grams(learned).toArrow()
     codes = table["code"].to_numpy().astype(np.int64)
     order = np.argsort(codes)
     codes = codes[order]
-    seen, unseen = ratio_tables(codes, table["toxic"].to_numpy()[order].astype(float), table["ordinary"].to_numpy()[order].astype(float))
-    model = Model(codes.astype(np.int32), seen, unseen, np.zeros(1 + len(FEATURES)))
+    ratios = ratio_table(codes, table["toxic"].to_numpy()[order].astype(float), table["ordinary"].to_numpy()[order].astype(float))
+    model = Model(codes.astype(np.int32), ratios, np.zeros(1 + len(FEATURES)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = shared.value.features(part.column("body"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["doc_id", "toxic", *FEATURES])
 
-    held = rows.filter("fold = 3").join(known, "doc_id").select("doc_id", "body", "toxic")
-    sample = held.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toArrow()
+    few = known.filter(remainder() == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    held = rows.filter("fold = 3").join(F.broadcast(few), "doc_id").select("doc_id", "body", "toxic")
+    sample = held.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     x = np.stack([sample[f].to_numpy() for f in FEATURES], 1)
+    model.name = uuid.uuid4().hex
     model.weights = fit_logistic(x, sample["toxic"].to_numpy().astype(float))
     if not len(codes):
         model.weights = np.concatenate([[-30.0], np.zeros(len(FEATURES))])
