@@ -142,3 +142,32 @@ def hmac_key(salt: bytes, kind: str, path: Column) -> Column:
         return values.map(lambda v: None if v is None else hmac.new(salt, kind.encode() + b"\0" + v.upper().encode(), hashlib.sha256).digest())
 
     return keyed(path)
+
+
+def mail_detail(sender: Column, folder: Column, ts: Column) -> Column:
+    """What a mail row shows below its subject."""
+    return F.concat_ws(" · ", sender, folder, F.date_format(ts, "yyyy-MM-dd HH:mm"))
+
+
+def truncated_blocks(blocks: Column, most: int) -> Column:
+    """Blocks, joined by line ends, up to a number of characters; the last one is cut.
+
+    A fold: the state is the room left and what has been taken.
+    """
+    kind = "struct<left:int,out:array<string>>"
+    start = F.struct(F.lit(most).alias("left"), F.array().cast("array<string>").alias("out")).cast(kind)
+
+    def step(s: Column, text: Column) -> Column:
+        room = s["left"] - F.when(F.size(s["out"]) > 0, 1).otherwise(0)
+        taken = F.struct((room - F.length(text)).alias("left"), F.concat(s["out"], F.array(F.left(text, F.greatest(room, F.lit(0))))).alias("out")).cast(kind)
+        return F.when(room > 0, taken).otherwise(F.struct(F.lit(0).alias("left"), s["out"].alias("out")).cast(kind))
+
+    return F.aggregate(blocks, start, step)["out"]
+
+
+def pair_ids(query_ids: Column, text_ids: Column, query_most: int = 48, most: int = 192, begin: int = 0, pad: int = 1, end: int = 2) -> Column:
+    """The ids of a pair: begin, query, end, end, text, end, padded to a fixed length."""
+    q = F.slice(query_ids, 1, query_most)
+    room = F.lit(most - 4) - F.size(q)
+    ids = F.concat(F.array(F.lit(begin)), q, F.array(F.lit(end), F.lit(end)), F.slice(text_ids, F.lit(1), room), F.array(F.lit(end)))
+    return F.concat(ids, F.array_repeat(F.lit(pad), F.lit(most) - F.size(ids)))

@@ -44,3 +44,10 @@ def affinity(candidates: DataFrame, days: DataFrame, today: Column) -> DataFrame
 
 def promotion(score: Column) -> Column:
     return F.when(score <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(score).cast("int"))))
+
+
+def lookup(days: DataFrame, path_keys: DataFrame, directory_keys: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Aggregates whose file, directory or extension is asked for: three semi-joins in union, as an OR
+    over three columns has no join key."""
+    hits = [days.join(keys, key, "left_semi") for key, keys in (("path_key", path_keys), ("directory_key", directory_keys), ("extension", extensions))]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()

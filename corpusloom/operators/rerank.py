@@ -110,3 +110,10 @@ def valid_order(ids: Column, candidates: Column) -> Column:
 
 def orders_equal(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.bool_and(F.col(a) == F.col(b)).alias("equal"))
+
+
+def feedback_rows(actions: DataFrame, shown: DataFrame) -> DataFrame:
+    """Feedback of actions (query_id, cand_id, action, presented) on what was shown: the baseline rank is
+    the index plus 1, or the presented rank where the candidate had none."""
+    rows = actions.join(shown.select("query_id", "cand_id", "idx"), ["query_id", "cand_id"], "left")
+    return rows.select("query_id", "cand_id", "action", F.coalesce(F.col("idx") + 1, F.col("presented")).alias("baseline_rank"), F.col("presented").alias("presented_rank"))

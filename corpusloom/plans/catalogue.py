@@ -812,3 +812,107 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, rank, doc_id, score, CAST(COALESCE(list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(terms, lambda t: contains({sql.fold('lower(ls[i])')}, t))) > 0)[1], 1) AS INTEGER) AS line FROM t""")
 def hybrid_batch(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+# The rest of the inventory
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}_.+#-]+'), lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g')), lambda t: regexp_matches(t, '[\\p{L}\\p{Nd}]')), ' ') AS body_tokens FROM documents")
+def index_tokens(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tokenize_app(F.col("text")), " ").alias("body_tokens"))
+
+
+@query("SELECT conv_id, turn, role || ' · ' || CASE WHEN role = 'user' THEN 'Inbox' ELSE 'Sent' END || ' · ' || strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (conv_id * 7 + turn), '%Y-%m-%d %H:%M') AS detail FROM conversations")
+def mail_detail(spark, sf_dir):
+    rows = ad.messages(spark, sf_dir)
+    return rows.select(F.col("store_id").cast("long").alias("conv_id"), F.col("entry_id").cast("long").alias("turn"), tx.mail_detail(F.col("sender"), F.col("folder"), F.col("ts")).alias("detail"))
+
+
+@query("SELECT item_id, list_transform(list_sort(list_transform(terms, lambda t, i: {'n': -length(t), 'i': i, 't': t})), lambda x: x.t) AS terms FROM (SELECT item_id, list_distinct_ordered AS terms FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)))")
+def preview_terms(spark, sf_dir):
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    # equal lengths stay in order of appearance: place is part of the key
+    keyed = F.transform(words, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return ad.read(spark, sf_dir, "benchmark").select("item_id", F.transform(F.array_sort(keyed), lambda x: x["t"]).alias("terms"))
+
+
+@query("WITH b AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents), j AS (SELECT doc_id, left(array_to_string(ls, chr(10)), 500) AS t FROM b) SELECT doc_id, regexp_replace(t, '\\n$', '') AS text FROM j")
+def truncate_blocks(spark, sf_dir):
+    """Lines as blocks, cut at 500 characters: the joined text, less a line end that nothing follows."""
+    docs = ad.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.regexp_replace(F.array_join(tx.truncated_blocks(tx.lines(F.col("text")), 500), "\n"), "\n$", "").alias("text"))
+
+
+@query("SELECT item_id, CAST(len(q) AS INTEGER) AS n_query, list_concat([0], q, [2, 2], t[1:192 - 4 - len(q)], [2], list_transform(range(0, greatest(0, 192 - 4 - len(q) - len(t))), lambda x: 1)) AS ids FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[a-z]+'), lambda w: length(w))[1:48] AS q, list_transform(regexp_extract_all(text, '[a-z]+'), lambda w: length(w)) AS t FROM benchmark)")
+def pair_encode(spark, sf_dir):
+    """Pairs of a text with itself, word lengths standing for ids."""
+    ids = F.transform(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), F.length)
+    rows = ad.read(spark, sf_dir, "benchmark").select("item_id", ids.alias("t"))
+    return rows.select("item_id", F.size(F.slice("t", 1, 48)).alias("n_query"), tx.pair_ids(F.col("t"), F.col("t")).alias("ids"))
+
+
+@query("SELECT DISTINCT lower(extension) AS name FROM (SELECT ['txt', 'md', 'docx', 'pdf', 'tmp', 'log', 'dll', 'json'][doc_id % 8 + 1] AS extension FROM documents) UNION SELECT DISTINCT lower(lang) FROM documents")
+def union_distinct_names(spark, sf_dir):
+    files = ad.files(spark, sf_dir).select(F.lower("extension").alias("name"))
+    return files.union(ad.read(spark, sf_dir, "documents").select(F.lower("lang"))).distinct()
+
+
+@query(f"WITH {sql.FEEDBACK} SELECT strftime(day, '%Y-%m-%d') AS day, path_key, event_count FROM daily WHERE path_key LIKE '%doc1.%' OR directory_key LIKE '%\\notes' OR extension = 'md'")
+def behavior_or_lookup(spark, sf_dir):
+    days = behavior.daily(_feedback(spark, sf_dir))
+    files = ad.files(spark, sf_dir)
+    wanted = behavior.lookup(days, files.filter(F.col("path_key").like("%doc1.%")).select("path_key"), files.select(F.lower("parent_path").alias("directory_key")).filter(F.endswith(F.col("directory_key"), F.lit("\\notes"))).distinct(), files.filter("extension = 'md'").select("extension").distinct())
+    return wanted.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "path_key", "event_count")
+
+
+@query(f"{sql.CANDIDATES} SELECT a.query_id, a.cand_id, CASE WHEN a.idx < 6 THEN a.idx + 1 ELSE 99 END AS baseline_rank, 99 AS presented_rank FROM c a WHERE a.idx % 2 = 0")
+def feedback_build(spark, sf_dir):
+    rows = candidates(spark, sf_dir)
+    acted = rows.filter("idx % 2 = 0").select("query_id", "cand_id", F.lit("Open").alias("action"), F.lit(99).alias("presented"))
+    found = rerank.feedback_rows(acted, rows.filter("idx < 6"))
+    return found.select("query_id", "cand_id", F.col("baseline_rank").cast("long").alias("baseline_rank"), "presented_rank")
+
+
+@query(f"{sql.FUSED}, o AS (SELECT query_id, path_key, round(1.0::DOUBLE / (61 + rank), 9) AS rrf FROM names) SELECT query_id, path_key, rrf FROM o")
+def partial_failure(spark, sf_dir):
+    """Content is down: names answer alone."""
+    asked = literals(spark, [(1, "doc1"), (2, "doc2.md"), (3, "doc3")], "query_id int, query string")
+    files = ad.files(spark, sf_dir)
+    by_name = Window.partitionBy("query_id").orderBy(F.length("name"), F.lower("name"), "path_key")
+    found = files.join(asked, F.contains(F.lower(files["name"]), asked["query"])).select("query_id", "query", "path_key", "name", F.lit(0).alias("noise"), (F.row_number().over(by_name) - 1).alias("rank")).filter("rank < 50")
+    nothing = literals(spark, [], "query_id int, query string, path_key string, name string, rank int, start_line int, title_matched boolean")
+    return fuse.fuse(found, nothing).select("query_id", "path_key", F.round("rrf", 9).alias("rrf"))
+
+
+def _engine(spark: SparkSession, sf_dir: str):
+    from .engine import Engine
+
+    return Engine(spark, ad.catalog(spark, sf_dir), corpus_index(spark, sf_dir), ad.messages(spark, sf_dir))
+
+
+@query()
+def content_mode(spark, sf_dir):
+    """Content search with locations, collapsed to files."""
+    found = _engine(spark, sf_dir).search_local_content(benchmark_queries(spark, sf_dir), 10)
+    return found.filter("error_code is null").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"), F.min("line").alias("line"), F.count("*").alias("hits"))
+
+
+@query()
+def hybrid_with_mail(spark, sf_dir):
+    return _engine(spark, sf_dir).search_hybrid_with_mail(literals(spark, [(1, "doc1"), (2, "the"), (3, "user the")], "query_id int, query string"), 20)
+
+
+@query(f"WITH {sql.TOKENS} SELECT q.doc_id AS query_id, q.doc_id FROM files q WHERE q.doc_id % 50 = 0")
+def filename_fallback(spark, sf_dir):
+    """Without a catalog, file names are found as titles of the index."""
+    from .engine import Engine
+
+    documents = ad.documents(spark, sf_dir)
+    asked = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.replace("name", F.lit("."), F.lit(" ")).alias("query"))
+    found = Engine(spark, None, ix.build(documents)).search_local_content(asked, 10, field=ix.TITLE)
+    return found.filter("error_code is null").select("query_id", "doc_id")
+
+
+@query("SELECT 'documents' AS measure, count(*) AS n FROM documents")
+def index_status(spark, sf_dir):
+    return _engine(spark, sf_dir).status()
