@@ -25,7 +25,7 @@ PARTS = 4
 #: Share of each fitted repeat count that patterns use; the rest leaves best fit lengths to choose from.
 KEPT = 0.95
 #: Entries of the cache of one Python worker.
-CACHE = 1_000_000
+CACHE = 1_200_000
 #: A control character that is a token of its own; it parts words that are encoded in one call.
 MARK = "\x01"
 _ASCII_SPACE = re.compile("[^ \t\n\r\f\v]+")
@@ -68,11 +68,14 @@ class WordTokenizer:
         cache = self.cache
         letters, derived, others = set(), [], []
         for w in words:
-            if max(w) >= "\u0130":
+            if w.isalpha():
+                base, tail = w, ""
+            elif w[-1] in ".," and w[:-1].isalpha():
+                base, tail = w[:-1], w[-1]
+            else:
                 others.append(w)
                 continue
-            base, tail = (w, "") if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ".," else ("", "")
-            if base != w and not base.isalpha():
+            if not w.isascii() and max(w) >= "\u0130":
                 others.append(w)
                 continue
             base = base.lower()
@@ -97,28 +100,30 @@ class WordTokenizer:
 
     def _store_letters(self, words: list[str]) -> None:
         ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        self._store(words, ids, (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0)
-        for w in words:
-            if w not in self.cache:
-                self.cache[w] = self._ids(w)
+        if not self._store(words, ids, (np.flatnonzero(self.closes[ids]) + 1).tolist(), 0):
+            self.cache.update({w: self._ids(w) for w in words})
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _store(self, words: list[str], ids: np.ndarray, ends: list[int], skip: int) -> None:
+    def _store(self, words: list[str], ids: np.ndarray, ends: list[int], skip: int) -> bool:
         """Ids from one end to the next, without the ``skip`` ids of a mark; nothing is stored if the
         number of ends is not that of the words."""
-        if len(ends) == len(words):
-            raw = ids.tobytes()
-            ends = [4 * x for x in ends]
-            self.cache.update({w: raw[a:b] for w, a, b in zip(words, [0, *[x + 4 * skip for x in ends[:-1]]], ends, strict=True)})
+        if len(ends) != len(words):
+            return False
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.cache[w] = raw[4 * begin : 4 * end]
+            begin = end + skip
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; new words of all texts are learned at once."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         get = self.cache.get
-        split = [_ASCII_SPACE.findall(text) for text in texts]
+        # str.split parts at all white space that the normaliser knows, and at four controls that it does not
+        split = [_ASCII_SPACE.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts]
         found = [list(map(get, words)) for words in split]
         lost = [[k for k, ids in enumerate(parts) if ids is None] for parts in found]
         self.learn({words[k] for words, some in zip(split, lost, strict=True) for k in some})
