@@ -83,10 +83,10 @@ def scan_markers(spark, sf_dir):
     return policy.scan_markers(ad.catalog(spark, sf_dir)).select("full_path")
 
 
-@query(f"WITH {sql.CATALOG} SELECT full_path, CAST(row_number() OVER (ORDER BY modified_at DESC, path_key) AS INTEGER) AS position FROM (SELECT * FROM catalog WHERE kind = 'file' AND extension IN ('txt', 'md', 'markdown', 'docx') ORDER BY modified_at DESC, path_key LIMIT 500)")
+@query(f"WITH {sql.CATALOG} SELECT full_path, strftime(modified_at, '%Y-%m-%d %H:%M:%S') AS modified FROM catalog WHERE kind = 'file' AND extension IN ('txt', 'md', 'markdown', 'docx')")
 def scan_candidates(spark, sf_dir):
-    newest = ad.catalog(spark, sf_dir).filter((F.col("kind") == "file") & F.col("extension").isin("txt", "md", "markdown", "docx")).orderBy(F.col("modified_at").desc(), "path_key").limit(500)
-    return newest.select("full_path", F.row_number().over(Window.orderBy(F.col("modified_at").desc(), "path_key")).alias("position"))
+    found = ad.catalog(spark, sf_dir).filter((F.col("kind") == "file") & F.col("extension").isin(*(e[1:] for e in policy.FORMAT_LIMITS)))
+    return found.orderBy(F.col("modified_at").desc(), "path_key").select("full_path", iso("modified_at").alias("modified"))
 
 
 @query("SELECT * FROM (VALUES ('C:\\'), ('D:\\')) t(root_path)")
@@ -445,8 +445,8 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name = Window.partitionBy("query_id").orderBy(F.length("name"), F.lower("name"), "path_key")
     found = files.join(F.broadcast(asked), F.contains(F.lower(files["name"]), asked["query"]))
     found = found.select("query_id", "query", "path_key", "name", (F.col("attributes").bitwiseAND(256) != 0).cast("int").alias("noise"), (F.row_number().over(by_name) - 1).alias("rank")).filter("rank < 50")
-    by_size = Window.partitionBy("query_id").orderBy(F.col("size").desc(), "path_key")
-    best = files.join(F.broadcast(asked), files["doc_id"] % 4 == asked["query_id"]).select("query_id", "query", "doc_id", "path_key", "name", F.row_number().over(by_size).alias("d")).filter("d <= 50")
+    by_size = Window.partitionBy("query_id").orderBy((F.col("size") * F.col("query_id") * 37 % 1009).desc(), "path_key")
+    best = files.crossJoin(F.broadcast(asked)).select("query_id", "query", "doc_id", "path_key", "name", F.row_number().over(by_size).alias("d")).filter("d <= 50")
     hits = locate.locate_lines(ad.documents(spark, sf_dir).join(best.select("doc_id").distinct(), "doc_id", "left_semi"), F.array(F.lit("an")))
     by_hit = Window.partitionBy("query_id").orderBy("d", "line")
     content = best.join(hits, "doc_id").select("query_id", "query", "path_key", "name", F.col("line").alias("start_line"), F.contains(F.lower("name"), F.lower("query")).alias("title_matched"), (F.row_number().over(by_hit) - 1).alias("rank"))
@@ -576,8 +576,8 @@ def promotion(spark, sf_dir):
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ad.read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("query_id"))
-    docs = docs.withColumn("idx", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1).filter("idx < 12")
+    docs = ad.read(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 12").alias("query_id"))
+    docs = docs.withColumn("idx", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
     vectors = ad.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     n = vectors.count()
     zero = vectors.filter("vec_id = 0").select(F.col("e").alias("e0"))

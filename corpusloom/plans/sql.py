@@ -162,8 +162,8 @@ nn AS (SELECT q.query_id, q.query, f.path_key, f.name, CASE WHEN attributes & 25
 names AS (SELECT * FROM nn WHERE rank < 50),
 ls AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents)),
 hl AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM ls WHERE contains(lower(ls[line]), 'an')),
-cd AS (SELECT q.query_id, q.query, f.doc_id, f.path_key, f.name, row_number() OVER (PARTITION BY q.query_id ORDER BY f.size DESC, f.path_key) AS d
-  FROM q JOIN files f ON f.doc_id % 4 = q.query_id),
+cd AS (SELECT q.query_id, q.query, f.doc_id, f.path_key, f.name, row_number() OVER (PARTITION BY q.query_id ORDER BY (f.size * q.query_id * 37) % 1009 DESC, f.path_key) AS d
+  FROM q, files f),
 content AS (SELECT query_id, query, path_key, name, line AS start_line, contains(lower(name), lower(query)) AS title_matched,
   row_number() OVER (PARTITION BY query_id ORDER BY d, line) - 1 AS rank FROM cd JOIN hl USING (doc_id) WHERE d <= 50 AND k <= 3),
 ch AS (SELECT *, row_number() OVER (PARTITION BY query_id, path_key ORDER BY rank) AS hit_no FROM content),
@@ -185,12 +185,12 @@ fb AS (SELECT e.event_id, f.path_key, lower(f.parent_path) AS directory_key, f.e
   FROM events e JOIN files f ON f.doc_id = e.event_id % (SELECT count(*) FROM documents) WHERE event_type <> 'error'),
 daily AS (SELECT day, path_key, directory_key, extension, sum(weight) AS weight_sum, count(*) AS event_count FROM fb WHERE weight > 0 GROUP BY ALL)"""
 
-CANDIDATES = """WITH c0 AS (SELECT doc_id, doc_id % 40 AS query_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) - 1 AS idx FROM documents),
+CANDIDATES = """WITH c0 AS (SELECT doc_id, doc_id // 12 AS query_id, row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id) - 1 AS idx FROM documents),
 v AS (SELECT vec_id, embedding FROM embeddings), z AS (SELECT embedding AS e0 FROM embeddings WHERE vec_id = 0), nv AS (SELECT count(*) AS n FROM embeddings),
 c AS (SELECT c0.query_id, CAST(c0.doc_id AS VARCHAR) AS cand_id, c0.idx, (c0.idx // 5) % 3 AS tier, c0.doc_id % 4 AS promotion, 'name' || (c0.doc_id % 1200) AS name,
   CASE c0.doc_id % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'content' ELSE 'both' END AS match_source,
   round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(e0[i] AS DOUBLE))), 6) AS semantic_score
-  FROM c0, z, nv JOIN v ON v.vec_id = c0.doc_id % nv.n WHERE c0.idx < 12)"""
+  FROM c0, z, nv JOIN v ON v.vec_id = c0.doc_id % nv.n)"""
 
 BEHAVED = (
     CANDIDATES
