@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SEPARATOR = "\\"
 EXTENSIONS = ["txt", "md", "docx", "pdf", "tmp", "log", "dll", "json"]
 DIRECTORIES = ["notes", "node_modules", "Temp", "build", "Templates", "AppData", ".git", "docs", "$Recycle.Bin", "archive", "Downloads"]
@@ -16,6 +18,7 @@ ATTRIBUTES = [32, 2, 4, 256, 1024, 32, 32]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
