@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import ngram_join, packing, secrets, suffix_dedup, toxicity
 from corpusloom.llm.common import Scratch
+from corpusloom.shipping import ship
 
 #: No SQL: the stages learn automata and language models and pack by a fitted plan.
 ORACLE_SQL = None
@@ -18,6 +19,7 @@ ORACLE_SQL = None
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go; models are learned from the labels of the others' folds."""
+    ship(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

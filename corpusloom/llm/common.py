@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _SCRATCH: dict[str, str] = {}
 
 
@@ -60,6 +62,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []

@@ -28,8 +28,11 @@ WIDTH = 5
 PERCENT = 75
 #: Words that more documents share are left to those that could not spare them.
 HOT = 32
-#: Shingles of a candidate group that one task compares; larger groups are dealt out as pairs of blocks.
-GROUP = 12_000_000
+#: Shingles of a candidate group that one task compares. A larger group is dealt out by size bands, and
+#: a band that is still larger as pairs of blocks.
+GROUP = 4_000_000
+#: Width of those bands: a little above 100 / PERCENT, so partners lie in one band or in neighbours.
+BAND = 1.34
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -381,13 +384,18 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = scratch.table(near.groupBy("root").agg(F.sum("n_shingles").alias("total")), "sizes")
     placed = scratch.table(near.join(size, "root"), "placed")
     bodies = some.select("doc_id", "body")
-    fits = placed.filter(F.col("total") <= GROUP).select("doc_id", F.col("root").cast("string").alias("root"))
-    links = _compare(_token_rows(bodies.join(fits, "doc_id").select("body", "root")))
-    # a group too large for one task: every pair of its blocks is compared, by the same exact way
+    fits = placed.filter(F.col("total") <= GROUP).select("doc_id", F.col("root").cast("string").alias("task"))
+    # a larger group meets in overlapping size bands: band k and the next
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(BAND))).cast("int")
+    banded = placed.filter(F.col("total") > GROUP).withColumn("k", F.explode(F.array(band, band - 1))).withColumn("task", F.concat_ws(":", "root", "k")).select("cls", "doc_id", "n_shingles", "task")
+    total = scratch.table(banded.groupBy("task").agg(F.sum("n_shingles").alias("total")), "bands")
+    banded = banded.join(total, "task")
+    fits = fits.unionByName(banded.filter(F.col("total") <= GROUP).select("doc_id", "task"))
+    # a band too large for one task: every pair of its blocks is compared, by the same exact way
     blocks = F.ceil(F.col("total") / (GROUP // 2)).cast("int")
-    wide = placed.filter(F.col("total") > GROUP).withColumn("k", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    wide = wide.select("doc_id", F.concat_ws("/", F.col("root"), F.least("k", "o"), F.greatest("k", "o")).alias("root"))
-    links = scratch.table(links.unionAll(_compare(_token_rows(bodies.join(wide, "doc_id").select("body", "root")))), "links")
+    wide = banded.filter(F.col("total") > GROUP).withColumn("k", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = fits.unionByName(wide.select("doc_id", F.concat_ws("/", "task", F.least("k", "o"), F.greatest("k", "o")).alias("task")))
+    links = scratch.table(_compare(_token_rows(bodies.join(tasks.withColumnRenamed("task", "root"), "doc_id").select("body", "root"))), "links")
     scratch.drop(some)
     roots = components(scratch, links, "linked")
     named = digest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
