@@ -36,7 +36,7 @@ class Engine:
             return names.search(self.catalog, query)
         return self.search_local_content(self._one(query.text), query.limit, query.offset, field=ix.TITLE)
 
-    def search_everything_query(self, text: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    def search_catalog_query(self, text: str, limit: int = 50, offset: int = 0) -> DataFrame:
         """A query in the catalog's own dialect."""
         if self.catalog is None:
             raise RuntimeError(CATALOG_OFFLINE)

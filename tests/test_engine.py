@@ -30,7 +30,7 @@ def test_content_filters_apply_before_the_limit(engine, spark):
 
 def test_names_and_raw(engine):
     assert engine.search_local_files(names.NameQuery("doc1", limit=5)).count() == 5
-    assert all(r.extension == "md" for r in engine.search_everything_query("ext:md file:").collect())
+    assert all(r.extension == "md" for r in engine.search_catalog_query("ext:md file:").collect())
 
 
 def test_missing_sources(engine, spark):
@@ -38,7 +38,7 @@ def test_missing_sources(engine, spark):
     only_names = Engine(spark, engine.catalog)
     sources = lambda e: {r.match_source for r in e.search_local_hybrid(asked(spark, "doc1", "the")).collect()}
     assert sources(only_index) == {"content"} and sources(only_names) == {"name"} and "content" in sources(engine)
-    for call in (lambda: only_names.search_local_content(asked(spark, "x")), lambda: only_index.search_everything_query("x"), lambda: Engine(spark).search_local_hybrid(asked(spark, "x"))):
+    for call in (lambda: only_names.search_local_content(asked(spark, "x")), lambda: only_index.search_catalog_query("x"), lambda: Engine(spark).search_local_hybrid(asked(spark, "x"))):
         with pytest.raises(RuntimeError):
             call()
     with pytest.raises(ValueError):
