@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 BITS = 64
 #: Distinct codes of an index block, on average; queries meet every block.
 BLOCK = 1 << 17
@@ -108,8 +110,9 @@ def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
     salted = _smallest(coded.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))), ["code", "salt"], k + 1)
     few = _smallest(salted, ["code"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     index = few.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    probes = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))).cast("int"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    # the queries of a block are dealt over tasks of their own, each with the block's index
+    parts = max(1, partitions(spark) // blocks)
+    probes = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
