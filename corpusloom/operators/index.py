@@ -28,11 +28,14 @@ def tokens(documents: DataFrame, exact: bool = False) -> DataFrame:
     return both.select("doc_id", "f.field", F.posexplode("f.terms").alias("pos", "term"))
 
 
-def document_postings(documents: DataFrame, exact: bool = False) -> DataFrame:
-    """(term, doc_id, field, tf, positions). The grouping key holds the document, so a stop-word is
-    spread over as many groups as documents and no task sees one term's whole list."""
-    rows = tokens(documents, exact).groupBy("doc_id", "field", "term")
-    return rows.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def document_postings(documents: DataFrame, exact: bool = False, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, field, tf, positions), of the given terms only if there are any. The grouping key
+    holds the document, so a stop-word is spread over as many groups as documents and no task sees
+    one term's whole list. Other terms are dropped before anything is shuffled."""
+    rows = tokens(documents, exact)
+    if terms is not None:
+        rows = rows.join(terms.select("term"), "term", "left_semi")
+    return rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(documents: DataFrame, exact: bool = False) -> DataFrame:
@@ -59,9 +62,10 @@ def bucket_of(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(documents: DataFrame, exact: bool = False) -> Index:
+def build(documents: DataFrame, exact: bool = False, terms: DataFrame | None = None) -> Index:
+    """An index that is not stored; with terms, the part of it that a batch of queries reads."""
     stats = doc_stats(documents, exact)
-    return Index(document_postings(documents, exact), stats, corpus_stats(stats), documents)
+    return Index(document_postings(documents, exact, terms), stats, corpus_stats(stats), documents)
 
 
 def write(index: Index, path: str, version: int) -> str:

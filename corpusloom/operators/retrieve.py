@@ -27,6 +27,11 @@ def parsed(queries: DataFrame) -> DataFrame:
     return split.select("query_id", "n_terms", "t", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("k", "token"))
 
 
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """(term): the index tokens that a batch reads."""
+    return parsed(queries).select(F.col("token").alias("term")).distinct()
+
+
 def phrase_hits(index: Index, queries: DataFrame, field: str | None = None) -> DataFrame:
     """(query_id, n_terms, t, doc_id, tf_title, tf_body): how often each term occurs, phrases included.
 

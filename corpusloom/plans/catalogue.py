@@ -312,8 +312,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, joint: str = " ") -> Dat
     return ad.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(terms, joint).alias("query"))
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.build(ad.documents(spark, sf_dir))
+def corpus_index(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> ix.Index:
+    """The index of all documents, or the part of it that a batch of queries reads."""
+    return ix.build(ad.documents(spark, sf_dir), terms=None if asked is None else retrieve.wanted_terms(asked))
 
 
 @query(f"WITH {sql.TOKENS} SELECT doc_id, field, term, count(*) AS tf, list_sort(list(CAST(pos AS INTEGER))) AS positions FROM toks GROUP BY ALL")
@@ -341,7 +342,7 @@ def index_upsert(spark, sf_dir):
 
 @query(f"WITH {sql.TOKENS}, m AS (SELECT query_id, doc_id, n_terms, count(DISTINCT qt.term) AS n FROM qt JOIN toks ON qt.term = toks.term GROUP BY ALL) SELECT query_id, doc_id FROM m WHERE n = n_terms")
 def fts_match_and(spark, sf_dir):
-    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir)))
+    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir)))
 
 
 @query(f"WITH {sql.TOKENS} SELECT q.doc_id AS query_id, f.doc_id FROM files q JOIN files f ON q.extension = f.extension AND q.doc_id = f.doc_id WHERE q.doc_id % 50 = 0")
@@ -353,27 +354,27 @@ def fts_match_title(spark, sf_dir):
 
 @query(f"WITH {sql.TOKENS}, p AS (SELECT item_id AS query_id, regexp_extract_all({sql.fold('lower(text)')}, {sql.WORD})[1:2] AS w FROM benchmark) SELECT DISTINCT query_id, a.doc_id FROM p JOIN toks a ON a.term = w[1] JOIN toks b ON b.term = w[2] AND b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1")
 def fts_phrase(spark, sf_dir):
-    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir, "-")))
+    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir, "-")), benchmark_queries(spark, sf_dir, "-")))
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY).select("query_id", "rank", "doc_id", "score")
+    return retrieve.search(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), 10, field=ix.BODY).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39) + ', ' + chr(39) + 'title' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10")
 def bm25_two_field(spark, sf_dir):
-    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
+    return retrieve.search(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank > 5 AND rank <= 15")
 def fts_order_page(spark, sf_dir):
-    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, 5, field=ix.BODY).select("query_id", "rank", "doc_id")
+    return retrieve.search(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), 10, 5, field=ix.BODY).select("query_id", "rank", "doc_id")
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))} SELECT query_id, count(*) AS n FROM scored GROUP BY query_id")
 def fts_count(spark, sf_dir):
-    hits = retrieve.phrase_hits(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), ix.BODY)
+    hits = retrieve.phrase_hits(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), ix.BODY)
     return retrieve.matches(hits).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
@@ -385,7 +386,7 @@ def filters_path_ext_date(spark, sf_dir):
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank <= 10 AND doc_id % 3 <> 0")
 def liveness_anti_join(spark, sf_dir):
     alive = ad.documents(spark, sf_dir).filter("doc_id % 3 <> 0")
-    return retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY, alive=alive).select("query_id", "rank", "doc_id")
+    return retrieve.search(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), 10, field=ix.BODY, alive=alive).select("query_id", "rank", "doc_id")
 
 
 @query(f"WITH {sql.FILES} SELECT doc_id, contains(lower(name), 'doc1') OR contains(lower(name), '.md') AS title_matched FROM files")
@@ -667,7 +668,7 @@ def semantic_score(spark, sf_dir):
         words = set(a.lower().split())
         return len(words & set(b.lower().split())) / max(1, len(words))
 
-    rows = benchmark_queries(spark, sf_dir).join(retrieve.search(corpus_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, field=ix.BODY), "query_id").join(ad.documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    rows = benchmark_queries(spark, sf_dir).join(retrieve.search(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir), 10, field=ix.BODY), "query_id").join(ad.documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return rerank.scored(rows, overlap).select("query_id", "doc_id", F.round("semantic_score", 6).alias("semantic_score"))
 
 
@@ -800,7 +801,7 @@ def ttl_cache(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top ten of every benchmark query, with line locations late-materialised for those only."""
     asked = benchmark_queries(spark, sf_dir)
-    found = retrieve.search(corpus_index(spark, sf_dir), asked, 10)
+    found = retrieve.search(corpus_index(spark, sf_dir, asked), asked, 10)
     terms = asked.select("query_id", tx.query_terms(F.col("query")).alias("terms"))
     texts = ad.documents(spark, sf_dir).select("doc_id", "text")
     rows = found.join(terms, "query_id").join(texts, "doc_id").select("query_id", "rank", "doc_id", "score", "terms", tx.lines(F.col("text")).alias("ls"))
