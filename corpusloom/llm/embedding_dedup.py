@@ -1,9 +1,11 @@
 """Near-duplicate vectors by collision counting over many one-dimensional projections.
 
 Projections are taken in groups. Vectors whose places agree in every projection of a group share a
-cell; cells name candidate pairs. For a candidate pair, the collisions of all projections are
+cell; all pairs of a cell are candidates. For a candidate pair, the collisions of all projections are
 counted: places within a window centred on the query's place. A pair passes with as many as a pair
 at the threshold reaches with near certainty (RECALL), and is then verified in double precision.
+Cells of more than PAIRED vectors are not written out as pairs: their vectors are compared block by
+block, in double precision alone.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ HALF_WINDOW = 2.5
 RECALL = 1 - 1e-6
 #: A cell's width against the standard deviation of a unit vector's place.
 CELL = 0.8
-#: Vectors of a block when all pairs of a component are compared.
+#: Vectors of a cell whose pairs are written out; a larger cell is compared block by block.
+PAIRED = 16
+#: Vectors of a block when all pairs of a cell or a component are compared.
 BLOCK = 2048
 
 
@@ -112,25 +116,29 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _count_links(members: DataFrame) -> DataFrame:
-    """(cls, n): linked vectors of other classes, by blocks of rows (task, side, cls, n, e) in order of task.
+def _dealt(members: DataFrame, group: str) -> DataFrame:
+    """(task, side, cls, n, e): the members (group, total, cls, n, e) dealt so that all pairs of a group
+    meet; one of many blocks is dealt out as pairs of blocks. Side 0 asks, side 1 is asked; a block
+    that meets itself has side 2."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    placed = members.withColumn("k", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    task = lambda i, j: F.concat_ws("/", group, i, j)
+    asks = placed.select(task(F.col("k"), F.col("o")).alias("task"), F.when(F.col("k") == F.col("o"), 2).otherwise(0).alias("side"), "cls", "n", "e")
+    told = placed.filter("k <> o").select(task(F.col("o"), F.col("k")).alias("task"), F.lit(1).alias("side"), "cls", "n", "e")
+    return asks.unionAll(told)
 
-    Side 0 counts, side 1 is counted; a block that meets itself has side 2.
-    """
 
-    def flush(rows: list) -> tuple[np.ndarray, np.ndarray]:
+def _by_task(dealt: DataFrame, flush, schema: str) -> DataFrame:
+    """What ``flush`` gives, as two columns, for the rows (side, cls, n, e) of each task."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def told(rows: list) -> pa.RecordBatch:
+        side = np.array([r[0] for r in rows])
         cls = np.array([r[1] for r in rows], np.int64)
         weight = np.array([r[2] for r in rows], np.float64)
-        side = np.array([r[0] for r in rows])
         unit = np.array([r[3] for r in rows], np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        asks, told = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        total = np.zeros(len(asks))
-        for start in range(0, len(asks), 512):
-            some = asks[start : start + 512]
-            near = (unit[some] @ unit[told].T >= COSINE) & (cls[some][:, None] != cls[told][None, :])
-            total[start : start + 512] = near @ weight[told]
-        return cls[asks], total.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flush(side, cls, weight, unit)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -138,17 +146,59 @@ def _count_links(members: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("task", "side", "cls", "n")]
             for task, side, cls, n, e in zip(*columns, batch.column("e").to_numpy(zero_copy_only=False), strict=True):
                 if task != now and rows:
-                    found, total = flush(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["cls", "n"])
+                    yield told(rows)
                     rows = []
                 now = task
                 rows.append((side, cls, n, e))
         if rows:
-            found, total = flush(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["cls", "n"])
+            yield told(rows)
+
+    parts = partitions(dealt.sparkSession)
+    return dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, schema)
+
+
+def _count_links(members: DataFrame) -> DataFrame:
+    """(cls, links): linked vectors of other classes in the same component."""
+
+    def flush(side: np.ndarray, cls: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        asks, told = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        total = np.zeros(len(asks))
+        for start in range(0, len(asks), 512):
+            some = asks[start : start + 512]
+            near = (unit[some] @ unit[told].T >= COSINE) & (cls[some][:, None] != cls[told][None, :])
+            total[start : start + 512] = near @ weight[told]
+        return cls[asks], total.astype(np.int64)
+
+    return _by_task(_dealt(members, "root"), flush, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("links"))
+
+
+def connected(side: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """For each vector of a task the number of the first one it is connected with by links between the sides."""
+    near = np.zeros((len(side), len(side)), bool)
+    asks, told = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    near[np.ix_(asks, told)] = unit[asks] @ unit[told].T >= COSINE
+    near |= near.T
+    root = np.full(len(side), -1)
+    for first in range(len(side)):
+        if root[first] < 0:
+            reached = np.array([first])
+            while len(reached):
+                root[reached] = first
+                reached = np.flatnonzero(near[reached].any(0) & (root < 0))
+    return root
 
-    dealt = members.repartition(partitions(members.sparkSession), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("links"))
+
+def _linked_in_cells(members: DataFrame) -> DataFrame:
+    """(a, b): what connects the linked vectors of each large cell. Rows (cell, total, cls, n, e)."""
+
+    def flush(side: np.ndarray, cls: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = connected(side, unit)
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return cls[root[other]], cls[other]
+
+    # both orders of two blocks give the same pairs: the second is left out
+    one = _dealt(members, "cell").filter("side = 2 or split(task, '/')[1] < split(task, '/')[2]")
+    return _by_task(one, flush, "a long, b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -171,22 +221,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = scratch.table(rows.filter("fit").groupBy("cls").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.first("e").alias("e")), "classes")
 
     cells = scratch.table(_cells(classes), "cells")
-    centers = scratch.table(cells.groupBy("cell").agg(F.min("cls").alias("a"), F.count("*").alias("k")).filter("k > 1").select("cell", "a"), "centers")
-    pairs = scratch.table(cells.join(centers, "cell").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "pairs")
+    totals = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("total")).filter("total > 1"), "totals")
+    shared = scratch.table(cells.join(totals, "cell"), "shared")
     scratch.drop(cells)
-    scratch.drop(centers)
+    scratch.drop(totals)
+    few = shared.filter(F.col("total") <= PAIRED)
+    pairs = scratch.table(few.select("cell", F.col("cls").alias("a")).join(few.select("cell", F.col("cls").alias("b")), "cell").filter("a < b").select("a", "b").distinct(), "pairs")
     collect_garbage(spark)
     sides = pairs.join(classes.select(F.col("cls").alias("a"), F.col("e").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("e").alias("y")), "b")
-    roots = scratch.table(components(scratch, _verified(sides), "near"), "roots")
+    many = shared.filter(F.col("total") > PAIRED).join(classes.select("cls", "n", "e"), "cls")
+    found = scratch.table(_verified(sides).unionAll(_linked_in_cells(many)), "found")
+    roots = scratch.table(components(scratch, found, "near"), "roots")
 
-    # all pairs of a component are compared; one of many blocks is dealt out as pairs of blocks
+    # all pairs of a component are compared
     sizes = scratch.table(roots.groupBy("root").agg(F.count("*").alias("total")), "sizes")
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    members = roots.join(sizes, "root").withColumnRenamed("node", "cls").join(classes, "cls").withColumn("k", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    task = lambda i, j: F.concat_ws("/", "root", i, j)
-    asks = members.select(task(F.col("k"), F.col("o")).alias("task"), F.when(F.col("k") == F.col("o"), 2).otherwise(0).alias("side"), "cls", "n", "e")
-    told = members.filter("k <> o").select(task(F.col("o"), F.col("k")).alias("task"), F.lit(1).alias("side"), "cls", "n", "e")
-    links = _count_links(asks.unionAll(told))
+    members = roots.join(sizes, "root").withColumnRenamed("node", "cls").join(classes, "cls")
+    links = _count_links(members)
 
     facts = classes.select("cls", "n").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     facts = scratch.table(facts.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")), "facts")

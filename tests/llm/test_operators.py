@@ -153,6 +153,23 @@ def test_embeddings_equal_brute_force(spark):
         assert got[i] == (i, len(near[i]), min(seen), i == min(seen))
 
 
+def test_dense_label_equals_brute_force(spark, monkeypatch):
+    """Pairs that share a cell with a smaller class that neither is linked with."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 512)
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    middle = unit(r.standard_normal(64))
+    dense = unit(np.sqrt(0.9) * middle + np.sqrt(0.1) * unit(r.standard_normal((2500, 64))))
+    copies = unit(dense[:300] + 0.17 * unit(r.standard_normal((300, 64))))
+    x = np.concatenate([dense, copies]).astype(np.float32)
+    got = by_id(embedding_dedup.near_duplicates(frame(spark, [(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect())
+    u = unit(x.astype(np.float64))
+    near = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    want = near.sum(1)
+    assert 250 < (want[2500:] > 0).sum()
+    assert [got[k][1] for k in range(len(x))] == want.tolist()
+
+
 def test_collision_count_is_calibrated():
     g = np.random.default_rng(4)
     u = g.standard_normal((4000, 64))
