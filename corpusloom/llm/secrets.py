@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,9 +21,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "grammar")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled credentials of a kind, and ordinary words, that the automata are fitted on, at most.
+#: The shortest run that is judged, as short as the shortest value of the base rules.
+LEAST_RUN = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_RUN)
+#: Labelled credentials of a kind that the automata are fitted on, at most.
 LABELLED = 600
+#: Words whose verdict a task remembers, at most.
+REMEMBERED = 500_000
 #: Significance of the Hoeffding bound under which two states are told apart.
 ALPHA = 0.05
 #: Nats in all, and for each symbol, by which a credential automaton must beat the ordinary one.
@@ -32,6 +36,10 @@ FLOOR = math.log(1e-4)
 
 _CLASS = {**{c: "d" for c in "0123456789"}, **{c: "x" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}}
 _CLASSES = str.maketrans(_CLASS)
+#: Symbols of ordinary words; the end of a word is one more.
+ALPHABET = "dxlU+/_.=-"
+#: What a symbol is expected to be followed by before any word is seen: itself, mostly.
+AGAIN = 0.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -46,6 +54,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def runs(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of LEAST_RUN and more characters, and of what base spans leave of them."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for a, b in spans:
+            if b > at and a < m.end():
+                if a - at >= LEAST_RUN:
+                    yield at, a
+                at = max(at, b)
+        if m.end() - at >= LEAST_RUN:
+            yield at, m.end()
+
+
+def words_of(text: str, spans: list[tuple[int, int]]) -> set[str]:
+    """The distinct runs of a text."""
+    return {text[a:b] for a, b in runs(text, spans)} if spans else set(CANDIDATE.findall(text))
+
+
 def told(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -148,82 +174,147 @@ class Automaton:
         return total
 
 
+def pairs_of(words: Iterable[tuple[str, int]]) -> Counter:
+    """How often a symbol follows another one in words (word, count); a word starts after "^" and ends with "$"."""
+    shapes: Counter = Counter()
+    for word, n in words:
+        shapes[symbols(word)] += n
+    found: Counter = Counter()
+    for shape, n in shapes.items():
+        for pair in zip("^" + shape, shape + "$", strict=True):
+            found[pair] += n
+    return found
+
+
+class Ordinary:
+    """The automaton of ordinary words: one state for each symbol, which leads to those seen after it.
+
+    It has no longer memory on purpose. The words it is fitted on may hold credentials that no rule
+    labels; a state that only these reach would spell them as well as their own automaton does.
+    """
+
+    def __init__(self, pairs: dict[tuple[str, str], int]):
+        following = ALPHABET + "$"
+        self.log: dict[tuple[str, str], float] = {}
+        for c in "^" + ALPHABET:
+            total = sum(pairs.get((c, x), 0) for x in following)
+            for x in following:
+                prior = 1 / len(following) if c == "^" else AGAIN if x == c else (1 - AGAIN) / (len(following) - 1)
+                self.log[c, x] = max(FLOOR, math.log((pairs.get((c, x), 0) + prior) / (total + 1)))
+
+    def likelihood(self, word: str) -> float:
+        """The logarithm of the probability of the word's symbols."""
+        shape = symbols(word)
+        return sum(map(self.log.__getitem__, zip("^" + shape, shape)))
+
+
 class Formats:
-    """The automata of all credential kinds against that of ordinary words. A word that no automaton of
-    a kind can spell is no credential."""
+    """The automata of all credential kinds against that of ordinary words (a list of them, or pairs
+    counted). A word that no automaton of a kind can spell is no credential."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str] | dict[tuple[str, str], int]):
         self.formats = [Automaton(sorted(words)) for _, words in sorted(labelled.items()) if words]
-        self.ordinary = Automaton(sorted(ordinary)) if ordinary else None
+        self.ordinary = Ordinary(ordinary if isinstance(ordinary, dict) else pairs_of((w, 1) for w in ordinary))
+        self.known: dict[str, bool] = {}
 
     def credential(self, word: str) -> bool:
-        if not self.formats or not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+        if not self.formats:
             return False
-        against = self.ordinary.likelihood(word, FLOOR) if self.ordinary else FLOOR * len(word)
-        gain = max(f.likelihood(word) for f in self.formats) - against
+        best = max(f.likelihood(word) for f in self.formats)
+        gain = best - self.ordinary.likelihood(word) if best > -math.inf else best
         return gain >= LEAST_TOTAL and gain >= LEAST_EACH * len(word)
 
+    def added(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(start, end) of the credentials beside the base spans."""
+        if not self.formats:
+            return []
+        words = words_of(text, spans)
+        for word in words - self.known.keys():
+            if len(self.known) >= REMEMBERED:
+                self.known = {}
+            self.known[word] = self.credential(word)
+        if not any(self.known.get(word, True) for word in words):
+            return []
+        return [(a, b) for a, b in runs(text, spans) if self.credential(text[a:b])]
+
+
+def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", most: int = LABELLED) -> Formats:
+    """Automata from a bounded sample of distinct labelled credentials (those of the smallest hashes),
+    and of ordinary words: all runs of all documents, each counted in every document but its first.
+
+    A key that no rule labels is in one document and so says nothing of ordinary words, however many
+    such keys there are. What comes to the driver of the words is a count for each pair of symbols.
+    """
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start:int,kind:int,stop:int,secret:string>>, candidates array<struct<start:int,stop:int,word:string>>"
-
-
-def scan_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("secret", pa.string())]))
-    candidate = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("word", pa.string())]))
+    def rows(kinds: list[int], words: Iterable[str], counts: Iterable[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["kind", "word", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("secrets")
+        words: Counter = Counter()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
-                counts, digests, spans, candidates = [], [], [], []
+                kinds, secrets = [], []
                 for body in batch.column("body").slice(first, 1024).to_pylist():
                     text = body.decode("utf-8", "replace")
                     found = base_spans(text)
-                    kinds = [k for _, k, _, _ in found]
-                    counts.append([kinds.count(k) for k in range(3)])
-                    digests.append(hashlib.sha256(told((a, k, b) for a, k, b, _ in found).encode()).hexdigest())
-                    spans.append([{"start": a, "kind": k, "stop": b, "secret": s} for a, k, b, s in found])
-                    candidates.append([{"start": m.start(), "stop": m.end(), "word": m[0]} for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b, _ in found)])
-                columns = [batch.column("doc_id").slice(first, 1024), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, span), pa.array(candidates, candidate)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "candidates"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(run, SCANNED)
-
+                    kinds += [k for _, k, _, _ in found]
+                    secrets += [s for _, _, _, s in found]
+                    words.update(words_of(text, [(a, b) for a, _, b, _ in found]))
+                yield rows(kinds, secrets, [1] * len(kinds))
+                if len(words) > REMEMBERED:
+                    yield rows([3] * len(words), list(words), list(words.values()))
+                    words.clear()
+        yield rows([3] * len(words), list(words), list(words.values()))
+
+    def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        for batch in batches:
+            pairs.update(pairs_of(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+        yield rows([3] * len(pairs), ["".join(p) for p in pairs], list(pairs.values()))
 
-def learn_formats(scanned: DataFrame, most: int = LABELLED) -> Formats:
-    """Automata from a bounded sample of distinct labelled credentials, and of ordinary words: those
-    of the smallest hashes. The bound is on the fit only; every candidate is scored."""
+    seen = scratch.table(docs.select(text_bytes(text_col).alias("body")).mapInArrow(run, "kind int, word string, n long"), "secrets")
 
     def sample(words: DataFrame) -> list[str]:
         return [r["word"] for r in words.distinct().orderBy(F.xxhash64("word"), "word").limit(most).collect()]
 
-    labels = scanned.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.secret").alias("word"))
-    labelled = {KINDS[k]: sample(labels.filter(F.col("kind") == k).select("word")) for k in range(3)}
-    return Formats(labelled, sample(scanned.select(F.explode("candidates").alias("c")).select("c.word")))
+    labelled = {KINDS[k]: sample(seen.filter(F.col("kind") == k).select("word")) for k in range(3)}
+    words = seen.filter("kind = 3").groupBy("word").agg((F.sum("n") - 1).alias("n")).filter("n > 0")
+    pairs = words.mapInArrow(shapes, "kind int, word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return Formats(labelled, {(r["word"][0], r["word"][1]): r["n"] for r in pairs})
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", formats: Formats | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar of every whole text.
 
-    The base rules label credentials; automata inferred from them then judge every other run of 16
-    and more credential characters, and add spans of kind ``grammar`` (listed last). Null text
-    counts as empty; null ids, ties and repeated rows are rows like any other; an empty table, or
-    one without labelled credentials, gets no added spans; other columns are ignored.
+    The base rules label credentials; automata inferred from them then judge every other run of
+    LEAST_RUN and more credential characters, also what base spans leave of one, and add spans of kind
+    ``grammar`` (listed last). Null text counts as empty; null ids, ties and repeated rows are rows
+    like any other; an empty table, or one without labelled credentials, gets no added spans; other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    scanned = scratch.table(scan_texts(docs, id_col, text_col), "secrets")
-    formats = formats or learn_formats(scanned)
+    formats = formats or learn_formats(docs, scratch, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         for batch in batches:
-            spans, added = [], []
-            for found, others in zip(batch.column("spans").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
-                new = [(c["start"], 3, c["stop"]) for c in others if formats.credential(c["word"])]
-                spans.append(told(sorted([(s["start"], s["kind"], s["stop"]) for s in found] + new)))
-                added.append(len(new))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
+            for first in range(0, batch.num_rows, 1024):
+                counts, digests, spans, added = [], [], [], []
+                for body in batch.column("body").slice(first, 1024).to_pylist():
+                    text = body.decode("utf-8", "replace")
+                    found = [(a, k, b) for a, k, b, _ in base_spans(text)]
+                    kinds = [k for _, k, _ in found]
+                    new = [(a, 3, b) for a, b in formats.added(text, [(a, b) for a, _, b in found])]
+                    counts.append([kinds.count(k) for k in range(3)])
+                    digests.append(hashlib.sha256(told(found).encode()).hexdigest())
+                    spans.append(told(sorted(found + new)))
+                    added.append(len(new))
+                columns = [batch.column("doc_id").slice(first, 1024), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
 
-    return scanned.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,15 +322,14 @@ def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text
 
     The automata are learned from the same documents. Null text stays null.
     """
-    scratch = Scratch(docs.sparkSession)
-    formats = learn_formats(scratch.table(scan_texts(docs, id_col, text_col), "secrets"))
+    formats = learn_formats(docs, Scratch(docs.sparkSession), text_col)
 
     return docs.withColumn(text_col, _arrow_text(lambda text: redacted(text, formats, mark))(F.col(text_col)))
 
 
 def redacted(text: str, formats: Formats, mark: str) -> str:
     base = [(a, b) for a, _, b, _ in base_spans(text)]
-    spans = sorted(base + [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base) and formats.credential(m[0])])
+    spans = sorted(base + formats.added(text, sorted(base)))
     out, at = [], 0
     for a, b in spans:
         if b <= at:
