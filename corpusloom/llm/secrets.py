@@ -205,7 +205,11 @@ class Ordinary:
     def likelihood(self, word: str) -> float:
         """The logarithm of the probability of the word's symbols."""
         shape = symbols(word)
-        return sum(map(self.log.__getitem__, zip("^" + shape, shape)))
+        found = sum(map(self.log.__getitem__, zip("^" + shape, shape)))
+        if len(set(shape)) > 1:
+            return found
+        # a run of one kind of symbols, such as a long number, is ordinary at any length
+        return max(found, self.log["^", shape[0]] + (len(shape) - 1) * math.log(AGAIN))
 
 
 class Formats:
@@ -229,11 +233,12 @@ class Formats:
         if not self.formats:
             return []
         words = words_of(text, spans)
-        for word in words - self.known.keys():
-            if len(self.known) >= REMEMBERED:
-                self.known = {}
-            self.known[word] = self.credential(word)
-        if not any(self.known.get(word, True) for word in words):
+        if len(self.known) >= REMEMBERED:
+            self.known = {}
+        for word in words:
+            if word not in self.known:
+                self.known[word] = self.credential(word)
+        if not any(map(self.known.__getitem__, words)):
             return []
         return [(a, b) for a, b in runs(text, spans) if self.credential(text[a:b])]
 
