@@ -1,15 +1,21 @@
-"""Near-duplicate vectors by collision counting over many one-dimensional projections.
-
-Projections are taken in groups. Vectors whose places agree in every projection of a group share a
-cell; all pairs of a cell are candidates. For a candidate pair, the collisions of all projections are
-counted: places within a window centred on the query's place. A pair passes with as many as a pair
-at the threshold reaches with near certainty (RECALL), and is then verified in double precision.
-Cells of more than PAIRED vectors are not written out as pairs: their vectors are compared block by
-block, in double precision alone.
+"""Near-duplicate vectors by collision counting over many sorted one-dimensional projections.
+
+A group (the vectors of one label and length) is sorted along many random directions, one list for
+each. Two vectors collide in a list when one's place lies in the window centred on the other's. A
+pair is verified in double precision when it collides as often as a pair at the threshold does with
+probability RECALL.
+
+A window along one direction always holds a constant share of a group, so in a group of more than
+FILL vectors each list is sorted within the cells of a few coarse projections of its own: their
+number grows with the logarithm of the group and keeps what a window holds by chance bounded; the
+number of lists grows with it so that the recall stays. Lists of more than CROWD vectors, as dense
+groups and large clusters make them, write out no pairs: all their vectors are compared block by
+block. Where that would be more work than the whole group, the group is compared instead, once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -22,39 +28,65 @@ from .common import Scratch, collect_garbage, mix64, partitions
 from .components import components
 
 COSINE = 0.98
-#: Groups of projections, and projections of each. A pair at the threshold shares a cell of a group
-#: with probability 0.17, so of all groups with 0.9998.
-TABLES, DEPTH = 48, 8
-#: Projections whose window collisions are counted for a candidate pair.
-COUNTED = 32
-#: Half a window, in standard deviations of the places of a pair at the threshold.
-HALF_WINDOW = 2.5
-RECALL = 1 - 1e-6
-#: A cell's width against the standard deviation of a unit vector's place.
-CELL = 0.8
-#: Vectors of a cell whose pairs are written out; a larger cell is compared block by block.
-PAIRED = 16
-#: Vectors of a block when all pairs of a cell or a component are compared.
+RECALL = 1 - 1e-5
+#: Distance of two unit vectors at the threshold. Along a random direction of a space of D dimensions
+#: their places differ with standard deviation APART / sqrt(D); places are given times sqrt(D).
+APART = math.sqrt(2 * (1 - COSINE))
+#: Half a window, and the width of a coarse cell.
+HALF_WINDOW = 2.5 * APART
+CELL = 4 * APART
+#: Unrelated vectors that a list holds on average, at most.
+FILL = 8
+#: A pair is verified from this many collisions on.
+NEED = 3
+#: Vectors of a list whose window collisions are written out as pairs.
+CROWD = 128
+#: Vectors of a block when all pairs of a group are compared.
 BLOCK = 2048
 
 
-def directions(dim: int, n: int) -> np.ndarray:
-    """n random unit directions, the same in every task."""
-    found = np.random.default_rng(20_240_611 + dim).standard_normal((n, dim))
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+def _agree(apart: float) -> float:
+    """The chance that two places which differ by a normal number of this deviation share a coarse
+    cell of random offset."""
+    x = (np.arange(4000) + 0.5) / 4000 * CELL
+    density = np.exp(-0.5 * (x / apart) ** 2) / (apart * math.sqrt(2 * math.pi))
+    return float(2 * ((1 - x / CELL) * density).sum() * CELL / 4000)
 
 
-def least_count(n: int = COUNTED, half: float = HALF_WINDOW, recall: float = RECALL) -> int:
-    """The largest count that a pair at the threshold reaches with probability ``recall``."""
-    p = math.erf(half / math.sqrt(2))
-    miss = 0.0
-    for k in range(n + 1):
-        miss += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if miss > 1 - recall:
-            return k
+def depth_of(n: int) -> int:
+    """Coarse projections of each list in a group of n vectors."""
+    return max(0, math.ceil(math.log(max(n, 1) / FILL) / -math.log(_agree(math.sqrt(2)))))
+
+
+def collision_chance(depth: int) -> float:
+    """The chance that a pair at the threshold collides in a list."""
+    return _agree(APART) ** depth * math.erf(HALF_WINDOW / APART / math.sqrt(2))
+
+
+@functools.lru_cache(maxsize=64)
+def lists_of(depth: int) -> int:
+    """The least number of lists in which a pair at the threshold collides NEED times with probability RECALL."""
+    p, n = collision_chance(depth), NEED
+    while sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(NEED)) > 1 - RECALL:
+        n += 1
     return n
 
 
+@functools.lru_cache(maxsize=16)
+def directions(dim: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit directions times sqrt(dim), the same in every task: (lists, depth + 1, dim), the
+    last of each list is the one it is sorted by; and the offsets of the coarse cells."""
+    g = np.random.default_rng([20_240_611, dim, depth])
+    found = g.standard_normal((lists_of(depth), depth + 1, dim))
+    return found / np.linalg.norm(found, axis=2, keepdims=True) * math.sqrt(dim), g.random((lists_of(depth), depth))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(-1, keepdims=True)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
 def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, unit vectors in double precision) by length."""
     values, ends = column.values.to_numpy(zero_copy_only=False).astype(np.float64), column.offsets.to_numpy()
@@ -62,55 +94,79 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for dim in np.unique(sizes):
         rows = np.flatnonzero(sizes == dim)
-        x = values[ends[rows][:, None] + np.arange(dim)]
-        out.append((rows, x / np.linalg.norm(x, axis=1, keepdims=True)))
+        out.append((rows, units(values[ends[rows][:, None] + np.arange(dim)])))
     return out
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """(cell, cls): the cells of each vector, one for each group of projections."""
+def _lists(classes: DataFrame) -> DataFrame:
+    """(list, place, grp, cls): the list of each direction that a vector is in, and its place there.
+    Rows (grp, size, cls, e); size is that of the group."""
+
+    def told(part: pa.RecordBatch, depth: int) -> Iterator[pa.RecordBatch]:
+        grp, cls = part.column("grp").to_numpy(), part.column("cls").to_numpy()
+        for rows, unit in _matrix(part.column("e")):
+            ways, offsets = directions(unit.shape[1], depth)
+            seed = mix64(grp[rows].view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+            for t in range(len(ways)):
+                place = unit @ ways[t].T
+                key = mix64(seed + np.uint64(t))
+                for cell in np.floor(place[:, :depth] / CELL + offsets[t]).astype(np.int64).view(np.uint64).T:
+                    key = mix64(key ^ (cell * np.uint64(0xD1342543DE82EF95)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place[:, depth]), pa.array(grp[rows]), pa.array(cls[rows])], names=["list", "place", "grp", "cls"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                label = part.column("label").to_numpy().astype(np.uint64)
-                cls = part.column("cls").to_numpy()
-                for rows, unit in _matrix(part.column("e")):
-                    dim = unit.shape[1]
-                    width = CELL / math.sqrt(dim)
-                    shift = np.random.default_rng(7 + dim).random(TABLES * DEPTH)
-                    place = np.floor(unit @ directions(dim, TABLES * DEPTH).T / width + shift).astype(np.int64).view(np.uint64)
-                    for t in range(TABLES):
-                        key = mix64(label[rows] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t * 100_003 + dim))
-                        for k in range(DEPTH):
-                            key = mix64(key ^ (place[:, t * DEPTH + k] * np.uint64(0xD1342543DE82EF95)))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[rows])], names=["cell", "cls"])
-
-    return classes.select("label", "cls", "e").mapInArrow(run, "cell long, cls long")
+                depth = np.array([depth_of(n) for n in part.column("size").to_pylist()])
+                for d in np.unique(depth).tolist():
+                    yield from told(part.filter(pa.array(depth == d)), d)
+
+    return classes.select("grp", "size", "cls", "e").mapInArrow(run, "list long, place double, grp long, cls long")
+
+
+def window_pairs(lists: np.ndarray, place: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that collide, the smaller class first. Rows are sorted by list and place: each looks
+    along the order until its window or its list ends."""
+    a, b = [], []
+    at, step = np.arange(len(lists)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(lists)]
+        at = at[(lists[at] == lists[at + step]) & (place[at + step] - place[at] <= HALF_WINDOW)]
+        a.append(np.minimum(cls[at], cls[at + step]))
+        b.append(np.maximum(cls[at], cls[at + step]))
+    return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+
+
+def _collisions(sparse: DataFrame) -> DataFrame:
+    """(a, b), once for each list in which the two collide. Rows (list, place, cls)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("list", "place", "cls"), strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            if done:  # the last list may go on in the next batch
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in window_pairs(*(x[:done] for x in held))], names=["a", "b"])
+                held = [x[done:] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in window_pairs(*held)], names=["a", "b"])
+
+    parts = partitions(sparse.sparkSession)
+    return sparse.select("list", "place", "cls").repartition(parts, "list").sortWithinPartitions("list", "place").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows (a, b, x, y) that pass the collision count and the cosine."""
-    need = least_count()
+    """The linked pairs (a, b) of rows (a, b, x, y)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 keep = np.zeros(part.num_rows, bool)
-                other = dict(enumerate(_matrix(part.column("y"))))
-                for rows, x in _matrix(part.column("x")):
-                    for rows_y, unit in other.values():
-                        both, i, j = np.intersect1d(rows, rows_y, return_indices=True)
-                        dim = x.shape[1]
-                        if not len(both) or unit.shape[1] != dim:
-                            continue
-                        u, v = x[i], unit[j]
-                        half = HALF_WINDOW * math.sqrt(2 * (1 - COSINE) / dim)
-                        place = (u - v) @ directions(dim, COUNTED).T
-                        counted = (np.abs(place) <= half).sum(1) >= need
-                        keep[both] = counted & ((u * v).sum(1) >= COSINE)
+                # both vectors of a pair are of one group, so of one length
+                for (rows, x), (_, y) in zip(_matrix(part.column("x")), _matrix(part.column("y")), strict=True):
+                    keep[rows] = (x * y).sum(1) >= COSINE
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -136,8 +192,7 @@ def _by_task(dealt: DataFrame, flush, schema: str) -> DataFrame:
         side = np.array([r[0] for r in rows])
         cls = np.array([r[1] for r in rows], np.int64)
         weight = np.array([r[2] for r in rows], np.float64)
-        unit = np.array([r[3] for r in rows], np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = units(np.array([r[3] for r in rows], np.float64))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flush(side, cls, weight, unit)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +243,8 @@ def connected(side: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked_in_cells(members: DataFrame) -> DataFrame:
-    """(a, b): what connects the linked vectors of each large cell. Rows (cell, total, cls, n, e)."""
+def _linked_in_blocks(members: DataFrame) -> DataFrame:
+    """(a, b): what connects the linked vectors of each crowd. Rows (crowd, total, cls, n, e)."""
 
     def flush(side: np.ndarray, cls: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = connected(side, unit)
@@ -197,7 +252,7 @@ def _linked_in_cells(members: DataFrame) -> DataFrame:
         return cls[root[other]], cls[other]
 
     # both orders of two blocks give the same pairs: the second is left out
-    one = _dealt(members, "cell").filter("side = 2 or split(task, '/')[1] < split(task, '/')[2]")
+    one = _dealt(members, "crowd").filter("side = 2 or split(task, '/')[1] < split(task, '/')[2]")
     return _by_task(one, flush, "a long, b long").distinct()
 
 
@@ -218,19 +273,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("e")).withColumn("fit", F.coalesce(fit, F.lit(False)))
     rows = rows.withColumn("cls", F.xxhash64("label", "e"))
     named = scratch.table(rows.select("vec_id", "fit", "cls"), "named")
-    classes = scratch.table(rows.filter("fit").groupBy("cls").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.first("e").alias("e")), "classes")
-
-    cells = scratch.table(_cells(classes), "cells")
-    totals = scratch.table(cells.groupBy("cell").agg(F.count("*").alias("total")).filter("total > 1"), "totals")
-    shared = scratch.table(cells.join(totals, "cell"), "shared")
-    scratch.drop(cells)
-    scratch.drop(totals)
-    few = shared.filter(F.col("total") <= PAIRED)
-    pairs = scratch.table(few.select("cell", F.col("cls").alias("a")).join(few.select("cell", F.col("cls").alias("b")), "cell").filter("a < b").select("a", "b").distinct(), "pairs")
+    group = F.xxhash64("label", F.size("e"))
+    classes = scratch.table(rows.filter("fit").groupBy("cls").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.first("e").alias("e")).select("cls", "n", "e", group.alias("grp")), "classes")
+
+    sizes = scratch.table(classes.groupBy("grp").agg(F.count("*").alias("size")), "groups")
+    lists = scratch.table(_lists(classes.join(sizes, "grp")), "lists")
+    crowds = scratch.table(lists.groupBy("list").agg(F.count("*").alias("total"), F.min("grp").alias("grp")).filter(F.col("total") > CROWD), "crowds")
+    dense = scratch.table(crowds.groupBy("grp").agg(F.sum(F.col("total") * F.col("total")).alias("work")).join(sizes, "grp").filter(F.col("work") >= F.col("size") * F.col("size")).select("grp", "size"), "dense")
+    sparse = lists.join(crowds.select("list"), "list", "left_anti").join(dense.select("grp"), "grp", "left_anti")
+    counted = scratch.table(_collisions(sparse).groupBy("a", "b").agg(F.count("*").alias("met")).filter(F.col("met") >= NEED).select("a", "b"), "counted")
     collect_garbage(spark)
-    sides = pairs.join(classes.select(F.col("cls").alias("a"), F.col("e").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("e").alias("y")), "b")
-    many = shared.filter(F.col("total") > PAIRED).join(classes.select("cls", "n", "e"), "cls")
-    found = scratch.table(_verified(sides).unionAll(_linked_in_cells(many)), "found")
+    sides = counted.join(classes.select(F.col("cls").alias("a"), F.col("e").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("e").alias("y")), "b")
+    some = lists.join(crowds.select("list", "total"), "list").join(dense.select("grp"), "grp", "left_anti").select(F.col("list").alias("crowd"), "total", "cls").join(classes.select("cls", "n", "e"), "cls")
+    whole = dense.join(classes, "grp").select(F.col("grp").alias("crowd"), F.col("size").alias("total"), "cls", "n", "e")
+    found = scratch.table(_verified(sides).unionAll(_linked_in_blocks(some.unionByName(whole))), "found")
+    scratch.drop(lists)
     roots = scratch.table(components(scratch, found, "near"), "roots")
 
     # all pairs of a component are compared

@@ -127,60 +127,109 @@ def test_kneser_ney_sums_to_one():
 # 2 embeddings
 
 
-def test_embeddings_equal_brute_force(spark):
-    g = np.random.default_rng(2)
-    rows = []
-    for c in range(40):
-        center = g.standard_normal(64)
-        for k in range(g.integers(1, 12)):
-            v = center + g.standard_normal(64) * g.choice([0, 0.05, 0.1, 0.15])
-            rows.append((len(rows), [float(np.float32(x)) for x in v], int(c % 3), "x", "y"))
-    rows += [(len(rows), None, 1, "x", "y"), (len(rows) + 1, [0.0] * 64, 1, "x", "y"), (len(rows) + 2, [float("nan")] * 64, 1, "x", "y"), (len(rows) + 3, [None, 1.0], 1, "x", "y"), (len(rows) + 4, rows[0][1], None, "x", "y"), (len(rows) + 5, [], 1, "x", "y"), (len(rows) + 6, [2.0, 1.0], 1, "x", "y"), (len(rows) + 7, [4.0, 2.0], 1, "x", "y")]
-    got = by_id(embedding_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<float>, label int, cls string, n string")).collect())
+def links_by_hand(rows, dim=None):
+    """n_links and component of (id, vector, label) rows by comparing all pairs."""
     good = {i: np.array(v, float) for i, v, label, *_ in rows if v and None not in v and label is not None and np.isfinite(np.array(v, float)).all() and np.any(v)}
     label = {r[0]: r[2] for r in rows}
     near = defaultdict(set)
-    for a, b in itertools.combinations(good, 2):
-        if label[a] == label[b] and len(good[a]) == len(good[b]) and good[a] @ good[b] / (np.linalg.norm(good[a]) * np.linalg.norm(good[b])) >= 0.98:
-            near[a].add(b)
-            near[b].add(a)
+    groups = defaultdict(list)
+    for i, v in good.items():
+        groups[label[i], len(v)].append(i)
+    for ids in groups.values():
+        x = np.array([good[i] / np.abs(good[i]).max() for i in ids])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for a, b in zip(*np.nonzero(x @ x.T >= 0.98), strict=True):
+            if a != b:
+                near[ids[a]].add(ids[b])
+    want = {}
     for i, *_ in rows:
         seen, todo = {i}, [i]
         while todo:
             for j in near[todo.pop()] - seen:
                 seen.add(j)
                 todo.append(j)
-        assert got[i] == (i, len(near[i]), min(seen), i == min(seen))
+        want[i] = (i, len(near[i]), min(seen), i == min(seen))
+    return want
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
-def test_dense_label_equals_brute_force(spark, monkeypatch):
-    """Pairs that share a cell with a smaller class that neither is linked with."""
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 512)
+
+def twins(base, cosine, r):
+    """One vector for each of ``base`` at the given cosine to it."""
+    side = r.standard_normal(base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    return cosine * base + np.sqrt(1 - cosine**2) * side
+
+
+def test_embeddings_equal_brute_force(spark):
+    g = np.random.default_rng(2)
+    rows = []
+    for c in range(40):
+        center = g.standard_normal(64)
+        for k in range(g.integers(1, 12)):
+            v = center + g.standard_normal(64) * g.choice([0, 0.05, 0.1, 0.15])
+            rows.append((len(rows), [float(np.float32(x)) for x in v], int(c % 3), "x", "y"))
+    odd = [(None, 1), ([0.0] * 64, 1), ([float("nan")] * 64, 1), ([None, 1.0], 1), (rows[0][1], None), ([], 1), ([1e200, 2e200], 1), ([2e200, 4e200], 1), ([1e-300, 2e-300], 1), ([3.0], 1), ([5.0], 1), ([-5.0], 1)]
+    rows += [(len(rows) + k, v, label, "x", "y") for k, (v, label) in enumerate(odd)]
+    got = by_id(embedding_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int, cls string, n string")).collect())
+    assert got == links_by_hand(rows)
+
+
+def test_sparse_label_equals_brute_force(spark):
+    """Pairs around the threshold among thousands of unrelated vectors: all come through collision counts."""
+    r = np.random.default_rng(5)
+    base = unit(r.standard_normal((1500, 64)))
+    x = np.concatenate([base, twins(base[:300], 0.981, r), twins(base[300:500], 0.9801, r), twins(base[500:700], 0.979, r)])
+    assert embedding_dedup.depth_of(len(x)) >= 3
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    assert by_id(embedding_dedup.near_duplicates(frame(spark, rows, VECTORS)).collect()) == links_by_hand(rows)
+
+
+@pytest.mark.parametrize("crowd", [16, 128, 10_000])
+def test_dense_label_equals_brute_force(spark, monkeypatch, crowd):
+    """Base pairs at cosine 0.96 to 0.975, each with a twin at 0.981 to 0.99; by blocks, by lists and blocks, by lists alone."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 256)
+    monkeypatch.setattr(embedding_dedup, "CROWD", crowd)
     r = np.random.default_rng(8)
-    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     middle = unit(r.standard_normal(64))
-    dense = unit(np.sqrt(0.9) * middle + np.sqrt(0.1) * unit(r.standard_normal((2500, 64))))
-    copies = unit(dense[:300] + 0.17 * unit(r.standard_normal((300, 64))))
-    x = np.concatenate([dense, copies]).astype(np.float32)
-    got = by_id(embedding_dedup.near_duplicates(frame(spark, [(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect())
-    u = unit(x.astype(np.float64))
-    near = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
-    want = near.sum(1)
-    assert 250 < (want[2500:] > 0).sum()
-    assert [got[k][1] for k in range(len(x))] == want.tolist()
+    dense = np.sqrt(0.968) * middle + np.sqrt(0.032) * unit(r.standard_normal((450, 64)))
+    x = np.concatenate([dense, twins(unit(dense), 0.9855, r)])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    got = by_id(embedding_dedup.near_duplicates(frame(spark, rows, VECTORS)).collect())
+    want = links_by_hand(rows)
+    assert sum(w[1] for w in want.values()) >= 900
+    assert got == want
 
 
 def test_collision_count_is_calibrated():
+    """Pairs at the threshold reach the count, at every depth; so does the estimate of its chance hold."""
     g = np.random.default_rng(4)
-    u = g.standard_normal((4000, 64))
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    w = g.standard_normal((4000, 64))
-    w -= (w * u).sum(1, keepdims=True) * u
-    w /= np.linalg.norm(w, axis=1, keepdims=True)
-    v = 0.98 * u + (1 - 0.98**2) ** 0.5 * w
-    half = embedding_dedup.HALF_WINDOW * (2 * 0.02 / 64) ** 0.5
-    counts = (np.abs((u - v) @ embedding_dedup.directions(64, embedding_dedup.COUNTED).T) <= half).sum(1)
-    assert (counts >= embedding_dedup.least_count()).mean() > 0.999
+    u = unit(g.standard_normal((3000, 64)))
+    v = twins(u, 0.98, g)
+    for depth in (0, 2, 5):
+        ways, offsets = embedding_dedup.directions(64, depth)
+        met = np.zeros(len(u), int)
+        for t in range(len(ways)):
+            a, b = u @ ways[t].T, v @ ways[t].T
+            cell = lambda x, t=t: np.floor(x[:, :depth] / embedding_dedup.CELL + offsets[t])
+            met += (cell(a) == cell(b)).all(1) & (np.abs(a[:, depth] - b[:, depth]) <= embedding_dedup.HALF_WINDOW)
+        assert (met >= embedding_dedup.NEED).mean() >= 0.999
+        assert met.mean() / len(ways) == pytest.approx(embedding_dedup.collision_chance(depth), rel=0.05)
+
+
+def test_windows_are_centred_on_the_query():
+    r = np.random.default_rng(1)
+    lists, place = np.sort(r.integers(0, 5, 200)), r.random(200) * 2
+    order = np.lexsort((place, lists))
+    lists, place, cls = lists[order], place[order], np.arange(200)
+    a, b = embedding_dedup.window_pairs(lists, place, cls)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if lists[i] == lists[j] and abs(place[i] - place[j]) <= embedding_dedup.HALF_WINDOW}
+    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
 # 3 secrets
