@@ -8,11 +8,15 @@ words in use than that must share one with every partner (pigeonhole), in the sa
 
 Words in use that nobody else has count against that bound, so a first pass over word counts alone
 leaves only documents that can have a partner. Their shared words give candidate groups, and in
-each group the sets themselves are compared.
+each group the sets themselves are compared; a link counts when the words themselves confirm it, so
+no collision of hashes links two texts. A set of which, against all likelihood, no more words are in
+use than its bound is joined on its shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,9 +32,9 @@ WIDTH = 5
 PERCENT = 75
 #: Words that more documents share are left to those that could not spare them.
 HOT = 32
-#: Shingles of a candidate group that one task compares. A larger group is dealt out by size bands, and
-#: a band that is still larger as pairs of blocks.
-GROUP = 4_000_000
+#: Shingles (or 8-byte stretches of text, if more) of a candidate group that one task compares. A larger
+#: group is dealt out by size bands, and a band that is still larger as pairs of blocks.
+GROUP = 400_000
 #: Width of those bands: a little above 100 / PERCENT, so partners lie in one band or in neighbours.
 BAND = 1.34
 
@@ -39,44 +43,57 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_POWERS: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time; longer words go through BLAKE2.
+_INLINE = 64
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIXERS = mix64(np.arange(1000, 1000 + WIDTH, dtype=np.uint64)) | _U(1)
+#: Bytes of packed rows that a task of the packed steps gets on average, at most.
+PACKED = 64 << 20
 SIGNATURE = np.dtype([("key", "<u4"), ("cls", "<u8")])
 COUNT = np.dtype([("cls", "<u8"), ("n", "<u4")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    claim("ngram_join", _POWERS.clear)
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 21)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word and the row it is in."""
+    """A 64-bit hash of every word and the row it is in.
+
+    Each eight bytes are mixed into the state by a bijection that is not linear, so words of up to
+    eight bytes never collide and no algebra makes longer ones collide.
+    """
+    claim("ngram_join")
     n = len(offsets) - 1
     size = len(raw) + n
-    data = np.full(size, 0x20, np.uint8)
+    data = np.full(size + 8, 0x20, np.uint8)
     inner = np.ones(size, bool)
     inner[offsets[1:] + np.arange(n)] = False
-    data[inner] = raw
-    letter = ~_SPACE[data]
+    data[:size][inner] = _LOWER[raw]
+    letter = ~_SPACE[data[:size]]
     edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_VALUE[_LOWER[data]] * up[:size], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    length = ends - starts
+    eight = np.ndarray((size + 1,), "<u8", data, 0, (1,))  # the eight bytes from each place on
+    hashes = mix64((eight[starts] & _MASK[np.minimum(length, 8)]) ^ mix64(length.astype(np.uint64) + _U(0x2545F4914F6CDD1D)))
+    for k in range(8, _INLINE, 8):
+        more = np.flatnonzero(length > k)
+        if not len(more):
+            break
+        hashes[more] = mix64(hashes[more] * _U(0x9E3779B97F4A7C15) ^ (eight[starts[more] + k] & _MASK[np.minimum(length[more] - k, 8)]))
+    for k in np.flatnonzero(length > _INLINE).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     rows = np.searchsorted(offsets[1:] + np.arange(n), starts, side="left")
     return hashes, rows
 
 
+def _chain(words: list[np.ndarray]) -> np.ndarray:
+    """One hash for the words at each place, in order."""
+    code = np.full(len(words[0]), len(words), np.uint64)
+    for word, factor in zip(words, _MIXERS, strict=False):
+        code = (code ^ word) * factor
+        code ^= code >> _U(29)
+    return mix64(code)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all rows, sorted in each row, and the offsets of the rows."""
     n = len(offsets) - 1
@@ -88,14 +105,12 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     out = np.zeros(int(out_at[-1]), np.uint64)
     if len(words) >= WIDTH:
         last = len(words) - WIDTH + 1
-        code = np.zeros(last, np.uint64)
-        for k in range(WIDTH):
-            code += words[k : k + last] * _MIXERS[k]
+        code = _chain([words[k : k + last] for k in range(WIDTH)])
         whole = rows[:last] == rows[WIDTH - 1 :]
-        out[np.repeat(counts >= WIDTH, sizes)] = mix64(code[whole])
+        out[np.repeat(counts >= WIDTH, sizes)] = code[whole]
     for r in np.flatnonzero((counts > 0) & (counts < WIDTH)).tolist():
         some = words[firsts[r] : firsts[r + 1]]
-        out[out_at[r]] = mix64((some * _MIXERS[: len(some)]).sum(dtype=np.uint64, keepdims=True) + _U(len(some)))[0]
+        out[out_at[r]] = _chain([some[k : k + 1] for k in range(len(some))])[0]
     for r in np.flatnonzero(sizes > 1).tolist():
         out[out_at[r] : out_at[r + 1]].sort()
     row = np.repeat(np.arange(n), sizes)
@@ -104,22 +119,35 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out[first], np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=n))])
 
 
+def word_shingles(body: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as the words themselves."""
+    words = _WORD.findall(body.translate(_LOWER.tobytes()))
+    if len(words) < WIDTH:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(WIDTH)), strict=False))
+
+
+def _sums(tokens: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    total = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(mix64(tokens ^ _U(salt)), out=total[1:])
+    return mix64((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+
+
 def set_classes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One name for each set, a 64-bit hash whose last bit is 0; equal sets have equal names."""
-    n = len(at) - 1
-    mixed = mix64(tokens ^ _U(0xA24BAED4963EE407))
-    total = np.zeros(len(mixed) + 1, np.uint64)
-    np.cumsum(mixed, out=total[1:])
-    if not n:
-        return np.zeros(0, np.uint64)
-    return mix64((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64) * _U(0x9FB21C651E98DF25)) & ~_U(1)
+    return _sums(tokens, at, 0xA24BAED4963EE407) & ~_U(1)
+
+
+def set_checks(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second hash of each set: sets are equal where both hashes are."""
+    return _sums(tokens, at, 0x5DEECE66D1234567)
 
 
 def words_of_band(band: np.ndarray) -> np.ndarray:
     """Words in a sketch of band k (sizes 2**k to 2**(k+1) - 1): enough that, of the words of a set,
-    more are in use than its largest symmetric difference."""
+    more are in use than its largest symmetric difference. Small sets have a word for each shingle."""
     top = 2 << band.astype(np.int64)
-    return np.where(top <= 128, 2 * top, top // 2)
+    return np.select([top <= 8, top <= 16, top <= 128], [np.int64(1 << 40), 64 * top, 4 * top], top // 2)
 
 
 def sketch(tokens: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +179,19 @@ def sketch(tokens: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray,
 
 
 def _digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, own, lower) of every document: also the words in use in its sketches."""
+    """(key, doc_id, n_shingles, cls, check, weight, own, lower) of every document: its set's two names,
+    what comparing it weighs, and the words in use in its sketches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "body", 2 << 20):
-                tokens, at = shingle_sets(*flat_bytes(part.column("body")))
+                raw, offsets = flat_bytes(part.column("body"))
+                tokens, at = shingle_sets(raw, offsets)
                 used = [np.bincount(sketch(tokens, at, lower)[1], minlength=part.num_rows) for lower in (False, True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_classes(tokens, at).view(np.int64)), *map(pa.array, used)], names=["doc_id", "n_shingles", "cls", "own", "lower"])
+                names = [f(tokens, at).view(np.int64) for f in (set_classes, set_checks)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *map(pa.array, (np.diff(at), *names, np.maximum(np.diff(at), np.diff(offsets) >> 3), *used))], names=["key", "doc_id", "n_shingles", "cls", "check", "weight", "own", "lower"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, own long, lower long")
+    return docs.mapInArrow(run, "key long, doc_id long, n_shingles long, cls long, check long, weight long, own long, lower long")
 
 
 def _signatures(docs: DataFrame, parts: int) -> DataFrame:
@@ -227,13 +258,36 @@ def _word_counts(signatures: DataFrame, parts: int, least: int) -> DataFrame:
     return signatures.groupBy("part").applyInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "cls long, n long")
 
 
+def _bound(is_lower):
+    """The largest symmetric difference with a partner, of whose sizes one at most is known: the set's
+    own, or for partners in the next lower band the largest size there."""
+    below = F.expr("shiftleft(1L, length(bin(n_shingles)) - 1) - 1")
+    return (F.when(is_lower, below).otherwise(F.col("n_shingles")) * (100 - PERCENT) / PERCENT).cast("long")
+
+
 def _bound_by(sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """The sets of which, in one of their bands, at most the largest symmetric difference that a
-    partner can have (size * (100 - PERCENT) / PERCENT) are words outside the counted ones."""
-    bound = (F.col("n_shingles") * (100 - PERCENT) / PERCENT).cast("long")
+    """The sets of which, in one of their bands, at most as many words are outside the counted ones as
+    the symmetric difference with a partner can have."""
     found = counts.select(F.col("cls").bitwiseAND(F.lit(-2)).alias("cls"), (F.col("cls").bitwiseAND(F.lit(1)) == 1).alias("is_lower"), "n")
     rest = F.when(F.col("is_lower"), F.col("lower")).otherwise(F.col("own")) - F.col("n")
-    return sets.join(found, "cls").filter(rest <= bound).select(*sets.columns).distinct()
+    return sets.join(found, "cls").filter(rest <= _bound(F.col("is_lower"))).select(*sets.columns).distinct()
+
+
+def _by_shingles(texts: DataFrame, one: DataFrame, unsure: DataFrame) -> DataFrame:
+    """(a, b): each unsure set and the sets that share one of its first shingles, as many as one more
+    than it can lack in a partner."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body", 2 << 20):
+                tokens, at = shingle_sets(*flat_bytes(part.column("body")))
+                sizes = np.diff(at)
+                rank = np.arange(len(tokens)) - np.repeat(at[:-1], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.view(np.int64), np.repeat(set_classes(tokens, at).view(np.int64), sizes), rank, np.repeat(sizes, sizes))], names=["token", "cls", "rank", "size"])
+
+    rows = texts.join(one.select("key"), "key").select("body").mapInArrow(run, "token long, cls long, rank long, size long")
+    asks = rows.join(unsure.select("cls"), "cls").filter(F.col("rank") <= F.col("size") * (100 - PERCENT) / PERCENT).select("token", F.col("cls").alias("a"))
+    return rows.select("token", F.col("cls").alias("b")).join(asks, "token").filter("a <> b").select("a", "b").distinct()
 
 
 def _stars(signatures: DataFrame, parts: int, most: int | None) -> DataFrame:
@@ -257,12 +311,19 @@ def _stars(signatures: DataFrame, parts: int, most: int | None) -> DataFrame:
     return signatures.groupBy("part").applyInArrow(link, "part int, blob binary").groupBy("part").applyInArrow(once, "a long, b long")
 
 
-def link_sets(sets: list[np.ndarray]) -> np.ndarray:
+def link_sets(sets: list[np.ndarray], bodies: list[bytes]) -> np.ndarray:
     """For each set the number of the first set that it is linked to, directly or through others.
 
     Exact: two sets with enough in common share one of their rarest shingles (prefix filter); such
-    pairs are compared unless they are connected already.
+    pairs are compared unless they are connected already, and what the hashes link is compared in words.
     """
+    said: dict[int, set] = {}
+
+    def words(x: int) -> set:
+        if x not in said:
+            said[x] = word_shingles(bodies[x])
+        return said[x]
+
     n = len(sets)
     root = np.arange(n)
     if n < 2:
@@ -275,7 +336,10 @@ def link_sets(sets: list[np.ndarray]) -> np.ndarray:
             return False
         at = np.searchsorted(sets[large], sets[small])
         both = int((sets[large][np.minimum(at, sizes[large] - 1)] == sets[small]).sum())
-        return 100 * both >= PERCENT * int(sizes[x] + sizes[y] - both)
+        if 100 * both < PERCENT * int(sizes[x] + sizes[y] - both):
+            return False
+        both = len(words(x) & words(y))
+        return 100 * both >= PERCENT * (len(words(x)) + len(words(y)) - both)
 
     if n == 2:
         return np.array([0, 0 if linked(0, 1) else 1])
@@ -306,48 +370,38 @@ def link_sets(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def _token_rows(docs: DataFrame) -> DataFrame:
-    """(cls, tokens) of documents."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "body", 2 << 20):
-                tokens, at = shingle_sets(*flat_bytes(part.column("body")))
-                cuts = [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_classes(tokens, at).view(np.int64)), pa.array(cuts, pa.binary()), part.column("root")], names=["cls", "tokens", "root"])
-
-    return docs.mapInArrow(run, "cls long, tokens binary, root string")
-
-
 def _compare(groups: DataFrame) -> DataFrame:
-    """(a, b): links that connect what is linked in each group. Rows (cls, tokens, root)."""
+    """(a, b): links that connect what is linked in each group. Rows (task, body)."""
 
-    def flush(rows: list[tuple[int, bytes]]) -> tuple[list[int], list[int]]:
-        rows = list(dict(rows).items())
-        root = link_sets([np.frombuffer(t, np.uint64) for _, t in rows])
-        linked = [(k, int(r)) for k, r in enumerate(root) if k != r]
-        return [rows[k][0] for k, _ in linked], [rows[r][0] for _, r in linked]
+    def flush(bodies: list[bytes]) -> tuple[list[int], list[int]]:
+        tokens, at = shingle_sets(*flat_bytes(pa.array(bodies, pa.large_binary())))
+        names = set_classes(tokens, at).view(np.int64)
+        one = np.unique(names, return_index=True)[1].tolist()
+        root = link_sets([tokens[at[k] : at[k + 1]] for k in one], [bodies[k] for k in one])
+        linked = [(one[k], one[int(r)]) for k, r in enumerate(root) if k != r]
+        return names[[k for k, _ in linked]].tolist(), names[[r for _, r in linked]].tolist()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         a: list[int] = []
         b: list[int] = []
         for batch in batches:
-            for root, cls, tokens in zip(batch.column("root").to_pylist(), batch.column("cls").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if root != now:
+            for task, body in zip(batch.column("task").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if task != now and rows:
                     x, y = flush(rows)
                     a += x
                     b += y
-                    now, rows = root, []
-                rows.append((cls, tokens))
+                    rows = []
+                now = task
+                rows.append(body)
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
                 a, b = [], []
-        x, y = flush(rows)
+        x, y = flush(rows) if rows else ([], [])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a + x, pa.int64()), "b": pa.array(b + y, pa.int64())})
 
     parts = partitions(groups.sparkSession)
-    return groups.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(run, "a long, b long")
+    return groups.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,58 +409,72 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Two documents are linked when 100 * intersection >= 75 * union of their sets of five-word
     shingles; component_id is the smallest doc_id reachable. Null texts and texts without words are
-    empty sets, linked with nothing. A row with a null doc_id is linked with equal sets only, and
-    its component is the smallest id linked with it (null if none); equal texts and repeated rows
-    are one set; an empty table gives an empty result; other columns are ignored.
+    empty sets, linked with nothing. A row with a null doc_id is linked like any other, and its
+    component is the smallest id reachable (null if none); equal texts and repeated rows are one set;
+    an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    parts = partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
+    # a row is found again by its id, one without an id by its text
+    body = text_bytes(text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(body)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
     digest = scratch.table(_digest(texts), "sets")
-    one = digest.filter("n_shingles > 2 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.max(c).alias(c) for c in ("n_shingles", "own", "lower")))
+    one = digest.filter("n_shingles > 2").groupBy("cls").agg(F.min(F.struct("check", "key")).alias("rep"), *(F.max(c).alias(c) for c in ("n_shingles", "weight", "own", "lower"))).select("cls", "rep.check", "rep.key", "n_shingles", "weight", "own", "lower")
+    words = digest.agg(F.sum(F.col("own") + F.col("lower"))).first()[0] or 0
+    parts = max(partitions(spark), -(-words * SIGNATURE.itemsize // PACKED))
 
     counts = scratch.table(_word_counts(_signatures(texts.select("body"), parts), parts, 2), "shared")
     collect_garbage(spark)
     alive = scratch.table(_bound_by(one, counts), "alive")
     scratch.drop(counts)
-    # the list of ids grows with the corpus: it is never broadcast, small tables are joined alike
-    some = scratch.table(texts.join(alive.select("doc_id").hint("merge"), "doc_id"), "texts")
+    unsure = one.filter((F.col("own") <= _bound(F.lit(False))) | ((F.col("lower") > 0) & (F.col("lower") <= _bound(F.lit(True)))))
+    extra = None
+    if not unsure.isEmpty():
+        extra = scratch.table(_by_shingles(texts, one, unsure), "extra")
+        met = extra.select(F.col("a").alias("cls")).unionAll(extra.select(F.col("b").alias("cls"))).distinct()
+        alive = scratch.table(alive.unionByName(one.join(met, "cls").select(*alive.columns)).distinct(), "alive")
+    # the list of keys grows with the corpus: it is merged at every size, never broadcast
+    some = scratch.table(texts.join(alive.select("key").hint("merge"), "key").select("key", "body"), "texts")
     collect_garbage(spark)
     first = _signatures(some.select("body"), parts)
     stars = _stars(first, parts, HOT)
     # a set with more words outside the hot ones than that is found through those
-    held = scratch.table(_bound_by(alive, _word_counts(first, parts, HOT + 1)).select("doc_id"), "held")
-    more = _stars(_signatures(some.join(held, "doc_id").select("body"), parts), parts, None)
-    near = components(scratch, stars.unionAll(more), "near")
-    near = scratch.table(near.join(alive, near["node"] == alive["cls"]).select("cls", "doc_id", "root", "n_shingles"), "candidates")
+    held = scratch.table(_bound_by(alive, _word_counts(first, parts, HOT + 1)).select("key").distinct(), "held")
+    stars = stars.unionAll(_stars(_signatures(some.join(held, "key").select("body"), parts), parts, None))
+    near = components(scratch, stars.unionAll(extra) if extra else stars, "near")
+    near = scratch.table(near.join(alive, near["node"] == alive["cls"]).select("cls", "key", "root", "n_shingles", "weight"), "candidates")
 
-    size = scratch.table(near.groupBy("root").agg(F.sum("n_shingles").alias("total")), "sizes")
+    size = scratch.table(near.groupBy("root").agg(F.sum("weight").alias("total")), "sizes")
     placed = scratch.table(near.join(size, "root"), "placed")
-    bodies = some.select("doc_id", "body")
-    fits = placed.filter(F.col("total") <= GROUP).select("doc_id", F.col("root").cast("string").alias("task"))
+    fits = placed.filter(F.col("total") <= GROUP).select("key", F.col("root").cast("string").alias("task"))
     # a larger group meets in overlapping size bands: band k and the next
     band = F.floor(F.log("n_shingles") / F.log(F.lit(BAND))).cast("int")
-    banded = placed.filter(F.col("total") > GROUP).withColumn("k", F.explode(F.array(band, band - 1))).withColumn("task", F.concat_ws(":", "root", "k")).select("cls", "doc_id", "n_shingles", "task")
-    total = scratch.table(banded.groupBy("task").agg(F.sum("n_shingles").alias("total")), "bands")
+    banded = placed.filter(F.col("total") > GROUP).withColumn("k", F.explode(F.array(band, band - 1))).withColumn("task", F.concat_ws(":", "root", "k")).select("cls", "key", "weight", "task")
+    total = scratch.table(banded.groupBy("task").agg(F.sum("weight").alias("total")), "bands")
     banded = banded.join(total, "task")
-    fits = fits.unionByName(banded.filter(F.col("total") <= GROUP).select("doc_id", "task"))
+    fits = fits.unionByName(banded.filter(F.col("total") <= GROUP).select("key", "task"))
     # a band too large for one task: every pair of its blocks is compared, by the same exact way
     blocks = F.ceil(F.col("total") / (GROUP // 2)).cast("int")
     wide = banded.filter(F.col("total") > GROUP).withColumn("k", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tasks = fits.unionByName(wide.select("doc_id", F.concat_ws("/", "task", F.least("k", "o"), F.greatest("k", "o")).alias("task")))
-    links = scratch.table(_compare(_token_rows(bodies.join(tasks.withColumnRenamed("task", "root"), "doc_id").select("body", "root"))), "links")
+    tasks = fits.unionByName(wide.select("key", F.concat_ws("/", "task", F.least("k", "o"), F.greatest("k", "o")).alias("task")))
+    links = scratch.table(_compare(some.join(tasks.distinct(), "key").select("task", "body")), "links")
     scratch.drop(some)
-    roots = components(scratch, links, "linked")
-    named = digest.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
-    least = scratch.table(named.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    return named.join(least, "root").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    roots = components(scratch, links, "linked").withColumnRenamed("node", "cls").join(alive.select("cls", "check"), "cls")
+    named = digest.join(roots, ["cls", "check"], "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("alone"))
+    named = scratch.table(named, "named")
+    least = scratch.table(named.groupBy("root", "alone").agg(F.min("doc_id").alias("least")), "least").select(F.col("root").alias("r"), F.col("alone").alias("x"), "least")
+    joined = named.join(least, (named["root"] == least["r"]) & named["alone"].eqNullSafe(least["x"]))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, all columns kept; repeated rows of one
-    id and text are one. Rows without an id stay."""
+    """The documents whose id is their component's smallest, all columns kept.
+
+    Of repeated rows of such an id and text one stays; of rows without an id all stay, as do texts
+    without words; an empty table stays empty. Columns of any name may be there.
+    """
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.table(join_documents(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    some = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
+    kept = scratch.table(join_documents(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    known = docs.filter(F.col(id_col).isNotNull()).alias("d")
+    some = known.join(kept.alias("k"), F.col(f"d.{id_col}").cast("long") == F.col("k.doc_id"), "left_semi").dropDuplicates([id_col, text_col])
     return some.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -405,20 +405,94 @@ def joined_by_hand(rows):
             root[max(p, q)] = min(p, q)
     least = {}
     for k, (i, _) in enumerate(sets):
-        least[find(k)] = min(i, least.get(find(k), i))
-    return sorted((i, len(s), least[find(k)] if s else i) for k, (i, s) in enumerate(sets))
+        least[find(k)] = min((x for x in (i, least.get(find(k))) if x is not None), default=None)
+    return plain_order((i, len(s), least[find(k)] if s else i) for k, (i, s) in enumerate(sets))
+
+
+def plain_order(rows):
+    return sorted(map(tuple, rows), key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_join_equals_brute_force(spark):
     rows = odd_documents()
-    assert sorted(map(tuple, ngram_join.join_documents(frame(spark, rows)).collect())) == joined_by_hand(rows)
+    assert plain_order(ngram_join.join_documents(frame(spark, rows)).collect()) == joined_by_hand(rows)
 
 
 def test_join_in_blocks_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 600)
     monkeypatch.setattr(ngram_join, "HOT", 3)
     rows = odd_documents(6)
-    assert sorted(map(tuple, ngram_join.join_documents(frame(spark, rows)).collect())) == joined_by_hand(rows)
+    assert plain_order(ngram_join.join_documents(frame(spark, rows)).collect()) == joined_by_hand(rows)
+
+
+def test_join_with_few_sketch_words_equals_brute_force(spark, monkeypatch):
+    """Sets whose words in use do not exceed their bound are joined on their shingles."""
+    monkeypatch.setattr(ngram_join, "words_of_band", lambda band: np.full(len(band), 2))
+    rows = odd_documents(11)
+    assert plain_order(ngram_join.join_documents(frame(spark, rows)).collect()) == joined_by_hand(rows)
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    r = random.Random(2)
+    base = [r.choice("abcdefgh") * r.randint(1, 4) for _ in range(60)]
+    near, nearer = list(base), list(base)
+    near[0], nearer[-1] = "x", "y"
+    far = [r.choice("stuv") * r.randint(1, 4) for _ in range(40)]
+    texts = [(None, base), (7, near), (None, nearer), (None, base), (None, far), (None, far)]
+    rows = [(i, " ".join(t), None, None, None, None) for i, t in texts]
+    got = plain_order(ngram_join.join_documents(frame(spark, rows)).collect())
+    assert got == joined_by_hand(rows)
+    assert sum(x[2] == 7 for x in got) == 4
+
+
+def test_small_sets_always_share_a_word(spark):
+    """Texts of seven words and the same with one more: similarity 0.75."""
+    r = random.Random(6)
+    rows = []
+    for k in range(400):
+        words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(8)]
+        rows += [(2 * k, " ".join(words[:7])), (2 * k + 1, " ".join(words))]
+    got = by_id(ngram_join.join_documents(frame(spark, rows, "doc_id long, text string")).collect())
+    assert all(got[2 * k + 1][2] == 2 * k for k in range(400))
+
+
+def test_structured_words_do_not_collide(spark, monkeypatch):
+    """Words that collide under any polynomial modulo a power of two; and links are confirmed in words."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    one = "".join("ab"[x] for x in bits)
+    other = "".join("ba"[x] for x in bits)
+    words = [one, other, one[:40] + other[:40], other[:40] + one[:40]]
+    hashes, _ = ngram_join.word_hashes(*common.flat_bytes(pa.array([w.encode() for w in words], pa.binary())))
+    assert len(set(hashes.tolist())) == 4
+    rows = [(1, one), (2, other)]
+    assert dict((r[0], r[2]) for r in ngram_join.join_documents(frame(spark, rows, "doc_id long, text string")).collect()) == {1: 1, 2: 2}
+    sets = [np.arange(10, dtype=np.uint64)] * 2
+    assert ngram_join.link_sets(sets, [b"a b c d e f", b"a b c d e g"]).tolist() == [0, 1]
+    assert ngram_join.link_sets(sets, [b"a b c d e f", b"A b\tc d e f"]).tolist() == [0, 0]
+
+
+def test_word_hashes_see_every_byte():
+    r = random.Random(0)
+    for n in [1, 3, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]:
+        word = bytes(r.choice(b"abcdefgh") for _ in range(n))
+        changed = [bytes([*word[:k], ord("z"), *word[k + 1 :]]) for k in range(n)]
+        text = b" ".join([word, *changed, word + b"a"])
+        hashes, rows = ngram_join.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert len(set(hashes.tolist())) == n + 2 and (rows == 0).all()
+
+
+def test_sketches_have_enough_words():
+    """The chance that no more words of a set are in use than a partner can change."""
+    for size in [*range(8, 400), 512, 700, 1000, 1023]:
+        band = size.bit_length() - 1
+        words = int(ngram_join.words_of_band(np.array([band]))[0])
+        bound = size // 3
+        used = np.zeros(size + 1)
+        used[0] = 1
+        for _ in range(size):
+            k = np.arange(size + 1)
+            used = used * k / words + np.concatenate([[0], (used * (words - k) / words)[:-1]])
+        assert used[: bound + 1].sum() < 1e-10
 
 
 def test_sketch_distance_is_a_lower_bound():
