@@ -34,7 +34,7 @@ PERCENT = 75
 HOT = 32
 #: Shingles (or 8-byte stretches of text, if more) of a candidate group that one task compares. A larger
 #: group is dealt out by size bands, and a band that is still larger as pairs of blocks.
-GROUP = 400_000
+GROUP = 4_000_000
 #: Width of those bands: a little above 100 / PERCENT, so partners lie in one band or in neighbours.
 BAND = 1.34
 
