@@ -165,6 +165,14 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)

@@ -118,10 +118,90 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(frame(spark, []), empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    codes = np.unique(np.random.default_rng(0).integers(0, 1 << 25, 3000))
-    shared = toxicity.shared_backoff(codes).reshape(-1, toxicity.SYMBOLS)
-    assert shared.sum(1) == pytest.approx(np.ones(len(shared)))
+def labelled_texts(plain, bad, seed=3, n=500):
+    r = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        toxic = k % 6 == 0
+        text = [r.choice(plain) for _ in range(r.randint(5, 40))]
+        for _ in range(3 * toxic):
+            text.insert(r.randrange(len(text)), r.choice(bad))
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(toxic)))
+    return rows, labels
+
+
+def kneser_ney_by_hand(rows, labels):
+    """log P_toxic - log P_ordinary of each gram, by the textbook, from words of single letters."""
+    order, discount = toxicity.ORDER, toxicity.DISCOUNT
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    toxic = dict(labels)
+    counts = [Counter(), Counter()]
+    for i, text in rows:
+        if fold(i) in (0, 1):
+            for word in text.split():
+                padded = " " * (order - 1) + word + " "
+                counts[1 - toxic[i]].update(padded[k : k + order] for k in range(len(word) + 1))
+    seen = set(counts[0]) | set(counts[1])
+    follows = {order: seen}
+    n = {}
+    for k in range(order - 1, 0, -1):
+        n[k] = Counter(g[1:] for g in follows[k + 1])
+        follows[k] = set(n[k])
+
+    def shared(g):
+        k = len(g)
+        if k == 1:
+            total, kinds = sum(n[1].values()), len(n[1])
+            return max(n[1][g] - discount, 0) / total + discount * kinds / total / (kinds + 1)
+        context = [x for x in n[k] if x[:-1] == g[:-1]]
+        return (max(n[k][g] - discount, 0) + discount * len(context) * shared(g[1:])) / sum(n[k][x] for x in context)
+
+    def log_of(c, g):
+        context = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        total = sum(context.values())
+        return np.log(shared(g[1:]) if not total else (max(c[g] - discount, 0) + discount * len(context) * shared(g[1:])) / total)
+
+    return {g: log_of(counts[0], g) - log_of(counts[1], g) for g in seen}
+
+
+def test_kneser_ney_equals_the_textbook(spark):
+    rows, labels = labelled_texts(["abab", "bcab", "cc", "abc"], ["bad", "cbd"], n=60)
+    scratch = common.Scratch(spark)
+    texts = frame(spark, [(bytearray(t.encode()), dict(labels)[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 4 in (0, 1)], "body binary, toxic int")
+    counts = scratch.table(toxicity.count_grams(texts), "counts")
+    got = {r.g: r.ratio for r in toxicity.ratios(counts, scratch).collect()}
+    want = kneser_ney_by_hand(rows, labels)
+    assert got.keys() == want.keys()
+    assert [got[g] for g in sorted(got)] == pytest.approx([want[g] for g in sorted(got)], abs=1e-5)
+    levels = defaultdict(float)
+    for r in toxicity.shared_backoff(counts, scratch).collect():
+        levels[r.g[:-1]] += r.p
+    assert all(0 < x <= 1 + 1e-9 for x in levels.values())  # the rest is for letters not seen there
+
+
+def test_joined_model_gives_the_same_scores(spark, monkeypatch):
+    rows, labels = labelled_texts(["lorem", "ipsum", "dolor", "amet"], ["vequta", "vequmo"])
+    rows += [(9000, None), (9001, ""), (9002, "x"), (9000, "vequta vequta"), (None, "vequmo")]
+    tables = frame(spark, rows, "doc_id long, text string"), frame(spark, labels, "doc_id long, toxic int")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    sent = sorted(toxicity.score_documents(*tables).collect(), key=key)
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    joined = sorted(toxicity.score_documents(*tables).collect(), key=key)
+    assert [r.doc_id for r in sent] == [r.doc_id for r in joined]
+    assert [r.score for r in sent] == pytest.approx([r.score for r in joined], abs=1e-9)
+    docs = frame(spark, [(k, t, 1.0, "a", "b") for k, t in rows], "doc_id long, text string, x double, t1 string, X2 string")
+    left = toxicity.drop_toxic(docs, tables[1])
+    assert left.columns == docs.columns and left.count() == sum(r.predicted == 0 for r in sent)
+
+
+@pytest.mark.parametrize("script", [("добрый день хорошо мир слово", "дурак дурачок"), ("καλημερα κοσμε λογος μερα", "βλακας βλακα"), ("今天天气很好 我们去公园 吃饭睡觉", "笨蛋东西 大笨蛋"), ("Mañana séance garçon Übung", "ÉCŒURANT écœurante")])
+def test_toxicity_in_other_scripts(spark, script):
+    plain, bad = (s.split() for s in script)
+    rows, labels = labelled_texts(plain, bad, 5)
+    got = toxicity.score_documents(frame(spark, rows, "doc_id long, text string"), frame(spark, labels, "doc_id long, toxic int")).collect()
+    held = [g.predicted == int(g.doc_id % 6 == 0) for g in got if g.held_out]
+    assert np.mean(held) >= 0.97
 
 
 # 2 embeddings
