@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -22,8 +23,9 @@ END_ID = 1
 UNITS = 128
 #: Documents of a pattern, at most.
 PARTS = 4
-#: Share of each fitted repeat count that patterns use; the rest leaves best fit lengths to choose from.
-KEPT = 0.95
+#: Shares of each fitted repeat count that patterns may use; the rest leaves best fit lengths to choose
+#: from. The share with the fewest sequences is taken, the largest of equals.
+KEPT = (1.0, 0.6, 0.3, 0.1)
 #: Entries of the cache of one Python worker.
 CACHE = 1_200_000
 #: A control character that is a token of its own; it parts words that are encoded in one call.
@@ -31,21 +33,44 @@ MARK = "\x01"
 _ASCII_SPACE = re.compile("[^ \t\n\r\f\v]+")
 
 
+# What a tokenizers file must hold for words to be encoded one by one.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(described: dict) -> bool:
+    """Whether a tokenizers file encodes every word alike wherever it stands: white space becomes one
+    space and is dropped, words end in a mark of their own, and special tokens take no space with them."""
+    normalizer, splitter, model = described.get("normalizer") or {}, described.get("pre_tokenizer") or {}, described["model"]
+    first = (splitter.get("pretokenizers") or [splitter])[0]
+    return (
+        normalizer.get("normalizers") == _NORMALIZER
+        and (first.get("pattern") or {}).get("Regex") == _SPLIT
+        and first.get("behavior") == "Removed"
+        and first.get("invert") is True
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in described.get("added_tokens") or [])
+    )
+
+
 class WordTokenizer:
     """A tokenizers file applied chunk by chunk between ASCII white space, with a cache.
 
     The file's normaliser turns every run of white space into one space and its pre-tokenizer drops
     white space, so no token and no normalisation reaches across it: the ids of a text are the ids
-    of its chunks, in order.
+    of its chunks, in order. A file of another kind is applied to whole texts. Special tokens that a
+    text spells are treated as the library does by default.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.by_words = by_words(json.load(file))
+        if not self.by_words:
+            return
         self.bare = Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True
         self.bare.normalizer = None
         for one in (self.tokenizer, self.bare):  # words come once each: the library's own cache only costs
             if hasattr(one.model, "_resize_cache"):
@@ -119,6 +144,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; new words of all texts are learned at once."""
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.cache) > CACHE:
             self.cache.clear()
         get = self.cache.get
@@ -235,16 +262,32 @@ def plan_bins(counts: dict[int, int], capacity: int, units: int = UNITS, parts:
     The histogram has at most ``capacity`` lengths however many documents there are, and a step
     here handles all equal bins at once, so the work does not grow with the corpus.
     """
-    left = {int(k): int(v) for k, v in counts.items() if v > 0}
-    bins: list[tuple[int, list[tuple[int, int]]]] = []
-    if not left:
-        return bins
+    there = {int(k): int(v) for k, v in counts.items() if v > 0}
+    if not there:
+        return []
     unit = -(-capacity // units)
     by_unit = np.zeros(units + 1)
-    for length, n in left.items():
+    for length, n in there.items():
         by_unit[-(-length // unit)] += n
     table = patterns(units, parts)
-    repeats = np.floor(fit_counts(table, by_unit) * KEPT + 1e-6).astype(np.int64)
+    fitted = fit_counts(table, by_unit)
+    bound = -(-sum(k * v for k, v in there.items()) // capacity)
+    best, fewest = None, 0
+    for kept in KEPT:
+        bins, left = fill_patterns(table, np.floor(fitted * kept + 1e-6).astype(np.int64), there, capacity, unit)
+        plan = best_fit(bins, left, capacity)
+        size = sum(n for n, _ in plan)
+        if best is None or size < fewest:
+            best, fewest = plan, size
+        if fewest == bound:
+            break
+    return best
+
+
+def fill_patterns(table: np.ndarray, repeats: np.ndarray, counts: dict[int, int], capacity: int, unit: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
+    """The bins that patterns fill exactly, and the lengths that are left."""
+    left = dict(counts)
+    bins: list[tuple[int, list[tuple[int, int]]]] = []
     there = sorted(left)  # lengths that are not used up
 
     def longest(least: int, most: int, taken: dict[int, int]) -> int | None:
@@ -278,7 +321,7 @@ def plan_bins(counts: dict[int, int], capacity: int, units: int = UNITS, parts:
                 r -= run
                 continue
             break
-    return best_fit(bins, {k: v for k, v in left.items() if v}, capacity)
+    return bins, {k: v for k, v in left.items() if v}
 
 
 def best_fit(bins: list[tuple[int, list[tuple[int, int]]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

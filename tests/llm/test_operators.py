@@ -633,7 +633,6 @@ def test_packing_contract(spark):
     rows = odd_documents()
     got = packing.pack_documents(frame(spark, rows), WORD_FILE, 256).collect()
     plain = Tokenizer.from_file(WORD_FILE)
-    plain.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -667,12 +666,27 @@ def test_plan_is_near_the_bound(times):
     assert sum(n for n, _ in bins) <= -(-sum(k * v for k, v in counts.items()) // 4096) * 1.005 + 1
 
 
+@pytest.mark.parametrize(("mean", "deviation"), [(6.4, 1.0), (7.2, 0.6), (7.0, 0.3), (5.5, 1.2)])
+def test_patterns_are_no_worse_than_best_fit_alone(mean, deviation):
+    lengths = np.clip(np.random.default_rng(1).lognormal(mean, deviation, 20_000).astype(int), 1, 4096)
+    counts = dict(Counter(lengths.tolist()))
+    size = lambda plan: sum(n for n, _ in plan)
+    assert size(packing.plan_bins(counts, 4096)) <= size(packing.best_fit([], counts, 4096))
+
+
 def test_word_cache_equals_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 20)
     coder = packing.WordTokenizer(WORD_FILE)
     plain = Tokenizer.from_file(WORD_FILE)
-    plain.encode_special_tokens = True
-    texts = ["Don't, we'll. STOP! 12.5", "Σας ΟΔΟΣ İstanbul é ́x", "a\x01b \x01 c\x1cd\x85e", "<|endoftext|>", "Ünïcödé, straße. ñandú,", " ".join(f"word{k}." for k in range(60)), ""]
+    texts = ["Don't, we'll. STOP! 12.5", "Σας ΟΔΟΣ İstanbul é ́x", "a\x01b \x01 c\x1cd\x85e", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> x<|endoftext|>́é", "Ünïcödé, straße. ñandú,", " ".join(f"word{k}." for k in range(60)), ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_another_tokenizer_is_applied_to_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    coder, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not coder.by_words and packing.WordTokenizer(WORD_FILE).by_words
+    texts = ["Two  words,\n and more", "", "é 日本"]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
