@@ -109,13 +109,17 @@ def globally_ranked(scratch: Scratch, frame: DataFrame, order: list[str], name:
     """Adds ``g``, the row's 0-based place in the order of the named columns, and gives the row count.
 
     One range shuffle; only one number per partition comes to the driver. The sorted rows are
-    written once, so a lost executor cannot move a boundary between the count and the use.
+    written once, so a lost executor cannot move a boundary between the count and the use. Rows that
+    are alike in all named columns are dealt by their place in the input, so a third of all rows
+    may be alike.
     """
     spark = scratch.spark
     low = F.lit((1 << 33) - 1)
     dealt = (
-        frame.repartitionByRange(partitions(spark), *order)
-        .sortWithinPartitions(*order)
+        frame.withColumn("tie", F.monotonically_increasing_id())
+        .repartitionByRange(partitions(spark), *order, "tie")
+        .sortWithinPartitions(*order, "tie")
+        .drop("tie")
         .withColumn("part", F.spark_partition_id())
         .withColumn("at", F.monotonically_increasing_id().bitwiseAND(low))
     )

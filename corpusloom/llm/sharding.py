@@ -115,13 +115,17 @@ def _arc_of(bounds: np.ndarray):
     return arc
 
 
-def moved_share(n_shards: int, counts: list[int] | None = None, vnodes: int = VNODES) -> float:
-    """The share of a uniform ring that changes its first shard when one shard is added."""
-    old, new = ring(n_shards, vnodes), ring(n_shards + 1, vnodes)
-    probe = np.linspace(-(2**63), 2**63 - 2**11, 20_000).astype(np.int64)
-
-    def owner(points):
-        at = np.searchsorted(np.array([p for p, _ in points], np.int64), probe) % len(points)
-        return np.array([s for _, s in points])[at]
-
-    return float(np.mean(owner(old) != owner(new)))
+def moved_share(n_shards: int, arcs: int = 20_000, vnodes: int = VNODES) -> tuple[float, float]:
+    """The share of evenly spread keys that change their shard when one shard is added, and the share
+    that moves between old shards, both under the quotas."""
+    keys = np.linspace(-(2**63), 2**63 - 2**11, arcs).astype(np.int64)
+    owners = []
+    for n in (n_shards, n_shards + 1):
+        points = ring(n, vnodes)
+        counts = np.bincount(np.searchsorted(np.array([p for p, _ in points], np.int64), keys), minlength=len(points) + 1).tolist()
+        owner = np.zeros(arcs, np.int64)
+        for first, shard, _, length in place_arcs([*points, points[0]], counts, quotas(arcs, n)):
+            owner[first : first + length] = shard
+        owners.append(owner)
+    moved = owners[0] != owners[1]
+    return float(moved.mean()), float((moved & (owners[1] < n_shards)).mean())

@@ -14,6 +14,8 @@ from .common import partitions
 BITS = 64
 #: Distinct codes of an index block, on average; queries meet every block.
 BLOCK = 1 << 17
+#: Queries that meet a block in one task, on average.
+ASKED = 1 << 15
 _POP = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -96,13 +98,14 @@ def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
     """query_id, rank, vec_id, distance: for every query row the k nearest other rows by Hamming
     distance of sign codes, ties by the smaller vec_id.
 
-    Exact. Rows with a null id or vector are neither found nor asked; an empty vector has code 0;
-    repeated rows count once an id; fewer than k rows give fewer; other columns are ignored. Rows of
+    Exact. The code is that of the first BITS components. Rows with a null id are neither found nor
+    asked; a null or empty vector has code 0, as a missing component has bit 0; repeated rows count
+    once an id; fewer than k rows give fewer; other columns are ignored. Rows of
     one code form a group of which only the k + 1 smallest ids can ever be returned, so a code that
     a third of all rows share is one short entry, pre-aggregated before the shuffle.
     """
-    coded = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter("vec_id is not null and v is not null").select("vec_id", sign_code("v").alias("code"))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter("query_id is not null and v is not null").select("query_id", sign_code("v").alias("code")).distinct()
+    coded = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter("vec_id is not null").select("vec_id", sign_code("v").alias("code"))
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter("query_id is not null").select("query_id", sign_code("v").alias("code")).distinct()
     spark = vectors.sparkSession
     if blocks is None:
         blocks = max(1, -(-vectors.count() // BLOCK))
@@ -111,7 +114,7 @@ def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
     few = _smallest(salted, ["code"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     index = few.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
     # the queries of a block are dealt over tasks of their own, each with the block's index
-    parts = max(1, partitions(spark) // blocks)
+    parts = max(1, partitions(spark) // blocks, -(-queries.count() // ASKED))
     probes = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
