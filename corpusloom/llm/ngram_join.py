@@ -7,10 +7,12 @@ Jaccard similarity t have a symmetric difference of at most a * (1 - t) / t; a d
 words in use than that must share one with every partner (pigeonhole), in the same size band.
 
 Words in use that nobody else has count against that bound, so a first pass over word counts alone
-leaves only documents that can have a partner. Their shared words give candidate groups, and in
-each group the sets themselves are compared; a link counts when the words themselves confirm it, so
-no collision of hashes links two texts. A set of which, against all likelihood, no more words are in
-use than its bound is joined on its shingles.
+leaves only documents that can have a partner. Of those, each is named by its rarest words alone, one
+more than the bound: partners must meet in one of them, and words that many documents share, such as
+a common passage makes, come last and seldom count. What meets is a candidate group, and in each
+group the sets themselves are compared; a link counts when the words themselves confirm it, so no
+collision of hashes links two texts. A set of which, against all likelihood, no more words are in use
+than its bound is joined on its shingles.
 """
 
 from __future__ import annotations
@@ -30,11 +32,9 @@ from .components import components
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Words that more documents share are left to those that could not spare them.
-HOT = 32
 #: Shingles (or 8-byte stretches of text, if more) of a candidate group that one task compares. A larger
 #: group is dealt out by size bands, and a band that is still larger as pairs of blocks.
-GROUP = 4_000_000
+GROUP = 200_000
 #: Width of those bands: a little above 100 / PERCENT, so partners lie in one band or in neighbours.
 BAND = 1.34
 
@@ -52,6 +52,7 @@ _MIXERS = mix64(np.arange(1000, 1000 + WIDTH, dtype=np.uint64)) | _U(1)
 PACKED = 64 << 20
 SIGNATURE = np.dtype([("key", "<u4"), ("cls", "<u8")])
 COUNT = np.dtype([("cls", "<u8"), ("n", "<u4")])
+WORD = np.dtype([("key", "<u8"), ("cls", "<u8"), ("bound", "<u4"), ("size", "<u4")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -290,25 +291,73 @@ def _by_shingles(texts: DataFrame, one: DataFrame, unsure: DataFrame) -> DataFra
     return rows.select("token", F.col("cls").alias("b")).join(asks, "token").filter("a <> b").select("a", "b").distinct()
 
 
-def _stars(signatures: DataFrame, parts: int, most: int | None) -> DataFrame:
-    """Links from the smallest set of each shared word to its other sets, of words of ``most`` sets at
-    most. Links travel packed, so that the same link of many words becomes one row."""
+def bounds(sizes: np.ndarray, lower: bool) -> np.ndarray:
+    """The largest symmetric difference that a set of each size can have with a partner in its own
+    band, or in the next lower one."""
+    known = np.maximum(sizes, 1)
+    if lower:
+        known = (1 << np.floor(np.log2(known)).astype(np.int64)) - 1
+    return known * (100 - PERCENT) // PERCENT
+
+
+def _meetings(texts: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links from the smallest set of each word to the others, of words that are among the
+    rarest of both: one more than the bound of the set. Rows travel packed."""
     names = slots(parts)
 
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for part in slices(batch, "body", 2 << 20):
+                tokens, at = shingle_sets(*flat_bytes(part.column("body")))
+                classes = set_classes(tokens, at)
+                for lower in (False, True):
+                    keys, row = sketch(tokens, at, lower)
+                    rows = np.zeros(len(keys), WORD)
+                    rows["key"], rows["cls"], rows["bound"] = keys, classes[row] | _U(lower), bounds(np.diff(at), lower)[row]
+                    held.append(rows)
+                if sum(map(len, held)) > 1_000_000:
+                    rows = np.concatenate(held)
+                    held.clear()
+                    yield from deal(rows, rows["key"], names).to_batches()
+        if held:
+            rows = np.concatenate(held)
+            yield from deal(rows, rows["key"], names).to_batches()
+
+    def sized(table: pa.Table) -> pa.Table:
+        rows = np.unique(unpack(table, WORD))  # sorted by key, each set once
+        new = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
+        starts = np.flatnonzero(new)
+        rows["size"] = np.diff(np.concatenate([starts, [len(rows)]]))[np.cumsum(new) - 1]
+        return deal(rows, mix64(rows["cls"]), names)
+
+    def rarest(table: pa.Table) -> pa.Table:
+        rows = unpack(table, WORD)
+        rows = rows[np.lexsort((rows["key"], rows["size"], rows["cls"]))]
+        starts = np.flatnonzero(np.concatenate([[True], rows["cls"][1:] != rows["cls"][:-1]]))
+        rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(rows)]])))
+        rows = rows[(rank <= rows["bound"]) & (rows["size"] > 1)]
+        return deal(rows, rows["key"], names)
+
     def link(table: pa.Table) -> pa.Table:
-        cls, starts, sizes = _grouped(table)
-        cls = cls & ~_U(1)
-        take = np.repeat(sizes > 1 if most is None else (sizes > 1) & (sizes <= most), sizes)
-        rows = np.empty(int(take.sum()), PAIR)
-        rows["a"], rows["b"] = np.repeat(cls[starts], sizes)[take], cls[take]
-        rows = np.unique(rows[rows["a"] != rows["b"]])
-        return deal(rows, mix64(rows["a"] ^ mix64(rows["b"])), names)
+        rows = unpack(table, WORD)
+        rows["cls"] &= ~_U(1)
+        rows = rows[np.lexsort((rows["cls"], rows["key"]))]
+        new = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
+        least = rows["cls"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        pairs = np.empty(len(rows), PAIR)
+        pairs["a"], pairs["b"] = least, rows["cls"]
+        pairs = np.unique(pairs[pairs["a"] != pairs["b"]])
+        return deal(pairs, mix64(pairs["a"] ^ mix64(pairs["b"])), names)
 
     def once(table: pa.Table) -> pa.Table:
         rows = np.unique(unpack(table, PAIR))
         return pa.table({k: np.ascontiguousarray(rows[k]).view(np.int64) for k in ("a", "b")})
 
-    return signatures.groupBy("part").applyInArrow(link, "part int, blob binary").groupBy("part").applyInArrow(once, "a long, b long")
+    out = texts.select("body").mapInArrow(words, "part int, blob binary")
+    for step in (sized, rarest, link):
+        out = out.groupBy("part").applyInArrow(step, "part int, blob binary")
+    return out.groupBy("part").applyInArrow(once, "a long, b long")
 
 
 def link_sets(sets: list[np.ndarray], bodies: list[bytes]) -> np.ndarray:
@@ -431,17 +480,13 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = None
     if not unsure.isEmpty():
         extra = scratch.table(_by_shingles(texts, one, unsure), "extra")
-        met = extra.select(F.col("a").alias("cls")).unionAll(extra.select(F.col("b").alias("cls"))).distinct()
-        alive = scratch.table(alive.unionByName(one.join(met, "cls").select(*alive.columns)).distinct(), "alive")
+        sides = extra.select(F.col("a").alias("cls")).unionAll(extra.select(F.col("b").alias("cls"))).distinct()
+        alive = scratch.table(alive.unionByName(one.join(sides, "cls").select(*alive.columns)).distinct(), "alive")
     # the list of keys grows with the corpus: it is merged at every size, never broadcast
     some = scratch.table(texts.join(alive.select("key").hint("merge"), "key").select("key", "body"), "texts")
     collect_garbage(spark)
-    first = _signatures(some.select("body"), parts)
-    stars = _stars(first, parts, HOT)
-    # a set with more words outside the hot ones than that is found through those
-    held = scratch.table(_bound_by(alive, _word_counts(first, parts, HOT + 1)).select("key").distinct(), "held")
-    stars = stars.unionAll(_stars(_signatures(some.join(held, "key").select("body"), parts), parts, None))
-    near = components(scratch, stars.unionAll(extra) if extra else stars, "near")
+    met = _meetings(some, parts)
+    near = components(scratch, met.unionAll(extra) if extra else met, "near")
     near = scratch.table(near.join(alive, near["node"] == alive["cls"]).select("cls", "key", "root", "n_shingles", "weight"), "candidates")
 
     size = scratch.table(near.groupBy("root").agg(F.sum("weight").alias("total")), "sizes")
@@ -449,8 +494,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fits = placed.filter(F.col("total") <= GROUP).select("key", F.col("root").cast("string").alias("task"))
     # a larger group meets in overlapping size bands: band k and the next
     band = F.floor(F.log("n_shingles") / F.log(F.lit(BAND))).cast("int")
-    banded = placed.filter(F.col("total") > GROUP).withColumn("k", F.explode(F.array(band, band - 1))).withColumn("task", F.concat_ws(":", "root", "k")).select("cls", "key", "weight", "task")
-    total = scratch.table(banded.groupBy("task").agg(F.sum("weight").alias("total")), "bands")
+    banded = placed.filter(F.col("total") > GROUP).withColumn("b", band).withColumn("k", F.explode(F.array("b", F.col("b") - 1))).withColumn("task", F.concat_ws(":", "root", "k")).select("cls", "key", "weight", "task", (F.col("b") == F.col("k")).alias("own_band"))
+    # without sets of band k itself, those of the next one meet in their own task
+    total = scratch.table(banded.groupBy("task").agg(F.sum("weight").alias("total"), F.max("own_band").alias("any_own")).filter("any_own").drop("any_own"), "bands")
     banded = banded.join(total, "task")
     fits = fits.unionByName(banded.filter(F.col("total") <= GROUP).select("key", "task"))
     # a band too large for one task: every pair of its blocks is compared, by the same exact way

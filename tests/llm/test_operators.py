@@ -500,7 +500,6 @@ def test_join_equals_brute_force(spark):
 
 def test_join_in_blocks_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 600)
-    monkeypatch.setattr(ngram_join, "HOT", 3)
     rows = odd_documents(6)
     assert plain_order(ngram_join.join_documents(frame(spark, rows)).collect()) == joined_by_hand(rows)
 
@@ -525,6 +524,27 @@ def test_rows_without_an_id_link_like_others(spark):
     assert sum(x[2] == 7 for x in got) == 4
 
 
+def test_common_passages_do_not_chain_candidates(spark):
+    """Documents of which a quarter is one of a few passages, some with a near copy."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    passages = [[word() for _ in range(50)] for _ in range(3)]
+    rows = []
+    for k in range(120):
+        base = [word() for _ in range(150)]
+        base[60:60] = r.choice(passages)
+        rows.append((k, " ".join(base)))
+        if k % 4 == 0:
+            base[-1] = "changed"
+            rows.append((1000 + k, " ".join(base)))
+    texts = frame(spark, rows, "doc_id long, text string")
+    got = plain_order(ngram_join.join_documents(texts).collect())
+    assert got == joined_by_hand(rows)
+    met = ngram_join._meetings(texts.select(F.col("text").cast("binary").alias("body")), 4)
+    roots = components.components(common.Scratch(spark), met).groupBy("root").count().collect()
+    assert max(x["count"] for x in roots) == 2  # no passage brings others together
+
+
 def test_small_sets_always_share_a_word(spark):
     """Texts of seven words and the same with one more: similarity 0.75."""
     r = random.Random(6)
