@@ -7,11 +7,12 @@ import hmac
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with marks and what they fold to, where no decomposition is at hand (and in SQL).
+#: Letters with marks and what they fold to, for SQL, which has no decomposition at hand.
 MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōőřśšťùúûüūůűýÿžźż"
 FOLDED = "aaaaaaaaacccdeeeeeeeeiiiiiinnnoooooooorsstuuuuuuuyyzzz"
 
@@ -19,24 +20,57 @@ IDENTIFIER = r"[\p{L}\p{N}\p{Mn}\p{Mc}_.+#-]+"
 CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+class _Folds(dict):
+    """What a character folds to, found once: its base letter, nothing for a mark. Kana and Hangul,
+    whose decomposition changes the letter itself, stay."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if unicodedata.category(c).startswith("M"):
+            found = ""
+        else:
+            found = parts[0] if len(parts) > 1 and not 0x3040 <= code <= 0xD7FF else c
+        self[code] = found
+        return found
 
-@F.pandas_udf(T.StringType())
-def _unmarked(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M")))
+
+_FOLDS = _Folds()
+
+
+def _mapped(change):
+    """A function of strings as one on Arrow batches; nulls stay."""
+
+    @F.arrow_udf(T.StringType())
+    def mapped(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+
+    return mapped
+
+
+_nfkc = _mapped(lambda t: unicodedata.normalize("NFKC", t))
+_unmarked = _mapped(lambda t: unicodedata.normalize("NFC", t).translate(_FOLDS))
+_searchable = _mapped(lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFKC", t).lower()).translate(_FOLDS))
+
+
+def is_ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*$")
+
+
+def _beyond_ascii(change, text: Column, plain: Column) -> Column:
+    """A Python function for texts beyond ASCII; it gets null for the others, whose characters so never
+    leave the JVM (a condition around the call alone would not keep them from it)."""
+    return F.coalesce(change(F.when(~is_ascii(text), text)), plain)
 
 
 def normalize_nfkc(text: Column) -> Column:
     """Compatibility composition. Plain ASCII never leaves the JVM."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc(text))
+    return _beyond_ascii(_nfkc, text, text)
 
 
-def fold_marks(text: Column, exact: bool = False) -> Column:
-    """Letters without their marks: by table, or exactly by decomposition."""
-    return _unmarked(text) if exact else F.translate(text, MARKED, FOLDED)
+def fold_marks(text: Column) -> Column:
+    """Letters without their marks, by decomposition."""
+    return _beyond_ascii(_unmarked, text, text)
 
 
 def tokenize_app(text: Column) -> Column:
@@ -61,15 +95,29 @@ def tokenize_mixed(text: Column) -> Column:
     return F.flatten(cut)
 
 
-def tokenize_fts(text: Column, exact: bool = False) -> Column:
-    """The index's own tokens: letters and digits, marks folded, lower case."""
-    return F.regexp_extract_all(fold_marks(F.lower(text), exact), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def tokenize_fts(text: Column) -> Column:
+    """The second stage: letters and digits, marks folded, lower case."""
+    return F.regexp_extract_all(fold_marks(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def index_terms(text: Column) -> Column:
+    """What the index stores of a text, in order: the tokens of both stages at once.
+
+    Compatibility forms are composed, letters are small and without marks, runs of CJK characters
+    are overlapping pairs, everything else parts words. One Arrow pass for texts beyond ASCII, none
+    for others.
+    """
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    parts = F.regexp_extract_all(_searchable(F.when(~is_ascii(text), text)), F.lit(rf"[{CJK}]+|(?:(?![{CJK}])[\p{{L}}\p{{N}}])+"), F.lit(0))
+    mixed = F.flatten(F.transform(parts, lambda p: F.when(p.rlike(f"^[{CJK}]"), cjk_bigrams(p)).otherwise(F.array(p))))
+    return F.when(is_ascii(text), plain).otherwise(mixed)
 
 
 def query_terms(query: Column) -> Column:
     """Distinct tokens in order of appearance; null where a query is blank or one CJK character."""
-    terms = F.array_distinct(tokenize_mixed(query))
-    broad = (F.trim(query) == "") | F.trim(query).rlike(f"^[{CJK}]$") | (F.size(terms) == 0)
+    plain = F.trim(normalize_nfkc(query))
+    terms = F.array_distinct(tokenize_mixed(plain))
+    broad = (plain == "") | plain.rlike(f"^[{CJK}]$") | (F.size(terms) == 0)
     return F.when(~broad, terms)
 
 
@@ -121,9 +169,22 @@ def natural_language_query(query: Column) -> Column:
     return q.rlike("[?？]") | (F.size(F.filter(F.split(q, r"\s+"), lambda t: t != "")) >= 4) | cue
 
 
-def preview_terms(terms: Column) -> Column:
-    """Longest first."""
-    return F.array_sort(terms, lambda a, b: F.length(b) - F.length(a))
+def preview_terms(query: Column) -> Column:
+    """The terms of a query, longest first, equal lengths in order of appearance; a query that is too
+    broad for terms gives its words."""
+    terms = F.coalesce(query_terms(query), F.filter(F.split(F.trim(query), r"\s+"), lambda t: t != ""))
+    keyed = F.transform(terms, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+
+
+def truncate_chars(text: Column, most: int) -> Column:
+    """(text, truncated): at most so many characters."""
+    return F.struct(F.left(text, F.lit(most)).alias("text"), (F.length(text) > most).alias("truncated"))
+
+
+def truncate_message(text: Column, most: int = 500) -> Column:
+    """An error message as it is stored: 500 characters at most, 300 for mail."""
+    return F.left(text, F.lit(most))
 
 
 def mail_identity_path(store: Column, entry: Column) -> Column:
@@ -144,9 +205,20 @@ def hmac_key(salt: bytes, kind: str, path: Column) -> Column:
     return keyed(path)
 
 
-def mail_detail(sender: Column, folder: Column, ts: Column) -> Column:
-    """What a mail row shows below its subject."""
-    return F.concat_ws(" · ", sender, folder, F.date_format(ts, "yyyy-MM-dd HH:mm"))
+def mail_detail(sender: Column, recipients: Column, ts: Column) -> Column:
+    """What a mail row shows below its subject: who wrote to whom, and when."""
+    people = F.when(F.trim(F.coalesce(recipients, F.lit(""))) == "", sender).otherwise(F.concat(sender, F.lit(" → "), recipients))
+    return F.concat(people, F.lit(" · "), F.date_format(ts, "yyyy-MM-dd HH:mm"))
+
+
+def mail_reference(subject: Column, sender: Column, recipients: Column, ts: Column, folder: Column, attachments: Column, snippet: Column) -> Column:
+    """A mail as text to be quoted, a line for each part; attachments only where there are any."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    line = lambda label, value: F.concat(F.lit(label), F.coalesce(value, F.lit("")), F.lit("\n"))
+    return F.concat(
+        line("邮件：", F.when(blank(subject), "(无主题)").otherwise(subject)), line("发件人：", sender), line("收件人：", recipients), line("时间：", F.date_format(ts, "yyyy-MM-dd HH:mm")), line("文件夹：", folder),
+        F.when(blank(attachments), "").otherwise(line("附件：", attachments)), F.lit("正文片段："), F.coalesce(snippet, F.lit("")),
+    )
 
 
 def truncated_blocks(blocks: Column, most: int) -> Column:

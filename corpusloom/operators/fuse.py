@@ -77,7 +77,9 @@ def collapse(ranked: DataFrame) -> DataFrame:
 
 def merge_mail(files: DataFrame, mails: DataFrame, limit: int) -> DataFrame:
     """Files and mails (query_id, item, rank from 0) by reciprocal rank; files first among equals."""
-    both = files.select("query_id", "item", "rank", F.lit(0).alias("kind")).unionByName(mails.select("query_id", "item", "rank", F.lit(1).alias("kind")))
+    # a rank beyond the limit cannot be among the first of the merged list: it is cut before the shuffle
+    best = lambda rows, kind: rows.filter(F.col("rank") < limit).select("query_id", "item", "rank", F.lit(kind).alias("kind"))
+    both = best(files, 0).unionByName(best(mails, 1))
     scored = both.withColumn("score", F.round(contribution(F.col("rank")), 9))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "kind", "rank")
     return scored.withColumn("position", F.row_number().over(order) - 1).filter(F.col("position") < limit).select("query_id", "position", "item", "kind", "score")

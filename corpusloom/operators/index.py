@@ -19,28 +19,28 @@ def latest(rows: DataFrame, key: str = "path_key", by: str = "indexed_at") -> Da
     return rows.withColumn("_at", F.row_number().over(newest)).filter("_at = 1").drop("_at")
 
 
-def tokens(documents: DataFrame, exact: bool = False) -> DataFrame:
-    """(doc_id, field, pos, term): stage-2 tokens of name and text. Rows leave as they are read; no shuffle."""
+def tokens(documents: DataFrame) -> DataFrame:
+    """(doc_id, field, pos, term): index tokens of name and text. Rows leave as they are read; no shuffle."""
     both = documents.select("doc_id", F.explode(F.array(
-        F.struct(F.lit(TITLE).alias("field"), tx.tokenize_fts(F.col("name"), exact).alias("terms")),
-        F.struct(F.lit(BODY).alias("field"), tx.tokenize_fts(F.coalesce("text", F.lit("")), exact).alias("terms")),
+        F.struct(F.lit(TITLE).alias("field"), tx.index_terms(F.col("name")).alias("terms")),
+        F.struct(F.lit(BODY).alias("field"), tx.index_terms(F.coalesce("text", F.lit(""))).alias("terms")),
     )).alias("f"))
     return both.select("doc_id", "f.field", F.posexplode("f.terms").alias("pos", "term"))
 
 
-def document_postings(documents: DataFrame, exact: bool = False, terms: DataFrame | None = None) -> DataFrame:
+def document_postings(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, doc_id, field, tf, positions), of the given terms only if there are any. The grouping key
     holds the document, so a stop-word is spread over as many groups as documents and no task sees
     one term's whole list. Other terms are dropped before anything is shuffled."""
-    rows = tokens(documents, exact)
+    rows = tokens(documents)
     if terms is not None:
         rows = rows.join(terms.select("term"), "term", "left_semi")
     return rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def doc_stats(documents: DataFrame, exact: bool = False) -> DataFrame:
+def doc_stats(documents: DataFrame) -> DataFrame:
     """(doc_id, title_len, body_len), straight from each row."""
-    return documents.select("doc_id", F.size(tx.tokenize_fts(F.col("name"), exact)).cast("long").alias("title_len"), F.size(tx.tokenize_fts(F.coalesce("text", F.lit("")), exact)).cast("long").alias("body_len"))
+    return documents.select("doc_id", F.size(tx.index_terms(F.col("name"))).cast("long").alias("title_len"), F.size(tx.index_terms(F.coalesce("text", F.lit("")))).cast("long").alias("body_len"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:
@@ -62,10 +62,30 @@ def bucket_of(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(documents: DataFrame, exact: bool = False, terms: DataFrame | None = None) -> Index:
+def build(documents: DataFrame, terms: DataFrame | None = None) -> Index:
     """An index that is not stored; with terms, the part of it that a batch of queries reads."""
-    stats = doc_stats(documents, exact)
-    return Index(document_postings(documents, exact, terms), stats, corpus_stats(stats), documents)
+    stats = doc_stats(documents)
+    return Index(document_postings(documents, terms), stats, corpus_stats(stats), documents)
+
+
+def merged(index: Index, changed: DataFrame, gone: DataFrame | None = None) -> Index:
+    """The index after documents came or changed (rows like ``index.documents``) and paths went (path_key).
+
+    Only changed texts are tokenised; what is stored of all other documents is taken as it is. A path
+    keeps the doc_id it has. Of several rows of a path in ``changed`` the newest counts if they have
+    an ``indexed_at``, else the one of the largest doc_id.
+    """
+    order = [F.col(c).desc() for c in ("indexed_at", "doc_id") if c in changed.columns]
+    one = changed.withColumn("nth", F.row_number().over(Window.partitionBy("path_key").orderBy(*order))).filter("nth = 1").drop("nth")
+    old = index.documents.select("path_key", F.col("doc_id").alias("old_id"))
+    fresh = one.join(old, "path_key", "left").withColumn("doc_id", F.coalesce("old_id", "doc_id")).select(*index.documents.columns)
+    paths = changed.select("path_key") if gone is None else changed.select("path_key").unionByName(gone.select("path_key"))
+    touched = old.join(paths, "path_key", "left_semi").select(F.col("old_id").alias("doc_id"))
+    stays = lambda stored: stored.join(touched, "doc_id", "left_anti")
+    new = build(fresh)
+    stats = stays(index.stats).unionByName(new.stats)
+    postings = stays(index.postings.select(new.postings.columns)).unionByName(new.postings)
+    return Index(postings, stats, corpus_stats(stats), stays(index.documents).unionByName(fresh))
 
 
 def write(index: Index, path: str, version: int) -> str:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +75,21 @@ def heading_paths(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", F.nullif(path, F.lit("")).alias("heading_path"))
 
 
-def location_map(blocks: Column) -> Column:
-    """Start and length of each block in the text that joins them with line ends."""
-    start = lambda i: F.aggregate(F.slice(blocks, 1, i), F.lit(0), lambda n, b: n + F.length(b["text"]) + 1)
-    return F.transform(blocks, lambda b, i: F.struct((i + 1).alias("ordinal"), start(i).alias("start"), F.length(b["text"]).alias("length"), b["label"].alias("label"), b["heading_path"].alias("heading_path")))
+def location_map(blocks: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, start, length, label, heading_path) of blocks (doc_id, ordinal, text, label,
+    heading_path): where each stands in the text that joins them with line ends. A running sum, linear
+    in the blocks."""
+    above = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(above), F.lit(0)).cast("int")
+    return blocks.select("doc_id", "ordinal", start.alias("start"), F.length("text").alias("length"), "label", "heading_path")
+
+
+def valid_map(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stored map entries that lie within their text (doc_id, text); blank labels and headings are null."""
+    joined = entries.join(texts.select("doc_id", F.length("text").alias("n")), "doc_id")
+    inside = (F.col("ordinal") >= 1) & (F.col("start") >= 0) & (F.col("length") >= 0) & (F.col("start") + F.col("length") <= F.col("n"))
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c)).alias(c)
+    return joined.filter(inside).select("doc_id", "ordinal", "start", "length", filled("label"), filled("heading_path"))
 
 
 def locate_blocks(blocks: DataFrame, terms: list[str]) -> DataFrame:
@@ -152,6 +165,92 @@ def json_hits(text: str, terms: list[str], most: int = MOST) -> list[tuple[int,
     return found[:most]
 
 
+Hit = tuple[int, int, str, str | None, str | None, str | None]
+HIT = "array<struct<start_line:int,end_line:int,snippet:string,heading_path:string,json_path:string,label:string>>"
+INVALID_JSON = "Invalid JSON · text fallback"
+_HEADING = re.compile(r"\s*(#{1,6})\s(.*)")
+
+
+def smallest_span(parts: list[str], terms: list[str]) -> tuple[int, int] | None:
+    """The first of the smallest runs of parts that hold all terms, in one pass: the last place of each term."""
+    last: dict[str, int] = {}
+    best = None
+    for end, part in enumerate(parts):
+        low = part.lower()
+        here = [t for t in terms if t in low]
+        last.update(dict.fromkeys(here, end))
+        if here and len(last) == len(terms):
+            start = min(last.values())
+            if best is None or end - start < best[1] - best[0]:
+                best = start, end
+    return best
+
+
+def headings_of(lines: list[str]) -> list[str | None]:
+    """The path of headings above each line, its own included."""
+    levels: list[str | None] = [None] * 6
+    out = []
+    for line in lines:
+        found = _HEADING.match(line)
+        if found:
+            depth = len(found[1])
+            levels[depth - 1 :] = [found[2].strip()] + [None] * (6 - depth)
+        out.append(" > ".join(x for x in levels if x) or None)
+    return out
+
+
+def text_hits(lines: list[str], terms: list[str], headings: list[str | None] | None = None, label: str | None = None, most: int = MOST) -> list[Hit]:
+    """Of several terms the smallest span of lines with all of them; else the first lines with any."""
+    span = smallest_span(lines, terms) if len(terms) > 1 else None
+    spans = [span] if span else [(k, k) for k, x in enumerate(lines) if any(t in x.lower() for t in terms)][:most]
+    out = []
+    for a, b in spans:
+        heading = headings[a] if headings else None
+        where = f"lines {a + 1}-{b + 1}"
+        out.append((a + 1, b + 1, "\n".join(lines[max(0, a - 1) : b + 2]).strip(), heading, None, label or (f"{heading} · {where}" if heading else where)))
+    return out
+
+
+def block_hits(blocks: list[dict], terms: list[str], most: int = MOST) -> list[Hit]:
+    """The same over blocks; a span is reported at its last block, with the text of all."""
+    span = smallest_span([b["text"] for b in blocks], terms) if len(terms) > 1 else None
+    spans = [span] if span else [(k, k) for k, b in enumerate(blocks) if any(t in b["text"].lower() for t in terms)][:most]
+    return [(blocks[b]["ordinal"], blocks[b]["ordinal"], "\n".join(x["text"] for x in blocks[a : b + 1]), blocks[b]["heading_path"], None, blocks[b]["label"]) for a, b in spans]
+
+
+def resolve(text: str, extension: str, terms: list[str], blocks: list[dict] | None = None, most: int = MOST) -> list[Hit]:
+    """Where a document of any kind holds the terms: blocks of a docx, paths of JSON, lines under the
+    headings of Markdown, else lines. No terms, no hits."""
+    extension, terms = (extension or "").lower(), list(dict.fromkeys(t.lower() for t in terms))
+    if not terms:
+        return []
+    if extension == "docx" and blocks:
+        return block_hits(blocks, terms, most)
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    if extension == "json":
+        found = json_hits(text, terms, most)
+        if found:
+            return [(line, line, "\n".join(lines[max(0, line - 2) : line + 1]).strip(), None, where, where) for line, where, _ in found]
+        return text_hits(lines, terms, None, INVALID_JSON if found is None else None, most)
+    return text_hits(lines, terms, headings_of(lines) if extension in ("md", "markdown") else None, None, most)
+
+
+def locate(rows: DataFrame) -> DataFrame:
+    """Rows (text, extension, terms and, if there are any, blocks) with one more column, ``hits``. Meant for
+    the documents of a page, after its limit: nothing is shuffled."""
+    blocks = F.col("blocks") if "blocks" in rows.columns else F.lit(None).cast("array<struct<ordinal:int,text:string,label:string,heading_path:string>>")
+
+    @F.arrow_udf(HIT)
+    def hits(texts: pa.Array, extensions: pa.Array, terms: pa.Array, parts: pa.Array) -> pa.Array:
+        columns = (c.to_pylist() for c in (texts, extensions, terms, parts))
+        fields = ("start_line", "end_line", "snippet", "heading_path", "json_path", "label")
+        found = [[dict(zip(fields, h, strict=True)) for h in resolve(t or "", e, q or [], b)] for t, e, q, b in zip(*columns, strict=True)]
+        kind = pa.struct([(f, pa.int32() if f.endswith("line") else pa.string()) for f in fields])
+        return pa.array(found, pa.list_(kind))
+
+    return rows.withColumn("hits", hits(F.col("text"), F.col("extension"), F.col("terms"), blocks))
+
+
 def locate_json(documents: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, line, json_path, label). Text that is not JSON, and JSON without a hit, fall back to lines."""
 
@@ -160,7 +259,7 @@ def locate_json(documents: DataFrame, terms: list[str]) -> DataFrame:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 hits = json_hits(text or "", terms)
-                label = "Invalid JSON · text fallback" if hits is None else None
+                label = INVALID_JSON if hits is None else None
                 if not hits:
                     lowered = [t.lower() for t in terms]
                     lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,9 +90,75 @@ def search(catalog: DataFrame, query: NameQuery) -> DataFrame:
     return catalog.filter(predicate(query)).orderBy(*order(query.sort_by, query.descending)).offset(query.offset).limit(query.limit)
 
 
-def parse_raw(text: str) -> Column:
+#: A batch of more queries than this meets names by shared grams, a smaller one by scanning all names.
+SCANNED = 32
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def containing(files: DataFrame, queries: DataFrame, few: int | None = None) -> DataFrame:
+    """Files joined with the queries (query_id, query) whose trimmed text their name contains, whatever the case.
+
+    A batch of up to SCANNED queries is broadcast: its size is checked, and each file is read once. A
+    larger batch would make that a product of both sides; there each query is looked up by the rarest
+    of its grams of three characters (or of all of it, if shorter), an equi-join whose hits are then
+    verified. Grams of names are counted before they are shuffled, so a common one is no hot key:
+    it is the rarest of a query only if all its grams are common. A blank query finds nothing.
+    """
+    queries = queries.filter(F.trim("query") != "")
+    if few is None:
+        few = queries.limit(SCANNED + 1).count()
+    wanted = F.lower(F.trim("query"))
+    held = F.contains(F.lower(files["name"]), F.lower(F.trim(queries["query"])))
+    if few <= SCANNED:
+        return files.join(F.broadcast(queries), held)
+    asked = queries.withColumn("wanted", wanted)
+    keys = files.select(*files.columns, F.lower("name").alias("low"))
+    parts = []
+    for n in range(1, GRAM + 1):
+        some = asked.filter((F.length("wanted") == n) if n < GRAM else (F.length("wanted") >= n))
+        grams = keys.select(F.explode(_grams(F.col("low"), n)).alias("gram"))
+        counted = grams.groupBy("gram").agg(F.count("*").alias("held_by"))
+        each = some.select("query_id", F.explode(_grams(F.col("wanted"), n)).alias("gram"))
+        rarest = each.join(counted, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("held_by", F.lit(0)), F.col("gram"))).alias("gram"))
+        probes = some.join(rarest, "query_id")
+        named = keys.withColumn("gram", F.explode(_grams(F.col("low"), n)))
+        parts.append(named.join(probes, "gram").filter(F.contains(F.col("low"), F.col("wanted"))).select(*files.columns, *queries.columns))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+#: Words of the dialect for spans of time, as (unit, units back).
+SPANS = {"today": ("day", 0), "yesterday": ("day", 1), **{f"{which}{unit}": (unit, back) for which, back in (("this", 0), ("last", 1)) for unit in ("week", "month", "year")}}
+
+
+def _span(word: str, as_of: Column) -> tuple[Column, Column]:
+    """Begin and end of a named span of time; a week begins on Monday."""
+    unit, back = SPANS[word]
+    begin = F.date_trunc(unit, as_of)
+    step = lambda k: F.expr(f"INTERVAL {k} {unit}")
+    return begin - step(back), begin + step(1 - back)
+
+
+def _moment(text: str) -> Column:
+    for pattern in ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y%m%dT%H%M%S", "%Y%m%d", "%Y-%m", "%Y"):
+        try:
+            return F.lit(datetime.datetime.strptime(text, pattern).isoformat(sep=" ")).cast("timestamp")
+        except ValueError:
+            continue
+    raise ValueError("INVALID_QUERY: not a date " + text)
+
+
+def parse_raw(text: str, as_of: Column | None = None) -> Column:
     """A condition from the catalog's dialect: space is AND, ``|`` is OR, ``< >`` groups, quotes are
-    literal, with the functions ext:, file:, folder:, dm: and size comparisons."""
+    literal, with the functions ext:, file:, folder:, size: and dm:, whose dates may be literal or
+    spans such as thisweek, seen from ``as_of`` (now). What is not understood raises INVALID_QUERY."""
+    as_of = F.current_timestamp() if as_of is None else as_of
     tokens: list[str] = []
     at = 0
     while at < len(text):
@@ -131,7 +198,7 @@ def parse_raw(text: str) -> Column:
                     raise ValueError("INVALID_QUERY: open group")
                 place += 1
             else:
-                one = _term(tokens[place])
+                one = _term(tokens[place], as_of)
                 place += 1
             out = one if out is None else out & one
         if out is None:
@@ -144,7 +211,7 @@ def parse_raw(text: str) -> Column:
     return found
 
 
-def _term(token: str) -> Column:
+def _term(token: str, as_of: Column) -> Column:
     lower = token.lower()
     if lower.startswith("ext:"):
         return F.lower("extension").isin([e.strip().lstrip(".") for e in lower[4:].split(";")])
@@ -154,7 +221,13 @@ def _term(token: str) -> Column:
         if lower.startswith(name):
             value = token[len(name) :]
             sign = next((s for s in (">=", "<=", ">", "<", "=") if value.startswith(s)), "")
-            value = F.lit(value[len(sign) :]).cast("timestamp") if name == "dm:" else F.lit(int(value[len(sign) :]))
+            value = value[len(sign) :]
+            if name == "dm:" and value.lower() in SPANS:
+                begin, end = _span(value.lower(), as_of)
+                return {">=": column >= begin, "<=": column < end, ">": column >= end, "<": column < begin}.get(sign, (column >= begin) & (column < end))
+            if name == "size:" and not value.isdecimal():
+                raise ValueError("INVALID_QUERY: not a size " + value)
+            value = _moment(value) if name == "dm:" else F.lit(int(value))
             return {">=": column >= value, "<=": column <= value, ">": column > value, "<": column < value}.get(sign, column == value)
     if ":" in lower.replace('"', "") and not (lower.startswith('"') or (len(lower) > 2 and lower[1] == ":")):
         raise ValueError("INVALID_QUERY: unknown function " + token)

@@ -58,6 +58,10 @@ def eligible_drives(drives: DataFrame) -> DataFrame:
     return good.select("root_path", F.lower("root_path").alias("root_key")).dropDuplicates(["root_key"]).orderBy("root_key").select("root_path")
 
 
+#: Ticks of 100 ns from year 1 to 1970.
+EPOCH_TICKS = 621_355_968_000_000_000
+
+
 def scan_markers(catalog: DataFrame) -> DataFrame:
     """Entries named like a repository marker or an excluded directory."""
     return catalog.filter(F.lower("name").isin(sorted({n.lower() for n in REPOSITORY_MARKERS + EXCLUDED_DIRECTORIES})))
@@ -90,8 +94,10 @@ def evaluate(entries: DataFrame, exclusions: DataFrame, as_of: Column, id_col: s
     hit = rows.select(id_col, F.explode(paths.ancestors(F.col("path_key"))).alias("prefix")).join(exclusions, "prefix", "left_semi").select(id_col).distinct().withColumn("excluded", F.lit(True))
     limit = max_bytes(F.col("ext"))
     key = F.col("path_key")
+    path = F.coalesce("full_path", F.lit(""))
     reason = (
-        F.when(limit.isNull(), "unsupported format")
+        F.when((F.trim(path) == "") | F.contains(path, F.lit("\0")), "invalid path")
+        .when(limit.isNull(), "unsupported format")
         .when((F.col("size") < 0) | (F.col("size") > limit), "file size limit")
         .when(F.col("attributes").bitwiseAND(UNSAFE) != 0, "unsafe file attributes")
         .when(~paths.within_any(key, DRIVES), "ineligible drive")
@@ -110,8 +116,9 @@ def evaluate(entries: DataFrame, exclusions: DataFrame, as_of: Column, id_col: s
 
 
 def fingerprint(path: Column, size: Column, modified_at: Column, revision: int = 1) -> Column:
-    """Upper-case SHA-256 of path, size, time (microseconds) and the extractor's revision."""
-    parts = F.concat_ws("|", F.upper(path), F.coalesce(size, F.lit(0)).cast("string"), F.unix_micros(modified_at).cast("string"), F.lit(str(revision)))
+    """Upper-case SHA-256 of path, size, time (ticks of 100 ns since year 1) and the extractor's revision."""
+    ticks = F.unix_micros(modified_at) * 10 + EPOCH_TICKS
+    parts = F.concat_ws("|", F.upper(path), F.coalesce(size, F.lit(0)).cast("string"), ticks.cast("string"), F.lit(str(revision)))
     return F.upper(F.sha2(parts, 256))
 
 

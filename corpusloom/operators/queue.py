@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MAX_ATTEMPTS = 3
 #: Minutes before the next attempt, by attempts made.
 DELAYS = [1, 10, 60]
-PERMANENT = ["UNSUPPORTED_FILE_TYPE", "UNSUPPORTED_ENCODING", "FILE_TOO_LARGE", "CORRUPT_DOCUMENT"]
+PERMANENT = ["CORRUPT_DOCUMENT", "UNSUPPORTED_OR_ENCRYPTED_DOCUMENT", "UNSUPPORTED_FILE_TYPE", "UNSUPPORTED_ENCODING", "FILE_TOO_LARGE", "EXTRACTION_TIMEOUT", "ACCESS_DENIED"]
 LISTED = 200
 
 
@@ -55,6 +55,13 @@ def lease(queue: DataFrame, as_of: Column, n: int) -> DataFrame:
     return due.orderBy("priority", "id").limit(n).withColumn("state", F.lit("processing"))
 
 
+def retry_failures(queue: DataFrame, failures: DataFrame, paths: DataFrame | None, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Queue and failures after failed paths (all, or the given path_key rows) are to be tried afresh."""
+    again = failures if paths is None else failures.join(paths, "path_key", "left_semi")
+    fresh = again.select("path_key", "fingerprint", F.lit(1).alias("priority"))
+    return upsert(queue.join(again.select("path_key"), "path_key", "left_anti"), fresh, as_of), failures.join(again.select("path_key"), "path_key", "left_anti")
+
+
 def recover(queue: DataFrame) -> DataFrame:
     return queue.withColumn("state", F.lit("pending"))
 
@@ -65,7 +72,8 @@ def after_failure(leased: DataFrame, as_of: Column) -> DataFrame:
     made = F.col("attempts") + 1
     terminal = (made >= MAX_ATTEMPTS) | F.col("error_code").isin(PERMANENT)
     minutes = F.element_at(F.array(*(F.lit(d) for d in DELAYS)), F.least(made, F.lit(len(DELAYS))))
-    return leased.select("path_key", "fingerprint", "error_code", made.alias("attempts"), terminal.alias("terminal"), F.when(~terminal, as_of + F.make_interval(mins=minutes)).alias("next_attempt_at"))
+    kept = [c for c in ("path_key", "fingerprint", "priority", "error_code") if c in leased.columns]
+    return leased.select(*kept, made.alias("attempts"), terminal.alias("terminal"), F.when(~terminal, as_of + F.make_interval(mins=minutes)).alias("next_attempt_at"))
 
 
 def status_counts(documents: DataFrame, queue: DataFrame, failures: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ a query move, and only inside their tier.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,12 +33,15 @@ def gate(rows: DataFrame, mode: str = "Hybrid") -> DataFrame:
     return found.filter((F.col("n") >= 2) & F.lit(mode != "Content")).select("query_id", (~F.col("exact")).alias("semantic"))
 
 
-def scored(rows: DataFrame, scorer: Callable[[str, str], float], query: str = "query", text: str = "text") -> DataFrame:
-    """A score for each pair by any model; batches travel as Arrow, the model loads once a worker."""
+def scored(rows: DataFrame, load: Callable[[], Callable[[pd.Series, pd.Series], Iterable[float]]], query: str = "query", text: str = "text") -> DataFrame:
+    """A score for each pair by any model. ``load`` gives a function of a whole batch (queries, texts) and
+    is called once in each task; scores that are not finite become null."""
 
     @F.pandas_udf(T.DoubleType())
-    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([float(scorer(q, t)) for q, t in zip(queries, texts, strict=True)])
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in batches:
+            yield pd.Series(model(queries, texts), dtype="float64")
 
     out = rows.withColumn("semantic_score", score(F.col(query), F.col(text)))
     return out.withColumn("semantic_score", F.when(F.abs("semantic_score") < float("inf"), F.col("semantic_score")))
@@ -108,6 +112,36 @@ def valid_order(ids: Column, candidates: Column) -> Column:
     return (F.size(ids) >= 1) & (F.size(ids) <= SHOWN) & (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_except(ids, candidates)) == 0)
 
 
+def external_order(rows: DataFrame, ask: Callable[[str, list[dict]], list], most_bytes: int = 24 * 1024, query: str = "query") -> DataFrame:
+    """(query_id, cand_id, wanted): the order that an outside service asks for, of queries that keep to
+    its limits and answers that are valid.
+
+    ``ask`` gets a query and its first candidates (cand_id, name, snippet) and returns one to five of
+    their ids. A request of more than ``most_bytes`` of JSON is not sent, and an answer that fails
+    (an exception, unknown or repeated ids) changes nothing. Rows (query_id, query, cand_id, idx, name, snippet).
+    """
+    first = rows.filter(F.col("idx") < TOP).groupBy("query_id", F.col(query).alias("query")).agg(F.array_sort(F.collect_list(F.struct("idx", "cand_id", "name", F.left("snippet", F.lit(200)).alias("snippet")))).alias("shown"))
+    kind = rows.schema["cand_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for query_id, text, shown in zip(batch["query_id"], batch["query"], batch["shown"], strict=True):
+                offered = [{k: r[k] for k in ("cand_id", "name", "snippet")} for r in shown]
+                if len(json.dumps({"query": text, "candidates": offered}, ensure_ascii=False, default=str).encode()) > most_bytes:
+                    continue
+                try:
+                    ids = list(ask(text, offered))
+                except Exception:  # the service is down: the local order stays
+                    continue
+                known = {r["cand_id"] for r in offered}
+                if 1 <= len(ids) <= SHOWN and len(set(ids)) == len(ids) and known.issuperset(ids):
+                    out += [(query_id, x, k + 1) for k, x in enumerate(ids)]
+            yield pd.DataFrame(out, columns=["query_id", "cand_id", "wanted"])
+
+    return first.mapInPandas(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, cand_id {kind}, wanted int")
+
+
 def orders_equal(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.bool_and(F.col(a) == F.col(b)).alias("equal"))
 

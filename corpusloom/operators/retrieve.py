@@ -59,11 +59,12 @@ def matches(hits: DataFrame) -> DataFrame:
 def bm25(index: Index, hits: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of matching documents; more is better.
 
-    n_t counts documents that hold the term in the searched fields. Statistics are one row, and the
-    counts one row for each query term, so both are small next to the postings.
+    n_t counts documents that hold the term in the searched fields: a count that is summed up before
+    the shuffle, so a stop-word's hits never meet in one task. It reads the hits' own shuffle again.
+    Statistics are one row, and the counts one row for each query term.
     """
-    per_term = Window.partitionBy("query_id", "t")
-    counted = hits.withColumn("n_t", F.count("*").over(per_term)).crossJoin(F.broadcast(index.corpus))
+    per_term = hits.groupBy("query_id", "t").agg(F.count("*").alias("n_t"))
+    counted = hits.join(per_term, ["query_id", "t"]).crossJoin(F.broadcast(index.corpus))
     idf = F.log((F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     f = TITLE_WEIGHT * F.col("tf_title") + BODY_WEIGHT * F.col("tf_body")

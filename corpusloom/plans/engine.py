@@ -6,7 +6,7 @@ bad query does not stop the others.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,11 +36,13 @@ class Engine:
             return names.search(self.catalog, query)
         return self.search_local_content(self._one(query.text), query.limit, query.offset, field=ix.TITLE)
 
-    def search_catalog_query(self, text: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    def search_catalog_query(self, text: str, limit: int = 50, offset: int = 0, sort_by: str = "name", descending: bool = False) -> DataFrame:
         """A query in the catalog's own dialect."""
         if self.catalog is None:
             raise RuntimeError(CATALOG_OFFLINE)
-        return self.catalog.filter(names.parse_raw(text)).orderBy(*names.order("name", False)).offset(offset).limit(limit)
+        if not 1 <= limit <= names.MAX_LIMIT or offset < 0:
+            raise ValueError(INVALID_QUERY)
+        return self.catalog.filter(names.parse_raw(text)).orderBy(*names.order(sort_by, descending)).offset(offset).limit(limit)
 
     def search_local_content(self, queries: DataFrame, limit: int = 20, offset: int = 0, field: str | None = None, **filters) -> DataFrame:
         """Ranked documents with up to three line locations each; blank or too broad queries give an
@@ -58,16 +60,21 @@ class Engine:
         return located.withColumn("error_code", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
     def locations(self, found: DataFrame, field: str | None = None) -> DataFrame:
-        """Lines of the hits alone: texts are joined after the page is cut. A title hit, and one whose
-        terms are nowhere as such, is at line 1 with the fallback snippet."""
-        texts = self.index.documents.select("doc_id", "text")
-        rows = found.join(texts, "doc_id").withColumn("key", F.struct("query_id", "doc_id"))
-        lines = locate.locate_lines(rows.select(F.col("key").alias("doc_id"), "text", "terms"), F.col("terms")).select(F.col("doc_id").alias("key"), "line", "snippet")
+        """Where the hits alone hold their terms: texts are joined after the page is cut, and each kind of
+        file is read in its own way (``locate.resolve``). A title hit is at line 1 without a snippet, a
+        document whose raw text holds no term at line 1 with the fallback snippet."""
+        columns = ["query_id", "rank", "doc_id", "name", "path_key", "score"]
+        place = ["start_line", "end_line", "snippet", "heading_path", "json_path", "label"]
         if field == ix.TITLE:
-            lines = lines.limit(0)
-        both = rows.join(lines, "key", "left")
-        snippet = F.coalesce("snippet", tx.snippet_fallback(F.col("text"), F.col("terms")))
-        return both.select("query_id", "rank", "doc_id", "name", "path_key", "score", F.coalesce("line", F.lit(1)).alias("line"), snippet.alias("snippet"))
+            one = {"start_line": F.lit(1), "end_line": F.lit(1), "snippet": F.lit(""), **{c: F.lit(None).cast("string") for c in place[3:]}}
+            return found.select(*columns).withColumns(one).withColumn("line", F.lit(1))
+        texts = self.index.documents.select("doc_id", "text", "extension", *(c for c in ["blocks"] if c in self.index.documents.columns))
+        rows = locate.locate(found.join(texts, "doc_id"))
+        hits = rows.select(*columns, "text", "terms", F.explode_outer("hits").alias("hit"))
+        nowhere = F.col("hit").isNull()
+        first = {"start_line": F.lit(1), "end_line": F.lit(1), "snippet": tx.snippet_fallback(F.col("text"), F.col("terms"))}
+        out = hits.select(*columns, *(F.when(nowhere, first[c]).otherwise(F.col(f"hit.{c}")).alias(c) if c in first else F.col(f"hit.{c}").alias(c) for c in place))
+        return out.withColumn("line", F.col("start_line"))
 
     def search_local_hybrid(self, queries: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
         """Names and content fused; a source that is missing leaves the answer to the other."""
@@ -86,10 +93,8 @@ class Engine:
         return ranked.withColumn("tier", fuse.tier(F.col("query"), F.col("name"), F.col("match_source"), F.col("noise")))
 
     def _names(self, queries: DataFrame, limit: int) -> DataFrame:
-        """Normal and soft names of each query by tier, match, length and name. The batch is broadcast by
-        Spark if it is small; the catalog is scanned once for all queries."""
-        files = self.catalog.filter("kind = 'file'")
-        joined = files.join(queries, F.contains(F.lower(files["name"]), F.lower(F.trim(queries["query"]))))
+        """Normal and soft names of each query by tier, match, length and name."""
+        joined = names.containing(self.catalog.filter("kind = 'file'"), queries)
         level = policy.noise(F.col("query"), F.col("name"), F.col("path_key"), F.col("extension"), F.col("attributes"))
         order = Window.partitionBy("query_id").orderBy("noise", policy.name_match_rank(F.col("query"), F.col("name")), F.length("name"), F.lower("name"), "path_key")
         ranked = joined.withColumn("noise", level).filter("noise < 2").withColumn("rank", F.row_number().over(order) - 1)
@@ -100,6 +105,20 @@ class Engine:
         files = fuse.collapse(self.search_local_hybrid(queries, names.MAX_LIMIT)).select("query_id", F.col("path_key").alias("item"), F.col("baseline_index").alias("rank"))
         return fuse.merge_mail(files, self.search_mail(queries, limit).select("query_id", F.col("path_key").alias("item"), (F.col("rank") - 1).alias("rank")), limit)
 
+    def search_content_mode(self, queries: DataFrame, limit: int = 20) -> DataFrame:
+        """Bodies of files, one row a file with how many places were found, merged with mails."""
+        hits = self.search_local_content(queries, limit, field=ix.BODY).filter("error_code is null").join(queries, "query_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "start_line"))
+        rows = hits.select("query_id", "path_key", "name", place.alias("position"), F.lit("content").alias("match_source"), F.lit(fuse.ELIGIBLE).alias("tier"), "score", "start_line")
+        files = fuse.collapse(rows)
+        told = files.select("query_id", F.col("path_key").alias("item"), F.col("baseline_index").alias("rank"))
+        if self.messages is None:
+            merged = fuse.merge_mail(told, told.limit(0), limit)
+        else:
+            merged = fuse.merge_mail(told, self.search_mail(queries, limit).select("query_id", F.col("path_key").alias("item"), (F.col("rank") - 1).alias("rank")), limit)
+        facts = files.select("query_id", F.col("path_key").alias("item"), F.lit(0).alias("kind"), "hits", "label")
+        return merged.join(facts, ["query_id", "item", "kind"], "left")
+
     def search_mail(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         return retrieve.search(mail.searchable(mail.deduped(self.messages)), queries, limit, field=ix.BODY)
 
@@ -108,5 +127,14 @@ class Engine:
         nothing = self.spark.createDataFrame([], "state string, error_code string")
         return queue.status_counts(self.index.documents, self.queue if self.queue is not None else nothing, self.failures if self.failures is not None else nothing)
 
+    def failures_list(self, limit: int | None = None) -> DataFrame:
+        """The newest failures, 200 of them unless a limit says otherwise."""
+        return self.failures.orderBy(F.col("failed_at").desc(), "path_key").limit(limit or queue.LISTED)
+
+    def retry_failures(self, paths: DataFrame | None, as_of) -> Engine:
+        """The engine after failed paths (all, or those given) are queued afresh."""
+        again, left = queue.retry_failures(self.queue, self.failures, paths, as_of)
+        return replace(self, queue=again, failures=left)
+
     def _one(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(1, text)], "query_id int, query string")

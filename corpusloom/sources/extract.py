@@ -163,7 +163,7 @@ def cut_blocks(blocks: list[tuple[str, str, str | None]], most: int) -> tuple[li
     return out, False
 
 
-def extract_one(path: str, content: bytes, max_bytes: int, max_characters: int) -> dict:
+def extract_one(path: str, content: bytes, max_bytes: int, max_characters: int, readers: dict | None = None) -> dict:
     out = {"path": path, "text": None, "truncated": None, "characters": None, "blocks": None, "error_code": None}
     extension = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     try:
@@ -180,6 +180,10 @@ def extract_one(path: str, content: bytes, max_bytes: int, max_characters: int)
                 text = xlsx_text(content)
             elif extension == "pptx":
                 text = pptx_text(content)
+            elif extension in (readers or {}):
+                text = readers[extension](content)
+                if not text.strip():
+                    raise ExtractionError("OCR_REQUIRED")
             elif extension == "pdf":
                 raise ExtractionError("OCR_REQUIRED")  # no reader of the format is installed
             else:
@@ -196,8 +200,9 @@ def extract_one(path: str, content: bytes, max_bytes: int, max_characters: int)
     return out
 
 
-def extract(files: DataFrame, max_bytes: int = 10 * 1024 * 1024, max_characters: int = MAX_CHARACTERS, seconds: int = DEADLINE_SECONDS) -> DataFrame:
-    """(path, text, truncated, characters, blocks, error_code) of files (path, content)."""
+def extract(files: DataFrame, max_bytes: int = 10 * 1024 * 1024, max_characters: int = MAX_CHARACTERS, seconds: int = DEADLINE_SECONDS, readers: dict | None = None) -> DataFrame:
+    """(path, text, truncated, characters, blocks, error_code) of files (path, content). ``readers`` maps
+    further extensions, such as pdf, to functions of the content that give the text."""
 
     def late(number, frame):
         raise TimeoutError
@@ -209,7 +214,7 @@ def extract(files: DataFrame, max_bytes: int = 10 * 1024 * 1024, max_characters:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 signal.alarm(seconds)
                 try:
-                    rows.append(extract_one(path, bytes(content), max_bytes, max_characters))
+                    rows.append(extract_one(path, bytes(content), max_bytes, max_characters, readers))
                 finally:
                     signal.alarm(0)
             yield pd.DataFrame(rows)

@@ -72,66 +72,105 @@ def break_circuit(events: list[tuple[float, int]], state: tuple[float, int, bool
 
 
 def cached(requests: list[tuple[float, str]], state: dict[str, float] | None = None, seconds: float = CACHE_SECONDS) -> tuple[list[bool], dict[str, float]]:
-    """Hits of a cache whose entries live ten minutes."""
+    """Hits of a cache whose entries live ten minutes. Dead entries go when they are half of what is held."""
     held = dict(state or {})
-    out = []
+    out, clean = [], 2 * len(held) + 64
     for t, key in requests:
         hit = key in held and t < held[key]
         out.append(hit)
         if not hit:
             held[key] = t + seconds
-    return out, held
+            if len(held) > clean:
+                held = {k: until for k, until in held.items() if t < until}
+                clean = 2 * len(held) + 64
+    last = requests[-1][0] if requests else 0.0
+    return out, {k: until for k, until in held.items() if last < until}
 
 
-def _per_key(frame: DataFrame, key: str, step, schema: str) -> DataFrame:
-    """Batch replay of a state machine: the rows of each key in order of time."""
+def _seconds(rows: pd.DataFrame) -> list[float]:
+    return (rows["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        return step(table.sort_values(["ts", "event_id"], kind="stable"))
 
-    return frame.groupBy(key).applyInPandas(run, schema)
+def _per_key(frame: DataFrame, key: str, step, name: str, kind: str) -> DataFrame:
+    """Batch replay of a state machine: (event_id, outcome) of each key's rows in order of time. Rows come
+    sorted and are read as they come; one key's state is all that is held."""
+    kept = frame.withColumnRenamed(key, "key")
 
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for table in tables:
+            for value, rows in table.groupby("key", sort=False, dropna=False):
+                value = None if pd.isna(value) else value
+                if state is None or value != now:
+                    now, state = value, {}
+                outcome, state["held"] = step(rows, state.get("held"))
+                yield pd.DataFrame({"event_id": rows["event_id"], name: outcome})
 
-def admitted(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """(event_id, admitted) by the exact rolling window of each key."""
+    parts = kept.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return parts.mapInPandas(run, f"event_id long, {name} {kind}")
+
+
+def _admit(rows: pd.DataFrame, held):
+    return admit(_seconds(rows), held=held)
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return pd.DataFrame({"event_id": rows["event_id"], "admitted": admit(times.tolist())[0]})
 
-    return _per_key(events.select(key, "event_id", "ts"), key, step, "event_id long, admitted boolean")
+def _break(rows: pd.DataFrame, held):
+    pairs = list(zip(_seconds(rows), rows["status"].tolist(), strict=True))
+    return break_circuit(pairs) if held is None else break_circuit(pairs, held)
+
+
+def _cache(rows: pd.DataFrame, held):
+    return cached(list(zip(_seconds(rows), rows["payload"], strict=True)), held)
+
+
+def admitted(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """(event_id, admitted) by the exact rolling window of each key."""
+    return _per_key(events.select(key, "event_id", "ts"), key, _admit, "admitted", "boolean")
 
 
 def circuit(events: DataFrame, key: str = "user_id") -> DataFrame:
     """(event_id, outcome) of requests with an HTTP status."""
+    return _per_key(events.select(key, "event_id", "ts", "status"), key, _break, "outcome", "string")
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return pd.DataFrame({"event_id": rows["event_id"], "outcome": break_circuit(list(zip(times, rows["status"], strict=True)))[0]})
 
-    return _per_key(events.select(key, "event_id", "ts", "status"), key, step, "event_id long, outcome string")
+def cache_hits(events: DataFrame, key: str = "user_id", payload: str = "payload") -> DataFrame:
+    """(event_id, hit) of requests whose answer a cache may hold."""
+    return _per_key(events.select(key, "event_id", "ts", F.col(payload).alias("payload")), key, _cache, "hit", "boolean")
 
 
-def cache_hits(events: DataFrame, key: str = "user_id", payload: str = "payload") -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return pd.DataFrame({"event_id": rows["event_id"], "hit": cached(list(zip(times, rows[payload], strict=True)))[0]})
+def _stream(events: DataFrame, key: str, step, name: str, kind: str, state_kind: str, pack, unpack) -> DataFrame:
+    """The same as keyed state of a stream; rows of a micro-batch are taken in order of time."""
+
+    def run(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches).sort_values(["ts", "event_id"], kind="stable")
+        outcome, held = step(rows, unpack(state.get) if state.exists else None)
+        state.update(pack(held))
+        yield pd.DataFrame({"event_id": rows["event_id"], name: outcome})
 
-    return _per_key(events.select(key, "event_id", "ts", payload), key, step, "event_id long, hit boolean")
+    return events.groupBy(key).applyInPandasWithState(run, f"event_id long, {name} {kind}", state_kind, "append", "NoTimeout")
 
 
 def admitted_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """The exact limiter as keyed state: the admitted times of the last minute are the state."""
+    """The exact limiter: the admitted times of the last minute are the state."""
+    return _stream(events.select(key, "event_id", "ts"), key, _admit, "admitted", "boolean", "held array<double>", lambda held: (held,), lambda state: list(state[0]))
+
+
+def circuit_stream(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """The breaker: until when it is open, failures in a row, and whether it is off for good."""
+    return _stream(events.select(key, "event_id", "ts", "status"), key, _break, "outcome", "string", "until double, failures int, disabled boolean", lambda held: (float(held[0]), int(held[1]), bool(held[2])), tuple)
+
+
+def cache_hits_stream(events: DataFrame, key: str = "user_id", payload: str = "payload") -> DataFrame:
+    """The cache: the entries that are alive."""
+    rows = events.select(key, "event_id", "ts", F.col(payload).alias("payload"))
+    return _stream(rows, key, _cache, "hit", "boolean", "names array<string>, untils array<double>", lambda held: (list(held), list(held.values())), lambda state: dict(zip(*state, strict=True)))
 
-    def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(["ts", "event_id"], kind="stable")
-        times = (rows["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        verdict, held = admit(times, held=held)
-        state.update((held,))
-        yield pd.DataFrame({"event_id": rows["event_id"], "admitted": verdict})
 
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(step, "event_id long, admitted boolean", "held array<double>", "append", "NoTimeout")
+def presented(results: DataFrame) -> DataFrame:
+    """The results (session, version, shown_version, ...) that may still be shown: of the newest version
+    of their session, and not older than what is on the screen."""
+    newest = results.groupBy("session").agg(F.max("version").alias("newest"))
+    return results.join(newest, "session").filter((F.col("version") == F.col("newest")) & (F.col("version") >= F.coalesce("shown_version", F.lit(0)))).drop("newest")
 
 
 def reconcile(batch: DataFrame, store, scan_id: int) -> None:
