@@ -286,6 +286,7 @@ def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", mos
     labelled = {KINDS[k]: sample(seen.filter(F.col("kind") == k).select("word")) for k in range(3)}
     words = seen.filter("kind = 3").groupBy("word").agg((F.sum("n") - 1).alias("n")).filter("n > 0")
     pairs = words.mapInArrow(shapes, "kind int, word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    scratch.drop(seen)  # it holds credentials in plain
     return Formats(labelled, {(r["word"][0], r["word"][1]): r["n"] for r in pairs})
 
 

@@ -1,13 +1,16 @@
 """Removal of repeated 200-byte strings by merged Burrows-Wheeler transforms.
 
-Which strings can be equal at all is settled by content: each window of LENGTH bytes is dealt by the
-anchor it contains (the GRAM bytes of least hash, so equal windows have equal anchors at equal
-places). Runs of windows that are equal as a whole are repeated; only runs that share their anchor,
-and then their core, with others that differ somewhere are compared byte by byte. Those are cut
-into shards, each with a Burrows-Wheeler transform of its own, and the transforms are merged by
-refining their interleave: every pass orders the suffixes by one word more, as the words before
-them say, and marks where neighbours differ. After LENGTH bytes the unbroken intervals of the
-interleave are the repeated strings. No suffix is compared or sorted again in a merge.
+What can be equal at all is settled by content: each window of LENGTH bytes is dealt by the anchor it
+contains (the GRAM bytes of least hash, so equal windows have equal anchors at equal places). Runs
+of windows that no other run shares an anchor with are out. Runs that are the same string as a whole
+(128 bits of hash agree: the anchor's and the run's) are repeated, as are texts that are the same
+string; of those one copy is enough. Runs that share their anchor, and then their core, with others
+that differ somewhere are the ones whose suffixes must be compared. Every task builds transforms of
+what it holds of them, its shards, one for each bucket of cores; a bucket's shards, of all tasks, are
+merged by refining their interleave: every pass orders the suffixes by one word more, as the words
+before them say, and where neighbours part for the first time that pass tells the length of their
+common prefix. Intervals whose neighbours never part in LENGTH bytes are the repeated strings. No
+suffix is compared or sorted again in a merge.
 
 A word has STRIDE bytes and a fragment is STRIDE strings of words, one for each phase, so LENGTH
 bytes are LENGTH / STRIDE passes.
@@ -17,21 +20,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
+from .common import Scratch, claim, collect_garbage, deal, flat_bytes, fresh, mix64, partitions, slices, slots, text_bytes, unpack
 
 LENGTH = 200
 GRAM = 64
 STRIDE = 8
 #: Windows of a run that are judged by one core.
 STEP = 8
-#: Bytes of fragments that are merged at once; one core's fragments always stay together.
+#: Bytes of fragments in a bucket, on average; one core's fragments always stay together.
 BUNDLE = 60_000
+#: Bytes of fragments that a task turns into transforms at once.
+SHARD = 8 << 20
+#: Fragments of a core that are merged; the windows of a core with more are counted one by one.
+MERGED = 4096
+#: Bytes of packed rows that a task of the packed steps gets on average, at most.
+PACKED = 64 << 20
 
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
@@ -224,30 +234,44 @@ def _match_cores(cores: DataFrame) -> DataFrame:
     return cores.groupBy("part").applyInArrow(run, FOUND)
 
 
-class Transform:
-    """The Burrows-Wheeler transform of a shard of word strings, with the place of each suffix."""
+@dataclass
+class Shard:
+    """The transform of some fragments: their bytes, and the places of their suffixes in order. A suffix
+    is read in words of STRIDE bytes; the word before each place is the transform's symbol."""
 
-    def __init__(self, symbols: np.ndarray, places: np.ndarray, strings: int):
-        self.symbols, self.places, self.strings = symbols, places, strings
+    raw: np.ndarray
+    sizes: np.ndarray
+    order: np.ndarray
 
 
-def shard_transform(words: np.ndarray, after: np.ndarray, before: np.ndarray, ends: int, places: np.ndarray) -> Transform:
-    """Sorts one shard's suffixes by doubling. ``after``/``before``: the next and the last word's
-    row in the shard, or -1; ``ends``: the number of strings, whose empty suffixes come first."""
-    rank = words.astype(np.int64)
-    step = after.copy()
+def _words(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place: the STRIDE bytes from there on, its distance from the fragment's begin, and the fragment."""
+    data = np.concatenate([raw, np.zeros(STRIDE, np.uint8)])
+    words = np.zeros(len(raw), np.uint64)
+    for k in range(STRIDE):
+        words = (words << _U(8)) | data[k : k + len(raw)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return words, np.arange(len(raw)) - (np.cumsum(sizes) - sizes)[owner], owner
+
+
+def shard_of(fragments: list[bytes]) -> Shard:
+    """Sorts one shard's suffixes, by doubling."""
+    sizes = np.array([len(f) for f in fragments], np.int64)
+    raw = np.frombuffer(b"".join(fragments), np.uint8)
+    words, inside, owner = _words(raw, sizes)
+    here = np.arange(len(raw))
+    step = np.where(inside + STRIDE < sizes[owner], here + STRIDE, -1)
+    # the last word of a string ends with it, whatever bytes of another fragment it covers
+    _, rank = np.unique(words, return_inverse=True)
     while True:
         key = rank * (int(rank.max()) + 2) + np.where(step >= 0, rank[step] + 1, 0)
         _, new = np.unique(key, return_inverse=True)
         step = np.where(step >= 0, step[step], -1)
-        if (step < 0).all() or new.max() + 1 == len(new):
-            rank = new
+        done = (step < 0).all() or new.max() + 1 == len(new)
+        rank = new
+        if done:
             break
-        rank = new + 1
-    order = np.argsort(rank, kind="stable")
-    last = np.flatnonzero(after < 0)  # before the empty suffix of a string stands its last word
-    symbols = np.concatenate([words[last], np.where(before[order] >= 0, words[np.maximum(before[order], 0)], 0)])
-    return Transform(symbols, np.concatenate([np.full(ends, -1), places[order]]), ends)
+    return Shard(raw, sizes, np.argsort(rank, kind="stable").astype(np.uint32))
 
 
 def _stable_order(symbols: np.ndarray) -> np.ndarray:
@@ -258,135 +282,166 @@ def _stable_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def merge(a: Transform, b: Transform, passes: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both shards, and the interval of each suffix: equal numbers have equal first
-    ``passes`` words.
+def merge(shards: list[Shard], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged transform of some shards: the places of all suffixes in order (the shards' bytes end to
+    end; -1 for the empty suffixes, which come first), and how many words each has in common with the
+    one before it, ``passes`` at most.
 
-    The interleave says, rank by rank, from which shard the next suffix comes. Reading both
-    transforms along it and dealing the shard numbers stably by symbol orders the suffixes by one
-    word more; an interval ends where the symbol changes or one ended before it.
+    The interleave says, rank by rank, from which shard the next suffix comes. Reading the shards'
+    symbols along it and dealing the shard numbers stably by symbol orders the suffixes by one word
+    more; neighbours part where their first words differ, or where those after them have parted.
     """
-    n = len(a.symbols) + len(b.symbols)
-    heads = a.strings + b.strings
-    first = np.concatenate([np.zeros(a.strings, bool), np.ones(b.strings, bool)])
-    from_b = np.concatenate([first, np.zeros(len(a.symbols) - a.strings, bool), np.ones(len(b.symbols) - b.strings, bool)])
-    interval = np.zeros(n, np.int32)  # nothing is told apart yet
-    symbols = np.empty(n, a.symbols.dtype)
-    for _ in range(passes):
-        symbols[from_b] = b.symbols
-        symbols[~from_b] = a.symbols
+    sizes = np.array([len(s.raw) for s in shards])
+    base = np.cumsum(sizes) - sizes
+    found = [_words(s.raw, s.sizes) for s in shards]
+    # one alphabet for all; 0 is the begin of a string
+    _, symbol = np.unique(np.concatenate([w for w, _, _ in found]), return_inverse=True)
+    symbol = symbol.astype(np.int64) + 1
+    heads, rests, places, strings = [], [], [], []
+    for s, b, (_, inside, owner) in zip(shards, base.tolist(), found, strict=True):
+        last = np.flatnonzero(inside + STRIDE >= s.sizes[owner])  # before the empty suffix of a string stands its last word
+        order = s.order.astype(np.int64)
+        heads.append(symbol[b + last])
+        rests.append(np.where(inside[order] >= STRIDE, symbol[b + np.maximum(order - STRIDE, 0)], 0))
+        places.append(order + b)
+        strings.append(len(last))
+    numbers = np.arange(len(shards), dtype=np.uint16 if len(shards) < 1 << 16 else np.uint32)
+    first = np.repeat(numbers, strings)
+    origin = np.concatenate([first, np.repeat(numbers, sizes)])
+    read = np.concatenate([x for pair in zip(heads, rests, strict=True) for x in pair])
+    held = np.concatenate([x for n, p in zip(strings, places, strict=True) for x in (np.full(n, -1), p)])
+    n, empty = len(origin), len(first)
+    common = np.full(n, passes, np.int16)
+    common[0] = 0
+    parted = np.zeros(n, bool)
+    symbols = np.empty(n, np.int64)
+    for done in range(passes):
+        symbols[np.argsort(origin, kind="stable")] = read
         order = _stable_order(symbols)
-        # string starts have symbol 0: in their place stand the empty suffixes, shard by shard
-        new_from = from_b[order]
-        new_from[:heads] = first
-        sorted_symbols, before = symbols[order], interval[order]
-        breaks = np.empty(n, bool)
-        breaks[0] = False
-        breaks[1:] = (sorted_symbols[1:] != sorted_symbols[:-1]) | (before[1:] != before[:-1])
-        breaks[1:heads] = False
-        new_interval = np.cumsum(breaks, dtype=np.int32)
-        still = int(new_interval[-1]) == int(interval[-1]) > 0 and np.array_equal(new_from, from_b)
-        from_b, interval = new_from, new_interval
+        # string begins have symbol 0: in their place stand the empty suffixes, shard by shard
+        new_origin = origin[order]
+        new_origin[:empty] = first
+        along = symbols[order]
+        interval = np.cumsum(parted)[order]
+        breaks = np.zeros(n, bool)
+        breaks[1:] = (along[1:] != along[:-1]) | (interval[1:] != interval[:-1])
+        breaks[1:empty] = False
+        common[breaks & (common == passes)] = done
+        still = np.array_equal(breaks, parted) and np.array_equal(new_origin, origin) and done > 0
+        origin, parted = new_origin, breaks
         if still:
             break
-    symbols[from_b] = b.symbols
-    symbols[~from_b] = a.symbols
-    places = np.empty(n, np.int64)
-    places[from_b] = b.places
-    places[~from_b] = a.places
-    # heads of both shards first, in order: so the merged transform can be merged again
-    return Transform(symbols, places, heads), interval
+    where = np.empty(n, np.int64)
+    where[np.argsort(origin, kind="stable")] = held
+    return where, common
+
+
+def repeated_in(shards: list[Shard]) -> list[list[np.ndarray]]:
+    """For each fragment of each shard the begins of windows of LENGTH bytes that occur more than once in all of them."""
+    places, common = merge(shards, LENGTH // STRIDE)
+    interval = np.cumsum(common < LENGTH // STRIDE)
+    sizes = np.concatenate([s.sizes for s in shards])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    at = np.flatnonzero(places >= 0)
+    at = at[inside[places[at]] + LENGTH <= sizes[owner[places[at]]]]  # suffixes that begin with a whole window
+    often = np.bincount(interval[at], minlength=int(interval[-1]) + 1)[interval[at]] > 1
+    hit = np.sort(places[at[often]])
+    cuts = np.searchsorted(owner[hit], np.arange(len(sizes) + 1))
+    found = iter([inside[hit[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return [[next(found) for _ in s.sizes] for s in shards]
 
 
 def repeated_windows(fragments: list[bytes], shards: int = 2) -> list[np.ndarray]:
-    """For each fragment the starts of windows of LENGTH bytes that occur more than once in all of them."""
-    sizes = np.array([len(f) for f in fragments])
-    firsts = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.zeros(int(firsts[-1]) + STRIDE, np.uint8)
-    raw[: int(firsts[-1])] = np.frombuffer(b"".join(fragments), np.uint8)
-    words = np.zeros(int(firsts[-1]), np.uint64)
-    for k in range(STRIDE):
-        words = (words << _U(8)) | raw[k : k + len(words)]
-    _, symbol = np.unique(words, return_inverse=True)
-    symbol = (symbol + 1).astype(np.int64)  # 0 is the end of a string
-    owner = np.repeat(np.arange(len(fragments)), sizes)
-    inside = np.arange(len(words)) - firsts[owner]
-    shards = max(1, min(shards, len(fragments)))
-    made = []
-    for some in np.array_split(np.arange(len(fragments)), shards):
-        lo, hi = int(firsts[some[0]]), int(firsts[some[-1] + 1])
-        here = np.arange(hi - lo)
-        after = np.where(inside[lo:hi] + STRIDE < sizes[owner[lo:hi]], here + STRIDE, -1)
-        before = np.where(inside[lo:hi] >= STRIDE, here - STRIDE, -1)
-        made.append(shard_transform(symbol[lo:hi], after, before, int((after < 0).sum()), here + lo))
-    passes = LENGTH // STRIDE
-    empty = Transform(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
-    if len(made) == 1:
-        made.append(empty)
-    while len(made) > 1:  # a tree of merges
-        pairs = [merge(made[k], made[k + 1], passes) for k in range(0, len(made) - 1, 2)]
-        made = [t for t, _ in pairs] + made[len(pairs) * 2 :]
-    whole, interval = pairs[-1] if len(pairs) == 1 else (made[0], None)
-    start = np.full(len(words), -1, np.int64)
-    real = whole.places >= 0
-    start[whole.places[real]] = interval[real]
-    window = inside + LENGTH <= sizes[owner]
-    counts = np.bincount(start[window], minlength=len(whole.symbols) + 1)
-    hit = np.flatnonzero(window & (counts[np.maximum(start, 0)] > 1))
-    cuts = np.searchsorted(owner[hit], np.arange(len(fragments) + 1))
-    return [inside[hit[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _fragments(asked: DataFrame) -> DataFrame:
-    """(core, cls, first, bytes) of the asked steps of (cls, body, runs of (first, last, core))."""
+    """The same of fragments that are cut into so many shards."""
+    some = [x for x in np.array_split(np.arange(len(fragments)), max(1, min(shards, len(fragments)))) if len(x)]
+    return [w for shard in repeated_in([shard_of([fragments[k] for k in x]) for x in some]) for w in shard]
+
+
+SHARDS = "bucket long, raw binary, ends binary, suffixes binary, cls binary, first binary"
+
+
+def _shards(asked: DataFrame, buckets: int) -> DataFrame:
+    """Transforms, one for each bucket that a task has fragments of, of the asked steps of
+    (cls, body, runs of (first, last, core)). A fragment's bucket is that of its core."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, int, bytes]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for bucket, rows in held.items():
+                shard = shard_of([r[2] for r in rows])
+                columns = [pa.array([bucket], pa.int64())]
+                columns += [pa.array([x.tobytes()], pa.binary()) for x in (shard.raw, shard.sizes, shard.order, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "raw", "ends", "suffixes", "cls", "first"])
+            held.clear()
+
         for batch in batches:
             for some in slices(batch, "body", 1 << 20):
-                out: dict[str, list] = {"core": [], "cls": [], "first": [], "bytes": []}
                 for cls, body, runs in zip(some.column("cls").to_pylist(), some.column("body").to_pylist(), some.column("runs").to_pylist(), strict=True):
                     for r in runs:
-                        out["core"].append(r["core"])
-                        out["cls"].append(cls)
-                        out["first"].append(r["first"])
-                        out["bytes"].append(body[r["first"] : r["last"] + LENGTH])
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()})
+                        data = body[r["first"] : r["last"] + LENGTH]
+                        held.setdefault((r["core"] & 0xFFFFFFFFFFFF) % buckets, []).append((cls, r["first"], data))
+                        size += len(data)
+                if size > SHARD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return asked.mapInArrow(run, SHARDS)
+
+
+def _merged(shards: DataFrame) -> DataFrame:
+    """Windows that are repeated (kind 0), of the shards of each bucket."""
 
-    return asked.mapInArrow(run, "core long, cls long, first long, bytes binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            made = [Shard(np.frombuffer(r[0], np.uint8), np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.uint32)) for r in rows]
+            cls, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r, found in zip(rows, repeated_in(made), strict=True):
+                counts = [len(w) for w in found]
+                cls.append(np.repeat(np.frombuffer(r[3], np.int64), counts))
+                first.append(np.repeat(np.frombuffer(r[4], np.int64), counts) + (np.concatenate(found) if found else 0))
+            rows.clear()
+            names, begins = np.concatenate(cls), np.concatenate(first)
+            yield from _found(np.zeros(len(names)), names, begins, begins, begins, np.zeros(len(names))).to_batches()
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    yield from flush()
+                now = bucket
+                rows.append([batch.column(c)[k].as_py() for c in ("raw", "ends", "suffixes", "cls", "first")])
+        yield from flush()
 
+    return shards.repartition(partitions(shards.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
-def _match_fragments(fragments: DataFrame) -> DataFrame:
-    def flush(rows: list[tuple[int, int, bytes]]) -> tuple[list, list]:
-        size = sum(len(r[2]) for r in rows)
-        found = repeated_windows([r[2] for r in rows], max(2, -(-size // BUNDLE)))
-        cls = [r[0] for r, w in zip(rows, found, strict=True) for _ in w]
-        return cls, [r[1] + int(x) for r, w in zip(rows, found, strict=True) for x in w]
+
+def _counted(asked: DataFrame) -> DataFrame:
+    """Windows that are repeated, of cores too common to be merged by one task: each window by itself,
+    named by 128 bits, counted before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, now = [], 0, None
-        cls: list[int] = []
-        first: list[int] = []
         for batch in batches:
-            for core, name, at, data in zip(*(batch.column(c).to_pylist() for c in ("core", "cls", "first", "bytes")), strict=True):
-                if core != now and size > BUNDLE:
-                    a, b = flush(rows)
-                    cls += a
-                    first += b
-                    rows, size = [], 0
-                now = core
-                rows.append((name, at, data))
-                size += len(data)
-            if len(cls) > 20_000:
-                yield _found(np.zeros(len(cls)), cls, first, first, first, np.zeros(len(cls))).to_batches()[0]
-                cls, first = [], []
-        if rows:
-            a, b = flush(rows)
-            cls += a
-            first += b
-        if cls:
-            yield _found(np.zeros(len(cls)), cls, first, first, first, np.zeros(len(cls))).to_batches()[0]
-
-    return fragments.repartition(partitions(fragments.sparkSession), "core").sortWithinPartitions("core").mapInArrow(run, FOUND)
+            for some in slices(batch, "body", 1 << 20):
+                out: dict[str, list] = {"h1": [], "h2": [], "cls": [], "first": []}
+                for cls, body, runs in zip(some.column("cls").to_pylist(), some.column("body").to_pylist(), some.column("runs").to_pylist(), strict=True):
+                    for first in {w for r in runs for w in range(r["first"], r["last"] + 1)}:
+                        digest = hashlib.blake2b(body[first : first + LENGTH], digest_size=16).digest()
+                        out["h1"].append(int.from_bytes(digest[:8], "little", signed=True))
+                        out["h2"].append(int.from_bytes(digest[8:], "little", signed=True))
+                        out["cls"].append(cls)
+                        out["first"].append(first)
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    windows = asked.mapInArrow(run, "h1 long, h2 long, cls long, first long")
+    often = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    return windows.join(often, ["h1", "h2"]).select("cls", "first", F.col("first").alias("last"))
 
 
 def covered(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,28 +454,57 @@ def covered(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[starts], reach[np.concatenate([starts[1:] - 1, [len(first) - 1]])]
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is repeated where: (texts, copies, marks).
+def text_name(salt: int, body: Column) -> Column:
+    return F.xxhash64(F.lit(salt), body)
+
 
-    texts has (cls, body) of every distinct text that may hold a repeat, copies (cls, n, id-free)
-    of every text, marks (cls, runs of windows) of texts that occur once. A text is named by the
-    64-bit hash of its bytes; equal texts are one.
+def named_texts(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(cls, body) of every row, (cls, n, n_bytes, sha) of every text, and the salt of the names: a name of
+    64 bits for each text that no other text of the table has.
+
+    Texts of one name are compared by length and SHA-256; should two differ, all get names by another salt.
+    """
+    salt = 0
+    while True:
+        body = text_bytes(text_col)
+        named = docs.withColumn("cls", text_name(salt, body)).select("cls", body.alias("body"))
+        facts = named.select("cls", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
+        copies = scratch.table(facts.groupBy("cls").agg(F.count("*").alias("n"), F.min("n_bytes").alias("n_bytes"), F.min("sha").alias("sha"), (F.min(F.struct("n_bytes", "sha")) != F.max(F.struct("n_bytes", "sha"))).alias("clash")), "copies")
+        if copies.filter("clash").isEmpty():
+            return named, copies.select("cls", "n", "n_bytes", "sha"), salt
+        scratch.drop(copies)
+        salt += 1
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """What is repeated where: (texts, copies, marks, salt).
+
+    texts has (cls, body) of every distinct text that may hold a repeat, copies (cls, n, n_bytes, sha)
+    of every text, marks (cls, runs of windows) of texts that occur once; equal texts are one. The
+    name of a text is xxhash64(salt, bytes).
     """
-    parts = partitions(docs.sparkSession)
-    named = docs.select(text_bytes(text_col).alias("body")).withColumn("cls", F.xxhash64("body"))
-    copies = scratch.table(named.groupBy("cls").agg(F.count("*").alias("n")), "copies")
-    found = scratch.table(_match_runs(_anchors(named.select("cls", "body"), parts)), "runs")
+    named, copies, salt = named_texts(docs, text_col, scratch)
+    size = copies.agg(F.sum(F.col("n") * F.col("n_bytes"))).first()[0] or 0
+    # a run of windows with one anchor for every (LENGTH - GRAM) / 2 bytes
+    parts = max(partitions(docs.sparkSession), -(-size * ANCHOR.itemsize * 2 // (LENGTH - GRAM) // PACKED))
+    found = scratch.table(_match_runs(_anchors(named, parts)), "runs")
     collect_garbage(docs.sparkSession)
     wanted = scratch.table(found.select("cls").distinct(), "wanted")
-    # the list of names grows with the corpus: it is never broadcast, small tables are joined alike
+    # the list of names grows with the corpus: it is merged at every size, never broadcast
     texts = scratch.table(named.join(wanted.hint("merge"), "cls").dropDuplicates(["cls"]), "texts")
     collect_garbage(docs.sparkSession)
-    asked = lambda frame, *fields: texts.join(frame.filter("kind = 1").groupBy("cls").agg(F.collect_set(F.struct(*fields)).alias("runs")), "cls")
-    deeper = scratch.table(_match_cores(_cores(asked(found, "first", "last", "at"), parts)), "steps")
-    last = _match_fragments(_fragments(asked(deeper, "first", "last", "core")))
-    marks = found.filter("kind = 0").select("cls", "first", "last").unionAll(deeper.filter("kind = 0").select("cls", "first", "last")).unionAll(last.select("cls", "first", "last"))
+    asked = lambda frame, *fields: texts.join(frame.groupBy("cls").agg(F.collect_set(F.struct(*fields)).alias("runs")), "cls")
+    deeper = scratch.table(_match_cores(_cores(asked(found.filter("kind = 1"), "first", "last", "at"), parts)), "steps")
+    open_steps = deeper.filter("kind = 1").select("core", "cls", "first", "last")
+    cores = scratch.table(open_steps.groupBy("core").agg(F.count("*").alias("total"), F.sum(F.col("last") - F.col("first") + LENGTH).alias("size")), "cores")
+    common = cores.filter(F.col("total") > MERGED).select("core")
+    buckets = max(1, (cores.agg(F.sum("size")).first()[0] or 0) // BUNDLE)
+    merged = _merged(_shards(asked(open_steps.join(common, "core", "left_anti"), "first", "last", "core"), buckets)).select("cls", "first", "last")
+    marks = found.filter("kind = 0").select("cls", "first", "last").unionAll(deeper.filter("kind = 0").select("cls", "first", "last")).unionAll(merged)
+    if not common.isEmpty():
+        marks = marks.unionAll(_counted(asked(open_steps.join(common, "core"), "first", "last", "core")))
     single = copies.filter("n = 1").select("cls")
-    return texts, copies, marks.join(single, "cls").groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return texts, copies, marks.join(single, "cls").groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("runs")), salt
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,9 +517,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    body = text_bytes(text_col)
-    rows = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("cls"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")), "rows")
-    texts, copies, marks = repeated_spans(docs, scratch, text_col)
+    texts, copies, marks, salt = repeated_spans(docs.select(F.col(text_col)), scratch, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_name(salt, text_bytes(text_col)).alias("cls"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,11 +560,14 @@ def trim(body: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
 def trim_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without the characters that repeated strings cover, all columns kept.
 
-    Only whole characters go, so texts stay valid; null texts stay null.
+    Only whole characters go, so texts stay valid; null texts stay null, empty and short ones as they
+    are; repeated rows lose all of a text of LENGTH bytes; rows without an id are rows like any other; an
+    empty table stays empty. Columns of any name may be there.
     """
     scratch = Scratch(docs.sparkSession)
-    _, copies, marks = repeated_spans(docs, scratch, text_col)
-    facts = scratch.table(copies.join(marks, "cls", "left").filter("n > 1 or runs is not null").select(F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("runs").alias("_runs")), "facts")
+    _, copies, marks, salt = repeated_spans(docs.select(F.col(text_col)), scratch, text_col)
+    name, n, runs = (fresh(docs, c) for c in ("_name", "_n", "_runs"))
+    facts = scratch.table(copies.join(marks, "cls", "left").filter("n > 1 or runs is not null").select(F.col("cls").alias(name), F.col("n").alias(n), F.col("runs").alias(runs)), "facts")
 
     @F.arrow_udf("string")
     def cut(bodies: pa.Array, runs: pa.Array) -> pa.Array:
@@ -494,7 +580,6 @@ def trim_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pa.array(out, pa.string())
 
     body = F.col(text_col).cast("binary")
-    named = docs.withColumn("_name", F.xxhash64(text_bytes(text_col)))
-    joined = named.join(facts, named["_name"] == facts["_cls"], "left")
-    text = F.when(F.col(text_col).isNull() | F.col("_n").isNull(), F.col(text_col)).when((F.col("_n") > 1) & (F.octet_length(body) >= LENGTH), F.lit("")).when(F.col("_runs").isNull(), F.col(text_col)).otherwise(cut(body, F.col("_runs")))
-    return joined.withColumn(text_col, text).drop("_name", "_cls", "_n", "_runs")
+    joined = docs.withColumn(name, text_name(salt, text_bytes(text_col))).join(facts, name, "left")
+    text = F.when(F.col(text_col).isNull() | F.col(n).isNull(), F.col(text_col)).when((F.col(n) > 1) & (F.octet_length(body) >= LENGTH), F.lit("")).when(F.col(runs).isNull(), F.col(text_col)).otherwise(cut(body, F.col(runs)))
+    return joined.withColumn(text_col, text).select(docs.columns)

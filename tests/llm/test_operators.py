@@ -429,6 +429,53 @@ def test_merged_transforms_equal_brute_force():
             assert [x.tolist() for x in suffix_dedup.repeated_windows(parts, shards)] == want
 
 
+def test_merge_gives_common_prefixes_in_order():
+    """The merged order is that of the suffixes by words, and each common prefix is the true one."""
+    r = random.Random(5)
+    size, passes = suffix_dedup.STRIDE, 6
+    parts = [bytes(r.choice(b"ab") for _ in range(size)) * 3 + bytes(r.choice(b"abc") for _ in range(r.randint(1, 90))) for _ in range(9)]
+    shards = [suffix_dedup.shard_of(parts[:4]), suffix_dedup.shard_of(parts[4:5]), suffix_dedup.shard_of(parts[5:])]
+    places, common = suffix_dedup.merge(shards, passes)
+    read, at = [], 0
+    for s in shards:
+        words, inside, owner = suffix_dedup._words(s.raw, s.sizes)
+        for k in range(len(s.raw)):
+            read.append([int(words[j]) for j in range(k, k + int(s.sizes[owner[k]] - inside[k]), size)])
+    empty = int((places < 0).sum())
+    assert (places[:empty] < 0).all() and sorted(places[empty:].tolist()) == list(range(len(read)))
+    order = [read[p] for p in places[empty:].tolist()]
+    assert [x[:passes] for x in order] == sorted(x[:passes] for x in order)
+    for a, b, n in zip(order, order[1:], common[empty + 1 :].tolist(), strict=False):
+        same = next((k for k in range(passes) if a[k : k + 1] != b[k : k + 1]), passes)
+        assert n == same
+
+
+@pytest.mark.parametrize("merged", [1, 4096])
+def test_shards_of_many_tasks_equal_brute_force(spark, monkeypatch, merged):
+    """Runs that differ somewhere, spread over tasks; common cores are counted window by window."""
+    monkeypatch.setattr(suffix_dedup, "MERGED", merged)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 2000)
+    monkeypatch.setattr(suffix_dedup, "BUNDLE", 3000)
+    r = random.Random(13)
+    passages = ["".join(r.choice("abcd ") for _ in range(n)) for n in (203, 215, 240, 330)]
+    rows = []
+    for k in range(120):
+        q = list(r.choice(passages))
+        for _ in range(r.randint(0, 1)):
+            q[r.randrange(len(q))] = "#"
+        rows.append((k, "".join(r.choice("efgh ") for _ in range(r.randint(0, 40))) + "".join(q) + "".join(r.choice("efgh ") for _ in range(r.randint(0, 40)))))
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, rows, "doc_id long, text string").repartition(12)).collect()))
+    assert got == removed_by_hand(rows)
+
+
+def test_texts_of_one_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "text_name", lambda salt, body: F.xxhash64(F.lit(salt), body) if salt else F.octet_length(body).cast("long"))
+    r = random.Random(2)
+    rows = [(k, "".join(r.choice("abcdef ") for _ in range(300))) for k in range(12)] + [(20, "x" * 300), (21, "x" * 300)]
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, rows, "doc_id long, text string")).collect()))
+    assert got == removed_by_hand(rows)
+
+
 def test_long_text_in_stretches():
     r = random.Random(0)
     raw = np.frombuffer(bytes(r.choice(b"abcd") for _ in range(9 << 20)), np.uint8)
