@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions
 
 CHUNK = 256 << 10
+#: An archive ends with the record that takes it beyond this many bytes, as compressed.
+ARCHIVE = 1 << 30
 #: A batch of chunk rows given back to Spark holds about this many bytes at most.
 BATCH = 4 << 20
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:corpusloom:warc")
@@ -35,7 +37,8 @@ def record_id(page_id, kind: str) -> str:
 
 
 def header(kind: str, page_id, uri: str | None, length: int, digest: str, refers_to: int | None) -> bytes:
-    """The head of one record. Payloads are stored as resource bodies: the block is the payload itself."""
+    """The head of one record, and for a response that of the HTTP message which its block is."""
+    http = b"" if kind == "revisit" else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -48,8 +51,8 @@ def header(kind: str, page_id, uri: str | None, length: int, digest: str, refers
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 'page')}", f"WARC-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else length}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n"
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {0 if kind == 'revisit' else len(http) + length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
 class Writer:
@@ -58,7 +61,7 @@ class Writer:
     def __init__(self, folder: str, name: str):
         self.files, self.at = pafs.FileSystem.from_uri(folder)
         self.files.create_dir(self.at, recursive=True)
-        self.name, self.out, self.zip, self.records = name, None, None, 0
+        self.name, self.out, self.zip, self.records, self.size = name, None, None, 0, 0
 
     def begin(self, head: bytes) -> None:
         self.finish()
@@ -69,12 +72,16 @@ class Writer:
         self.records += 1
 
     def add(self, data: bytes) -> None:
-        self.out.write(self.zip.compress(data))
+        self._write(self.zip.compress(data))
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
 
     def finish(self) -> None:
         if self.zip is not None:
             self.add(b"\r\n\r\n")
-            self.out.write(self.zip.flush())
+            self._write(self.zip.flush())
             self.zip = None
 
     def close(self) -> str | None:
@@ -87,25 +94,31 @@ class Writer:
 
 
 def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive per partition of a chunk table and gives (archive, records).
+    """Writes the partitions of a chunk table as archives of about ARCHIVE bytes at most and gives (archive, records).
 
     The rows of a record must follow each other in chunk order. A repeated or speculative task
     writes a file of another name; only the names that the returned manifest holds are archives.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(writer: Writer) -> Iterator[pa.RecordBatch]:
+            records, name = writer.records, writer.close()
+            if name:
+                yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([records], pa.int64())})
+
         out = Writer(folder, f"part-{uuid.uuid4().hex}.warc.gz")
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "target_uri", "record_type", "refers_to", "n_bytes", "digest", "chunk", "data")]
             for i in range(batch.num_rows):
                 page, uri, kind, refers, n, digest, k, data = (c[i].as_py() for c in columns)
                 if k == 0:
+                    if out.size > ARCHIVE:
+                        yield from told(out)
+                        out = Writer(folder, f"part-{uuid.uuid4().hex}.warc.gz")
                     out.begin(header(kind, page, uri, n, digest, refers))
                 if data and kind != "revisit":
                     out.add(data)
-        records, name = out.records, out.close()
-        if name:
-            yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([records], pa.int64())})
+        yield from told(out)
 
     return chunks.mapInArrow(run, "archive string, records long")
 
@@ -129,7 +142,7 @@ def _members(stream) -> Iterator[bytes | None]:
 
 def read_records(stream) -> Iterator[dict]:
     """Chunk rows of an archive, at most two chunks in memory. Each carries the digest of the payload so far."""
-    held, fields, left, k, sha, seen, total = b"", None, 0, 0, None, 0, 0
+    held, fields, left, k, sha, seen, total, http = b"", None, 0, 0, None, 0, 0, False
     for data in _members(stream):
         if data is None:
             held = b""
@@ -146,6 +159,14 @@ def read_records(stream) -> Iterator[dict]:
                 held = held[end + 4 :]
                 total = left = int(fields["Content-Length"])
                 k, sha, seen = 0, hashlib.sha1(), 0
+                http = bool(left) and fields["Content-Type"].startswith("application/http")
+                if left:
+                    continue
+            if http:  # the payload begins behind the head of the message
+                end = held.find(b"\r\n\r\n")
+                if end < 0:
+                    break
+                left, held, http = left - end - 4, held[end + 4 :], False
                 if left:
                     continue
             part = held[: min(left, CHUNK)]

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -799,6 +800,33 @@ def test_warc_chunks_and_oddities(spark, monkeypatch, tmp_path):
     assert len(got) == len(rows)
 
 
+def test_archives_are_standard_and_bounded(spark, monkeypatch, tmp_path):
+    """Read with gzip and plain parsing: each response is an HTTP message of its length and digest."""
+    monkeypatch.setattr(warc, "ARCHIVE", 3000)
+    r = random.Random(1)
+    rows = [(k, f"http://x/{k}", "".join(r.choice("abcdefgh<> é") for _ in range(r.choice([0, 1, 900, 4000]))), "h") for k in range(30)] + [(50, "u", "same", "h"), (51, "u", "same", "h")]
+    scratch = common.Scratch(spark)
+    manifest = scratch.table(warc.write_archives(warc.page_records(frame(spark, rows, "page_id long, url string, html string, hex string").coalesce(1), scratch), f"file://{tmp_path}/a"), "manifest").collect()
+    assert len(manifest) > 1 and sum(m.records for m in manifest) == len(rows)
+    seen = {}
+    for m in manifest:
+        data = gzip.decompress((tmp_path / "a" / m.archive).read_bytes())
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if ": " in x)
+            block, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+            assert data.startswith(b"\r\n\r\n") and head.startswith(b"WARC/1.1\r\n")
+            data = data[4:]
+            if fields["WARC-Type"] == "response":
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK") and f"Content-Length: {len(payload)}".encode() in http
+                assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                seen[int(fields["WARC-Page-ID"])] = payload.decode()
+            else:
+                assert not block
+    assert all(seen.get(i, text) == text for i, _, text, _ in rows) and seen[50] == "same" and 51 not in seen
+
+
 # all of them on nothing
 
 
