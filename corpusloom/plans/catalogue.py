@@ -825,6 +825,13 @@ def latest_pending(spark, sf_dir):
     return state.latest_pending(rows).select("session", "version")
 
 
+@query("SELECT event_id, CASE WHEN event_id < max(event_id) OVER (PARTITION BY user_id) THEN 'superseded' WHEN event_id % 800 > 400 THEN 'expired' ELSE 'run' END AS outcome FROM events")
+def pending_outcomes(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    rows = ad.read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("version"), ts.alias("requested_at"), F.timestamp_micros(F.unix_micros(ts) + F.col("event_id") % 800 * 1000).alias("free_at"))
+    return state.pending_outcomes(rows).select(F.col("version").alias("event_id"), "outcome")
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = ad.pick([200, 500, 429, 0, 200, 404, 503], F.col("event_id"))
     return ad.read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 16).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("payload"))

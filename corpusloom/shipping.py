@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_corpusloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    where = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / "corpusloom.zip"
+    folder = tempfile.mkdtemp(prefix="corpusloom-code-")  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    where = Path(folder) / "corpusloom.zip"
     with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LIMIT, WINDOW_SECONDS = 10, 60
 OPEN_SECONDS, FAILURES = 30, 2
 CACHE_SECONDS = 600
+PENDING_SECONDS = 0.4
 DEBOUNCE = "320 milliseconds"
 
 
@@ -30,6 +31,15 @@ def latest_pending(requests: DataFrame) -> DataFrame:
     return requests.groupBy("session").agg(F.max("version").alias("version"), F.max_by("query", "version").alias("query"))
 
 
+def pending_outcomes(requests: DataFrame, seconds: float = PENDING_SECONDS) -> DataFrame:
+    """What becomes of each request (session, version, requested_at, free_at, ...): the newest of its session
+    runs if the worker is free soon enough; others are superseded, late ones expired, and both fall back."""
+    newest = requests.groupBy("session").agg(F.max("version").alias("newest"))
+    late = F.unix_micros("free_at") - F.unix_micros("requested_at") > int(seconds * 1e6)
+    outcome = F.when(F.col("version") < F.col("newest"), "superseded").when(late, "expired").otherwise("run")
+    return requests.join(newest, "session").withColumn("outcome", outcome).drop("newest")
+
+
 def admit(times: list[float], limit: int = LIMIT, seconds: float = WINDOW_SECONDS, held: list[float] | None = None) -> tuple[list[bool], list[float]]:
     """Which requests a rolling window admits; refused ones do not count. Also what the state holds then."""
     held = list(held or [])
