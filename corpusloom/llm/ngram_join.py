@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, collect_garbage, deal, flat_bytes, mix64, partitions, slices, slots, text_bytes, unpack
+from .common import Scratch, claim, collect_garbage, deal, flat_bytes, fresh, mix64, partitions, slices, slots, text_bytes, unpack
 from .components import components
 
 WIDTH = 5
@@ -180,8 +180,8 @@ def sketch(tokens: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray,
 
 
 def _digest(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n_shingles, cls, check, weight, own, lower) of every document: its set's two names,
-    what comparing it weighs, and the words in use in its sketches."""
+    """(key, doc_id, text, n_shingles, cls, check, weight, own, lower) of every document: its set's two
+    names, what comparing it weighs, and the words in use in its sketches; text is the hash of its text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +190,9 @@ def _digest(docs: DataFrame) -> DataFrame:
                 tokens, at = shingle_sets(raw, offsets)
                 used = [np.bincount(sketch(tokens, at, lower)[1], minlength=part.num_rows) for lower in (False, True)]
                 names = [f(tokens, at).view(np.int64) for f in (set_classes, set_checks)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), *map(pa.array, (np.diff(at), *names, np.maximum(np.diff(at), np.diff(offsets) >> 3), *used))], names=["key", "doc_id", "n_shingles", "cls", "check", "weight", "own", "lower"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), part.column("text"), *map(pa.array, (np.diff(at), *names, np.maximum(np.diff(at), np.diff(offsets) >> 3), *used))], names=["key", "doc_id", "text", "n_shingles", "cls", "check", "weight", "own", "lower"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, n_shingles long, cls long, check long, weight long, own long, lower long")
+    return docs.mapInArrow(run, "key long, doc_id long, text long, n_shingles long, cls long, check long, weight long, own long, lower long")
 
 
 def _signatures(docs: DataFrame, parts: int) -> DataFrame:
@@ -453,20 +453,12 @@ def _compare(groups: DataFrame) -> DataFrame:
     return groups.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
-
-    Two documents are linked when 100 * intersection >= 75 * union of their sets of five-word
-    shingles; component_id is the smallest doc_id reachable. Null texts and texts without words are
-    empty sets, linked with nothing. A row with a null doc_id is linked like any other, and its
-    component is the smallest id reachable (null if none); equal texts and repeated rows are one set;
-    an empty table gives an empty result; other columns are ignored.
-    """
+def _components_of(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, n_shingles, root, alone) of every row: rows of one component have equal (root, alone)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     # a row is found again by its id, one without an id by its text
     body = text_bytes(text_col)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(body)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(body)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("text"), body.alias("body"))
     digest = scratch.table(_digest(texts), "sets")
     one = digest.filter("n_shingles > 2").groupBy("cls").agg(F.min(F.struct("check", "key")).alias("rep"), *(F.max(c).alias(c) for c in ("n_shingles", "weight", "own", "lower"))).select("cls", "rep.check", "rep.key", "n_shingles", "weight", "own", "lower")
     words = digest.agg(F.sum(F.col("own") + F.col("lower"))).first()[0] or 0
@@ -506,21 +498,44 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = scratch.table(_compare(some.join(tasks.distinct(), "key").select("task", "body")), "links")
     scratch.drop(some)
     roots = components(scratch, links, "linked").withColumnRenamed("node", "cls").join(alive.select("cls", "check"), "cls")
-    named = digest.join(roots, ["cls", "check"], "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("alone"))
-    named = scratch.table(named, "named")
-    least = scratch.table(named.groupBy("root", "alone").agg(F.min("doc_id").alias("least")), "least").select(F.col("root").alias("r"), F.col("alone").alias("x"), "least")
-    joined = named.join(least, (named["root"] == least["r"]) & named["alone"].eqNullSafe(least["x"]))
+    named = digest.join(roots, ["cls", "check"], "left").select("doc_id", "text", "n_shingles", F.coalesce("root", "cls").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("alone"))
+    return scratch.table(named, "named")
+
+
+def _of_groups(named: DataFrame, value, name: str, scratch: Scratch) -> DataFrame:
+    """The rows with one more column, a value of their component."""
+    found = scratch.table(named.groupBy("root", "alone").agg(value.alias(name)), name).select(F.col("root").alias("r"), F.col("alone").alias("x"), name)
+    return named.join(found, (named["root"] == found["r"]) & named["alone"].eqNullSafe(found["x"])).drop("r", "x")
+
+
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document.
+
+    Two documents are linked when 100 * intersection >= 75 * union of their sets of five-word
+    shingles; component_id is the smallest doc_id reachable. Null texts and texts without words are
+    empty sets, linked with nothing. A row with a null doc_id is linked like any other, and its
+    component is the smallest id reachable (null if none); equal texts and repeated rows are one set;
+    an empty table gives an empty result; other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession)
+    joined = _of_groups(_components_of(docs, scratch, id_col, text_col), F.min("doc_id"), "least", scratch)
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, all columns kept.
+    """One document of each group of linked documents, all columns kept: that of the smallest id (a row
+    without an id stands for a group only if no row of it has one), of several texts of that id the one of
+    the smallest hash, of repeated rows of it one.
 
-    Of repeated rows of such an id and text one stays; of rows without an id all stay, as do texts
-    without words; an empty table stays empty. Columns of any name may be there.
+    Texts without words are groups of their own; of repeated rows of such an id and text one stays too.
+    An empty table stays empty. Columns of any name may be there.
     """
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.table(join_documents(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    known = docs.filter(F.col(id_col).isNotNull()).alias("d")
-    some = known.join(kept.alias("k"), F.col(f"d.{id_col}").cast("long") == F.col("k.doc_id"), "left_semi").dropDuplicates([id_col, text_col])
-    return some.unionByName(docs.filter(F.col(id_col).isNull()))
+    nameless = F.col("doc_id").isNull()
+    joined = _of_groups(_components_of(docs, scratch, id_col, text_col), F.min(F.struct(nameless.alias("nameless"), "doc_id", "text")), "chosen", scratch)
+    chosen = (F.col("n_shingles") == 0) | ((F.col("text") == F.col("chosen.text")) & F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")))
+    kept = scratch.table(joined.filter(chosen).select("doc_id", "text").distinct(), "kept").alias("k")
+    name = fresh(docs, "name")
+    known = docs.withColumn(name, F.xxhash64(text_bytes(text_col))).alias("d")
+    some = known.join(kept, (F.col(f"d.{name}") == F.col("k.text")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return some.dropDuplicates([id_col, text_col]).select(docs.columns)
