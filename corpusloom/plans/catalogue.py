@@ -365,11 +365,15 @@ def fts_match_and(spark, sf_dir):
     return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir, benchmark_queries(spark, sf_dir)), benchmark_queries(spark, sf_dir)))
 
 
-@query(f"WITH {sql.TOKENS} SELECT q.doc_id AS query_id, f.doc_id FROM files q JOIN files f ON q.extension = f.extension AND q.doc_id = f.doc_id WHERE q.doc_id % 50 = 0")
+def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of title queries: the name that each benchmark item would have as a document."""
+    return ad.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Doc"), F.col("item_id").cast("string")).alias("query"))
+
+
+@query(f"WITH {sql.TOKENS} SELECT b.item_id AS query_id, t.doc_id FROM benchmark b JOIN toks t ON t.field = 'title' AND t.term = 'doc' || b.item_id")
 def fts_match_title(spark, sf_dir):
-    documents = ad.documents(spark, sf_dir)
-    wanted = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.replace("name", F.lit("."), F.lit(" ")).alias("query"))
-    return retrieve.matches(retrieve.phrase_hits(ix.build(documents), wanted, ix.TITLE))
+    asked = title_queries(spark, sf_dir)
+    return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir, asked), asked, ix.TITLE))
 
 
 #: Letters and the characters that stand for them in a corpus of CJK text.
@@ -963,14 +967,13 @@ def hybrid_with_mail(spark, sf_dir):
     return _engine(spark, sf_dir).search_hybrid_with_mail(literals(spark, [(1, "doc1"), (2, "the"), (3, "user the")], "query_id int, query string"), 20)
 
 
-@query(f"WITH {sql.TOKENS} SELECT q.doc_id AS query_id, q.doc_id FROM files q WHERE q.doc_id % 50 = 0")
+@query(f"WITH {sql.TOKENS} SELECT b.item_id AS query_id, t.doc_id FROM benchmark b JOIN toks t ON t.field = 'title' AND t.term = 'doc' || b.item_id")
 def filename_fallback(spark, sf_dir):
     """Without a catalog, file names are found as titles of the index."""
     from .engine import Engine
 
-    documents = ad.documents(spark, sf_dir)
-    asked = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.replace("name", F.lit("."), F.lit(" ")).alias("query"))
-    found = Engine(spark, None, ix.build(documents)).search_local_content(asked, 10, field=ix.TITLE)
+    asked = title_queries(spark, sf_dir)
+    found = Engine(spark, None, corpus_index(spark, sf_dir, asked)).search_local_content(asked, 10, field=ix.TITLE)
     return found.filter("error_code is null").select("query_id", "doc_id")
 
 

@@ -260,3 +260,26 @@ def test_cache_and_breaker_replay_equal_plain_python(spark):
 def test_only_the_newest_results_are_shown(spark):
     rows = spark.createDataFrame([("a", 1, None), ("a", 2, 1), ("b", 3, 4), ("c", 5, 5)], "session string, version int, shown_version int")
     assert sorted((r.session, r.version) for r in state.presented(rows).collect()) == [("a", 2), ("c", 5)]
+
+
+def test_stored_behavior(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import behavior, behavior_store
+
+    rows = lambda day, n: spark.createDataFrame([("Open", False, "Hybrid", f"{day} 10:00:00", "a", "d", "md")] * n + [("Open", True, "Content", f"{day} 10:00:00", "a", "d", "md")], "action string, previewed boolean, mode string, ts string, path_key string, directory_key string, extension string").withColumn("ts", F.col("ts").cast("timestamp"))
+    store = behavior_store.BehaviorStore(spark, f"file://{tmp_path}/behavior")
+    salt = store.salt()
+    store.add(rows("2024-02-01", 2))
+    store.add(rows("2024-02-01", 3))
+    store.add(rows("2024-03-20", 1))
+    told = lambda: sorted((str(r.day), r.weight_sum, r.event_count) for r in store.read().collect())
+    assert told() == [("2024-02-01", 5.0, 5), ("2024-03-20", 1.0, 1)]
+    assert behavior_store.BehaviorStore(spark, store.root).read().count() == 2 and store.salt() == salt
+    store.prune(F.lit("2024-03-21").cast("date"))
+    assert told() == [("2024-03-20", 1.0, 1)] and store.salt() == salt
+    store.clear()
+    assert told() == [] and store.salt() != salt
+    store.add(rows("2024-03-20", 1))
+    monkeypatch.setattr(behavior_store, "SCHEMA_VERSION", 3)
+    assert behavior_store.BehaviorStore(spark, store.root).read().count() == 0
+    assert (tmp_path / "behavior.legacy-2").is_dir()
+    assert behavior.daily(rows("2024-02-01", 1)).count() == 1
