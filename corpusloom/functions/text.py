@@ -48,29 +48,67 @@ def _mapped(change):
     return mapped
 
 
+def searchable(text: str) -> str:
+    """Compatibility forms composed, small letters, no marks."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).lower()).translate(_FOLDS)
+
+
 _nfkc = _mapped(lambda t: unicodedata.normalize("NFKC", t))
 _unmarked = _mapped(lambda t: unicodedata.normalize("NFC", t).translate(_FOLDS))
-_searchable = _mapped(lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFKC", t).lower()).translate(_FOLDS))
+_searchable = _mapped(searchable)
+
+
+def _plain_characters() -> tuple[str, dict[str, str]]:
+    """Characters of European texts that fold one by one, as a regular expression's class, and what the
+    letters among them fold to: Latin letters with marks, and punctuation."""
+    ranges, folds, begin = "", {}, None
+    codes = [*range(0x180), *range(0x2010, 0x2060), 0x20AC]
+    for code in range(0x20AE):
+        c = chr(code)
+        ok = False
+        if code in codes and len(c.lower()) == 1:
+            want, have = searchable(c), c.lower().translate(_FOLDS)
+            letters = "".join(x for x in want if x.isalnum())
+            ok = letters == (have if have.isalnum() else "") and not unicodedata.category(c).startswith("M")
+            if ok and have != c.lower():
+                folds[c.lower()] = have
+        if ok and begin is None:
+            begin = code
+        if not ok and begin is not None:
+            ranges += f"\\x{{{begin:x}}}-\\x{{{code - 1:x}}}"
+            begin = None
+    return f"^[{ranges}]*$", folds
+
+
+PLAIN, _PLAIN_FOLDS = _plain_characters()
+
+
+def is_plain(text: Column) -> Column:
+    return is_ascii(text) | text.rlike(PLAIN)
+
+
+def _fold_plain(text: Column) -> Column:
+    return F.when(is_ascii(text), text).otherwise(F.translate(text, "".join(_PLAIN_FOLDS), "".join(_PLAIN_FOLDS.values())))
 
 
 def is_ascii(text: Column) -> Column:
-    return text.rlike(r"^[\x00-\x7F]*$")
+    return F.octet_length(text) == F.length(text)
 
 
-def _beyond_ascii(change, text: Column, plain: Column) -> Column:
-    """A Python function for texts beyond ASCII; it gets null for the others, whose characters so never
-    leave the JVM (a condition around the call alone would not keep them from it)."""
-    return F.coalesce(change(F.when(~is_ascii(text), text)), plain)
+def _beyond(simple: Column, change, text: Column, plain: Column) -> Column:
+    """A Python function for the texts that are not simple; it gets null for the others, whose characters so
+    never leave the JVM (a condition around the call alone would not keep them from it)."""
+    return F.coalesce(change(F.when(~simple, text)), plain)
 
 
 def normalize_nfkc(text: Column) -> Column:
     """Compatibility composition. Plain ASCII never leaves the JVM."""
-    return _beyond_ascii(_nfkc, text, text)
+    return _beyond(is_ascii(text), _nfkc, text, text)
 
 
 def fold_marks(text: Column) -> Column:
-    """Letters without their marks, by decomposition."""
-    return _beyond_ascii(_unmarked, text, text)
+    """Small letters without their marks, by decomposition. Plain European text never leaves the JVM."""
+    return _beyond(is_plain(text), _unmarked, text, _fold_plain(text))
 
 
 def tokenize_app(text: Column) -> Column:
@@ -104,13 +142,18 @@ def index_terms(text: Column) -> Column:
     """What the index stores of a text, in order: the tokens of both stages at once.
 
     Compatibility forms are composed, letters are small and without marks, runs of CJK characters
-    are overlapping pairs, everything else parts words. One Arrow pass for texts beyond ASCII, none
-    for others.
+    are overlapping pairs, everything else parts words. Plain European texts never leave the JVM; one
+    Arrow pass for others.
     """
-    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    parts = F.regexp_extract_all(_searchable(F.when(~is_ascii(text), text)), F.lit(rf"[{CJK}]+|(?:(?![{CJK}])[\p{{L}}\p{{N}}])+"), F.lit(0))
+    plain = F.regexp_extract_all(_fold_plain(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    parts = F.regexp_extract_all(_searchable(F.when(~is_plain(text), text)), F.lit(rf"[{CJK}]+|(?:(?![{CJK}])[\p{{L}}\p{{N}}])+"), F.lit(0))
     mixed = F.flatten(F.transform(parts, lambda p: F.when(p.rlike(f"^[{CJK}]"), cjk_bigrams(p)).otherwise(F.array(p))))
-    return F.when(is_ascii(text), plain).otherwise(mixed)
+    return F.when(is_plain(text), plain).otherwise(mixed)
+
+
+def count_terms(text: Column) -> Column:
+    """How many tokens ``index_terms`` gives. Folding plain text leaves their number as it is."""
+    return F.when(is_plain(text), F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))).otherwise(F.size(index_terms(F.when(~is_plain(text), text))))
 
 
 def query_terms(query: Column) -> Column:

@@ -40,7 +40,7 @@ def document_postings(documents: DataFrame, terms: DataFrame | None = None) -> D
 
 def doc_stats(documents: DataFrame) -> DataFrame:
     """(doc_id, title_len, body_len), straight from each row."""
-    return documents.select("doc_id", F.size(tx.index_terms(F.col("name"))).cast("long").alias("title_len"), F.size(tx.index_terms(F.coalesce("text", F.lit("")))).cast("long").alias("body_len"))
+    return documents.select("doc_id", tx.count_terms(F.col("name")).cast("long").alias("title_len"), tx.count_terms(F.coalesce("text", F.lit(""))).cast("long").alias("body_len"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:

@@ -63,7 +63,9 @@ def bm25(index: Index, hits: DataFrame) -> DataFrame:
     the shuffle, so a stop-word's hits never meet in one task. It reads the hits' own shuffle again.
     Statistics are one row, and the counts one row for each query term.
     """
-    per_term = hits.groupBy("query_id", "t").agg(F.count("*").alias("n_t"))
+    # both reads of the hits have the same filters and columns (the count reads tf), so Spark makes their shuffle once
+    hits = hits.filter("query_id is not null and t is not null and doc_id is not null")
+    per_term = hits.groupBy("query_id", "t").agg(F.sum((F.col("tf_title") + F.col("tf_body") > 0).cast("long")).alias("n_t"))
     counted = hits.join(per_term, ["query_id", "t"]).crossJoin(F.broadcast(index.corpus))
     idf = F.log((F.col("n_docs") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)

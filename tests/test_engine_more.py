@@ -39,10 +39,27 @@ def test_search_in_all_scripts(spark):
 
 
 def test_stored_tokens_are_those_of_both_stages(spark):
-    row = spark.createDataFrame([("Alpha_1 人工智能x Ünï ½ --",), ("Plain-ASCII v2.1",), (None,), ("",)], "t string").select(tx.index_terms(F.col("t")).alias("t")).collect()
+    row = spark.createDataFrame([("Alpha_1 人工智能x Ünï ½ --",), ("Plain-ASCII v2.1",), (None,), ("",)], "t string").select(tx.index_terms(F.col("t")).alias("t"), tx.count_terms(F.col("t")).alias("n")).collect()
+    assert [r.n for r in row] == [9, 4, None, 0]
     assert [r.t for r in row] == [["alpha", "1", "人工", "工智", "智能", "x", "uni", "1", "2"], ["plain", "ascii", "v2", "1"], None, []]
 
 
+def test_plain_texts_fold_alike_in_both_ways(spark):
+    import re
+
+    characters = [chr(k) for k in [*range(0x20, 0x250), *range(0x2000, 0x20D0), 0x3042, 0x4E00]]
+    rows = spark.createDataFrame([(c, f"a{c}b") for c in characters], "c string, t string")
+    simple = 0
+    for r in rows.select("c", tx.is_plain(F.col("t")).alias("plain"), tx.index_terms(F.col("t")).alias("terms"), tx.count_terms(F.col("t")).alias("n"), tx.is_plain(F.lower("t")).alias("small"), tx.fold_marks(F.lower("t")).alias("folded")).collect():
+        simple += r.plain
+        assert r.n == len(r.terms)
+        if r.plain or r.c < "\u3000":
+            assert r.terms == re.findall(r"[^\W_]+", tx.searchable(f"a{r.c}b")), r
+        if r.small:
+            assert "".join(x for x in r.folded if x.isalnum()) == "".join(x for x in tx.searchable(f"a{r.c}b".lower()) if x.isalnum()), r
+    assert 350 < simple < len(characters)
+
+
 def test_ascii_texts_stay_in_the_jvm(spark):
     seen = spark.sparkContext.accumulator(0)
 
@@ -52,7 +69,7 @@ def test_ascii_texts_stay_in_the_jvm(spark):
         return texts
 
     rows = spark.createDataFrame([("a",), ("é",), ("b",)], "t string")
-    rows.select(tx._beyond_ascii(counted, F.col("t"), F.col("t"))).collect()
+    rows.select(tx._beyond(tx.is_ascii(F.col("t")), counted, F.col("t"), F.col("t"))).collect()
     assert seen.value == 1
 
 
