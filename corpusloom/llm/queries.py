@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe_codec, embedding_dedup, ngram_join, packing, secrets, sharding, suffix_dedup, topk, toxicity, warc
+from . import bpe_codec, embedding_dedup, lexical, main_text, ngram_join, packing, secrets, sharding, spelling, suffix_dedup, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_read(spark, sf_dir, "pages"))
 
 
+def op11_max_score_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op13_spelling_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "pipeline": corpus_pipeline.run,
@@ -70,6 +82,9 @@ def queries():
         "op8_multi_index_top_k": op8_multi_index_top_k,
         "op9_pattern_packing": op9_pattern_packing,
         "op10_warc_chunks": op10_warc_chunks,
+        "op11_max_score_search": op11_max_score_search,
+        "op12_tree_scored_text": op12_tree_scored_text,
+        "op13_spelling_neighbourhood": op13_spelling_neighbourhood,
     }
 
 
@@ -99,5 +114,27 @@ FROM b
 """
 
 
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0),
+p AS MATERIALIZED (SELECT doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) GROUP BY doc_id, ts, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p CROSS JOIN c GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM p JOIN i USING (term) JOIN w USING (term) CROSS JOIN c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+#: The article of the tables' one page layout: its heading and paragraphs.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, split_part(split_part(COALESCE(html, ''), '<article>', 2), '</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(body, '</?p>|</?h1>'),
+        lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+        lambda x: x <> ''), chr(10) || chr(10)) AS text FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b
+"""
+
+
 def oracle_sql():
-    return {"op8_multi_index_top_k": OP8_SQL, "op10_warc_chunks": OP10_SQL}
+    return {"op8_multi_index_top_k": OP8_SQL, "op10_warc_chunks": OP10_SQL, "op11_max_score_search": OP11_SQL, "op12_tree_scored_text": OP12_SQL}
