@@ -88,12 +88,22 @@ def merged(index: Index, changed: DataFrame, gone: DataFrame | None = None) -> I
     return Index(postings, stats, corpus_stats(stats), stays(index.documents).unionByName(fresh))
 
 
+def write_postings(postings: DataFrame, folder: str, mode: str = "error") -> None:
+    """Postings by term bucket, so that a query reads the buckets of its terms only."""
+    dealt = postings.withColumn("bucket", bucket_of(F.col("term"))).repartition(BUCKETS * 4, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    dealt.write.partitionBy("bucket").mode(mode).parquet(folder)
+
+
+def of_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """Stored postings of the given terms; the scan is pruned to their buckets."""
+    buckets = [r[0] for r in postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
+    return postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
 def write(index: Index, path: str, version: int) -> str:
-    """Writes one immutable snapshot; postings are partitioned by term bucket, so that a query reads
-    the buckets of its terms only. The marker is written last: readers take complete versions."""
+    """Writes one immutable snapshot. The marker is written last: readers take complete versions."""
     root = f"{path}/v={version}"
-    postings = index.postings.withColumn("bucket", bucket_of(F.col("term")))
-    postings.repartition(BUCKETS * 4, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/postings")
+    write_postings(index.postings, f"{root}/postings", "overwrite")
     for name in ("stats", "corpus", "documents"):
         getattr(index, name).write.mode("overwrite").parquet(f"{root}/{name}")
     index.corpus.select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{root}/committed")
@@ -105,6 +115,5 @@ def load(spark: SparkSession, root: str, terms: list[str] | None = None) -> Inde
     spark.read.parquet(f"{root}/committed").schema  # noqa: B018  an uncommitted version raises here
     postings = spark.read.parquet(f"{root}/postings")
     if terms is not None:
-        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).distinct().collect()]
-        postings = postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        postings = of_terms(postings, terms)
     return Index(postings, *(spark.read.parquet(f"{root}/{n}") for n in ("stats", "corpus", "documents")))

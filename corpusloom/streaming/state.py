@@ -184,8 +184,11 @@ def presented(results: DataFrame) -> DataFrame:
 
 
 def reconcile(batch: DataFrame, store, scan_id: int) -> None:
-    """For foreachBatch: one scan becomes one committed snapshot, or nothing if it is empty."""
+    """For foreachBatch: one scan becomes one committed snapshot, or an aborted one if it is empty. A batch that
+    comes again after a restart finds its scan decided and changes nothing."""
+    if store.state(scan_id) in ("committed", "aborted"):
+        return
     if batch.isEmpty():
-        store.abort(scan_id)
+        store.abort(scan_id, "empty scan")
     else:
         store.commit(scan_id, batch)
