@@ -980,3 +980,6 @@ def filename_fallback(spark, sf_dir):
 @query("SELECT 'documents' AS measure, count(*) AS n FROM documents")
 def index_status(spark, sf_dir):
     return _engine(spark, sf_dir).status()
+
+
+from . import stores  # noqa: E402, F401  its queries are registered here
