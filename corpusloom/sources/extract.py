@@ -1,223 +1,130 @@
-"""Text from files: routing by format, strict decoding, office formats.
+"""Text from files: routing by format, and reading in processes that can be killed.
 
 Input is Spark's ``binaryFile`` source or any frame (path, content). Errors are values of a column,
-so that one bad file does not stop a job. Python workers are processes of their own; a file that
-takes longer than its deadline is given up.
+so that one bad file does not stop a job. Each task has a process beside it that reads its files (``office``); it has a
+limit of memory, and one that is not done by the deadline, or dies, is ended whatever it does, costs one file and is replaced.
 """
 
 from __future__ import annotations
 
-import io
-import re
-import signal
-import zipfile
+import os
+import pickle
+import select
+import struct
+import subprocess
+import sys
+import time
 from collections.abc import Iterator
-from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Formats read as text.
-TEXT_EXTENSIONS = [
-    "txt", "md", "markdown", "rst", "csv", "tsv", "json", "xml", "yaml", "yml", "log", "ini", "config", "cs", "py", "js", "ts", "tsx", "jsx", "java",
-    "go", "rs", "sql", "ps1", "sh", "bat",
-]
-MAX_CHARACTERS = 1_000_000
+from .office import MAX_CHARACTERS, TEXT_EXTENSIONS, ExtractionError, cut_blocks, decode_strict, docx_blocks, extract_one, pptx_text, space_camel_case, xlsx_text
+
+__all__ = ["MAX_CHARACTERS", "TEXT_EXTENSIONS", "ExtractionError", "Reader", "cut_blocks", "decode_strict", "docx_blocks", "extract", "extract_one", "pptx_text", "routed", "space_camel_case", "xlsx_text"]
+
 DEADLINE_SECONDS = 15
+#: Bytes of memory that a reading process may have.
+MEMORY = 2 << 30
 RESULT = "path string, text string, truncated boolean, characters long, blocks array<struct<ordinal:int,text:string,label:string,heading_path:string>>, error_code string"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-
-
-class ExtractionError(Exception):
-    pass
-
-
-def decode_strict(content: bytes) -> str:
-    """UTF-8 unless a byte-order mark says otherwise; anything malformed is an error."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-        if content.startswith(mark):
-            break
-    else:
-        mark, name = b"", "utf-8"
-    try:
-        return content[len(mark) :].decode(name)
-    except UnicodeDecodeError as error:
-        raise ExtractionError("UNSUPPORTED_ENCODING") from error
-
-
-def _styles(archive: zipfile.ZipFile) -> dict[str, tuple[str, int | None, str | None]]:
-    if "word/styles.xml" not in archive.namelist():
-        return {}
-    out = {}
-    for style in ET.fromstring(archive.read("word/styles.xml")).iter(f"{_W}style"):
-        name, base, outline = style.find(f"{_W}name"), style.find(f"{_W}basedOn"), style.find(f"{_W}pPr/{_W}outlineLvl")
-        out[style.get(f"{_W}styleId", "")] = ("" if name is None else name.get(f"{_W}val", ""), None if outline is None else int(outline.get(f"{_W}val", "9")), None if base is None else base.get(f"{_W}val"))
-    return out
-
-
-def _heading_level(paragraph: ET.Element, styles: dict) -> int | None:
-    direct = paragraph.find(f"{_W}pPr/{_W}outlineLvl")
-    if direct is not None and int(direct.get(f"{_W}val", "9")) < 9:
-        return int(direct.get(f"{_W}val")) + 1
-    style = paragraph.find(f"{_W}pPr/{_W}pStyle")
-    at, seen = None if style is None else style.get(f"{_W}val"), set()
-    while at and at not in seen:
-        seen.add(at)
-        for name in (at, styles.get(at, ("", None, None))[0]):
-            if m := re.fullmatch(r"heading ?([1-9])", name, re.IGNORECASE):
-                return int(m[1])
-        name, outline, base = styles.get(at, ("", None, None))
-        if outline is not None and outline < 9:
-            return outline + 1
-        at = base
-    return None
-
-
-def docx_blocks(content: bytes) -> list[tuple[str, str, str | None]]:
-    """(text, label, heading path) of paragraphs and table cells in order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        styles = _styles(archive)
-        body = ET.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-    levels = [""] * 9
-    out: list[tuple[str, str, str | None]] = []
-    paragraphs = tables = 0
-
-    def where() -> str | None:
-        return " > ".join(x for x in levels if x.strip()) or None
-
-    def text_of(node: ET.Element) -> str:
-        return "".join(t.text or "" for t in node.iter(f"{_W}t"))
-
-    for child in body if body is not None else []:
-        if child.tag == f"{_W}p":
-            text = text_of(child)
-            if not text.strip():
-                continue
-            level = _heading_level(child, styles)
-            if level:
-                levels[level - 1 :] = [text.strip()] + [""] * (9 - level)
-                out.append((text, f"{where()} · 标题 {level}", where()))
-            else:
-                paragraphs += 1
-                out.append((text, (f"{where()} · " if where() else "") + f"第 {paragraphs} 段", where()))
-        elif child.tag == f"{_W}tbl":
-            tables += 1
-            for r, row in enumerate(child.iter(f"{_W}tr"), 1):
-                for c, cell in enumerate(row.iter(f"{_W}tc"), 1):
-                    text = text_of(cell)
-                    if text.strip():
-                        out.append((text, (f"{where()} · " if where() else "") + f"表格 {tables} · 第 {r} 行 · 第 {c} 列", where()))
-    return out
-
-
-def xlsx_text(content: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        shared = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ET.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        out = []
-        sheets = [n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        for sheet in sorted(sheets, key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0])):
-            for cell in ET.fromstring(archive.read(sheet)).iter(f"{_S}c"):
-                value = cell.find(f"{_S}v")
-                if cell.get("t") == "inlineStr":
-                    text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-                elif value is None:
-                    continue
-                elif cell.get("t") == "s":
-                    text = shared[int(value.text)] if int(value.text) < len(shared) else ""
-                else:
-                    text = value.text or ""
-                if text.strip():
-                    out.append(text)
-    return "\n".join(out)
-
-
-def pptx_text(content: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        slides = [n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
-        slides.sort(key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
-        return "\n".join(t.text for n in slides for t in ET.fromstring(archive.read(n)).iter(f"{_A}t") if t.text and t.text.strip())
-
-
-def space_camel_case(text: str) -> str:
-    """Page text often loses spaces; one goes back between a small letter and a capital."""
-    return re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", text)
-
-
-def cut_blocks(blocks: list[tuple[str, str, str | None]], most: int) -> tuple[list[tuple[str, str, str | None]], bool]:
-    """Blocks, joined by line ends, up to a number of characters; the last one is cut."""
-    out, left = [], most
-    for text, label, heading in blocks:
-        if out:
-            left -= 1
-        if left <= 0:
-            return out, True
-        out.append((text[:left], label, heading))
-        if len(text) > left:
-            return out, True
-        left -= len(text)
-    return out, False
-
-
-def extract_one(path: str, content: bytes, max_bytes: int, max_characters: int, readers: dict | None = None) -> dict:
-    out = {"path": path, "text": None, "truncated": None, "characters": None, "blocks": None, "error_code": None}
-    extension = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    try:
-        if len(content) > max_bytes:
-            raise ExtractionError("FILE_TOO_LARGE")
-        if extension == "docx":
-            blocks, cut = cut_blocks(docx_blocks(content), max_characters)
-            text = "\n".join(b[0] for b in blocks)
-            out["blocks"] = [{"ordinal": k, "text": t, "label": x, "heading_path": h} for k, (t, x, h) in enumerate(blocks, 1)]
-        else:
-            if extension in TEXT_EXTENSIONS:
-                text = decode_strict(content)
-            elif extension == "xlsx":
-                text = xlsx_text(content)
-            elif extension == "pptx":
-                text = pptx_text(content)
-            elif extension in (readers or {}):
-                text = readers[extension](content)
-                if not text.strip():
-                    raise ExtractionError("OCR_REQUIRED")
-            elif extension == "pdf":
-                raise ExtractionError("OCR_REQUIRED")  # no reader of the format is installed
-            else:
-                raise ExtractionError("UNSUPPORTED_FILE_TYPE")
-            cut = len(text) > max_characters
-            text = text[:max_characters]
-        out |= {"text": text, "truncated": cut, "characters": len(text)}
-    except ExtractionError as error:
-        out["error_code"] = str(error)
-    except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError):
-        out["error_code"] = "CORRUPT_DOCUMENT"
-    except TimeoutError:
-        out["error_code"] = "EXTRACTION_TIMEOUT"
-    return out
-
-
-def extract(files: DataFrame, max_bytes: int = 10 * 1024 * 1024, max_characters: int = MAX_CHARACTERS, seconds: int = DEADLINE_SECONDS, readers: dict | None = None) -> DataFrame:
-    """(path, text, truncated, characters, blocks, error_code) of files (path, content). ``readers`` maps
-    further extensions, such as pdf, to functions of the content that give the text."""
-
-    def late(number, frame):
-        raise TimeoutError
+
+_CHILD = """
+import pickle, resource, struct, sys
+from corpusloom.sources.office import extract_one
+source, sink = sys.stdin.buffer, sys.stdout.buffer
+sys.stdout = sys.stderr
+def take():
+    head = source.read(8)
+    return pickle.loads(source.read(struct.unpack("<q", head)[0])) if len(head) == 8 else None
+memory, readers = take()
+if memory:
+    resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
+if readers is not None:
+    from pyspark import cloudpickle
+    readers = cloudpickle.loads(readers)
+while (job := take()) is not None:
+    data = pickle.dumps(extract_one(*job, readers))
+    sink.write(struct.pack("<q", len(data)) + data)
+    sink.flush()
+"""
+
+
+class Reader:
+    """A process that extracts files, one at a time."""
+
+    def __init__(self, seconds: float, memory: int | None, readers: dict | None):
+        self.seconds, self.memory, self.readers = seconds, memory, cloudpickle.dumps(readers) if readers else None
+        self.child: subprocess.Popen | None = None
+
+    def _start(self) -> None:
+        env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+        self.child = subprocess.Popen([sys.executable, "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
+        for pipe in (self.child.stdin, self.child.stdout):
+            os.set_blocking(pipe.fileno(), False)
+        self.waiting = _frame((self.memory, self.readers))
+
+    def extract(self, path: str | None, content: bytes | None, max_bytes: int, max_characters: int) -> dict:
+        if content is not None and len(content) > max_bytes:
+            content = content[: max_bytes + 1]  # only told by its length
+        if self.child is None or self.child.poll() is not None:
+            self._start()
+        job = self.waiting + _frame((path, content, max_bytes, max_characters))
+        self.waiting = b""
+        answer = self._exchange(memoryview(job), time.monotonic() + self.seconds)
+        if isinstance(answer, bytes):
+            return pickle.loads(answer)
+        self.close()
+        return {"path": path, "text": None, "truncated": None, "characters": None, "blocks": None, "error_code": answer}
+
+    def _exchange(self, job: memoryview, deadline: float) -> bytes | str:
+        """The answer, or the code of an error."""
+        into, out, got = self.child.stdin.fileno(), self.child.stdout.fileno(), b""
+        while True:
+            left = deadline - time.monotonic()
+            if left <= 0:
+                return "EXTRACTION_TIMEOUT"
+            readable, writable, _ = select.select([out], [into] if job else [], [], left)
+            try:
+                if writable:
+                    job = job[os.write(into, job[: 1 << 16]) :]
+                if readable:
+                    data = os.read(out, 1 << 20)
+                    if not data:
+                        return "EXTRACTION_FAILED"
+                    got += data
+            except BrokenPipeError:
+                return "EXTRACTION_FAILED"
+            if len(got) >= 8 and len(got) - 8 == struct.unpack("<q", got[:8])[0]:
+                return got[8:]
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.wait()
+            self.child.stdin.close()
+            self.child.stdout.close()
+            self.child = None
+
+
+def _frame(value) -> bytes:
+    data = pickle.dumps(value)
+    return struct.pack("<q", len(data)) + data
+
+
+def extract(files: DataFrame, max_bytes: int = 10 * 1024 * 1024, max_characters: int = MAX_CHARACTERS, seconds: float = DEADLINE_SECONDS, readers: dict | None = None, memory: int | None = MEMORY) -> DataFrame:
+    """(path, text, truncated, characters, blocks, error_code) of files (path, content): one row each, whatever is in
+    them. ``readers`` maps further extensions, such as pdf, to functions of the content that give the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signal.signal(signal.SIGALRM, late)
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                signal.alarm(seconds)
-                try:
-                    rows.append(extract_one(path, bytes(content), max_bytes, max_characters, readers))
-                finally:
-                    signal.alarm(0)
-            yield pd.DataFrame(rows)
+        reader = Reader(seconds, memory, readers)
+        try:
+            for batch in batches:
+                rows = [reader.extract(path, None if content is None else bytes(content), max_bytes, max_characters) for path, content in zip(batch["path"], batch["content"], strict=True)]
+                yield pd.DataFrame(rows, columns=["path", "text", "truncated", "characters", "blocks", "error_code"])
+        finally:
+            reader.close()
 
     return files.select("path", "content").mapInPandas(run, RESULT)
 
