@@ -102,67 +102,76 @@ def locate_blocks(blocks: DataFrame, terms: list[str]) -> DataFrame:
     return chosen.join(blocks, ["doc_id", "ordinal"]).select("doc_id", "ordinal", "label", "heading_path", "text")
 
 
+#: Deeper JSON is read as text.
+MAX_DEPTH = 64
+_JSON = re.compile(r'[ \t\r\n]*+(?:([{}\[\],:])|"((?:[^"\\\x00-\x1f]++|\\.)*+)"|(-?+(?:0|[1-9]\d*+)(?:\.\d++)?+(?:[eE][+-]?+\d++)?+|true|false|null)(?![\w.+-])|(\Z))', re.ASCII)
+
+
+def _step(place: str | int) -> str:
+    if isinstance(place, int):
+        return f"[{place}]"
+    return f".{place}" if place.isidentifier() else "['" + place.replace("'", "\\'") + "']"
+
+
 def json_hits(text: str, terms: list[str], most: int = MOST) -> list[tuple[int, str | None, str | None]] | None:
-    """(line, path, label) of up to three property names or values with any term; None: not JSON."""
-    decoder = json.JSONDecoder()
-    try:
-        decoder.decode(text)
-    except ValueError:
-        return None
-    found: list[tuple[int, str | None, str | None]] = []
+    """(line, path, label) of up to three property names or values with any term; None: not JSON, or too deep.
+
+    One pass without recursion: what is open is a list of places (a name or an index). Paths and lines
+    are made for hits only, and reading stops with the last one that is wanted."""
     lowered = [t.lower() for t in terms]
-    at = 0
-
-    def space() -> None:
-        nonlocal at
-        while at < len(text) and text[at] in " \t\r\n":
-            at += 1
-
-    def note(value: str, where: str, begin: int) -> None:
-        hit = (text.count("\n", 0, begin) + 1, where, None)
-        if any(t in value.lower() for t in lowered) and hit not in found:
-            found.append(hit)
-
-    def step(name: str) -> str:
-        return f".{name}" if name.isidentifier() else "['" + name.replace("'", "\\'") + "']"
-
-    def value(where: str) -> None:
-        nonlocal at
-        space()
-        if text[at] == "{":
-            at += 1
-            space()
-            while text[at] != "}":
-                begin = at
-                name, at = decoder.raw_decode(text, at)
-                note(name, where + step(name), begin)
-                space()
-                at += 1  # the colon
-                value(where + step(name))
-                space()
-                if text[at] == ",":
-                    at += 1
-                    space()
-            at += 1
-        elif text[at] == "[":
-            at += 1
-            space()
-            k = 0
-            while text[at] != "]":
-                value(f"{where}[{k}]")
-                k += 1
-                space()
-                if text[at] == ",":
-                    at += 1
-                    space()
-            at += 1
+    found: list[tuple[int, str | None, str | None]] = []
+    open_: list[str | int] = []
+    expects = "value"  # value, first value or ], name, first name or }, colon, comma or end, end
+    at = line_at = 0
+    line = 1
+    while len(found) < most:
+        token = _JSON.match(text, at)
+        if not token:
+            return None
+        mark, string, literal, end = token.groups()
+        at = token.end()
+        if end is not None:
+            return found if expects == "end" else None
+        value = None
+        if string is not None:
+            try:
+                value = json.loads(f'"{string}"') if "\\" in string else string
+            except ValueError:
+                return None
+        elif literal is not None:
+            value = literal
+        if expects in ("name", "name or }") and string is not None:
+            open_[-1], expects = value, "colon"
+        elif expects in ("value", "value or ]") and value is not None:
+            expects = "comma" if open_ else "end"
+        elif expects in ("value", "value or ]") and mark in ("{", "["):
+            if len(open_) == MAX_DEPTH:
+                return None
+            open_.append("" if mark == "{" else 0)
+            expects = "name or }" if mark == "{" else "value or ]"
+            continue
+        elif mark == ":" and expects == "colon":
+            expects = "value"
+            continue
+        elif mark == "," and expects == "comma":
+            if isinstance(open_[-1], int):
+                open_[-1] += 1
+            expects = "value" if isinstance(open_[-1], int) else "name"
+            continue
+        elif open_ and mark == ("]" if isinstance(open_[-1], int) else "}") and expects in ("comma", "value or ]", "name or }"):
+            open_.pop()
+            expects = "comma" if open_ else "end"
+            continue
         else:
-            begin = at
-            got, at = decoder.raw_decode(text, at)
-            note(got if isinstance(got, str) else text[begin:at], where, begin)
-
-    value("$")
-    return found[:most]
+            return None
+        low = value.lower()
+        if any(t in low for t in lowered):
+            line += text.count("\n", line_at, at)
+            line_at = at
+            hit = (line, "$" + "".join(map(_step, open_)), None)
+            if hit not in found:
+                found.append(hit)
+    return found
 
 
 Hit = tuple[int, int, str, str | None, str | None, str | None]

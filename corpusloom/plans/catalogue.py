@@ -459,6 +459,14 @@ def locate_json(spark, sf_dir):
     return locate.locate_json(docs, ["k"]).select("doc_id", "line", "json_path")
 
 
+@query("SELECT doc_id, 2 AS line, '$.doc.tags[0]' AS json_path FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 3, '$.doc.tags[1].source' FROM documents")
+def locate_json_nested(spark, sf_dir):
+    """Nested JSON of several lines: a value within a list, and the name of a property within it."""
+    docs = ad.read(spark, sf_dir, "documents")
+    text = F.concat(F.lit('{"doc": {"id": '), F.col("doc_id").cast("string"), F.lit(',\n"tags": ["'), "lang", F.lit('",\n{"source": "'), "source", F.lit('"}]}}'))
+    return locate.locate_json(docs.select("doc_id", text.alias("text")), ["en", "source"]).select("doc_id", "line", "json_path")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ad.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("i", "text"))
     return lines.select("doc_id", (F.col("i") + 1).alias("ordinal"), "text", F.concat(F.lit("第 "), (F.col("i") + 1).cast("string"), F.lit(" 段")).alias("label"), F.lit(None).cast("string").alias("heading_path"))
