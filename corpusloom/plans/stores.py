@@ -13,6 +13,7 @@ from ..operators.snapshots import SnapshotStore
 from ..shared import new_folder
 from ..sources import adapters as ad
 from ..sources import pages
+from ..streaming.loop import Loop
 from . import sql
 from .catalogue import _scans, benchmark_queries, corpus_index, iso, query
 
@@ -111,3 +112,37 @@ def catalog_source_filtered(spark, sf_dir):
     """The same with filters that the data source takes over."""
     rows = _catalog_pages(spark, sf_dir, True).filter((F.col("kind") == "file") & F.col("extension").isin("md", "txt") & (F.col("size") > 200) & F.startswith("full_path", F.lit("D:\\s")) & (F.col("modified_at") >= F.lit("2024-01-03").cast("timestamp")))
     return rows.select("name", "full_path", "parent_path", "extension", "kind", "size", "attributes", iso("modified_at").alias("modified"))
+
+
+_TEXTS = "('txt', 'md', 'log', 'json')"
+
+
+@query(f"""WITH {sql.FILES}, f AS (SELECT *, extension IN {_TEXTS} AND (doc_id % 9 <> 4 OR doc_id % 10 = 7) AS good FROM files WHERE doc_id % 10 <> 3 AND doc_id % 11 <> 5)
+SELECT 'document' AS kind, path_key, CAST(length(text) AS VARCHAR) AS detail FROM f WHERE good
+UNION ALL SELECT 'failure', path_key, CASE WHEN extension IN {_TEXTS} THEN 'UNSUPPORTED_ENCODING 1' WHEN extension = 'docx' THEN 'CORRUPT_DOCUMENT 1' WHEN extension = 'pdf' THEN 'OCR_REQUIRED 3' ELSE 'UNSUPPORTED_FILE_TYPE 1' END FROM f WHERE NOT good""")
+def reconcile_stream(spark, sf_dir):
+    """What the running stream leaves after two scans: all files come, some that cannot be read; then a tenth goes and a
+    tenth comes in a new version, mended. Between them the stream stops, and goes on from its checkpoint."""
+    texts = ad.read(spark, sf_dir, "documents").select("doc_id", "text")
+    files = ad.files(spark, sf_dir).withColumns({"priority": F.lit(1), "fingerprint": F.lit("1"), "change": F.lit("new")})
+    bytes_of = lambda bad: files.join(texts, "doc_id").filter("doc_id % 11 <> 5").select(F.col("full_path").alias("path"), F.when(bad, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("C328")))).otherwise(F.col("text").cast("binary")).alias("content"))
+    bodies = {"now": bytes_of(F.col("doc_id") % 9 == 4)}
+    loop = Loop(spark, new_folder(spark, "loop"), lambda leased: bodies["now"], delays=[0.0])
+    loop.submit(files)
+    running = loop.start(processingTime="2 seconds")
+    try:
+        loop.drained(running, files, 600)
+    finally:
+        loop.stop(running)
+    changed = files.filter("doc_id % 10 in (3, 7)").withColumn("change", F.when(F.col("doc_id") % 10 == 3, "removed").otherwise("changed")).withColumn("fingerprint", F.lit("2"))
+    bodies["now"] = bytes_of((F.col("doc_id") % 9 == 4) & (F.col("doc_id") % 10 != 7))
+    loop.submit(changed)
+    running = loop.start(processingTime="2 seconds")
+    try:
+        loop.drained(running, changed, 600)
+    finally:
+        loop.stop(running)
+    found = loop.documents().select(F.lit("document").alias("kind"), "path_key", F.length("text").cast("string").alias("detail"))
+    failed = loop.failures().select(F.lit("failure").alias("kind"), "path_key", F.concat_ws(" ", "error_code", "attempts").alias("detail"))
+    waiting = loop.queue().select(F.lit("queue").alias("kind"), "path_key", F.lit("").alias("detail"))
+    return found.unionByName(failed).unionByName(waiting)
