@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,22 +157,34 @@ def _moment(text: str) -> Column:
 
 
 def parse_raw(text: str, as_of: Column | None = None) -> Column:
-    """A condition from the catalog's dialect: space is AND, ``|`` is OR, ``< >`` groups, quotes are
-    literal, with the functions ext:, file:, folder:, size: and dm:, whose dates may be literal or
-    spans such as thisweek, seen from ``as_of`` (now). What is not understood raises INVALID_QUERY."""
+    """A condition from the catalog's dialect: space is AND, ``|`` is OR, ``!`` is NOT, ``< >`` groups, quotes are
+    literal. A word with ``*`` or ``?`` is a pattern of the whole name (of the whole path, with a ``\\`` in it),
+    other words are parts of it. Functions are ext:, file:, folder:, size: (with kb, mb, gb, tb) and dm:, whose dates may be
+    literal or spans such as thisweek, seen from ``as_of`` (now); both take ranges such as 1kb..2mb, ends
+    included. What is not understood raises INVALID_QUERY."""
     as_of = F.current_timestamp() if as_of is None else as_of
+    return _condition(_tree(text), as_of)
+
+
+def required_grams(text: str) -> list[str]:
+    """Grams of GRAM characters that every name which passes the query holds, as far as its words tell."""
+    return sorted(_required(_tree(text)))
+
+
+def _tree(text: str) -> tuple:
+    """The query as ("and" | "or", parts), ("not", part) or ("term", token)."""
     tokens: list[str] = []
     at = 0
     while at < len(text):
         c = text[at]
         if c.isspace():
             at += 1
-        elif c in "<>|" and not (c in "<>" and tokens and tokens[-1].endswith(":")):
+        elif c in "<>|!":
             tokens.append(c)
             at += 1
         else:
             end, quoted = at, False
-            while end < len(text) and (quoted or not (text[end].isspace() or text[end] == "|" or (text[end] in "<>" and text[end - 1] != ":" and end > at))):
+            while end < len(text) and (quoted or not (text[end].isspace() or text[end] == "|" or (text[end] in "<>" and text[end - 1] != ":"))):
                 quoted ^= text[end] == '"'
                 end += 1
             if quoted:
@@ -179,31 +193,37 @@ def parse_raw(text: str, as_of: Column | None = None) -> Column:
             at = end
     place = 0
 
-    def alternatives() -> Column:
+    def alternatives() -> tuple:
         nonlocal place
-        out = sequence()
+        parts = [sequence()]
         while place < len(tokens) and tokens[place] == "|":
             place += 1
-            out = out | sequence()
-        return out
+            parts.append(sequence())
+        return parts[0] if len(parts) == 1 else ("or", parts)
 
-    def sequence() -> Column:
-        nonlocal place
-        out = None
+    def sequence() -> tuple:
+        parts = []
         while place < len(tokens) and tokens[place] not in ("|", ">"):
-            if tokens[place] == "<":
-                place += 1
-                one = alternatives()
-                if place >= len(tokens) or tokens[place] != ">":
-                    raise ValueError("INVALID_QUERY: open group")
-                place += 1
-            else:
-                one = _term(tokens[place], as_of)
-                place += 1
-            out = one if out is None else out & one
-        if out is None:
+            parts.append(one())
+        if not parts:
             raise ValueError("INVALID_QUERY: empty expression")
-        return out
+        return parts[0] if len(parts) == 1 else ("and", parts)
+
+    def one() -> tuple:
+        nonlocal place
+        token = tokens[place] if place < len(tokens) else "|"
+        if token in ("|", ">"):
+            raise ValueError("INVALID_QUERY: nothing to negate")
+        place += 1
+        if token == "!":
+            return "not", one()
+        if token != "<":
+            return "term", token
+        found = alternatives()
+        if place >= len(tokens) or tokens[place] != ">":
+            raise ValueError("INVALID_QUERY: open group")
+        place += 1
+        return found
 
     found = alternatives()
     if place != len(tokens):
@@ -211,7 +231,56 @@ def parse_raw(text: str, as_of: Column | None = None) -> Column:
     return found
 
 
+def _condition(tree: tuple, as_of: Column) -> Column:
+    kind, rest = tree
+    if kind == "term":
+        return _term(rest, as_of)
+    if kind == "not":  # what is not known to hold does not hold
+        return ~F.coalesce(_condition(rest, as_of), F.lit(False))
+    parts = [_condition(x, as_of) for x in rest]
+    return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), parts)
+
+
+def _required(tree: tuple) -> set[str]:
+    kind, rest = tree
+    if kind == "not":
+        return set()
+    if kind != "term":
+        parts = [_required(x) for x in rest]
+        return set.union(*parts) if kind == "and" else set.intersection(*parts)
+    pattern = _pattern(rest)
+    if pattern is None or "\\" in rest:
+        return set()
+    words = [w for part, literal in pattern for w in ([part] if literal else re.split(r"[*?]", part))]
+    return {w[k : k + GRAM] for w in words for k in range(len(w) - GRAM + 1)}
+
+
+def _pattern(token: str) -> list[tuple[str, bool]] | None:
+    """A word in lower case as (text, quoted) parts; None for functions."""
+    lower = token.lower()
+    plain = re.sub(r'"[^"]*"', "", lower)
+    if ":" in plain and not (len(plain) > 2 and plain[1] == ":" and plain[0].isalpha() and plain[2] == "\\"):
+        return None
+    return [(part, k % 2 == 1) for k, part in enumerate(lower.split('"')) if part]
+
+
+def _bytes_of(text: str) -> int:
+    found = re.fullmatch(r"(\d+)(b|kb|mb|gb|tb)?", text.lower())
+    if not found:
+        raise ValueError("INVALID_QUERY: not a size " + text)
+    return int(found[1]) << {"kb": 10, "mb": 20, "gb": 30, "tb": 40}.get(found[2], 0)
+
+
 def _term(token: str, as_of: Column) -> Column:
+    pattern = _pattern(token)
+    if pattern is not None:
+        text = "".join(part for part, _ in pattern)
+        column = F.col("path_key") if "\\" in text else F.lower("name")
+        if any(not literal and re.search(r"[*?]", part) for part, literal in pattern):
+            escaped = [re.sub(r"[%_^]", r"^\g<0>", part) for part, _ in pattern]
+            like = "".join(part if literal else part.replace("*", "%").replace("?", "_") for part, (_, literal) in zip(escaped, pattern, strict=True))
+            return F.like(column, F.lit(like), F.lit("^"))
+        return F.contains(column, F.lit(text))
     lower = token.lower()
     if lower.startswith("ext:"):
         return F.lower("extension").isin([e.strip().lstrip(".") for e in lower[4:].split(";")])
@@ -219,20 +288,58 @@ def _term(token: str, as_of: Column) -> Column:
         return F.col("kind") == lower[:-1]
     for name, column in (("dm:", F.col("modified_at")), ("size:", F.col("size"))):
         if lower.startswith(name):
-            value = token[len(name) :]
+            value = lower[len(name) :]
             sign = next((s for s in (">=", "<=", ">", "<", "=") if value.startswith(s)), "")
             value = value[len(sign) :]
-            if name == "dm:" and value.lower() in SPANS:
-                begin, end = _span(value.lower(), as_of)
-                return {">=": column >= begin, "<=": column < end, ">": column >= end, "<": column < begin}.get(sign, (column >= begin) & (column < end))
-            if name == "size:" and not value.isdecimal():
-                raise ValueError("INVALID_QUERY: not a size " + value)
-            value = _moment(value) if name == "dm:" else F.lit(int(value))
-            return {">=": column >= value, "<=": column <= value, ">": column > value, "<": column < value}.get(sign, column == value)
-    if ":" in lower.replace('"', "") and not (lower.startswith('"') or (len(lower) > 2 and lower[1] == ":")):
-        raise ValueError("INVALID_QUERY: unknown function " + token)
-    plain = lower.replace('"', "")
-    return F.contains(F.col("path_key") if "\\" in plain else F.lower("name"), F.lit(plain))
+            if not sign and ".." in value:
+                least, _, most = value.partition("..")
+                return _compare(column, ">=", name, least, as_of) & _compare(column, "<=", name, most, as_of)
+            return _compare(column, sign, name, value, as_of)
+    raise ValueError("INVALID_QUERY: unknown function " + token)
+
+
+def _compare(column: Column, sign: str, name: str, value: str, as_of: Column) -> Column:
+    if name == "dm:" and value in SPANS:
+        begin, end = _span(value, as_of)
+        return {">=": column >= begin, "<=": column < end, ">": column >= end, "<": column < begin}.get(sign, (column >= begin) & (column < end))
+    limit = _moment(value.upper()) if name == "dm:" else F.lit(_bytes_of(value))
+    return {">=": column >= limit, "<=": column <= limit, ">": column > limit, "<": column < limit}.get(sign, column == limit)
+
+
+GRAM_BUCKETS = 64
+
+
+def _gram_bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BUCKETS)).cast("int")
+
+
+def write_grams(files: DataFrame, folder: str) -> DataFrame:
+    """Stores (gram, path_key) of all names, by bucket of the gram and sorted, and gives the stored table."""
+    rows = files.select(F.explode(_grams(F.lower("name"), GRAM)).alias("gram"), "path_key").withColumn("bucket", _gram_bucket(F.col("gram")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("path_key"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(folder)
+    return files.sparkSession.read.schema("gram string, path_key string, bucket int").parquet(folder)
+
+
+def candidates(grams: DataFrame, text: str) -> DataFrame | None:
+    """(path_key) of files whose name holds the rarest gram that the query requires; None if it requires none.
+
+    Counts of the required grams alone come to the driver; the scans are pruned to their buckets."""
+    wanted = required_grams(text)
+    if not wanted:
+        return None
+    spark = grams.sparkSession
+    buckets = dict(map(tuple, spark.createDataFrame([(g,) for g in wanted], "gram string").select("gram", _gram_bucket(F.col("gram"))).collect()))
+    asked = grams.filter(F.col("bucket").isin(sorted(set(buckets.values()))) & F.col("gram").isin(wanted))
+    counts = dict(map(tuple, asked.groupBy("gram").agg(F.count("*")).collect()))
+    rarest = min(wanted, key=lambda g: (counts.get(g, 0), g))
+    return grams.filter((F.col("bucket") == buckets[rarest]) & (F.col("gram") == rarest)).select("path_key")
+
+
+def search_raw(files: DataFrame, text: str, grams: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """The files that pass a query of the dialect; with stored grams only candidates are tested."""
+    keys = candidates(grams, text) if grams is not None else None
+    some = files if keys is None else files.join(keys, "path_key", "left_semi")
+    return some.filter(parse_raw(text, as_of))
 
 
 def noise_aware(catalog: DataFrame, text: str, limit: int = 50) -> DataFrame:

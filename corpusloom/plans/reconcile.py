@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import index as ix
 from ..operators import policy, queue
+from ..shared import new_folder
 from ..sources import extract
 
 DOCUMENTS = "doc_id long, name string, extension string, path_key string, full_path string, fingerprint string, text string, blocks array<struct<ordinal:int,text:string,label:string,heading_path:string>>"
@@ -63,7 +64,7 @@ def processed(state: State, files: DataFrame, contents: DataFrame, as_of: Column
     due = queue.lease(state.queue.withColumn("id", F.xxhash64("path_key")), as_of, n).drop("id", "state")
     leased = due.join(facts, "path_key", "left")
     read = extract.extract(contents.join(leased.select(F.col("full_path").alias("path")), "path"), readers=readers)
-    done = leased.join(read, leased["full_path"] == read["path"], "left")
+    done = _once(leased.join(read, leased["full_path"] == read["path"], "left"))
     missing = done.filter("path is null").select("path_key")
     good = done.filter("path is not null and error_code is null")
     bad = done.filter("error_code is not null")
@@ -76,6 +77,13 @@ def processed(state: State, files: DataFrame, contents: DataFrame, as_of: Column
     return replace(state, index=ix.merged(state.index, documents, missing), queue=waiting.unionByName(again), failures=settled)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """What a round has read, written and read back: index, queue and failures see one extraction, which is made once."""
+    folder = new_folder(rows.sparkSession, "round")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def paused(state: State) -> State:
     return replace(state, paused=True)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import impacts, retrieve
+from ..operators import impacts, names, retrieve
 from ..operators import index as ix
 from ..operators.commits import Conflict
 from ..operators.segments import SegmentedIndex
@@ -146,3 +148,36 @@ def reconcile_stream(spark, sf_dir):
     failed = loop.failures().select(F.lit("failure").alias("kind"), "path_key", F.concat_ws(" ", "error_code", "attempts").alias("detail"))
     waiting = loop.queue().select(F.lit("queue").alias("kind"), "path_key", F.lit("").alias("detail"))
     return found.unionByName(failed).unionByName(waiting)
+
+
+#: Queries of the dialect and what each asks in SQL.
+PATTERNS = {
+    "*.md": "name LIKE '%.md'",
+    "doc?.txt": "name LIKE 'doc_.txt'",
+    "!*.md !folder: 1": "NOT name LIKE '%.md' AND kind <> 'folder' AND contains(lower(name), '1')",
+    "size:>1kb !ext:md;txt": "size > 1024 AND extension NOT IN ('md', 'txt')",
+    "size:1kb..2kb | size:<100b": "size BETWEEN 1024 AND 2048 OR size < 100",
+    "dm:2024-01-03..2024-01-05": "modified_at >= TIMESTAMP '2024-01-03' AND modified_at <= TIMESTAMP '2024-01-05'",
+    "<*c1*.md|doc2*.txt> !doc11*": "(name LIKE '%c1%.md' OR name LIKE 'doc2%.txt') AND NOT name LIKE 'doc11%'",
+    '"c1" *7.docx': "contains(lower(name), 'c1') AND name LIKE '%7.docx'",
+    "d:\\*\\docs\\*.log": "path_key LIKE 'd:\\%\\docs\\%.log'",
+}
+_PATTERNS_SQL = f"WITH {sql.CATALOG} " + " UNION ALL ".join(f"SELECT {k} AS pattern, full_path FROM catalog WHERE {where}" for k, where in enumerate(PATTERNS.values()))
+
+
+def _patterns(catalog: DataFrame, grams: DataFrame | None) -> DataFrame:
+    found = [names.search_raw(catalog, text, grams).select(F.lit(k).alias("pattern"), "full_path") for k, text in enumerate(PATTERNS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(_PATTERNS_SQL)
+def raw_query_patterns(spark, sf_dir):
+    """Patterns, negation, units and ranges of the catalog's dialect."""
+    return _patterns(ad.catalog(spark, sf_dir), None)
+
+
+@query(_PATTERNS_SQL)
+def raw_query_grams(spark, sf_dir):
+    """The same through the stored table of name grams."""
+    catalog = ad.catalog(spark, sf_dir)
+    return _patterns(catalog, names.write_grams(catalog, new_folder(spark, "grams")))
