@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +23,54 @@ def latest(rows: DataFrame, key: str = "path_key", by: str = "indexed_at") -> Da
 
 
 def tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, field, pos, term): index tokens of name and text. Rows leave as they are read; no shuffle."""
+    """(doc_id, field, terms): index tokens of name and text. Rows leave as they are read; no shuffle."""
     both = documents.select("doc_id", F.explode(F.array(
         F.struct(F.lit(TITLE).alias("field"), tx.index_terms(F.col("name")).alias("terms")),
         F.struct(F.lit(BODY).alias("field"), tx.index_terms(F.coalesce("text", F.lit(""))).alias("terms")),
     )).alias("f"))
-    return both.select("doc_id", "f.field", F.posexplode("f.terms").alias("pos", "term"))
+    return both.select("doc_id", "f.field", "f.terms")
+
+
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the rows of each batch: a row's tokens by term, with their places."""
+    for batch in batches:
+        lists = batch.column("terms")
+        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices, np.int64)
+        n = len(codes)
+        if not n:
+            continue
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((codes, rows))  # stable: places of a term stay in order
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(rows[order]) != 0) | (np.diff(codes[order]) != 0)]))
+        ends = np.append(first, n)
+        where = pa.array(rows[order][first])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(where),
+                batch.column("field").take(where),
+                coded.dictionary.take(pa.array(codes[order][first])),
+                pa.array(np.diff(ends)),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places[order].astype(np.int32))),
+            ],
+            names=["doc_id", "field", "term", "tf", "positions"],
+        )
 
 
 def document_postings(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, field, tf, positions), of the given terms only if there are any. The grouping key
-    holds the document, so a stop-word is spread over as many groups as documents and no task sees
-    one term's whole list. Other terms are dropped before anything is shuffled."""
+    """(doc_id, field, term, tf, positions), of the given terms only if there are any.
+
+    A row holds all tokens of its document, so its postings are made where it is read, and nothing is shuffled. Of given
+    terms few tokens are left, so these are told apart first; their grouping key holds the document, so
+    no task sees one term's whole list."""
     rows = tokens(documents)
-    if terms is not None:
-        rows = rows.join(terms.select("term"), "term", "left_semi")
-    return rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    if terms is None:
+        kind = dict(documents.dtypes)["doc_id"]
+        return rows.mapInArrow(_grouped, f"doc_id {kind}, field string, term string, tf long, positions array<int>")
+    each = rows.select("doc_id", "field", F.posexplode("terms").alias("pos", "term")).join(terms.select("term"), "term", "left_semi")
+    return each.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(documents: DataFrame) -> DataFrame:

@@ -156,9 +156,9 @@ def path_components(spark, sf_dir):
     return names.name_components(ad.catalog(spark, sf_dir))
 
 
-@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE contains(lower(name), 'doc') AND starts_with(path_key, 'd:\\src3\\') AND extension IN ('txt', 'docx') AND kind = 'file' AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-03-01'")
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE contains(lower(name), 'doc') AND starts_with(path_key, 'd:\\src3\\') AND extension IN ('md', 'pdf') AND kind = 'file' AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-03-01'")
 def name_query_filters(spark, sf_dir):
-    found = names.NameQuery("doc", path="D:\\src3", extensions=[".TXT", "docx"], kind="file", modified_after="2024-01-02", modified_before="2024-03-01")
+    found = names.NameQuery("doc", path="D:\\src3", extensions=[".MD", "pdf"], kind="file", modified_after="2024-01-02", modified_before="2024-03-01")
     return ad.catalog(spark, sf_dir).filter(names.predicate(found)).select("full_path")
 
 
@@ -419,9 +419,9 @@ def fts_count(spark, sf_dir):
     return retrieve.matches(hits).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.FILES} SELECT doc_id FROM files WHERE starts_with(path_key, 'd:\\src3\\') AND extension IN ('md', 'txt') AND modified_at >= TIMESTAMP '2024-01-05' AND modified_at <= TIMESTAMP '2024-02-05'")
+@query(f"WITH {sql.FILES} SELECT doc_id FROM files WHERE starts_with(path_key, 'd:\\src3\\') AND extension IN ('md', 'log') AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-02-05'")
 def filters_path_ext_date(spark, sf_dir):
-    return retrieve.filtered(ad.files(spark, sf_dir), "D:\\src3", [".md", "txt"], stamp("2024-01-05"), stamp("2024-02-05")).select("doc_id")
+    return retrieve.filtered(ad.files(spark, sf_dir), "D:\\src3", [".md", "log"], stamp("2024-01-02"), stamp("2024-02-05")).select("doc_id")
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank <= 10 AND doc_id % 3 <> 0")
