@@ -79,6 +79,10 @@ class Decisions:
         where = self._path(folder)
         return sorted(s.getPath().getName() for s in self._files.listStatus(where)) if self._files.exists(where) else []
 
+    def move(self, folder: str, to: str) -> None:
+        if not self._files.rename(self._path(folder), self._path(to)):
+            raise OSError(f"{folder} could not be moved")
+
     def delete(self, folder: str) -> None:
         self._files.delete(self._path(folder), True)
 

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .commits import Decisions
 
 TITLE, BODY = "title", "body"
+#: Of stored snapshots; 1 has no number in its marker.
+SCHEMA_VERSION = 2
 BUCKETS = 64
 
 
@@ -141,14 +144,37 @@ def write(index: Index, path: str, version: int) -> str:
     write_postings(index.postings, f"{root}/postings", "overwrite")
     for name in ("stats", "corpus", "documents"):
         getattr(index, name).write.mode("overwrite").parquet(f"{root}/{name}")
-    index.corpus.select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{root}/committed")
+    index.corpus.select(F.lit(version).alias("version"), F.lit(SCHEMA_VERSION).alias("schema")).coalesce(1).write.mode("overwrite").parquet(f"{root}/committed")
     return root
 
 
 def load(spark: SparkSession, root: str, terms: list[str] | None = None) -> Index:
-    """A committed snapshot; with terms, the scan is pruned to their buckets."""
-    spark.read.parquet(f"{root}/committed").schema  # noqa: B018  an uncommitted version raises here
+    """A committed snapshot; with terms, the scan is pruned to their buckets. One of another schema is not read (``opened`` brings it up to date)."""
+    if schema_of(spark, root) != SCHEMA_VERSION:
+        raise ValueError("INDEX_SCHEMA")
     postings = spark.read.parquet(f"{root}/postings")
     if terms is not None:
         postings = of_terms(postings, terms)
     return Index(postings, *(spark.read.parquet(f"{root}/{n}") for n in ("stats", "corpus", "documents")))
+
+
+def schema_of(spark: SparkSession, root: str) -> int:
+    """The schema of a snapshot; an uncommitted version raises."""
+    return spark.read.parquet(f"{root}/committed").first().asDict().get("schema", 1)
+
+
+def opened(spark: SparkSession, root: str, terms: list[str] | None = None) -> Index:
+    """A committed snapshot of any schema. One of another schema is moved aside as ``<root>.legacy-<schema>`` and built
+    again from the documents that it holds; if that was interrupted, it is taken up from the copy."""
+    files = Decisions(spark, root)
+    path, _, name = root.rstrip("/").rpartition("/")
+    version = int(name.split("=")[1])
+    copies = [n for n in files.children(path) if n.startswith(f"{name}.legacy-")]
+    complete = "committed" in files.children(root)
+    if complete and schema_of(spark, root) != SCHEMA_VERSION:
+        copies = [f"{name}.legacy-{schema_of(spark, root)}"]
+        files.move(root, f"{path}/{copies[0]}")
+        complete = False
+    if not complete and copies:
+        write(build(spark.read.parquet(f"{path}/{copies[-1]}/documents")), path, version)
+    return load(spark, root, terms)

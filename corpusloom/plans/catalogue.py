@@ -185,9 +185,9 @@ def raw_query(spark, sf_dir):
     return ad.catalog(spark, sf_dir).filter(names.parse_raw('<ext:md|ext:txt> file: "1" size:>1000 dm:>=2024-01-01')).select("full_path")
 
 
-@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE modified_at >= TIMESTAMP '2024-02-05' AND modified_at < TIMESTAMP '2024-02-12' OR modified_at < TIMESTAMP '2024-01-01' OR size < 100 AND modified_at >= TIMESTAMP '2024-02-09' AND modified_at < TIMESTAMP '2024-02-10'")
+@query(f"WITH {sql.CATALOG} SELECT full_path FROM catalog WHERE modified_at >= TIMESTAMP '2024-02-05' AND modified_at < TIMESTAMP '2024-02-12' OR modified_at < TIMESTAMP '2024-01-01' OR size < 100 AND modified_at >= TIMESTAMP '2024-02-09' AND modified_at < TIMESTAMP '2024-02-10' OR size > 1000 AND modified_at >= TIMESTAMP '2024-01-01' AND modified_at < TIMESTAMP '2024-02-01'")
 def raw_query_relative_dates(spark, sf_dir):
-    return ad.catalog(spark, sf_dir).filter(names.parse_raw("dm:thisweek | dm:<lastmonth | size:<100 dm:yesterday", stamp(AS_OF))).select("full_path")
+    return ad.catalog(spark, sf_dir).filter(names.parse_raw("dm:thisweek | dm:<lastmonth | size:<100 dm:yesterday | dm:lastmonth size:>1000", stamp(AS_OF))).select("full_path")
 
 
 @query(f"WITH {sql.CATALOG} SELECT b.item_id AS query_id, f.doc_id FROM benchmark b JOIN files f ON contains(lower(f.name), 'c' || (b.item_id % 97) || '.') OR contains(lower(f.name), 'doc' || b.item_id)")
@@ -419,9 +419,9 @@ def fts_count(spark, sf_dir):
     return retrieve.matches(hits).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.FILES} SELECT doc_id FROM files WHERE starts_with(path_key, 'd:\\src3\\') AND extension IN ('md', 'log') AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-02-05'")
+@query(f"WITH {sql.FILES} SELECT doc_id FROM files WHERE starts_with(path_key, 'd:\\src3\\') AND extension IN ('pdf', 'json') AND modified_at >= TIMESTAMP '2024-01-02' AND modified_at <= TIMESTAMP '2024-02-05'")
 def filters_path_ext_date(spark, sf_dir):
-    return retrieve.filtered(ad.files(spark, sf_dir), "D:\\src3", [".md", "log"], stamp("2024-01-02"), stamp("2024-02-05")).select("doc_id")
+    return retrieve.filtered(ad.files(spark, sf_dir), "D:\\src3", [".pdf", "json"], stamp("2024-01-02"), stamp("2024-02-05")).select("doc_id")
 
 
 @query(f"WITH {sql.TOKENS}, {sql.bm25(chr(39) + 'body' + chr(39))}, {sql.TOP} SELECT query_id, rank, doc_id FROM ranked WHERE rank <= 10 AND doc_id % 3 <> 0")

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import impacts, names, retrieve
+from ..functions import text as tx
+from ..operators import impacts, models, names, retrieve
 from ..operators import index as ix
 from ..operators.commits import Conflict
 from ..operators.segments import SegmentedIndex
 from ..operators.snapshots import SnapshotStore
 from ..shared import new_folder
 from ..sources import adapters as ad
-from ..sources import pages
+from ..sources import extract, make_office, pages
 from ..streaming.loop import Loop
 from . import sql
 from .catalogue import _scans, benchmark_queries, corpus_index, iso, query
@@ -31,6 +35,16 @@ def bm25_topk_blocks(spark, sf_dir):
     return impacts.search(stored, asked, 10).select("query_id", "rank", "doc_id", "score")
 
 
+@query(f"WITH {sql.TOKENS}, {sql.bm25(_BOTH)}, {sql.TOP} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10")
+def index_migrated(spark, sf_dir):
+    """A snapshot of the first schema, with postings that can no longer be read, is moved aside and built again."""
+    documents = ad.documents(spark, sf_dir)
+    folder = new_folder(spark, "old")
+    root = ix.write(ix.Index(ix.document_postings(documents.limit(1)), ix.doc_stats(documents.limit(1)), ix.corpus_stats(ix.doc_stats(documents.limit(1))), documents), folder, 1)
+    spark.range(1).select(F.lit(1).alias("version")).write.mode("overwrite").parquet(f"{root}/committed")
+    return retrieve.search(ix.opened(spark, root), benchmark_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
+
+
 #: The documents after the rounds below.
 _NOW = sql.TOKENS.replace("FROM documents)", "FROM docs_now)")
 _ROUNDS = f"""WITH docs_now AS (SELECT doc_id, source, n_chars, CASE WHEN doc_id % 4 <> 3 AND doc_id % 10 = 1 THEN text || ' again ' || text ELSE text END AS text
@@ -181,3 +195,80 @@ def raw_query_grams(spark, sf_dir):
     """The same through the stored table of name grams."""
     catalog = ad.catalog(spark, sf_dir)
     return _patterns(catalog, names.write_grams(catalog, new_folder(spark, "grams")))
+
+
+@query("""SELECT 'item' || item_id || '.txt' AS asset, CASE WHEN item_id % 7 <> 3 THEN CAST(octet_length(encode(text)) AS BIGINT) END AS bytes,
+  CASE WHEN item_id % 7 = 3 THEN 'missing_assets' WHEN item_id % 5 = 1 THEN 'hash_mismatch' ELSE 'ready' END AS status FROM benchmark""")
+def model_integrity(spark, sf_dir):
+    """Files of a model against their manifest: some are not there, some are not what it says."""
+    items = ad.read(spark, sf_dir, "benchmark").withColumn("asset", F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".txt")))
+    root = new_folder(spark, "assets")
+
+    def put(batches):
+        files, where = pa.fs.FileSystem.from_uri(root)
+        files.create_dir(where)
+        for batch in batches:
+            for asset, text in zip(batch["asset"], batch["text"], strict=True):
+                with files.open_output_stream(f"{where}/{asset}") as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    if not items.filter("item_id % 7 <> 3").select("asset", "text").mapInPandas(put, "n long").agg(F.sum("n")).first()[0]:
+        raise ValueError("no assets")
+    manifest = items.select("asset", F.sha2(F.when(F.col("item_id") % 5 == 1, "other").otherwise(F.col("text")), 256).alias("sha256"))
+    return models.integrity(manifest, root)
+
+
+def ranking_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, better_text, worse_text): two words of each benchmark text are asked; of the documents found, one that holds
+    more of the text (its first five words in a row) was acted on, those above it were not."""
+    asked = benchmark_queries(spark, sf_dir)
+    found = retrieve.search(corpus_index(spark, sf_dir, asked), asked, 50, field=ix.BODY)
+    five = ad.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 5), " ").alias("opening"))
+    texts = ad.documents(spark, sf_dir).select("doc_id", "text")
+    shown = found.join(texts, "doc_id").join(five, "query_id").select("query_id", F.col("doc_id").alias("cand_id"), (F.col("rank") - 1).alias("idx"), "text", F.contains(F.regexp_replace(F.lower("text"), r"\s+", " "), F.col("opening")).alias("acted"))
+    folder = new_folder(spark, "shown")
+    shown.write.parquet(folder)
+    shown = spark.read.parquet(folder)
+    pairs = models.preferences(shown.filter("acted"), shown)
+    text_of = lambda c: shown.select("query_id", F.col("cand_id").alias(c), F.col("text").alias(f"{c}_text"))
+    return pairs.join(text_of("better"), ["query_id", "better"]).join(text_of("worse"), ["query_id", "worse"]).join(asked, "query_id").select("query_id", "query", "better_text", "worse_text")
+
+
+def fitted_scorer(spark: SparkSession, pairs: DataFrame):
+    folder = new_folder(spark, "differences")
+    models.differences(pairs).write.parquet(folder)
+    return models.scorer(models.fit(spark.read.parquet(folder)))
+
+
+def overlap_scorer():
+    """The share of query words in the text: what a fitted scorer has to beat."""
+
+    def share(queries, texts):
+        for a, b in zip(queries, texts, strict=True):
+            words = set(a.lower().split())
+            yield len(words & set(b.lower().split())) / max(1, len(words))
+
+    return lambda queries, texts: list(share(queries, texts))
+
+
+@query()
+def semantic_fitted(spark, sf_dir):
+    """How many held-out preferences (every other query) each scorer puts in their order: the fitted one, and word overlap."""
+    pairs = ranking_feedback(spark, sf_dir)
+    learned = fitted_scorer(spark, pairs.filter("query_id % 2 = 0"))
+    held = pairs.filter("query_id % 2 = 1")
+    rows = [models.right_of(held, load).select(F.lit(name).alias("scorer"), "n", "right") for name, load in (("fitted", learned), ("overlap", overlap_scorer))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""WITH f AS (SELECT doc_id, ['docx', 'xlsx', 'pptx'][doc_id % 3 + 1] AS extension, CASE WHEN doc_id % 10 = 7 THEN 'CORRUPT_DOCUMENT' WHEN doc_id % 10 = 8 THEN 'UNSUPPORTED_OR_ENCRYPTED_DOCUMENT' END AS error_code,
+  array_to_string(list_filter(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S')), chr(10)) AS text FROM documents)
+SELECT 'd' || doc_id || '.' || extension AS path, CASE WHEN error_code IS NULL THEN text END AS text, error_code FROM f""")
+def office_files(spark, sf_dir):
+    """Every document as a file of an office format, some damaged, some with a password, read back."""
+    docs = ad.read(spark, sf_dir, "documents")
+    how = F.when(F.col("doc_id") % 10 == 7, "damaged").when(F.col("doc_id") % 10 == 8, "locked")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), ad.pick(["docx", "xlsx", "pptx"], F.col("doc_id")))
+    made = make_office.files(docs.select(path.alias("path"), tx.lines(F.col("text")).alias("lines"), how.alias("how")))
+    return extract.extract(made).select("path", "text", "error_code")

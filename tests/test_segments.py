@@ -164,3 +164,20 @@ def test_blocks_are_skipped(spark):
     for r in reached.orderBy("block").limit(6).collect():
         some = impacts.score(made, reached.filter((F.col("block") == r.block) & (F.col("query_id") == r.query_id)))
         assert (some.agg(F.max("score")).first()[0] or 0) <= r.bound + impacts.SLACK
+
+
+def test_older_snapshots_are_moved_aside_and_built_again(spark, tmp_path):
+    docs = documents(spark, [(i, text(i)) for i in range(30)])
+    root = ix.write(ix.build(docs), f"file://{tmp_path}/x", 3)
+    assert ix.schema_of(spark, root) == ix.SCHEMA_VERSION
+    want = page(retrieve.search(ix.load(spark, root), asked(spark)))
+    spark.range(1).select(F.lit(3).alias("version")).write.mode("overwrite").parquet(f"{root}/committed")
+    spark.range(1).write.mode("overwrite").parquet(f"{root}/postings")
+    with pytest.raises(ValueError, match="INDEX_SCHEMA"):
+        ix.load(spark, root)
+    assert page(retrieve.search(ix.opened(spark, root), asked(spark))) == want
+    assert (tmp_path / "x" / "v=3.legacy-1" / "documents").is_dir()
+    # interrupted after the move: what was begun is made again from the copy
+    Decisions(spark, root).delete(root)
+    assert page(retrieve.search(ix.opened(spark, root), asked(spark))) == want
+    assert page(retrieve.search(ix.opened(spark, root), asked(spark))) == want
