@@ -1,143 +1,109 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing."""
+"""Exact top-k search over binary codes by incremental multi-index hashing, as joins.
+
+A code is cut into segments; a table of buckets holds each code under each of its segments. In round s all
+queries that are not done probe each segment with the keys that differ from theirs in exactly s bits: an
+equi-join on (segment, key), whose pairs are verified by their whole distance. After it every code within m * (s + 1) - 1
+bits has been met, m being the number of segments: a code that is farther than s in each has at least
+m * (s + 1) differing bits. A query is done when its k-th best distance is covered so; the others go to the next round.
+"""
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
-
-BITS = 64
-#: Distinct codes of an index block, on average; queries meet every block.
-BLOCK = 1 << 17
-#: Queries that meet a block in one task, on average.
-ASKED = 1 << 15
-_POP = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
-
-
-def sign_code(column: str = "embedding", bits: int = BITS):
-    """The code of a vector as a long: bit i is set where component i is above 0 (missing: not)."""
-    total = F.lit(0).cast("long")
-    for i in range(bits):
-        total = total.bitwiseOR(F.when(F.get(F.col(column), F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return total
-
-
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = np.bitwise_xor(a, b)
-    if hasattr(np, "bitwise_count"):
-        return np.bitwise_count(x).astype(np.int32)
-    return _POP[x.view(np.uint16).reshape(len(x), 4)].sum(1, dtype=np.int32)
-
-
-class MultiIndex:
-    """Codes sorted by each of their segments. ``search`` grows one segment's radius at a time."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray):
-        #: segments of about log2(n) bits: a bucket then holds about one code
-        self.m = int(np.clip(round(BITS / max(4.0, np.log2(len(codes) + 1))), 1, 16))
-        cuts = np.linspace(0, BITS, self.m + 1).round().astype(int)
-        self.low, self.width = cuts[:-1], np.diff(cuts)
-        self.codes, self.weights = codes, weights
-        self.keys, self.order = [], []
-        for a, w in zip(self.low, self.width, strict=True):
-            key = (codes >> np.uint64(a)) & np.uint64((1 << int(w)) - 1)
-            order = np.argsort(key, kind="stable")
-            self.keys.append(key[order])
-            self.order.append(order)
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
-
-    def _flips(self, width: int, radius: int) -> np.ndarray:
-        found = self.masks.get((width, radius))
-        if found is None:
-            found = np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.uint64)
-            self.masks[width, radius] = found
-        return found
-
-    def search(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and distances that hold the k nearest (by distance, with all ties).
-
-        After segments 0..a have been searched to radius s and the others to s - 1, every code
-        within m * s + a has been seen: a code farther than s in segments 0..a and farther than
-        s - 1 in the rest differs in at least m * s + a + 1 bits. It stops when k rows lie within.
-        """
-        seen = np.zeros(len(self.codes), bool)
-        rows, dists = [], []
-        within = np.zeros(BITS + 1, np.int64)
-        for radius in range(int(self.width.max()) + 1):
-            for a in range(self.m):
-                if radius <= self.width[a]:
-                    key = (query >> np.uint64(self.low[a])) & np.uint64((1 << int(self.width[a])) - 1)
-                    probe = self._flips(int(self.width[a]), radius) ^ key
-                    lo = np.searchsorted(self.keys[a], probe, "left")
-                    n = np.searchsorted(self.keys[a], probe, "right") - lo
-                    hit = n > 0
-                    if hit.any():
-                        lo, n = lo[hit], n[hit]
-                        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        new = self.order[a][at]
-                        new = new[~seen[new]]
-                        seen[new] = True
-                        d = hamming(self.codes[new], np.full(len(new), query, np.uint64))
-                        rows.append(new)
-                        dists.append(d)
-                        within += np.bincount(d, self.weights[new], BITS + 1).astype(np.int64)
-                if within[: self.m * radius + a + 1].sum() >= k:
-                    r, d = np.concatenate(rows), np.concatenate(dists)
-                    far = int(np.searchsorted(np.cumsum(within), k))
-                    return r[d <= far], d[d <= far]
-        r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return r, np.concatenate(dists) if dists else np.zeros(0, np.int32)
-
-
-def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int | None = None) -> DataFrame:
+from .common import Scratch
+
+WORD = 64
+#: Least and most bits of a segment; in between about log2 of the number of codes, so that a bucket holds about one.
+NARROW, WIDE = 8, 32
+
+
+def sign_code(words: int, column: str = "embedding") -> Column:
+    """The code of a vector as an array of longs: bit i of word w is set where component 64 * w + i is above 0 (missing: not)."""
+    return F.expr(f"transform(sequence(0, {words - 1}), w -> aggregate(sequence(0, {WORD - 1}), 0L, (t, i) -> t | if(coalesce(get({column}, w * {WORD} + i) > 0, false), shiftleft(1L, i), 0L)))")
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def segments(code: str, words: int, width: int) -> Column:
+    """The values of a code's segments; a word has 64 / width of them."""
+    low = (1 << width) - 1
+    return F.array(*[F.shiftrightunsigned(F.element_at(code, w + 1), at).bitwiseAND(F.lit(low).cast("long")) for w in range(words) for at in range(0, WORD, width)])
+
+
+def probes(asked: DataFrame, width: int, radius: int) -> DataFrame:
+    """(query, segment, key): for each segment of each query all keys that differ in exactly ``radius`` bits."""
+    rows = asked.select(F.col("code").alias("query"), F.posexplode("parts").alias("segment", "key")).withColumn("last", F.lit(-1))
+    for done in range(radius):  # bits in ascending order, so that no key comes twice
+        spot = F.explode(F.sequence(F.col("last") + 1, F.lit(width - radius + done)))
+        rows = rows.select("query", "segment", "key", spot.alias("last")).withColumn("key", F.expr("key ^ shiftleft(1L, last)"))
+    return rows.select("query", "segment", "key")
+
+
+def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, distance: for every query row the k nearest other rows by Hamming
     distance of sign codes, ties by the smaller vec_id.
 
-    Exact. The code is that of the first BITS components. Rows with a null id are neither found nor
-    asked; a null or empty vector has code 0, as a missing component has bit 0; repeated rows count
-    once an id; fewer than k rows give fewer; other columns are ignored. Rows of
-    one code form a group of which only the k + 1 smallest ids can ever be returned, so a code that
-    a third of all rows share is one short entry, pre-aggregated before the shuffle.
+    Exact, for vectors of any length: a code has a bit for each component of the longest one. Rows with a null id are
+    neither found nor asked; a null or empty vector has code 0, as a missing component has bit 0; repeated rows
+    count once an id; fewer than k rows give fewer; other columns are ignored. Rows of one code form a group of which only the
+    k + 1 smallest ids can ever be returned, so a code that a third of all rows share is one short entry,
+    pre-aggregated before the shuffle, and queries of one code are answered once.
     """
-    coded = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter("vec_id is not null").select("vec_id", sign_code("v").alias("code"))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter("query_id is not null").select("query_id", sign_code("v").alias("code")).distinct()
-    spark = vectors.sparkSession
-    if blocks is None:
-        blocks = max(1, -(-vectors.count() // BLOCK))
+    scratch = Scratch(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter("vec_id is not null")
+    wanted = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).filter("query_id is not null")
+    longest = [x.agg(F.max(F.size("v"))).first()[0] or 0 for x in (rows, wanted)]
+    words = max(1, -(-max(longest) // WORD))
     # two steps keep a hot code from meeting in one task: k + 1 ids of each salt, then of the code
-    salted = _smallest(coded.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))), ["code", "salt"], k + 1)
-    few = _smallest(salted, ["code"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    index = few.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    # the queries of a block are dealt over tasks of their own, each with the block's index
-    parts = max(1, partitions(spark) // blocks, -(-queries.count() // ASKED))
-    probes = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "distance": []}
-        if len(left) and len(right):
-            ids = left["ids"].tolist()
-            engine = MultiIndex(left["code"].to_numpy(np.int64).view(np.uint64), np.array([len(x) for x in ids]))
-            for query, code in zip(right["query_id"].tolist(), right["code"].to_numpy(np.int64).view(np.uint64), strict=True):
-                rows, dists = engine.search(code, k + 1)  # the query itself may be among them
-                found = sorted((d, i) for r, d in zip(rows.tolist(), dists.tolist(), strict=True) for i in ids[r] if i != query)[:k]
-                out["query_id"] += [query] * len(found)
-                out["vec_id"] += [i for _, i in found]
-                out["distance"] += [d for d, _ in found]
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "distance": "int32"})
-
-    found = index.groupBy("block", "part").cogroup(probes.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, distance int")
+    coded = rows.select("vec_id", sign_code(words, "v").alias("code")).distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    few = _smallest(_smallest(coded, ["code", "salt"], k + 1), ["code"], k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    index = scratch.table(few, "codes")
+    n = index.count()
+    if width is None:
+        width = min((w for w in (8, 16, 32) if NARROW <= w <= WIDE), key=lambda w: abs(w - np.log2(n + 1)))
+    m = words * (WORD // width)
+    parts = segments("code", words, width)
+    buckets = scratch.table(index.select("code", F.size("ids").alias("held"), parts.alias("parts"), F.posexplode(parts).alias("segment", "key")), "buckets")
+    asked = scratch.table(wanted.select("query_id", sign_code(words, "v").alias("code")).distinct(), "asked")
+    active = scratch.table(asked.select("code").distinct().withColumn("parts", parts), "active")
+
+    found: list[DataFrame] = []
+    for radius in range(width + 1):
+        if active.isEmpty():
+            break
+        met = probes(active, width, radius).join(buckets, ["segment", "key"])
+        mine = segments("query", words, width)
+        apart = F.zip_with(mine, "parts", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        # a pair counts where its nearest segment, the first of equals, meets: once in all rounds
+        nearest = F.array_position(apart, F.array_min(apart)) - 1
+        pairs = met.filter((nearest == F.col("segment")) & (F.array_min(apart) == radius)).select("query", "code", "held", _distance("query", "code").alias("distance"))
+        # of one round no more can be wanted than the k + 1 nearest, with ties of distance
+        order = Window.partitionBy("query").orderBy("distance")
+        found.append(scratch.table(pairs.withColumn("nth", F.rank().over(order)).filter(F.col("nth") <= k + 1).drop("nth"), f"found-{radius}"))
+        covered = m * (radius + 1) - 1
+        every = reduce(DataFrame.unionByName, found)
+        done = every.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum("held").alias("held")).filter(F.col("held") > k).select(F.col("query").alias("code"))
+        left = scratch.table(active.join(done, "code", "left_anti"), "active")
+        scratch.drop(active)
+        active = left
+    if not found:  # nothing was asked
+        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0).alias("distance")).limit(0)
+    nearest = Window.partitionBy("query").orderBy("distance", "vec_id")
+    ids = every.drop("held").join(index, "code").select("query", "distance", F.explode("ids").alias("vec_id"))
+    # the query's own id may be among them, so one more than k
+    best = scratch.table(ids.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k + 1).select(F.col("query").alias("code"), "vec_id", "distance"), "best")
+    each = asked.join(best, "code").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def _smallest(frame: DataFrame, keys: list[str], n: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("vec_id")
     return frame.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= n).drop("at")
-
-

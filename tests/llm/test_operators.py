@@ -694,17 +694,29 @@ def test_top_k_equals_sql(spark, sf_dir, duck):
     assert canonical(got.columns, got.collect()) == canonical(want.columns, want.fetchall())
 
 
-def test_top_k_blocks_and_hot_codes(spark):
+@pytest.mark.parametrize(("size", "width"), [(64, None), (64, 16), (100, 8), (9, 8)])
+def test_top_k_of_any_length_and_hot_codes(spark, size, width):
     g = np.random.default_rng(3)
-    rows = [(k, [1.0] * 64 if k % 3 == 0 else g.standard_normal(64).tolist()) for k in range(200)] + [(500, None), (501, []), (0, [1.0] * 64)]
-    vectors = frame(spark, rows, "vec_id long, embedding array<double>")
-    got = topk.search_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 7, blocks=3).collect()
-    code = {i: [x > 0 for x in v or []] + [False] * (64 - len(v or [])) for i, v in rows}
+    near = g.standard_normal(size)
+    some = lambda k: [1.0] * size if k % 3 == 0 else (near * g.choice([1, 1, 1, 1, -1], size)).tolist()
+    rows = [(k, some(k)) for k in range(200)] + [(500, None), (501, []), (0, [1.0] * size), (502, [1.0, None, float("nan")])]
+    vectors = frame(spark, [*rows, (None, [1.0])], "vec_id long, embedding array<double>")
+    got = topk.search_top_k(vectors, vectors.filter("vec_id % 50 = 0"), 7, width=width).collect()
+    code = {i: [x is not None and (x > 0 or x != x) for x in v or []] + [False] * (size - len(v or [])) for i, v in rows}
     for q in (0, 50, 100, 150, 500):
         want = sorted((sum(a != b for a, b in zip(code[q], code[i], strict=True)), i) for i in code if i != q)[:7]
         assert [(r.distance, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+def test_top_k_probes_each_key_once_and_verifies_few(spark):
+    asked = spark.createDataFrame([([5, -1],)], "code array<long>").withColumn("parts", topk.segments("code", 2, 8))
+    for radius, n in ((0, 1), (1, 8), (3, 56), (8, 1)):
+        keys = [tuple(r)[1:] for r in topk.probes(asked, 8, radius).collect()]
+        assert len(keys) == len(set(keys)) == 16 * n
+        want = {s: 5 if s == 0 else 0 if s < 8 else 255 for s in range(16)}
+        assert all(bin(key ^ want[s]).count("1") == radius and 0 <= key < 256 for s, key in keys)
+
+
 # 9 packing
 
 
