@@ -189,8 +189,21 @@ def snippet_mail(body: Column, query: Column) -> Column:
     return F.when(F.length(flat) <= 220, flat).otherwise(cut)
 
 
+def left_units(text: Column, most: int) -> Column:
+    """The first UTF-16 units of a text; a character beyond the basic plane has two and is never cut in half."""
+    units = F.encode(text, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * most - 2).otherwise(2 * most)), "UTF-16BE")
+    return F.when(F.length(text) <= most // 2, text).when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(F.left(text, F.lit(most)))
+
+
+def units(text: Column) -> Column:
+    """How many UTF-16 units a text has."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def snippet_200(text: Column) -> Column:
-    return F.left(F.regexp_replace(text, r"\s+", " "), F.lit(200))
+    return left_units(F.regexp_replace(text, r"\s+", " "), 200)
 
 
 def explicit_file_query(query: Column) -> Column:
@@ -221,8 +234,8 @@ def preview_terms(query: Column) -> Column:
 
 
 def truncate_chars(text: Column, most: int) -> Column:
-    """(text, truncated): at most so many characters."""
-    return F.struct(F.left(text, F.lit(most)).alias("text"), (F.length(text) > most).alias("truncated"))
+    """(text, truncated): at most so many UTF-16 units."""
+    return F.struct(left_units(text, most).alias("text"), (units(text) > most).alias("truncated"))
 
 
 def truncate_message(text: Column, most: int = 500) -> Column:

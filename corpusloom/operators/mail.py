@@ -18,6 +18,23 @@ def recent(messages: DataFrame, limit: int = MOST) -> DataFrame:
     return few.orderBy(F.col("ts").desc(), "store_id", "entry_id").limit(limit)
 
 
+#: The class of a mail among a mailbox's items.
+MAIL_CLASS = 43
+
+
+def source(items: DataFrame, limit: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """What is read of a mailbox, and one row with ``skipped``.
+
+    The newest items of each folder are looked at, whatever their class; mails among them are taken, the newest of all
+    folders up to the limit. A mail without an identity or a time is skipped and counted, an item of another
+    class is passed over."""
+    newest = Window.partitionBy("folder").orderBy(F.col("ts").desc_nulls_last(), "store_id", "entry_id")
+    seen = items.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit).drop("_n").filter(F.col("item_class") == MAIL_CLASS)
+    whole = F.coalesce((F.trim("store_id") != "") & (F.trim("entry_id") != "") & F.col("ts").isNotNull(), F.lit(False))
+    skipped = seen.agg(F.coalesce(F.count_if(~whole), F.lit(0)).alias("skipped"))
+    return seen.filter(whole).orderBy(F.col("ts").desc(), "store_id", "entry_id").limit(limit), skipped
+
+
 def deduped(messages: DataFrame) -> DataFrame:
     """The newest row of each identity; rows without one are dropped."""
     newest = Window.partitionBy("store_id", "entry_id").orderBy(F.col("ts").desc(), "subject")

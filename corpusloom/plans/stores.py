@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import impacts, models, names, retrieve
+from ..operators import impacts, mail, models, names, retrieve
 from ..operators import index as ix
 from ..operators.commits import Conflict
 from ..operators.segments import SegmentedIndex
@@ -262,7 +262,7 @@ def semantic_fitted(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
-@query("""WITH f AS (SELECT doc_id, ['docx', 'xlsx', 'pptx'][doc_id % 3 + 1] AS extension, CASE WHEN doc_id % 10 = 7 THEN 'CORRUPT_DOCUMENT' WHEN doc_id % 10 = 8 THEN 'UNSUPPORTED_OR_ENCRYPTED_DOCUMENT' END AS error_code,
+@query(r"""WITH f AS (SELECT doc_id, ['docx', 'xlsx', 'pptx'][doc_id % 3 + 1] AS extension, CASE WHEN doc_id % 10 = 7 THEN 'CORRUPT_DOCUMENT' WHEN doc_id % 10 = 8 THEN 'UNSUPPORTED_OR_ENCRYPTED_DOCUMENT' END AS error_code,
   array_to_string(list_filter(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S')), chr(10)) AS text FROM documents)
 SELECT 'd' || doc_id || '.' || extension AS path, CASE WHEN error_code IS NULL THEN text END AS text, error_code FROM f""")
 def office_files(spark, sf_dir):
@@ -272,3 +272,19 @@ def office_files(spark, sf_dir):
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), ad.pick(["docx", "xlsx", "pptx"], F.col("doc_id")))
     made = make_office.files(docs.select(path.alias("path"), tx.lines(F.col("text")).alias("lines"), how.alias("how")))
     return extract.extract(made).select("path", "text", "error_code")
+
+
+@query(f"""WITH {sql.MESSAGES}, i AS (SELECT store_id, CASE WHEN CAST(entry_id AS INTEGER) % 7 = 3 THEN ' ' ELSE entry_id END AS entry_id, CASE WHEN CAST(store_id AS INTEGER) % 4 = 1 THEN 26 ELSE 43 END AS item_class, folder, ts FROM messages),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY ts DESC, store_id, entry_id) AS k FROM i) WHERE k <= 100 AND item_class = 43)
+SELECT store_id, entry_id FROM (SELECT * FROM n WHERE entry_id <> ' ' ORDER BY ts DESC, store_id, entry_id LIMIT 100)
+UNION ALL SELECT 'skipped', CAST(count(*) AS VARCHAR) FROM n WHERE entry_id = ' '""")
+def mailbox_source(spark, sf_dir):
+    """A mailbox read from its page files: items of another class, and mails without an identity, which are counted."""
+    items = ad.messages(spark, sf_dir).withColumns({
+        "item_class": F.when(F.col("store_id").cast("int") % 4 == 1, 26).otherwise(43), "entry_id": F.when(F.col("entry_id").cast("int") % 7 == 3, " ").otherwise(F.col("entry_id")),
+        "recipients": F.lit(""), "attachment_names": F.lit(""),
+    })
+    folder = new_folder(spark, "mailbox")
+    pages.export(items, folder, "ts")
+    kept, skipped = mail.source(pages.read(spark, folder, "mailbox"))
+    return kept.select("store_id", "entry_id").unionByName(skipped.select(F.lit("skipped").alias("store_id"), F.col("skipped").cast("string").alias("entry_id")))

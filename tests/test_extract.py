@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import locate, names
 from corpusloom.sources import extract, office
 
@@ -128,3 +129,20 @@ def test_patterns_of_the_dialect(spark, tmp_path):
     for bad in ("!", "a !", "! | b", "size:1zb", "size:..", "dm:1..2..3", "regex:x", "<a", "a>", "size:-1"):
         with pytest.raises(ValueError, match="INVALID_QUERY"):
             names.parse_raw(bad)
+
+
+def test_cuts_count_utf16_units(spark):
+    values = ["", "ab", "a😀b", "😀😀", "é日", "😀" * 200, "x" * 199 + "😀y", None]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", tx.truncate_chars(names.F.col("t"), 3).alias("c"), tx.snippet_200(names.F.col("t")).alias("s")).collect()
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+
+    def cut(t, most):
+        while units(t) > most:
+            t = t[:-1]
+        return t
+
+    for r in rows:
+        if r.t is None:
+            assert r.c.text is None and r.s is None
+        else:
+            assert (r.c.text, r.c.truncated, r.s) == (cut(r.t, 3), units(r.t) > 3, cut(r.t, 200))
