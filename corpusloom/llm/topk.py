@@ -78,7 +78,8 @@ def search_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: st
     for radius in range(width + 1):
         if active.isEmpty():
             break
-        met = probes(active, width, radius).join(buckets, ["segment", "key"])
+        # Spark's estimate does not see how probes multiply: they are merged at every size, never broadcast
+        met = probes(active, width, radius).hint("merge").join(buckets, ["segment", "key"])
         mine = segments("query", words, width)
         apart = F.zip_with(mine, "parts", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         # a pair counts where its nearest segment, the first of equals, meets: once in all rounds
