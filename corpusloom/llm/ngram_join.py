@@ -35,6 +35,8 @@ PERCENT = 75
 #: Shingles (or 8-byte stretches of text, if more) of a candidate group that one task compares. A larger
 #: group is dealt out by size bands, and a band that is still larger as pairs of blocks.
 GROUP = 200_000
+#: First shingles of unsure sets that are sent to every task (8 bytes each).
+ASKED = 2_000_000
 #: Width of those bands: a little above 100 / PERCENT, so partners lie in one band or in neighbours.
 BAND = 1.34
 
@@ -195,8 +197,32 @@ def _digest(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, text long, n_shingles long, cls long, check long, weight long, own long, lower long")
 
 
+#: Kinds of packed rows: of words that were not yet found shared, of words that were, and counts of shared words.
+_OPEN, _COUNTED, _COUNTS = 0, 1, 2
+
+
+def _shared_here(rows: np.ndarray, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (key, cls) rows of one task: those of words that one set has here, two rows of each word that more sets have, and the
+    counted words (cls, n) of the latter. So a word that very many sets share leaves a task as two rows."""
+    full = (dealt.astype(_U) << _U(32)) | rows["key"].astype(_U)
+    order = np.lexsort((rows["cls"], full))
+    rows, full = rows[order], full[order]
+    keep = np.concatenate([[True], (full[1:] != full[:-1]) | (rows["cls"][1:] != rows["cls"][:-1])])
+    rows, full = rows[keep], full[keep]
+    new = np.concatenate([[True], full[1:] != full[:-1]])
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+    shared = np.repeat(sizes > 1, sizes)
+    nth = np.arange(len(rows)) - np.repeat(starts, sizes)
+    cls, n = np.unique(rows["cls"][shared], return_counts=True)
+    counts = np.empty(len(cls), COUNT)
+    counts["cls"], counts["n"] = cls, n
+    order = full >> _U(32)
+    return (rows[~shared], order[~shared]), (rows[shared & (nth < 2)], order[shared & (nth < 2)]), counts
+
+
 def _signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, blob): the word keys of all sets, packed, dealt by key."""
+    """(part, kind, blob): the word keys of all sets, packed, dealt by key; what a task can count by itself is counted there."""
 
     names = slots(parts)
 
@@ -206,7 +232,10 @@ def _signatures(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             if held:
-                yield from deal(np.concatenate(held), np.concatenate(dealt), names).to_batches()
+                one, two, counts = _shared_here(np.concatenate(held), np.concatenate(dealt))
+                for kind, rows, number in ((_OPEN, *one), (_COUNTED, *two), (_COUNTS, counts, mix64(counts["cls"]))):
+                    for batch in deal(rows, number, names).to_batches():
+                        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(np.full(batch.num_rows, kind, np.int32)), batch.column("blob")], names=["part", "kind", "blob"])
                 held.clear()
                 dealt.clear()
 
@@ -225,31 +254,40 @@ def _signatures(docs: DataFrame, parts: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(run, "part int, blob binary")
-
+    return docs.mapInArrow(run, "part int, kind int, blob binary")
 
-def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, cls) rows sorted by key, the start of each key and its number of sets."""
-    rows = unpack(table, SIGNATURE)
-    order = np.lexsort((rows["cls"], rows["key"]))
-    key, cls = rows["key"][order], rows["cls"][order]
-    first = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    key, cls = key[first], cls[first]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return cls, starts, np.diff(np.concatenate([starts, [len(key)]]))
 
+def _word_counts(signatures: DataFrame, parts: int) -> DataFrame:
+    """(cls, n): how many words of each sketch other sets share, where any. The last bit
+    of cls tells a set's two sketches apart. Partial counts travel packed, by set.
 
-def _word_counts(signatures: DataFrame, parts: int, least: int) -> DataFrame:
-    """(cls, n): how many words of each sketch ``least`` sets and more share, where any. The last bit
-    of cls tells a set's two sketches apart. Partial counts travel packed, by set."""
+    A word that a task has found shared is counted there for its sets; its two rows tell other tasks so. A set that two
+    tasks have read, as equal texts are one set, is counted once for each: words are then counted too often, which lets more
+    sets stay and loses none."""
     names = slots(parts)
 
+    def of(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
+        some = [np.frombuffer(x, dtype) for x, k in zip(table.column("blob").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind]
+        return np.concatenate(some) if some else np.zeros(0, dtype)
+
     def count(table: pa.Table) -> pa.Table:
-        cls, _, sizes = _grouped(table)
-        cls, n = np.unique(cls[np.repeat(sizes >= least, sizes)], return_counts=True)
-        rows = np.empty(len(cls), COUNT)
-        rows["cls"], rows["n"] = cls, n
-        return deal(rows, mix64(cls), names)
+        open_ = of(table, _OPEN, SIGNATURE)
+        rows = np.concatenate([open_, of(table, _COUNTED, SIGNATURE)])
+        known = np.arange(len(rows)) >= len(open_)
+        made = [of(table, _COUNTS, COUNT)]
+        if len(rows):
+            order = np.lexsort((known, rows["cls"], rows["key"]))
+            key, cls, known = rows["key"][order], rows["cls"][order], known[order]
+            last = np.concatenate([(key[1:] != key[:-1]) | (cls[1:] != cls[:-1]), [True]])
+            key, cls, known = key[last], cls[last], known[last]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            cls, n = np.unique(cls[np.repeat(sizes > 1, sizes) & ~known], return_counts=True)
+            more = np.empty(len(cls), COUNT)
+            more["cls"], more["n"] = cls, n
+            made.append(more)
+        found = np.concatenate(made)
+        return deal(found, mix64(found["cls"]), names)
 
     def add(table: pa.Table) -> pa.Table:
         rows = unpack(table, COUNT)
@@ -276,19 +314,29 @@ def _bound_by(sets: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _by_shingles(texts: DataFrame, one: DataFrame, unsure: DataFrame) -> DataFrame:
     """(a, b): each unsure set and the sets that share one of its first shingles, as many as one more
-    than it can lack in a partner."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "body", 2 << 20):
-                tokens, at = shingle_sets(*flat_bytes(part.column("body")))
-                sizes = np.diff(at)
-                rank = np.arange(len(tokens)) - np.repeat(at[:-1], sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.view(np.int64), np.repeat(set_classes(tokens, at).view(np.int64), sizes), rank, np.repeat(sizes, sizes))], names=["token", "cls", "rank", "size"])
-
-    rows = texts.join(one.select("key"), "key").select("body").mapInArrow(run, "token long, cls long, rank long, size long")
-    asks = rows.join(unsure.select("cls"), "cls").filter(F.col("rank") <= F.col("size") * (100 - PERCENT) / PERCENT).select("token", F.col("cls").alias("a"))
-    return rows.select("token", F.col("cls").alias("b")).join(asks, "token").filter("a <> b").select("a", "b").distinct()
+    than it can lack in a partner. Up to ASKED such shingles go to the tasks, and only those leave a text; more are joined
+    with all shingles."""
+
+    def shingles(frame: DataFrame, shared=None) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = None if shared is None else shared.value
+            for batch in batches:
+                for part in slices(batch, "body", 2 << 20):
+                    tokens, at = shingle_sets(*flat_bytes(part.column("body")))
+                    sizes = np.diff(at)
+                    columns = [tokens.view(np.int64), np.repeat(set_classes(tokens, at).view(np.int64), sizes), np.arange(len(tokens)) - np.repeat(at[:-1], sizes), np.repeat(sizes, sizes)]
+                    if asked is not None:
+                        kept = asked[np.minimum(np.searchsorted(asked, columns[0]), len(asked) - 1)] == columns[0] if len(asked) else np.zeros(len(tokens), bool)
+                        columns = [c[kept] for c in columns]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "cls", "rank", "size"])
+
+        return frame.select("body").mapInArrow(run, "token long, cls long, rank long, size long")
+
+    keyed = texts.join(one.select("key").hint("merge"), "key")
+    asks = shingles(texts.join(unsure.select("key").distinct(), "key")).filter(F.col("rank") <= F.col("size") * (100 - PERCENT) / PERCENT).select("token", F.col("cls").alias("a")).distinct()
+    wanted = asks.select("token").distinct().limit(ASKED + 1).toArrow().column("token")
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(np.asarray(wanted, np.int64))) if len(wanted) <= ASKED else None
+    return shingles(keyed, shared).select("token", F.col("cls").alias("b")).join(asks, "token").filter("a <> b").select("a", "b").distinct()
 
 
 def bounds(sizes: np.ndarray, lower: bool) -> np.ndarray:
@@ -464,7 +512,7 @@ def _components_of(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     words = digest.agg(F.sum(F.col("own") + F.col("lower"))).first()[0] or 0
     parts = max(partitions(spark), -(-words * SIGNATURE.itemsize // PACKED))
 
-    counts = scratch.table(_word_counts(_signatures(texts.select("body"), parts), parts, 2), "shared")
+    counts = scratch.table(_word_counts(_signatures(texts.select("body"), parts), parts), "shared")
     collect_garbage(spark)
     alive = scratch.table(_bound_by(one, counts), "alive")
     scratch.drop(counts)

@@ -652,6 +652,34 @@ def test_sketch_distance_is_a_lower_bound():
         assert len(x - y) <= len(np.setxor1d(a, b))
 
 
+def test_hot_words_leave_a_task_as_two_rows():
+    """A word in all of 10,000 sets: every set's count has it, and its rows do not grow with the sets."""
+    n = 10_000
+    rows = np.zeros(2 * n, ngram_join.SIGNATURE)
+    rows["cls"] = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(1), 2)
+    rows["key"] = np.where(np.arange(2 * n) % 2, 7, 100 + np.arange(2 * n))
+    dealt = np.where(np.arange(2 * n) % 2, 3, np.arange(2 * n)).astype(np.uint64)
+    (one, _), (two, number), counts = ngram_join._shared_here(rows, dealt)
+    assert len(one) == n and len(two) == 2 and set(two["key"].tolist()) == {7} and set(number.tolist()) == {3}
+    assert len(counts) == n and set(counts["n"].tolist()) == {1}
+
+
+@pytest.mark.parametrize("asked", [ngram_join.ASKED, 0])
+def test_unsure_sets_meet_by_their_first_shingles(spark, monkeypatch, asked):
+    """Sets that their sketch cannot settle are found by shingles, sent to the tasks or joined."""
+    monkeypatch.setattr(ngram_join, "ASKED", asked)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(50)]
+    base = [[r.choice(words) for _ in range(40)] for _ in range(6)]
+    docs = [(10 * k + j, " ".join(b[:20] + (["x"] * j) + b[20:]), "e", "s", "c", "b") for k, b in enumerate(base) for j in range(3)]
+    monkeypatch.setattr(ngram_join, "_bound", lambda is_lower: F.lit(1 << 40))  # none is sure
+    got = by_id(ngram_join.join_documents(frame(spark, docs)).select("doc_id", "component_id").collect())
+    sets = {d[0]: ngram_join.word_shingles(d[1].encode()) for d in docs}
+    for i, a in sets.items():
+        linked = {j for j, b in sets.items() if 100 * len(a & b) >= 75 * len(a | b)}
+        assert got[i][1] <= min(linked) and got[i][1] // 10 == i // 10
+
+
 # 7 sharding
 
 
