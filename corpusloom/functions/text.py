@@ -247,6 +247,13 @@ def mail_identity_path(store: Column, entry: Column) -> Column:
     return F.concat(F.lit("outlook://mail/"), F.substring(F.sha2(F.concat(store, F.lit("\n"), entry), 256), 1, 24))
 
 
+def channel_name(identity: Column, prefix: str) -> Column:
+    """The name of a user's local channel: a prefix and half of the SHA-256 of who it is."""
+    if not prefix.strip() or any(c in prefix for c in "\\/"):
+        raise ValueError("INVALID_ARGUMENTS: the prefix must be a plain name")
+    return F.concat(F.lit(prefix + "-"), F.left(F.sha2(identity, 256), F.lit(32)))
+
+
 def sentence_piece_id(n: Column) -> Column:
     return F.when(n == 0, 3).otherwise(n + 1)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import impacts, mail, models, names, retrieve
+from ..operators import impacts, mail, models, names, retrieve, settings
 from ..operators import index as ix
 from ..operators.commits import Conflict
 from ..operators.segments import SegmentedIndex
@@ -288,3 +288,34 @@ def mailbox_source(spark, sf_dir):
     pages.export(items, folder, "ts")
     kept, skipped = mail.source(pages.read(spark, folder, "mailbox"))
     return kept.select("store_id", "entry_id").unionByName(skipped.select(F.lit("skipped").alias("store_id"), F.col("skipped").cast("string").alias("entry_id")))
+
+
+#: Settings texts, by doc_id modulo 8.
+_SETTINGS = [
+    "'{\"Width\": ' || n_chars || ', \"Height\": ' || (n_chars - 200) || ', \"Maximized\": true}'", "'{\"Width\": \"wide\", \"Maximized\": true}'", "'{'",
+    "'{\"Ranking\": {\"BehaviorEnabled\": false, \"LocalModelEnabled\": \"no\"}, \"BehaviorDisclosureAcknowledged\": true}'", "'[]'", "'{\"Maximized\": null}'",
+    "'{\"Width\": 1e9, \"Height\": 700.5, \"Ranking\": [], \"Maximized\": true}'", "NULL",
+]
+
+
+@query("""WITH m AS (SELECT doc_id, n_chars, doc_id % 8 AS k FROM documents)
+SELECT doc_id, CASE WHEN k = 0 AND n_chars >= 820 THEN CAST(least(n_chars, 10000) AS DOUBLE) WHEN k = 6 THEN 10000.0::DOUBLE ELSE 900.0::DOUBLE END AS width,
+  CASE WHEN k = 0 AND n_chars - 200 >= 520 THEN CAST(least(n_chars - 200, 10000) AS DOUBLE) WHEN k = 6 THEN 700.5::DOUBLE ELSE 560.0::DOUBLE END AS height,
+  k IN (0, 6) AS maximized, k <> 3 AS behavior_enabled, TRUE AS local_model_enabled, TRUE AS cloud_enabled, k = 3 AS behavior_disclosure FROM m""")
+def json_settings_source(spark, sf_dir):
+    """Settings of every user, as they wrote them."""
+    texts = F.expr("CASE " + " ".join(f"WHEN doc_id % 8 = {k} THEN {text}" for k, text in enumerate(_SETTINGS)) + " END")
+    return settings.read(ad.read(spark, sf_dir, "documents").select("doc_id", texts.alias("json"))).drop("json")
+
+
+@query("SELECT doc_id, 'corpusloom-content-' || left(sha256(source || '/' || doc_id), 32) AS channel FROM documents")
+def pipe_name_hash(spark, sf_dir):
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.channel_name(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")), "corpusloom-content").alias("channel"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '{"code":"' || CASE doc_id % 3 WHEN 1 THEN 'INVALID_ARGUMENTS' ELSE 'FILE_TOO_LARGE' END || '","message":"' || lang || '","correctiveAction":"none"}' END AS error,
+  CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS exit_code FROM documents""")
+def json_error_sink(spark, sf_dir):
+    code = F.when(F.col("doc_id") % 3 == 1, "INVALID_ARGUMENTS").when(F.col("doc_id") % 3 == 2, "FILE_TOO_LARGE")
+    docs = ad.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.when(code.isNotNull(), settings.error_object(code, F.col("lang"), F.lit("none"))).alias("error"), settings.exit_code(code).alias("exit_code"))

@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.operators import models, ranks, rerank
+from corpusloom.operators import models, ranks, rerank, settings
+from corpusloom.operators.commits import Conflict
 
 
 def test_integrity_and_refusal(spark, tmp_path):
@@ -74,3 +75,17 @@ def test_order_statistics(spark, monkeypatch):
         kept = sorted((v for v in values if v is not None), key=lambda v: (math.isnan(v), v))
         total, found = ranks.at_ranks(spark.createDataFrame([(v,) for v in values], "x double").repartition(3), "x", lambda n: range(0, n, max(1, n // 7)))
         assert total == len(kept) and str(found) == str([kept[k] for k in range(0, len(kept), max(1, len(kept) // 7))] if kept else [])
+
+
+def test_settings(spark, tmp_path):
+    texts = [None, "", "null", "5", "{}", '{"Width": 1000, "Height": null}', '{"Width": 819.9, "Height": 520}', '{"Width": "1000"}', '{"Ranking": {"CloudEnabled": false, "BehaviorEnabled": 1}}', '{"BehaviorDisclosureAcknowledged": "yes", "Width": 5000}', '{"Width": 1000']
+    got = [r.asDict() for r in settings.read(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, json string")).orderBy("k").collect()]
+    changed = [{n: r[n] for n in settings.DEFAULTS if r[n] != settings.DEFAULTS[n]} for r in got]
+    assert changed == [{}, {}, {}, {}, {}, {}, {"height": 520.0}, {}, {"cloud_enabled": False}, {"width": 5000.0}, {}]
+    mine, other = (settings.SettingsStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    assert mine.load() == settings.DEFAULTS and mine.save(width=1200.0) == 1 and other.save(maximized=True) == 2
+    assert mine.load() == settings.DEFAULTS | {"width": 1200.0, "maximized": True}
+    with pytest.raises(ValueError, match="INVALID_ARGUMENTS"):
+        mine.save(colour="red")
+    with pytest.raises(Conflict):
+        mine.versions.propose(2, width=1.0)
