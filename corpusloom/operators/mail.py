@@ -58,8 +58,9 @@ def documents(messages: DataFrame) -> DataFrame:
     )
 
 
-def searchable(messages: DataFrame) -> ix.Index:
-    return ix.build(documents(messages))
+def searchable(messages: DataFrame, terms: DataFrame | None = None) -> ix.Index:
+    """The index of messages; with terms, the part that a batch of queries reads."""
+    return ix.build(documents(messages), terms)
 
 
 def status(messages: DataFrame, valid: DataFrame) -> DataFrame:

@@ -590,7 +590,8 @@ h AS (SELECT store_id, entry_id, term, count(*) AS f FROM toks WHERE term IN ('t
 s AS (SELECT store_id, entry_id, round(sum(CASE WHEN ln((n - n_t + 0.5) / (n_t + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n_t + 0.5) / (n_t + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgdl))), 6) AS score FROM h JOIN nt USING (term) JOIN d USING (store_id, entry_id), c GROUP BY ALL HAVING count(*) = 2)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, path) AS INTEGER) AS rank, path, score FROM (SELECT 'outlook://mail/' || left(sha256(store_id || chr(10) || entry_id), 24) AS path, score FROM s ORDER BY score DESC, path LIMIT 20)""")
 def mail_search(spark, sf_dir):
-    found = retrieve.search(mail.searchable(ad.messages(spark, sf_dir)), literals(spark, [(1, "the user")], "query_id int, query string"), 20, field=ix.BODY)
+    asked = literals(spark, [(1, "the user")], "query_id int, query string")
+    found = retrieve.search(mail.searchable(ad.messages(spark, sf_dir), retrieve.wanted_terms(asked)), asked, 20, field=ix.BODY)
     return found.select("rank", F.col("path_key").alias("path"), "score")
 
 

@@ -120,7 +120,7 @@ class Engine:
         return merged.join(facts, ["query_id", "item", "kind"], "left")
 
     def search_mail(self, queries: DataFrame, limit: int = 20) -> DataFrame:
-        return retrieve.search(mail.searchable(mail.deduped(self.messages)), queries, limit, field=ix.BODY)
+        return retrieve.search(mail.searchable(mail.deduped(self.messages), retrieve.wanted_terms(queries)), queries, limit, field=ix.BODY)
 
     def status(self) -> DataFrame:
         """(measure, n) of documents, queue and failures."""
