@@ -652,6 +652,34 @@ def test_sketch_distance_is_a_lower_bound():
         assert len(x - y) <= len(np.setxor1d(a, b))
 
 
+def test_ring_and_quotas_replayed_row_by_row(spark):
+    """Every row walks the ring by itself: first all take their own point's shard while it has room, then those that
+    found it full go on clockwise, in the order of the ring."""
+    rows = [*odd_documents(), *[(1000 + k, f"text {k % 70}", "e", "s", "c", "b") for k in range(400)], *[(None, "text 3", "e", "s", "c", "b")] * 3]
+    docs = frame(spark, rows)
+    for n in (1, 3, 16):
+        got = Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.shard_documents(docs, n).collect())
+        place = [(r.pos, r.doc_id is not None, r.doc_id or 0, r.doc_id, r.crc) for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("pos"), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).collect()]
+        points = sharding.ring(n)
+        room = sharding.quotas(len(place), n)
+        assert max(room) - min(room) <= 1 and sum(room) == len(place)
+        want, late = Counter(), []
+        for pos, _, _, doc_id, crc in sorted(place, key=lambda x: x[:3]):
+            at = next((k for k, (p, _) in enumerate(points) if p >= pos), len(points))
+            shard = points[at % len(points)][1]
+            if room[shard]:
+                room[shard] -= 1
+                want[doc_id, crc, shard] += 1
+            else:
+                late.append((at, doc_id, crc))
+        for at, doc_id, crc in late:
+            while not room[points[at % len(points)][1]]:
+                at += 1
+            room[points[at % len(points)][1]] -= 1
+            want[doc_id, crc, points[at % len(points)][1]] += 1
+        assert got == want
+
+
 def test_hot_words_leave_a_task_as_two_rows():
     """A word in all of 10,000 sets: every set's count has it, and its rows do not grow with the sets."""
     n = 10_000
