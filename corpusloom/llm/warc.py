@@ -32,17 +32,22 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id, kind: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind}/{page_id}')}>"
+def record_id(page_id, digest: str) -> str:
+    """The id of the response of a page with a payload; one that is no other record's."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{digest}')}>"
 
 
-def header(kind: str, page_id, uri: str | None, length: int, digest: str, refers_to: int | None) -> bytes:
-    """The head of one record, and for a response that of the HTTP message which its block is."""
+def header(kind: str, page_id, uri: str | None, length: int, digest: str, refers_to: int | None, alone: bool = True) -> bytes:
+    """The head of one record, and for a response that of the HTTP message which its block is.
+
+    ``alone`` tells that no other row has the page_id and payload of a response, or of the response that a revisit refers
+    to. Only such a response has an id that follows from them, which revisits name; all other records have
+    an id of chance, so ids are unique whatever the rows are."""
     http = b"" if kind == "revisit" else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, 'page')}",
+        f"WARC-Record-ID: {record_id(page_id, digest) if alone and kind == 'response' and page_id is not None else f'<urn:uuid:{uuid.uuid4()}>'}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {(uri or '').replace(chr(13), '').replace(chr(10), '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -50,7 +55,9 @@ def header(kind: str, page_id, uri: str | None, length: int, digest: str, refers
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 'page')}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        if alone:
+            lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {0 if kind == 'revisit' else len(http) + length}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -108,14 +115,14 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
         out = Writer(folder, f"part-{uuid.uuid4().hex}.warc.gz")
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "target_uri", "record_type", "refers_to", "n_bytes", "digest", "chunk", "data")]
+            columns = [batch.column(c) for c in ("page_id", "target_uri", "record_type", "refers_to", "n_bytes", "digest", "alone", "chunk", "data")]
             for i in range(batch.num_rows):
-                page, uri, kind, refers, n, digest, k, data = (c[i].as_py() for c in columns)
+                page, uri, kind, refers, n, digest, alone, k, data = (c[i].as_py() for c in columns)
                 if k == 0:
                     if out.size > ARCHIVE:
                         yield from told(out)
                         out = Writer(folder, f"part-{uuid.uuid4().hex}.warc.gz")
-                    out.begin(header(kind, page, uri, n, digest, refers))
+                    out.begin(header(kind, page, uri, n, digest, refers, alone))
                 if data and kind != "revisit":
                     out.add(data)
         yield from told(out)
@@ -222,13 +229,15 @@ def page_records(pages: DataFrame, scratch: Scratch, least: int = 0, id_col: str
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"), body.alias("body"), F.sha1(body).alias("hex"))
-    told = raw.select("page_id", "hex", F.octet_length("body").alias("size")).filter(F.col("size") >= least)
-    first = told.groupBy("hex").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    later = told.join(scratch.table(first, "copies"), "hex").filter("page_id > first_id")
-    later = later.groupBy("page_id", "hex").agg(F.min("first_id").alias("refers_to"))
-    verdict = raw.join(later, ["page_id", "hex"], "left").withColumn("n_bytes", F.octet_length("body").cast("long"))
+    told = raw.select("page_id", "hex", F.octet_length("body").alias("size")).groupBy("page_id", "hex", "size").agg(F.count("*").alias("n"))
+    told = scratch.table(told, "told")
+    first = told.filter((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("hex").agg(F.min(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("copies")).filter("copies > 1").drop("copies")
+    marked = told.join(scratch.table(first, "copies"), "hex", "left")
+    later = F.coalesce((F.col("size") >= least) & (F.col("page_id") > F.col("first.page_id")), F.lit(False))
+    marked = marked.select("page_id", "hex", F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.n") == 1).otherwise(F.col("n") == 1).alias("alone"))
+    verdict = raw.join(marked.filter("refers_to is not null or not alone"), ["page_id", "hex"], "left").withColumn("n_bytes", F.octet_length("body").cast("long")).withColumn("alone", F.coalesce("alone", F.lit(True)))
     pieces = F.when(F.col("refers_to").isNotNull() | (F.col("n_bytes") == 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / CHUNK).cast("int")))
-    chunked = verdict.select("page_id", "target_uri", "refers_to", "hex", "n_bytes", "body", F.explode(pieces).alias("chunk"))
+    chunked = verdict.select("page_id", "target_uri", "refers_to", "hex", "n_bytes", "alone", "body", F.explode(pieces).alias("chunk"))
     return chunked.select(
         "page_id",
         "target_uri",
@@ -236,6 +245,7 @@ def page_records(pages: DataFrame, scratch: Scratch, least: int = 0, id_col: str
         "refers_to",
         "n_bytes",
         _base32("hex").alias("digest"),
+        "alone",
         "chunk",
         F.when(F.col("refers_to").isNull(), F.substring("body", F.col("chunk") * CHUNK + 1, F.lit(CHUNK))).alias("data"),
     )

@@ -868,6 +868,26 @@ def test_warc_chunks_and_oddities(spark, monkeypatch, tmp_path):
     assert len(got) == len(rows)
 
 
+def test_record_ids_are_unique_and_referred_to(spark, tmp_path):
+    """Null ids, repeated rows, ids with several payloads: no two records have one id, and what a revisit names is there."""
+    rows = [(None, "u", "a"), (None, "u", "same"), (None, "u", "b"), (1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, "u", "x"), (3, "u", "y"), (4, "u", "x"), (5, "u", "y"), (5, "u", "y"), (6, "u", ""), (6, "u", None), (7, "u", "")]
+    scratch = common.Scratch(spark)
+    manifest = scratch.table(warc.write_archives(warc.page_records(frame(spark, rows, "page_id long, url string, html string"), scratch), f"file://{tmp_path}/a"), "manifest").collect()
+    ids, named, digests = [], [], {}
+    for m in manifest:
+        for head in re.findall(rb"WARC/1.1\r\n(.*?)\r\n\r\n", gzip.decompress((tmp_path / "a" / m.archive).read_bytes()), re.S):
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n") if ": " in x)
+            ids.append(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "response":
+                digests[fields["WARC-Record-ID"]] = fields["WARC-Payload-Digest"]
+            elif "WARC-Refers-To" in fields:
+                named.append((fields["WARC-Refers-To"], fields["WARC-Payload-Digest"]))
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert len(named) == 3 and all(digests[i] == d for i, d in named)  # pages 4 and 5; those of the repeated page 1 name no record
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.roundtrip(frame(spark, rows, "page_id long, url string, html string")).collect())
+    assert got == Counter([(None, "response", None)] * 3 + [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2 + [(3, "response", None)] * 2 + [(4, "revisit", 3)] + [(5, "revisit", 3)] * 2 + [(6, "response", None)] * 2 + [(7, "revisit", 6)])
+
+
 def test_archives_are_standard_and_bounded(spark, monkeypatch, tmp_path):
     """Read with gzip and plain parsing: each response is an HTTP message of its length and digest."""
     monkeypatch.setattr(warc, "ARCHIVE", 3000)
