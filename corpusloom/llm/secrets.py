@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, text_bytes
+from .common import Scratch, claim, slices, text_bytes
 
 #: Fixed values of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -174,13 +175,13 @@ class Automaton:
         return total
 
 
-def pairs_of(words: Iterable[tuple[str, int]]) -> Counter:
-    """How often a symbol follows another one in words (word, count); a word starts after "^" and ends with "$"."""
-    shapes: Counter = Counter()
-    for word, n in words:
-        shapes[symbols(word)] += n
+def pairs_of(shapes: Iterable[tuple[str, int]]) -> Counter:
+    """How often a symbol follows another one in the symbols of words (shape, count); a word starts after "^" and ends with "$"."""
+    every: Counter = Counter()
+    for shape, n in shapes:
+        every[shape] += n
     found: Counter = Counter()
-    for shape, n in shapes.items():
+    for shape, n in every.items():
         for pair in zip("^" + shape, shape + "$", strict=True):
             found[pair] += n
     return found
@@ -218,7 +219,7 @@ class Formats:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str] | dict[tuple[str, str], int]):
         self.formats = [Automaton(sorted(words)) for _, words in sorted(labelled.items()) if words]
-        self.ordinary = Ordinary(ordinary if isinstance(ordinary, dict) else pairs_of((w, 1) for w in ordinary))
+        self.ordinary = Ordinary(ordinary if isinstance(ordinary, dict) else pairs_of((symbols(w), 1) for w in ordinary))
         self.known: dict[str, bool] = {}
 
     def credential(self, word: str) -> bool:
@@ -251,6 +252,12 @@ def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", mos
     such keys there are. What comes to the driver of the words is a count for each pair of symbols.
     """
 
+    key = uuid.uuid4().bytes
+
+    def named(word: str) -> str:
+        """A word as it is written: a keyed hash and its symbols, which tell no key that no rule labels."""
+        return hashlib.blake2b(word.encode(), digest_size=10, key=key).hexdigest() + symbols(word)
+
     def rows(kinds: list[int], words: Iterable[str], counts: Iterable[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["kind", "word", "n"])
 
@@ -258,9 +265,9 @@ def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", mos
         claim("secrets")
         words: Counter = Counter()
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
+            for part in slices(batch, "body", 2 << 20):
                 kinds, secrets = [], []
-                for body in batch.column("body").slice(first, 1024).to_pylist():
+                for body in part.column("body").to_pylist():
                     text = body.decode("utf-8", "replace")
                     found = base_spans(text)
                     kinds += [k for _, k, _, _ in found]
@@ -268,14 +275,14 @@ def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", mos
                     words.update(words_of(text, [(a, b) for a, _, b, _ in found]))
                 yield rows(kinds, secrets, [1] * len(kinds))
                 if len(words) > REMEMBERED:
-                    yield rows([3] * len(words), list(words), list(words.values()))
+                    yield rows([3] * len(words), list(map(named, words)), list(words.values()))
                     words.clear()
-        yield rows([3] * len(words), list(words), list(words.values()))
+        yield rows([3] * len(words), list(map(named, words)), list(words.values()))
 
     def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
         for batch in batches:
-            pairs.update(pairs_of(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True)))
+            pairs.update(pairs_of(zip((w[20:] for w in batch.column("word").to_pylist()), batch.column("n").to_pylist(), strict=True)))
         yield rows([3] * len(pairs), ["".join(p) for p in pairs], list(pairs.values()))
 
     seen = scratch.table(docs.select(text_bytes(text_col).alias("body")).mapInArrow(run, "kind int, word string, n long"), "secrets")
@@ -283,10 +290,12 @@ def learn_formats(docs: DataFrame, scratch: Scratch, text_col: str = "text", mos
     def sample(words: DataFrame) -> list[str]:
         return [r["word"] for r in words.distinct().orderBy(F.xxhash64("word"), "word").limit(most).collect()]
 
-    labelled = {KINDS[k]: sample(seen.filter(F.col("kind") == k).select("word")) for k in range(3)}
-    words = seen.filter("kind = 3").groupBy("word").agg((F.sum("n") - 1).alias("n")).filter("n > 0")
-    pairs = words.mapInArrow(shapes, "kind int, word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    scratch.drop(seen)  # it holds credentials in plain
+    try:
+        labelled = {KINDS[k]: sample(seen.filter(F.col("kind") == k).select("word")) for k in range(3)}
+        words = seen.filter("kind = 3").groupBy("word").agg((F.sum("n") - 1).alias("n")).filter("n > 0")
+        pairs = words.mapInArrow(shapes, "kind int, word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    finally:
+        scratch.drop(seen)  # it holds labelled credentials in plain
     return Formats(labelled, {(r["word"][0], r["word"][1]): r["n"] for r in pairs})
 
 
@@ -305,9 +314,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("secrets")
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
+            for part in slices(batch, "body", 2 << 20):
                 counts, digests, spans, added = [], [], [], []
-                for body in batch.column("body").slice(first, 1024).to_pylist():
+                for body in part.column("body").to_pylist():
                     text = body.decode("utf-8", "replace")
                     found = [(a, k, b) for a, k, b, _ in base_spans(text)]
                     kinds = [k for _, k, _ in found]
@@ -316,7 +325,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     digests.append(hashlib.sha256(told(found).encode()).hexdigest())
                     spans.append(told(sorted(found + new)))
                     added.append(len(new))
-                columns = [batch.column("doc_id").slice(first, 1024), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
+                columns = [part.column("doc_id"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))

@@ -42,8 +42,6 @@ BROADCAST = 4_000_000
 THRESHOLD = 0.3
 #: Bytes of text that are worked on at once.
 SLICE = 1 << 20
-#: A word's ratio counts up to this.
-MOST = 50.0
 
 _SPACE = 32
 _U = np.uint64
@@ -199,7 +197,7 @@ class Model:
 
 def mixture(ratio):
     """What a word adds to the log-likelihood difference of a text."""
-    return np.log(1 - SHARE + SHARE * np.exp(np.minimum(ratio, MOST)))
+    return np.logaddexp(np.log1p(-SHARE), np.log(SHARE) + ratio)
 
 
 def differences(bodies: pa.Array, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -258,7 +256,7 @@ def _joined_difference(docs: DataFrame, table: DataFrame, name: str, scratch: Sc
     padded = F.concat(F.lit(" " * (ORDER - 1)), "word", F.lit(" "))
     each = said.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("g"))
     words = each.join(table, "g").groupBy("word").agg(F.sum(F.col("ratio").cast("double")).alias("ratio"))
-    adds = words.select("word", F.log(F.lit(1 - SHARE) + SHARE * F.exp(F.least("ratio", F.lit(MOST)))).alias("adds"))
+    adds = words.select("word", F.when(F.col("ratio") > 0, F.col("ratio") + F.log(F.lit(SHARE) + (1 - SHARE) * F.exp(-F.col("ratio")))).otherwise(F.log(F.lit(1 - SHARE) + SHARE * F.exp("ratio"))).alias("adds"))
     sums = said.join(adds, "word", "left").groupBy("t1", "t2").agg((F.sum(F.coalesce("adds", F.lit(0.0))) / F.pow(F.count("*"), F.lit(LENGTH_POWER))).alias(x))
     joined = named.join(sums.withColumnsRenamed({"t1": t1, "t2": t2}) if (t1, t2) != ("t1", "t2") else sums, [t1, t2], "left")
     return joined.select(*docs.columns, F.coalesce(F.col(x), F.lit(0.0)).alias(name))
