@@ -364,6 +364,15 @@ def noise_aware(catalog: DataFrame, text: str, limit: int = 50) -> DataFrame:
     return ranked.filter(F.col("position") <= limit).select("position", "name", "full_path", "noise")
 
 
+def items(catalog: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """The page of ``noise_aware`` as items: baseline_index from 0, tier (0 exact, 1 eligible, 2 soft), size null for folders."""
+    page = noise_aware(catalog, text, limit).select("position", "full_path", "noise")
+    facts = page.join(catalog, "full_path")
+    exact = policy.exact_query(F.lit(text), F.col("name"), F.col("path_key"))
+    tier = F.when(exact, 0).when(F.col("noise") == 1, 2).otherwise(1)
+    return facts.select((F.col("position") - 1).alias("baseline_index"), "name", "full_path", "extension", "kind", F.when(F.col("kind") != "folder", F.col("size")).alias("size"), "modified_at", F.lit("name").alias("match_source"), tier.alias("tier"))
+
+
 def decode(rows: DataFrame) -> DataFrame:
     """Native catalog rows: FILETIME to UTC (null unless above 0), size -1 to null, kind by flag."""
     ticks = F.when(F.col("filetime") > 0, F.timestamp_micros(((F.col("filetime") - 116444736000000000) / 10).cast("long")))

@@ -134,13 +134,21 @@ def name_match_rank(query: Column, name: Column) -> Column:
     return F.when(n == q, 0).when(F.startswith(n, q), 1).when(F.contains(n, q), 2).otherwise(3)
 
 
-def noise(query: Column, name: Column, path_key: Column, extension: Column, attributes: Column) -> Column:
-    """2 is filtered, 1 is ranked below, 0 is normal; an exact query lifts what is only soft."""
+def temporary_roots(environment: dict[str, str]) -> list[str]:
+    """Folders of temporary files as a machine's environment names them: each once, whatever its case."""
+    below = [(environment.get("LOCALAPPDATA") or "", "Temp"), (environment.get("WINDIR") or "", "Temp")]
+    named = [environment.get("TEMP"), environment.get("TMP"), *(f"{root.rstrip(chr(92))}\\{leaf}" for root, leaf in below if root.strip())]
+    return list(dict.fromkeys(p.strip().replace("/", "\\").rstrip("\\").lower() for p in named if p and p.strip()))
+
+
+def noise(query: Column, name: Column, path_key: Column, extension: Column, attributes: Column, temporary: list[str] | None = None) -> Column:
+    """2 is filtered, 1 is ranked below, 0 is normal; an exact query lifts what is only soft. ``temporary``: folders of
+    temporary files, TEMPORARY_ROOTS unless given."""
     leaf, parts = F.lower(name), paths.components(path_key)
     ext = paths.dotted_extension(extension, name)
     hard = (
         (attributes.bitwiseAND(TEMPORARY) != 0)
-        | paths.within_any(path_key, TEMPORARY_ROOTS)
+        | paths.within_any(path_key, TEMPORARY_ROOTS if temporary is None else temporary)
         | _any_of(parts, HARD_COMPONENTS)
         | ext.isin(".tmp", ".temp")
         | leaf.isin([".tmp", ".temp", *(n.lower() for n in HARD_NAMES)])

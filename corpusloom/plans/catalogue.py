@@ -89,10 +89,16 @@ def scan_candidates(spark, sf_dir):
     return found.orderBy(F.col("modified_at").desc(), "path_key").select("full_path", iso("modified_at").alias("modified"))
 
 
-@query("SELECT * FROM (VALUES ('C:\\'), ('D:\\')) t(root_path)")
+@query("SELECT DISTINCT chr(65 + CAST(doc_id % 26 AS INTEGER)) || ':\\' AS root_path FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 26 % 3 <> 1 AND doc_id % 26 % 4 <> 2")
 def eligible_drives(spark, sf_dir):
-    rows = [("D:\\", True, "Fixed", "NTFS"), ("C:\\", True, "Fixed", "ReFS"), ("c:\\", True, "fixed", "ntfs"), ("E:\\", True, "Removable", "NTFS"), ("F:\\", False, "Fixed", "NTFS"), ("G:\\", True, "Fixed", "FAT32")]
-    return policy.eligible_drives(literals(spark, rows, "root_path string, is_ready boolean, drive_type string, drive_format string")).select(F.upper("root_path").alias("root_path"))
+    """Every document tells of a drive, in capitals or not: which are ready, fixed and keep a journal."""
+    letter = F.col("doc_id") % 26
+    root = F.concat(F.char(F.lit(65) + letter), F.lit(":\\"))
+    drives = ad.read(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 2 == 0, root).otherwise(F.lower(root)).alias("root_path"), (F.col("doc_id") % 5 != 0).alias("is_ready"),
+        ad.pick(["Fixed", "Removable", "fixed"], letter).alias("drive_type"), ad.pick(["NTFS", "ReFS", "FAT32", "ntfs"], letter).alias("drive_format"),
+    )
+    return policy.eligible_drives(drives).select(F.upper("root_path").alias("root_path"))
 
 
 @query(f"WITH {sql.CATALOG}, {sql.EXCLUSIONS} SELECT prefix FROM exclusions")
@@ -204,6 +210,13 @@ def noise_aware_search(spark, sf_dir):
     return names.noise_aware(ad.catalog(spark, sf_dir), "doc1", 50)
 
 
+@query(f"""WITH {sql.CATALOG}, n AS ({sql.NOISE_AWARE})
+SELECT CAST(n.position - 1 AS INTEGER) AS baseline_index, n.full_path, c.kind, CASE WHEN c.kind <> 'folder' THEN c.size END AS size, CASE WHEN lower(c.name) = 'doc1' THEN 0 WHEN n.noise = 1 THEN 2 ELSE 1 END AS tier FROM n JOIN catalog c USING (full_path)""")
+def projection_to_item(spark, sf_dir):
+    """A page of names as items: place, tier, and no size for folders."""
+    return names.items(ad.catalog(spark, sf_dir), "doc1", 50).select("baseline_index", "full_path", "kind", "size", "tier")
+
+
 @query(f"WITH {sql.CATALOG} SELECT full_path, CAST(row_number() OVER (ORDER BY path_key) - 1 AS INTEGER) AS baseline_index FROM (SELECT * FROM catalog WHERE contains(lower(name), 'doc1') ORDER BY path_key LIMIT 20 OFFSET 10)")
 def offset_limit(spark, sf_dir):
     page = names.search(ad.catalog(spark, sf_dir), names.NameQuery("doc1", sort_by="path", limit=20, offset=10))
@@ -228,16 +241,26 @@ def tokenize_fts(spark, sf_dir):
     return ad.read(spark, sf_dir, "documents").select("doc_id", tx.tokenize_fts(F.col("text")).alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES (1, ['hello', 'café', '2026', 'report_01']), (2, ['人工', '工智', '智能']), (3, ['qwen3-vl', 'ggml_sycl', 'v2.1']), (4, ['alpha', '人工', '工智', '智能']), (5, ['人', 'x'])) t(id, tokens)")
+#: Letters and the characters that stand for them in a corpus of CJK text.
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丢两严丧中"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{_LATIN}', '{_HAN}'), '[一-龥]+|[0-9À-ɏ_.+#-]+') AS runs FROM documents)
+SELECT doc_id, flatten(list_transform(runs, lambda r: CASE WHEN NOT regexp_matches(r, '^[一-龥]') THEN list_filter([regexp_replace(r, '^[._-]+|[._-]+$', '', 'g')], lambda t: regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]'))
+  WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)) AS tokens FROM d""")
 def cjk_bigrams(spark, sf_dir):
-    rows = [(1, "Hello CAFÉ 2026 report_01"), (2, "人工智能"), (3, "Qwen3-VL GGML_SYCL v2.1"), (4, "alpha 人工智能"), (5, "人 x --")]
-    return literals(spark, rows, "id int, text string").select("id", tx.tokenize_mixed(F.col("text")).alias("tokens"))
+    """Whole texts with CJK characters for their plain letters: pairs of those, and what stands between them."""
+    return ad.read(spark, sf_dir, "documents").select("doc_id", tx.tokenize_mixed(F.translate(F.lower("text"), _LATIN, _HAN)).alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES (1, ['report', '报告'], '\"report\" AND \"报告\"'), (2, NULL, NULL), (3, NULL, NULL), (4, ['a', 'b'], '\"a\" AND \"b\"')) t(id, terms, expression)")
+@query("""WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}_.+#-]+'), lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g')), lambda t: regexp_matches(t, '[\\p{L}\\p{Nd}]')) AS w FROM benchmark),
+t AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS terms FROM w)
+SELECT item_id, CASE WHEN item_id % 5 > 0 THEN terms END AS terms, CASE WHEN item_id % 5 > 0 THEN array_to_string(list_transform(terms, lambda x: '"' || x || '"'), ' AND ') END AS expression FROM t""")
 def query_terms(spark, sf_dir):
+    """Every benchmark text as a query; a fifth of them blank or of one character, which ask for nothing."""
     terms = tx.query_terms(F.col("q"))
-    return literals(spark, [(1, "Report 报告 report 报告"), (2, "  "), (3, "人"), (4, "a b A")], "id int, q string").select("id", terms.alias("terms"), tx.match_expression(terms).alias("expression"))
+    asked = ad.read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 10 == 0, "  ").when(F.col("item_id") % 10 == 5, " 人").otherwise(F.col("text")).alias("q"))
+    return asked.select("item_id", terms.alias("terms"), tx.match_expression(terms).alias("expression"))
 
 
 @query("SELECT doc_id, CAST(len(string_split_regex(text, '\\r\\n|\\r|\\n')) AS INTEGER) AS n_lines FROM documents")
@@ -275,10 +298,20 @@ def truncate_message(spark, sf_dir):
     return ad.read(spark, sf_dir, "documents").select("doc_id", tx.truncate_message(F.col("text")).alias("message"), tx.truncate_message(F.col("text"), 300).alias("mail_message"))
 
 
-@query("SELECT * FROM (VALUES ('kernel32.dll', TRUE, FALSE), ('annual report.docx', TRUE, FALSE), ('\"alpha beta\"', TRUE, FALSE), ('C:\\x', TRUE, FALSE), ('.gitignore', TRUE, FALSE), ('alpha', FALSE, FALSE), ('where is it', FALSE, TRUE), ('a b c d', FALSE, TRUE), ('why?', FALSE, TRUE), ('查找 报告', FALSE, TRUE)) t(q, explicit, natural_language)")
+#: Queries that users might type, made of each document's facts, by doc_id modulo 9.
+_TYPED = [
+    "'doc' || doc_id || '.txt'", "'\"' || lang || ' ' || source || '\"'", "'C:' || chr(92) || source", "source || '/' || lang", "'.' || lang", "lang", "'where is ' || source",
+    "lang || ' ' || source || ' x ' || doc_id", "source || '?'",
+]
+_TYPED_QUERY = "CASE " + " ".join(f"WHEN doc_id % {len(_TYPED)} = {k} THEN {q}" for k, q in enumerate(_TYPED)) + " END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TYPED_QUERY} AS q FROM documents)
+SELECT doc_id, q, starts_with(q, '"') AND ends_with(q, '"') OR regexp_matches(q, '^[A-Za-z]:|[\\\\/]') OR length(q) > 1 AND regexp_matches(q, '\\.[^.]+$|^\\.') AS explicit,
+  contains(q, '?') OR len(string_split(q, ' ')) >= 4 OR contains(q, 'where is') AS natural_language FROM t""")
 def query_shape(spark, sf_dir):
-    rows = [(q,) for q in ("kernel32.dll", "annual report.docx", '"alpha beta"', "C:\\x", ".gitignore", "alpha", "where is it", "a b c d", "why?", "查找 报告")]
-    return literals(spark, rows, "q string").select("q", tx.explicit_file_query(F.col("q")).alias("explicit"), tx.natural_language_query(F.col("q")).alias("natural_language"))
+    typed = ad.read(spark, sf_dir, "documents").select("doc_id", F.expr(_TYPED_QUERY.replace("chr(92)", "char(92)")).alias("q"))
+    return typed.select("doc_id", "q", tx.explicit_file_query(F.col("q")).alias("explicit"), tx.natural_language_query(F.col("q")).alias("natural_language"))
 
 
 @query("SELECT conv_id, turn, 'outlook://mail/' || left(sha256(conv_id || chr(10) || turn), 24) AS path FROM conversations")
@@ -376,8 +409,6 @@ def fts_match_title(spark, sf_dir):
     return retrieve.matches(retrieve.phrase_hits(corpus_index(spark, sf_dir, asked), asked, ix.TITLE))
 
 
-#: Letters and the characters that stand for them in a corpus of CJK text.
-_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丢两严丧中"
 _HAN_PAIRS = "list_distinct(flatten(list_transform(regexp_extract_all({0}, '[一-龥]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"
 
 
