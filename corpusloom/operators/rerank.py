@@ -7,6 +7,8 @@ a query move, and only inside their tier.
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 TOP, SHOWN = 10, 5
 BEHAVIOR_SHARE, SEMANTIC_SHARE = 0.35, 0.65
 EXACT, ELIGIBLE = 0, 1
+#: Seconds that an outside order may take, and how many late ones in a row end the asking.
+ASKED_SECONDS, GIVEN_UP = 1.5, 3
 
 
 def behavior(rows: DataFrame) -> DataFrame:
@@ -112,26 +116,54 @@ def valid_order(ids: Column, candidates: Column) -> Column:
     return (F.size(ids) >= 1) & (F.size(ids) <= SHOWN) & (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_except(ids, candidates)) == 0)
 
 
-def external_order(rows: DataFrame, ask: Callable[[str, list[dict]], list], most_bytes: int = 24 * 1024, query: str = "query") -> DataFrame:
+def _within(seconds: float, call: Callable, *args):
+    """The result of a call, or TimeoutError when it takes longer. The call goes on in a thread that ends with the worker."""
+    got: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            got.put((True, call(*args)))
+        except Exception as error:
+            got.put((False, error))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        good, value = got.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError from None
+    if not good:
+        raise value
+    return value
+
+
+def external_order(rows: DataFrame, ask: Callable[[str, list[dict]], list], most_bytes: int = 24 * 1024, query: str = "query", seconds: float = ASKED_SECONDS) -> DataFrame:
     """(query_id, cand_id, wanted): the order that an outside service asks for, of queries that keep to
     its limits and answers that are valid.
 
     ``ask`` gets a query and its first candidates (cand_id, name, snippet) and returns one to five of
     their ids. A request of more than ``most_bytes`` of JSON is not sent, and an answer that fails
-    (an exception, unknown or repeated ids) changes nothing. Rows (query_id, query, cand_id, idx, name, snippet).
+    (an exception, unknown or repeated ids) or is not there after ``seconds`` changes nothing. After
+    GIVEN_UP answers in a row that were late, a task asks no more. Rows (query_id, query, cand_id, idx, name, snippet).
     """
     first = rows.filter(F.col("idx") < TOP).groupBy("query_id", F.col(query).alias("query")).agg(F.array_sort(F.collect_list(F.struct("idx", "cand_id", "name", F.left("snippet", F.lit(200)).alias("snippet")))).alias("shown"))
     kind = rows.schema["cand_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late = 0
         for batch in batches:
             out = []
             for query_id, text, shown in zip(batch["query_id"], batch["query"], batch["shown"], strict=True):
+                if late >= GIVEN_UP:
+                    break
                 offered = [{k: r[k] for k in ("cand_id", "name", "snippet")} for r in shown]
                 if len(json.dumps({"query": text, "candidates": offered}, ensure_ascii=False, default=str).encode()) > most_bytes:
                     continue
                 try:
-                    ids = list(ask(text, offered))
+                    ids = list(_within(seconds, ask, text, offered))
+                    late = 0
+                except TimeoutError:
+                    late += 1
+                    continue
                 except Exception:  # the service is down: the local order stays
                     continue
                 known = {r["cand_id"] for r in offered}

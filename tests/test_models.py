@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import models, ranks, rerank, settings
 from corpusloom.operators.commits import Conflict
@@ -89,3 +90,25 @@ def test_settings(spark, tmp_path):
         mine.save(colour="red")
     with pytest.raises(Conflict):
         mine.versions.propose(2, width=1.0)
+
+
+def test_outside_orders_keep_to_their_time(spark):
+    """Late answers change nothing, and after three in a row the task asks no more."""
+    rows = spark.createDataFrame([(q, f"q{q}", k, k, f"n{k}", "s") for q in range(8) for k in range(3)], "query_id int, query string, cand_id int, idx int, name string, snippet string").coalesce(1)
+
+    def ask(query, offered):
+        import time
+
+        if query in ("q1", "q4", "q5", "q6"):
+            time.sleep(5)
+        if query == "q2":
+            raise OSError
+        return [offered[-1]["cand_id"]]
+
+    def of(asked):
+        return {r.query_id: r.cand_id for r in rerank.external_order(rows.filter(F.col("query_id").isin(asked)).repartition(1), ask, seconds=0.3).collect()}
+
+    assert of([0, 1, 2, 3]) == {0: 2, 3: 2}
+    got = of([4, 5, 6])
+    assert got == {}
+    assert len(of(list(range(8)))) <= 4
