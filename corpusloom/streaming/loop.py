@@ -28,6 +28,7 @@ OUTCOMES = "path_key string, fingerprint string, attempts int, error_code string
 ACTIONS = "path_key string, full_path string, name string, extension string, fingerprint string, priority int, attempts int, action string"
 _STATE = "full_path string, name string, extension string, fingerprint string, priority int, attempts int, leased boolean, due long"
 _INPUT = "path_key string, full_path string, name string, extension string, fingerprint string, priority int, change string, attempts int, terminal boolean"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -109,13 +110,19 @@ class Loop:
     def start(self, **trigger) -> StreamingQuery:
         """Starts or, from its checkpoint, restarts the stream; every 60 seconds unless a trigger is given."""
         ship(self.spark)
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         read = lambda table, schema: self.spark.readStream.schema(schema).parquet(f"{self.root}/{table}")
         columns = [c.split()[0] for c in _INPUT.split(", ")]
         missing = lambda frame: frame.select(*[c if c in frame.columns else F.lit(None).cast(dict(x.split() for x in _INPUT.split(", "))[c]).alias(c) for c in columns])
         events = missing(read("changes", CHANGES)).unionByName(missing(read("outcomes", OUTCOMES).withColumn("change", F.lit("outcome"))))
         actions = events.groupBy("path_key").transformWithStateInPandas(FileQueue(self.delays), ACTIONS, "Append", "ProcessingTime")
-        return actions.writeStream.foreachBatch(self._work).option("checkpointLocation", f"{self.root}/checkpoint").trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+        stream = actions.writeStream.foreachBatch(self._work).option("checkpointLocation", f"{self.root}/checkpoint").trigger(**(trigger or {"processingTime": "60 seconds"}))
+        # timers need this provider; a stream keeps the settings it was started with, others keep theirs
+        before = self.spark.conf.get(PROVIDER, None)
+        self.spark.conf.set(PROVIDER, ROCKSDB)
+        try:
+            return stream.start()
+        finally:
+            self.spark.conf.unset(PROVIDER) if before is None else self.spark.conf.set(PROVIDER, before)
 
     def _work(self, actions: DataFrame, batch: int) -> None:
         """Reads, indexes and answers the leases of one micro-batch."""
