@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -27,5 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one store of this application."""
-    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own for one store of this application; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, weakref.ref(spark), path)
+    return path
+
+
+def _remove(session, path: str) -> None:
+    spark = session()
+    if spark is None or spark.sparkContext._jsc is None:  # the session is gone; the folder is left to the cluster's own clean-up
+        return
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # nor is a driver that ends held up by it
+        pass
