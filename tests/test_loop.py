@@ -2,10 +2,11 @@
 
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.plans import reconcile
-from corpusloom.streaming.loop import CHANGES, Loop
+from corpusloom.streaming.loop import CHANGES, Loop, file_queue
 
 
 def changes(spark, *rows):
@@ -71,3 +72,66 @@ def test_a_file_in_its_queue(spark, tmp_path):
     loop.submit(changes(spark, ("p.pdf", "2", "removed")))
     until(query, lambda: loop.queue().count() == 0 and loop.failures().count() == 0)
     loop.stop(query)
+
+
+class Held:
+    """A part's state without a stream."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.now, self.wait = None, False, False, 1000, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.get, self.exists, self.wait = value, True, None
+
+    def remove(self):
+        self.get, self.exists, self.wait = None, False, None
+
+    def setTimeoutDuration(self, wait):
+        self.wait = wait
+
+
+def test_one_call_works_on_many_files():
+    """The files of a part share a call and a timer: calls do not grow with the files."""
+    columns = ["path_key", "full_path", "name", "extension", "fingerprint", "priority", "change", "attempts", "terminal"]
+    state, step = Held(), file_queue([2.0, 5.0])
+
+    def call(*rows):
+        made = list(step((0,), iter([pd.DataFrame(rows, columns=columns)]), state))
+        return [tuple(r) for f in made for r in f[["path_key", "fingerprint", "attempts", "action"]].itertuples(index=False)]
+
+    new = lambda k, f, change="new": (f"p{k}", f"P{k}", f"n{k}", "txt", f, 1, change, None, None)
+    outcome = lambda k, f, attempts, terminal: (f"p{k}", None, None, None, f, None, "outcome", attempts, terminal)
+    assert call(*(new(k, "1") for k in range(1000))) == [(f"p{k}", "1", 0, "lease") for k in range(1000)]
+    assert state.wait is None and len(state.get[0]) == 1000
+    # most are done, two wait, one outcome is of an older version, one file goes
+    assert call(new(3, "2", "changed"), *(outcome(k, "1", 1, k > 2) for k in range(1000) if k != 4), new(4, "1", "removed"), outcome(4, "1", 1, False)) == [("p3", "2", 0, "lease"), ("p4", "1", 0, "remove")]
+    assert sorted(state.get[0]) == ["p0", "p1", "p2", "p3"] and state.wait == 2000
+    state.now = 2000
+    assert call(outcome(3, "1", 1, True)) == [] and state.wait == 1000  # the timer goes on
+    state.now, state.hasTimedOut = 3000, True
+    assert call() == [(f"p{k}", "1", 1, "lease") for k in range(3)] and state.wait is None
+    state.hasTimedOut = False
+    assert call(*(outcome(k, "1", 2, k > 0) for k in range(3)), outcome(3, "2", 1, True)) == [] and state.get[0] == ["p0"] and state.wait == 5000
+    assert call(outcome(0, "1", 2, True), new(0, "1", "removed")) == [("p0", "1", 0, "remove")] and not state.exists
+
+
+def test_stop_does_not_wait_for_a_pause():
+    """Micro-batches of timers may follow each other without a pause; the end of the one that runs is enough."""
+
+    class Busy:
+        isActive, status, batch, stopped = True, {"isTriggerActive": True}, 0, False
+
+        @property
+        def lastProgress(self):
+            self.batch += 1
+            return {"batchId": self.batch // 20}
+
+        def stop(self):
+            self.stopped = True
+
+    busy, began = Busy(), time.monotonic()
+    Loop.stop(busy, 30)
+    assert busy.stopped and time.monotonic() - began < 10
