@@ -181,3 +181,19 @@ def test_older_snapshots_are_moved_aside_and_built_again(spark, tmp_path):
     Decisions(spark, root).delete(root)
     assert page(retrieve.search(ix.opened(spark, root), asked(spark))) == want
     assert page(retrieve.search(ix.opened(spark, root), asked(spark))) == want
+
+
+def test_postings_are_made_of_bounded_parts(monkeypatch):
+    """However many rows a batch has, a part of it has TOKENS tokens at most, or one row."""
+    import pyarrow as pa
+
+    from corpusloom.operators import index as ix
+
+    monkeypatch.setattr(ix, "TOKENS", 5)
+    terms = [["a", "b", "a"], [], ["c"] * 4, None, ["a"] * 12, ["b", "c"], ["c"]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "field": ["body"] * 7, "terms": pa.array(terms, pa.list_(pa.string()))})
+    made = list(ix._grouped([batch]))
+    assert [sum(b.column("tf").to_pylist()) for b in made] == [3, 4, 12, 3]
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    want = [(i, "body", t, ts.count(t), [k for k, x in enumerate(ts) if x == t]) for i, ts in enumerate(terms) if ts for t in dict.fromkeys(ts)]
+    assert sorted(rows) == sorted(want)
