@@ -146,3 +146,14 @@ def test_cuts_count_utf16_units(spark):
             assert r.c.text is None and r.s is None
         else:
             assert (r.c.text, r.c.truncated, r.s) == (cut(r.t, 3), units(r.t) > 3, cut(r.t, 200))
+
+
+def test_results_are_held_in_small_parts():
+    import pandas as pd
+
+    from corpusloom.sources import extract
+
+    batch = pd.DataFrame({"path": [f"p{k}" for k in range(1000)]})
+    parts = list(extract.parts(iter([batch, batch.iloc[:0], batch.iloc[:3]])))
+    assert max(map(len, parts)) == extract.FILES < 100
+    assert pd.concat(parts)["path"].tolist() == batch["path"].tolist() + ["p0", "p1", "p2"]
