@@ -75,3 +75,29 @@ def test_folding_looks_at_distinct_characters():
     """A text of ideographs is given back as it is, not mapped character by character."""
     text = "日本語" * 1000
     assert tx.folded(text) is text and tx.folded(text + "é") == text + "e"
+
+
+def test_postings_of_terms_are_made_where_a_row_is_read(spark, built, monkeypatch):
+    terms = spark.createDataFrame([("alpha",), ("a",), ("missing",)], "term string")
+    made = ix.document_postings(built.documents, terms)
+    assert "Exchange" not in plan(made)
+    monkeypatch.setattr(ix, "TERMS", 2)
+    assert rows(made.withColumn("positions", made["positions"].cast("string"))) == rows((by_join := ix.document_postings(built.documents, terms)).withColumn("positions", by_join["positions"].cast("string")))
+
+
+def test_parts_of_a_bucket_grow_with_the_tokens(spark):
+    stats = spark.createDataFrame([(1, 1, 0), (2, 4, ix.BUCKETS * ix.PART * 9)], "doc_id long, title_len long, body_len long")
+    assert ix.parts_of(stats) == 10 and ix.parts_of(stats.limit(1)) == 4
+
+
+def test_rows_pass_by_the_ids_taken_out(spark, tmp_path, built, monkeypatch):
+    """Beyond GONE ids no sort of all stored rows."""
+    from corpusloom.operators import segments
+
+    store = segments.SegmentedIndex(spark, f"file://{tmp_path}/i")
+    store.apply(built.documents)
+    store.apply(gone=built.documents.filter("doc_id % 2 = 0"))
+    want = rows(store.index().postings.select("doc_id", "term", "field", "tf"))
+    monkeypatch.setattr(segments, "GONE", 1)
+    frame = store.index().postings.select("doc_id", "term", "field", "tf")
+    assert want and rows(frame) == want and "ShuffledHashJoin" in plan(frame)
