@@ -231,7 +231,7 @@ def _signatures(docs: DataFrame, parts: int) -> DataFrame:
         dealt: list[np.ndarray] = []
 
         def flush():
-            if held:
+            if any(map(len, held)):
                 one, two, counts = _shared_here(np.concatenate(held), np.concatenate(dealt))
                 for kind, rows, number in ((_OPEN, *one), (_COUNTED, *two), (_COUNTS, counts, mix64(counts["cls"]))):
                     for batch in deal(rows, number, names).to_batches():
