@@ -58,6 +58,15 @@ def test_no_shuffle(built, asked):
     assert "posexplode" not in page and "collect_list(pos" not in page
 
 
+def test_names_come_with_the_hits(spark, built, asked):
+    """The names of all documents are not joined with scores: no task sorts them. Rows without an id are left out, as by joins."""
+    page = retrieve.search(built, asked, 3)
+    assert "Join" not in plan(page).replace("BroadcastNestedLoopJoin", "", 1)  # one: the row of weights
+    more = ix.build(built.documents.unionByName(spark.createDataFrame([(None, "none", "txt", "c:\\none", "alpha beta")], DOCS)))
+    found = retrieve.search(more, asked, 20).collect()
+    assert found and all(r.doc_id is not None and r.name == f"d{r.doc_id}.txt" and r.path_key == "c:\\" + r.name for r in found)
+
+
 def test_large_batch_goes_by_joins(built, asked, monkeypatch):
     want = rows(retrieve.search(built, asked, 3))
     monkeypatch.setattr(bt, "MOST", 3)
