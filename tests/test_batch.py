@@ -67,6 +67,24 @@ def test_names_come_with_the_hits(spark, built, asked):
     assert found and all(r.doc_id is not None and r.name == f"d{r.doc_id}.txt" and r.path_key == "c:\\" + r.name for r in found)
 
 
+def test_texts_stay_where_they_are_read(built, asked, monkeypatch):
+    """A small page goes to the texts, whatever their size; of a page that may be large Spark chooses."""
+    page = retrieve.search(built, asked, 3).select("query_id", "rank", "doc_id")
+    texts = built.documents.select("doc_id", "text")
+    want = rows(page.join(texts, "doc_id"))
+    found = retrieve.with_texts(page, texts, asked, 3)
+    sent = lambda frame: frame._jdf.queryExecution().analyzed().toString().count("ResolvedHint (strategy=broadcast)")
+    assert sent(found) == sent(page) + 1 and "BroadcastHashJoin" in plan(found)
+    assert want and rows(found) == want
+    for name, most in (("SENT", 3 * len(ASKED) - 1), ("SENT_CHARACTERS", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(retrieve, name, most)
+            large = retrieve.with_texts(page, texts, asked, 3)
+            assert sent(large) == sent(page)
+            assert rows(large) == want
+    assert rows(retrieve.with_texts(page.limit(0), texts, asked.limit(0), 3)) == []
+
+
 def test_large_batch_goes_by_joins(built, asked, monkeypatch):
     want = rows(retrieve.search(built, asked, 3))
     monkeypatch.setattr(bt, "MOST", 3)
