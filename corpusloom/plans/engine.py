@@ -55,11 +55,11 @@ class Engine:
         alive = self.catalog.select("path_key") if self.catalog is not None else None
         found = retrieve.search(self.index, queries, limit, offset, field, allowed, alive)
         terms = queries.select("query_id", tx.query_terms(F.col("query")).alias("terms"))
-        located = self.locations(found.join(terms, "query_id"), field)
+        located = self.locations(found.join(terms, "query_id"), queries, limit, field)
         bad = terms.filter("terms is null").select("query_id", F.lit(QUERY_TOO_BROAD).alias("error_code"))
         return located.withColumn("error_code", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
-    def locations(self, found: DataFrame, field: str | None = None) -> DataFrame:
+    def locations(self, found: DataFrame, queries: DataFrame, limit: int, field: str | None = None) -> DataFrame:
         """Where the hits alone hold their terms: texts are joined after the page is cut, and each kind of
         file is read in its own way (``locate.resolve``). A title hit is at line 1 without a snippet, a
         document whose raw text holds no term at line 1 with the fallback snippet."""
@@ -69,7 +69,7 @@ class Engine:
             one = {"start_line": F.lit(1), "end_line": F.lit(1), "snippet": F.lit(""), **{c: F.lit(None).cast("string") for c in place[3:]}}
             return found.select(*columns).withColumns(one).withColumn("line", F.lit(1))
         texts = self.index.documents.select("doc_id", "text", "extension", *(c for c in ["blocks"] if c in self.index.documents.columns))
-        rows = locate.locate(found.join(texts, "doc_id"))
+        rows = locate.locate(retrieve.with_texts(found, texts, queries, limit))
         hits = rows.select(*columns, "text", "terms", F.explode_outer("hits").alias("hit"))
         nowhere = F.col("hit").isNull()
         first = {"start_line": F.lit(1), "end_line": F.lit(1), "snippet": tx.snippet_fallback(F.col("text"), F.col("terms"))}
